@@ -8,6 +8,7 @@ from hashlib import sha256
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from traceaudit.functions.text import as_column
@@ -15,7 +16,7 @@ from traceaudit.functions.text import as_column
 SEED_MODULUS = (1 << 63) - 1  # fixed value: keyed seeds stay below 2^63 - 1
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def canonical_json(documents: pd.Series) -> pd.Series:
     """JSON text with sorted keys and no blanks."""
 

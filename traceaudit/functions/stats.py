@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from traceaudit.functions.text import as_column
@@ -71,7 +72,7 @@ def upper_bound(successes: int, trials: int, confidence: float = 0.95) -> float:
 def binom_upper(successes: Column | str, trials: Column | str, confidence: float = 0.95) -> Column:
     """Exact upper bound per report row; null where there are no trials."""
 
-    @pandas_udf("double")
+    @pandas_udf(T.DoubleType())
     def bound(k: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([upper_bound(int(a), int(b), confidence) if b and b > 0 else None for a, b in zip(k, n)], dtype="float64")
 
@@ -84,7 +85,7 @@ def green_z(green: Column | str, total: Column | str, gamma: float) -> Column:
     return F.when(total > 0, (green - gamma * total) / F.sqrt(total * gamma * (1.0 - gamma))).otherwise(0.0)
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def _normal_tail(z: pd.Series) -> pd.Series:
     return pd.Series([None if v is None or np.isnan(v) else 0.5 * math.erfc(v / math.sqrt(2.0)) for v in z], dtype="float64")
 
@@ -103,7 +104,7 @@ def green_p_normal(green: Column | str, total: Column | str, gamma: float) -> Co
 def green_p_exact(green: Column | str, total: Column | str, gamma: float) -> Column:
     """Exact binomial tail P(X >= k) with the reporting floor; 1 without tokens."""
 
-    @pandas_udf("double")
+    @pandas_udf(T.DoubleType())
     def tail(k: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([1.0 if b <= 0 or a <= 0 else max(beta_cdf(gamma, a, 1 + b - a), P_FLOOR) for a, b in zip(k, n)], dtype="float64")
 

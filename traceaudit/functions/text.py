@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 # The whitespace that separates words, and the token patterns.
@@ -39,17 +40,17 @@ def collapse_space(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(as_column(c), f"[{SPACE}]+", " "))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _unicode_key(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: " ".join(unicodedata.normalize("NFKC", t).casefold().split()), na_action="ignore")
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _unicode_fold(texts: pd.Series) -> pd.Series:
     return texts.map(str.casefold, na_action="ignore")
 
 
-@pandas_udf("array<string>")
+@pandas_udf(T.ArrayType(T.StringType()))
 def _unicode_fold_tokens(rows: pd.Series) -> pd.Series:
     return rows.map(lambda row: None if row is None else [t.casefold() for t in row])
 
@@ -144,7 +145,7 @@ def _lcs_length(left: Sequence[str], right: Sequence[str]) -> int:
     return len(short) - row.bit_count()
 
 
-@pandas_udf("long")
+@pandas_udf(T.LongType())
 def lcs_size(left: pd.Series, right: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two token arrays."""
     sizes = [None if a is None or b is None else _lcs_length(list(a), list(b)) for a, b in zip(left, right)]

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from traceaudit.plans.registry import Query
 
-FAMILIES = ("corpus",)
+FAMILIES = ("corpus", "provenance")
 
 
 def all_queries() -> dict[str, Query]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from traceaudit.functions.text import fold_key, norm_key
 from traceaudit.operators import corpus as C
 from traceaudit.operators import rules
+from traceaudit.operators.combine import beside
 from traceaudit.operators.ordering import positions
 from traceaudit.plans.registry import Catalog, table
 
@@ -144,8 +145,7 @@ def corpus_contamination_report(spark, sf_dir):
     hits = firsts.join(evaluation.distinct().withColumn("hit", F.lit(1)), "key", "left")
     counts = hits.agg(F.count(F.lit(1)).alias("input_count"), F.count_if(F.col("hit").isNull()).alias("output_count"))
     total = evaluation.agg(F.count(F.lit(1)).alias("eval_prompt_count"))
-    # Two one-row aggregates side by side.
-    return counts.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one").drop("one")
+    return beside(counts, total)
 
 
 @query(

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from traceaudit.plans.registry import Query
 
-FAMILIES = ("corpus", "provenance")
+FAMILIES = ("corpus", "provenance", "monitor", "traffic")
 
 
 def all_queries() -> dict[str, Query]:

@@ -45,6 +45,14 @@ def _unicode_key(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: " ".join(unicodedata.normalize("NFKC", t).casefold().split()), na_action="ignore")
 
 
+@pandas_udf(T.ArrayType(T.StringType()))
+def _unicode_key_array(rows: pd.Series) -> pd.Series:
+    def one(text: str) -> str:
+        return " ".join(unicodedata.normalize("NFKC", text).casefold().split())
+
+    return rows.map(lambda row: None if row is None else [one(t) for t in row])
+
+
 @pandas_udf(T.StringType())
 def _unicode_fold(texts: pd.Series) -> pd.Series:
     return texts.map(str.casefold, na_action="ignore")
@@ -108,20 +116,25 @@ TOKENIZERS = {"unicode_cjk": quality_tokens, "whitespace": ws_tokens}
 
 def ngrams(tokens: Column | str, n: int) -> Column:
     """All n-grams of a token array in order; empty when the array is short."""
-    tokens = as_column(tokens)
-    last = F.size(tokens) - n + 1
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.slice(tokens, i, n))
-    return F.when(last > 0, grams).otherwise(F.slice(grams, 1, 0))
+    return F.transform(_aligned_slices(as_column(tokens), n), lambda z: F.array(*[z[f"g{i}"] for i in range(n)]))
+
+
+def _aligned_slices(tokens: Column, n: int) -> Column:
+    """The token array shifted by 0..n-1 and zipped: one entry per n-gram.
+
+    Lambdas over the result never refer to the token column itself, which keeps
+    Python-made columns usable (Spark forbids Python UDFs inside lambdas).
+    """
+    length = F.greatest(F.size(tokens) - n + 1, F.lit(0))
+    return F.arrays_zip(*[F.slice(tokens, i + 1, length).alias(f"g{i}") for i in range(n)])
 
 
 def gram_texts(tokens: Column | str, n: int) -> Column:
     """N-grams joined by a blank: tokens hold no blank, so equality is kept."""
     tokens = as_column(tokens)
-    size = F.size(tokens)
-    parts = [F.slice(tokens, i + 1, F.greatest(size - n + 1, F.lit(0))) for i in range(n)]
     if n == 1:
-        return parts[0]
-    return F.transform(F.arrays_zip(*[p.alias(f"g{i}") for i, p in enumerate(parts)]), lambda z: F.concat_ws(" ", *[z[f"g{i}"] for i in range(n)]))
+        return tokens
+    return F.transform(_aligned_slices(tokens, n), lambda z: F.concat_ws(" ", *[z[f"g{i}"] for i in range(n)]))
 
 
 def rep_n(tokens: Column | str, n: int) -> Column:
@@ -229,19 +242,15 @@ def sentences(c: Column | str) -> Column:
 
 def word_choice(c: Column | str, choices: Column) -> Column:
     """First listed choice that stands as a whole word in the text."""
-    key = norm_key(c)
-    return F.get(
-        F.filter(
-            choices,
-            lambda choice: F.regexp_like(
-                key,
-                F.concat(
-                    F.lit(r"(?<![\p{L}\p{N}_])\Q"), collapse_space(F.lower(choice)), F.lit(r"\E(?![\p{L}\p{N}_])")
-                ),
-            ),
-        ),
-        F.lit(0),
+    plain = F.forall(choices, lambda x: F.octet_length(x) == F.char_length(x))
+    keys = F.when(plain, F.transform(choices, lambda x: collapse_space(F.lower(x)))).otherwise(
+        _unicode_key_array(F.when(~plain, choices))
     )
+    texts = F.array_repeat(norm_key(c), F.size(choices))
+    rows = F.arrays_zip(choices.alias("choice"), keys.alias("key"), texts.alias("text"))
+    before, after = F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.lit(r"\E(?![\p{L}\p{N}_])")
+    hits = F.filter(rows, lambda r: F.regexp_like(r["text"], F.concat(before, r["key"], after)))
+    return F.get(hits, F.lit(0))["choice"]
 
 
 def clean_task_text(c: Column | str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from traceaudit.functions.stats import binom_upper, ratio
 from traceaudit.operators import rules
 from traceaudit.operators.combine import beside
-from traceaudit.operators.ordering import running_totals
+from traceaudit.operators.ordering import exact_medians, running_totals
 from traceaudit.operators.provenance import auc_from_counts, check_direction, finite, oriented, reasons
 
 LABELS = ("benign", "attacker")
@@ -157,14 +157,15 @@ def detection_curve(attackers: DataFrame, checkpoints: Sequence[int], by: Sequen
 def type_summary(attackers: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Detection rate and detected-only mean and median."""
     caught = F.col("queries_to_detection")
-    return attackers.groupBy(*by).agg(
+    rates = attackers.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.count(caught).alias("detected"),
         F.count_if(caught.isNull()).alias("censored"),
         (F.count(caught) / F.count(F.lit(1))).alias("detection_rate"),
         F.avg(caught).alias("mean_queries"),
-        F.median(caught).alias("median_queries"),
     )
+    medians = exact_medians(attackers, "queries_to_detection", by, "median_queries")
+    return rates.join(medians, list(by), "left") if by else beside(rates, medians)
 
 
 def horizon_violations(found: DataFrame, budget: int) -> DataFrame:

@@ -173,3 +173,18 @@ def running_totals(
     for column, out in totals.items():
         joined = joined.withColumn(out, F.sum(column).over(inside) + F.col(f"_o_{column}"))
     return joined.drop("_slice", *[f"_o_{c}" for c in totals])
+
+
+def exact_medians(df: DataFrame, value: str, by: Sequence[str], name: str = "median") -> DataFrame:
+    """Median per group from counts per distinct value and their running totals.
+
+    ``median()`` keeps all values of a group in one task; here a hot group is
+    spread over the value slices.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = running_totals(counts, value, {"_n": "_upto"}, by=by, sample_of=df.select(value))
+    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    joined = upto.join(totals, list(by)) if by else upto.withColumn("_total", totals.scalar())
+    low, high = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
+    middle = [F.min(F.when(F.col("_upto") >= rank, F.col(value))) for rank in (low, high)]
+    return joined.groupBy(*by).agg(((middle[0] + middle[1]) / 2.0).alias(name))

@@ -174,8 +174,10 @@ def mmd(cut: DataFrame, reference: KernelReference) -> DataFrame:
 
 def shapiro_w(values: np.ndarray) -> float:
     """Shapiro-Wilk W with Royston's 1992 weights."""
-    x = np.sort(np.asarray(values, dtype="float64"))[:MAX_SHAPIRO_SAMPLES]
+    x = np.sort(np.asarray(values, dtype="float64"))
     n = len(x)
+    if n > MAX_SHAPIRO_SAMPLES:
+        raise ValueError(f"W is defined for at most {MAX_SHAPIRO_SAMPLES} values; use smaller windows")
     spread = x - x.mean()
     total = float((spread * spread).sum())
     if n < 3 or total == 0.0:

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from traceaudit.plans.registry import Query
 
-FAMILIES = ("corpus", "provenance", "monitor", "traffic")
+FAMILIES = ("corpus", "provenance", "monitor", "traffic", "capability", "fidelity", "quality", "cost")
 
 
 def all_queries() -> dict[str, Query]:

@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -23,6 +23,12 @@ PHRASE_STOP_WORDS = (
     "this", "that", "these", "those", "therefore", "because", "important", "domain", "concept", "concepts",
 )
 CAPITAL_RUN = r"(?U)\b[A-Z][A-Za-z0-9\-]+(?:\s+[A-Z][A-Za-z0-9\-]+){0,4}\b"
+QUERY_TEMPLATES = {
+    "DEF": "What is {entity}? Give a precise definition and explain why it is important.",
+    "CAT": "What category does {entity} belong to, and what are closely related concepts?",
+    "FUN": "What is the function or role of {entity} in its domain?",
+    "PART": "What are the main components, subtypes, or parts of {entity}?",
+}
 LOWER_RUN = r"(?U)\b[a-z][a-z0-9\-]{4,}(?:\s+[a-z][a-z0-9\-]{4,}){0,3}\b"
 
 def as_column(c: Column | str) -> Column:
@@ -116,10 +122,10 @@ TOKENIZERS = {"unicode_cjk": quality_tokens, "whitespace": ws_tokens}
 
 def ngrams(tokens: Column | str, n: int) -> Column:
     """All n-grams of a token array in order; empty when the array is short."""
-    return F.transform(_aligned_slices(as_column(tokens), n), lambda z: F.array(*[z[f"g{i}"] for i in range(n)]))
+    return F.transform(aligned_slices(as_column(tokens), n), lambda z: F.array(*[z[f"g{i}"] for i in range(n)]))
 
 
-def _aligned_slices(tokens: Column, n: int) -> Column:
+def aligned_slices(tokens: Column, n: int) -> Column:
     """The token array shifted by 0..n-1 and zipped: one entry per n-gram.
 
     Lambdas over the result never refer to the token column itself, which keeps
@@ -134,7 +140,7 @@ def gram_texts(tokens: Column | str, n: int) -> Column:
     tokens = as_column(tokens)
     if n == 1:
         return tokens
-    return F.transform(_aligned_slices(tokens, n), lambda z: F.concat_ws(" ", *[z[f"g{i}"] for i in range(n)]))
+    return F.transform(aligned_slices(tokens, n), lambda z: F.concat_ws(" ", *[z[f"g{i}"] for i in range(n)]))
 
 
 def rep_n(tokens: Column | str, n: int) -> Column:
@@ -283,3 +289,18 @@ def render(template: str, **values: Column | str) -> Column:
         pieces.append(as_column(values[slot]).cast("string"))
         rest = rest[at + len(slot) + 2 :]
     return F.concat(*pieces) if pieces else F.lit("")
+
+
+def expand_templates(
+    df: DataFrame, entity: str, templates: dict[str, str] | None = None, limit: int | None = None, order: Sequence[str] = ()
+) -> DataFrame:
+    """One query per (entity, template); each row is expanded in place, optionally cut to a budget in order."""
+    templates = QUERY_TEMPLATES if templates is None else templates
+    rows = [
+        F.struct(F.lit(i).alias("slot"), F.lit(name).alias("template_id"), render(text, entity=entity).alias("query"))
+        for i, (name, text) in enumerate(templates.items())
+    ]
+    expanded = df.withColumn("_t", F.explode(F.array(*rows))).select(*df.columns, "_t.*")
+    if limit is not None:
+        expanded = expanded.orderBy(*order, "slot").limit(limit)
+    return expanded

@@ -6,7 +6,10 @@ from importlib import import_module
 
 from traceaudit.plans.registry import Query
 
-FAMILIES = ("corpus", "provenance", "monitor", "traffic", "capability", "fidelity", "quality", "cost")
+FAMILIES = (
+    "corpus", "provenance", "monitor", "traffic", "capability", "fidelity", "quality", "cost",
+    "transcripts", "text", "watermark", "sources",
+)
 
 
 def all_queries() -> dict[str, Query]:

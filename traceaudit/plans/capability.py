@@ -60,17 +60,17 @@ SUMMARY = """SELECT model_key, dataset, {split} CASE WHEN dataset = 'humaneval'
  count(*)::BIGINT AS evaluated_count, count(*) FILTER (request_status = 'completed')::BIGINT AS completed_request_count, count(*) FILTER (correct)::BIGINT AS correct_count,
  count(*) FILTER (parse_status = 'failed')::BIGINT AS parse_failure_count, round(count(*) FILTER (parse_status = 'failed')::DOUBLE / count(*), 9) AS parse_failure_rate,
  count(*) FILTER (request_status = 'failed')::BIGINT AS failed_request_count, round(count(*) FILTER (request_status = 'failed')::DOUBLE / count(*), 9) AS failed_request_rate,
- round(avg(coalesce(latency_seconds, 0.0)), 6) AS mean_latency_seconds, round(median(coalesce(latency_seconds, 0.0)), 6) AS median_latency_seconds,
+ round(avg(coalesce(latency_seconds, 0.0)), 9) AS mean_latency_seconds, round(median(coalesce(latency_seconds, 0.0)), 9) AS median_latency_seconds,
  (CASE WHEN dataset = 'humaneval' THEN count(*) FILTER (request_status = 'completed') END)::BIGINT AS generated_completion_count,
  (CASE WHEN dataset = 'humaneval' THEN count(*) FILTER (parse_status = 'success') END)::BIGINT AS completion_extraction_success_count,
- CASE WHEN dataset = 'humaneval' THEN false END AS code_execution_enabled FROM latest GROUP BY ALL"""
+ CASE WHEN dataset = 'humaneval' THEN false END AS code_execution_enabled FROM latest GROUP BY {split} model_key, dataset"""
 
 
 def rounded(df):
     return df.withColumns(
         {
             **{c: F.round(c, 9) for c in ("score", "parse_failure_rate", "failed_request_rate")},
-            **{c: F.round(c, 6) for c in ("mean_latency_seconds", "median_latency_seconds")},
+            **{c: F.round(c, 9) for c in ("mean_latency_seconds", "median_latency_seconds")},
         }
     )
 
@@ -84,11 +84,11 @@ def capability_per_dataset(spark, sf_dir):
     "capability_per_model",
     f"""WITH {RECORDS} SELECT model_key, count(*)::BIGINT AS attempted_count, count(*) FILTER (request_status = 'completed')::BIGINT AS completed_request_count,
 count(*) FILTER (request_status = 'failed')::BIGINT AS request_failure_count, count(*) FILTER (parse_status = 'failed')::BIGINT AS parse_failure_count,
-round(avg(coalesce(latency_seconds, 0.0)), 6) AS mean_latency_seconds FROM latest GROUP BY 1""",
+round(avg(coalesce(latency_seconds, 0.0)), 9) AS mean_latency_seconds FROM latest GROUP BY 1""",
 )
 def capability_per_model(spark, sf_dir):
     found = A.per_model(A.latest(records(spark, sf_dir), "seq"))
-    return found.withColumn("mean_latency_seconds", F.round("mean_latency_seconds", 6))
+    return found.withColumn("mean_latency_seconds", F.round("mean_latency_seconds", 9))
 
 
 @query(
@@ -255,7 +255,7 @@ def capability_heldout_classification(spark, sf_dir):
         "system", "prompt_id", "output", F.array(*words).alias("choices"),
         F.get(F.array(*words), (F.col("prompt_id") % 3).cast("int")).alias("label"),
     )
-    found = A.heldout_classification(rows)
+    found = A.heldout_classification(rows, teacher="click")
     return found.withColumns({c: F.round(c, 9) for c in ("accuracy", "teacher_agreement")})
 
 

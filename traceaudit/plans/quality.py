@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from traceaudit.functions.text import interval_distance, length_group, ngrams, rep_n, ws_tokens
+from traceaudit.functions.text import interval_distance, length_group, ngrams, rep_n, split_words, ws_tokens
 from traceaudit.operators import quality as Q
 from traceaudit.plans.corpus import key_sql
 from traceaudit.plans.registry import Catalog, table
@@ -81,7 +81,7 @@ def quality_rep_per_text(spark, sf_dir):
     f"WITH {WORDS} SELECT doc_id, greatest(len(t) - 2, 0)::BIGINT AS grams, CASE WHEN len(t) > 2 THEN array_to_string(t[1:3], ' ') END AS first_gram, CASE WHEN len(t) > 2 THEN array_to_string(t[-3:], ' ') END AS last_gram FROM words",
 )
 def quality_ngram_arrays(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", ngrams(ws_tokens("text"), 3).alias("g"))
+    rows = documents(spark, sf_dir).select("doc_id", ngrams(split_words(F.lower("text")), 3).alias("g"))
     return rows.select(
         "doc_id",
         F.size("g").cast("bigint").alias("grams"),

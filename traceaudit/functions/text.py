@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,6 +35,11 @@ def as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to an expression that needs it several times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def is_ascii(c: Column | str) -> Column:
     """One byte per character."""
     c = as_column(c)
@@ -164,24 +169,21 @@ def _lcs_length(left: Sequence[str], right: Sequence[str]) -> int:
     return len(short) - row.bit_count()
 
 
-@pandas_udf(T.LongType())
-def lcs_size(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Length of the longest common subsequence of two token arrays."""
-    sizes = [None if a is None or b is None else _lcs_length(list(a), list(b)) for a, b in zip(left, right)]
-    return pd.Series(sizes, dtype="Int64")
+@pandas_udf(T.DoubleType())
+def rouge_l_tokens(candidate: pd.Series, reference: pd.Series) -> pd.Series:
+    """ROUGE-L F1 of two token arrays; both empty is 1, one empty is 0.
+
+    F1 of precision c/n and recall c/m is 2c / (n + m).
+    """
 
+    def f1(a, b) -> float | None:
+        if a is None or b is None:
+            return None
+        if len(a) == 0 or len(b) == 0:
+            return 1.0 if len(a) == len(b) else 0.0
+        return 2.0 * _lcs_length(list(a), list(b)) / (len(a) + len(b))
 
-def rouge_l_tokens(candidate: Column, reference: Column) -> Column:
-    """ROUGE-L F1 of two token arrays; both empty is 1, one empty is 0."""
-    n_candidate, n_reference = F.size(candidate), F.size(reference)
-    common = lcs_size(candidate, reference)
-    precision, recall = common / n_candidate, common / n_reference
-    return (
-        F.when((n_candidate == 0) & (n_reference == 0), 1.0)
-        .when((n_candidate == 0) | (n_reference == 0), 0.0)
-        .when(common == 0, 0.0)
-        .otherwise(2 * precision * recall / (precision + recall))
-    )
+    return pd.Series([f1(a, b) for a, b in zip(candidate, reference)], dtype="float64")
 
 
 def rouge_l(candidate: Column | str, reference: Column | str) -> Column:

@@ -43,6 +43,20 @@ def decontaminate(df: DataFrame, evaluation: DataFrame, text: str, evaluation_te
     return df.withColumn("_key", key_digest(text)).join(seen, "_key", "left_anti").drop("_key")
 
 
+def clean_rows(df: DataFrame, evaluation: DataFrame, text: str, position: str, keep: Sequence[str]) -> DataFrame:
+    """Unique, uncontaminated rows as a narrow table ``(position, *keep)``.
+
+    Dedup and decontamination on the keys alone: each text is read once to make
+    its digest, copies collapse before the shuffle, and the evaluation keys are
+    taken out of the distinct keys, where no key is frequent any more. Join the
+    result with the corpus where the texts themselves are needed.
+    """
+    fields = [F.col(c) for c in (position, *keep)]
+    firsts = df.select(key_digest(text).alias("_key"), F.struct(*fields).alias("_row")).groupBy("_key").agg(F.min("_row").alias("_row"))
+    seen = evaluation.select(key_digest(text).alias("_key")).distinct()
+    return firsts.join(seen, "_key", "left_anti").select("_row.*")
+
+
 def held_out_violations(evaluation: DataFrame, training: DataFrame, text: str) -> DataFrame:
     """Evaluation keys that also occur in training."""
     return rules.overlap_rule(

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,11 +118,19 @@ def first_detection(df: DataFrame, threshold: float, direction: str) -> DataFram
     ).drop("score")
 
 
-def entity_threshold(benign: DataFrame, target_fpr: float, direction: str) -> float:
+class LockedThreshold(NamedTuple):
+    """Threshold with the calibration counts it was chosen from."""
+
+    value: float
+    entities: int
+    false_positives: int
+
+
+def entity_threshold(benign: DataFrame, target_fpr: float, direction: str) -> LockedThreshold:
     """Conservative inclusive threshold over benign entity extremes.
 
     Candidates are the observed extremes and the next float beyond the largest.
-    One number comes back to the driver; counting stays on the cluster.
+    Three numbers come back to the driver; counting stays on the cluster.
     """
     check_direction(direction)
     if not 0.0 <= target_fpr < 1.0:
@@ -129,15 +138,17 @@ def entity_threshold(benign: DataFrame, target_fpr: float, direction: str) -> fl
     values = benign.select(oriented("score", direction).alias("value"))
     counts = values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     above = running_totals(counts, "value", {"n": "at_or_above"}, descending=True, sample_of=values)
-    total = values.agg(F.count(F.lit(1)).alias("total"), F.max("value").alias("top"))
+    total = counts.agg(F.sum("n").alias("total"), F.max("value").alias("top"))
+    within = F.col("at_or_above") / F.col("total") <= target_fpr
     best = beside(above, total).agg(
-        F.min(F.when(F.col("at_or_above") / F.col("total") <= target_fpr, F.col("value"))).alias("best"),
+        F.min(F.when(within, F.struct("value", "at_or_above"))).alias("best"),
         F.max("top").alias("top"),
+        F.max("total").alias("total"),
     ).first()
     if best["top"] is None:
         raise rules.AuditRuleError("threshold calibration needs benign entities")
-    value = best["best"] if best["best"] is not None else math.nextafter(best["top"], math.inf)
-    return value if direction == "higher" else -value
+    value, hits = best["best"] if best["best"] is not None else (math.nextafter(best["top"], math.inf), 0)
+    return LockedThreshold(value if direction == "higher" else -value, best["total"], hits)
 
 
 def detection_curve(attackers: DataFrame, checkpoints: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
@@ -200,14 +211,11 @@ def monitor_report(
 ) -> DataFrame:
     """One row: locked threshold, FPR and TPR with bounds, AUC if the horizon is shared."""
     benign = entities(within_budget(calibration, budget), direction)
-    threshold = entity_threshold(benign, target_fpr, direction)
+    locked = entity_threshold(benign, target_fpr, direction)
+    threshold = locked.value
     found = entities(within_budget(evaluation, budget), direction, threshold)
     over = crosses(F.col("score"), threshold, direction)
     is_attacker = F.col("label") == "attacker"
-    base = benign.agg(
-        F.count(F.lit(1)).alias("calibration_entities"),
-        F.count_if(over).alias("calibration_false_positives"),
-    )
     counts = found.agg(
         F.count_if(~is_attacker).alias("benign_entities"),
         F.count_if(is_attacker).alias("attacker_entities"),
@@ -218,7 +226,13 @@ def monitor_report(
     per_score = found.groupBy(oriented("score", direction).alias("value")).agg(
         F.count_if(is_attacker).alias("pos"), F.count_if(~is_attacker).alias("neg")
     )
-    rows = beside(base, counts, auc_from_counts(per_score).select("roc_auc"))
+    known = counts.withColumns(
+        {
+            "calibration_entities": F.lit(locked.entities).cast("bigint"),
+            "calibration_false_positives": F.lit(locked.false_positives).cast("bigint"),
+        }
+    )
+    rows = beside(known, auc_from_counts(per_score).select("roc_auc"))
     rated = rows.withColumns(
         {
             "threshold": F.lit(threshold),

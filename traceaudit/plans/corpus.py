@@ -18,7 +18,7 @@ SEED = 42
 BUDGETS = C.DEFAULT_BUDGETS
 
 # DuckDB spelling of the comparison key, of the seeded digest and of hash draws.
-KEY = r"trim(regexp_replace(lower({c}), '[\t\n\v\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))"
+KEY = r"trim(regexp_replace(replace(lower({c}), 'ß', 'ss'), '[\t\n\v\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))"
 DIGEST = "md5('{seed}:' || {c})"
 DRAW = "(('0x' || substr(md5('{seed}:' || {c}), 1, 8))::BIGINT / 4294967296.0)"
 
@@ -58,12 +58,11 @@ def documents(spark, sf_dir):
 def clean_documents(spark, sf_dir):
     docs = documents(spark, sf_dir)
     train, evaluation = docs.filter("source <> 'src0'"), docs.filter("source = 'src0'")
-    unique = C.dedup(train, "text", "doc_id")
-    return C.decontaminate(unique, evaluation, "text")
+    return C.clean_rows(train, evaluation, "text", "doc_id", ["source", "lang"])
 
 
 def ordered_documents(spark, sf_dir):
-    return C.seeded_order(clean_documents(spark, sf_dir).select("doc_id", "source", "lang"), "doc_id", SEED)
+    return C.seeded_order(clean_documents(spark, sf_dir), "doc_id", SEED)
 
 
 @query(

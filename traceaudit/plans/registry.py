@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from traceaudit.sources.scan import spread
+
 Builder = Callable[[SparkSession, str], DataFrame]
 
 
@@ -33,5 +35,10 @@ class Catalog:
         return add
 
 
+# Tables whose rows are expensive to process: long texts, vectors.
+HEAVY_TABLES = ("documents", "conversations", "pages", "benchmark", "embeddings")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in HEAVY_TABLES else rows

@@ -196,7 +196,7 @@ def text_clipped(spark, sf_dir):
 
 @query(
     "text_ws_tokens",
-    rf"""SELECT doc_id, len([w FOR w IN string_split_regex(lower(text), '[{WS}]+') IF w <> ''])::BIGINT AS tokens FROM documents""",
+    rf"""SELECT doc_id, len([w FOR w IN string_split_regex(replace(lower(text), 'ß', 'ss'), '[{WS}]+') IF w <> ''])::BIGINT AS tokens FROM documents""",
 )
 def text_ws_tokens(spark, sf_dir):
     rows = documents(spark, sf_dir).select("doc_id", S.ws_tokens("text").alias("t"))

@@ -14,6 +14,7 @@ from traceaudit.operators import rules
 from traceaudit.operators.combine import beside
 from traceaudit.operators.ordering import exact_medians
 from traceaudit.operators.provenance import finite
+from traceaudit.session import materialise
 
 # Dataset order, task contracts and status words.
 DATASET_ORDER = (
@@ -195,7 +196,7 @@ def matrix(cells: DataFrame, tasks: Sequence[str] = DATASET_ORDER) -> DataFrame:
 
 def tables(records: DataFrame, sequence: str, models: DataFrame) -> dict[str, DataFrame]:
     """All summary tables of a run over its newest records."""
-    newest = latest(records, sequence)
+    newest = materialise(latest(records, sequence))
     cells = summary(newest, ("model_key", "dataset"))
     grid = dense_grid(cells, models)
     return {

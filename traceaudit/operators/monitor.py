@@ -17,6 +17,7 @@ from traceaudit.operators import rules
 from traceaudit.operators.combine import beside
 from traceaudit.operators.ordering import exact_medians, running_totals
 from traceaudit.operators.provenance import auc_from_counts, check_direction, finite, oriented, reasons
+from traceaudit.session import materialise
 
 LABELS = ("benign", "attacker")
 MONITOR_MODES = ("per-account", "global-context")
@@ -209,11 +210,15 @@ def monitor_report(
     direction: str = "higher",
     confidence: float = 0.95,
 ) -> DataFrame:
-    """One row: locked threshold, FPR and TPR with bounds, AUC if the horizon is shared."""
-    benign = entities(within_budget(calibration, budget), direction)
+    """One row: locked threshold, FPR and TPR with bounds, AUC if the horizon is shared.
+
+    The event streams are read once each; everything after that works on the
+    stored per-entity tables.
+    """
+    benign = materialise(entities(within_budget(calibration, budget), direction))
     locked = entity_threshold(benign, target_fpr, direction)
     threshold = locked.value
-    found = entities(within_budget(evaluation, budget), direction, threshold)
+    found = materialise(entities(within_budget(evaluation, budget), direction, threshold))
     over = crosses(F.col("score"), threshold, direction)
     is_attacker = F.col("label") == "attacker"
     counts = found.agg(

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. AQE coalesces small shuffle partitions, splits
 # skewed join partitions and picks broadcast joins from measured sizes, so the
@@ -50,3 +51,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     scratch = tempfile.mkdtemp(prefix="traceaudit-")
     spark.conf.set("spark.checkpoint.dir", scratch)
     return scratch
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    For small per-entity or per-example tables that several parts of a report
+    use: the pipeline below runs once, and a lost executor costs nothing.
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -18,8 +18,12 @@ DEFAULT_BUDGETS = (100, 1000, 10000)
 
 
 def key_digest(text: Column | str) -> Column:
-    """Digest of the comparison key: texts may be long, digests shuffle cheaply."""
-    return F.sha2(norm_key(text), 256)
+    """Digest of the comparison key: texts may be long, digests shuffle cheaply.
+
+    Never null, so joins on it add no null filter that would evaluate the key
+    twice; a null text has a key of its own.
+    """
+    return F.coalesce(F.sha2(norm_key(text), 256), F.lit(""))
 
 
 def dedup(df: DataFrame, text: str, position: str) -> DataFrame:
@@ -46,15 +50,19 @@ def decontaminate(df: DataFrame, evaluation: DataFrame, text: str, evaluation_te
 def clean_rows(df: DataFrame, evaluation: DataFrame, text: str, position: str, keep: Sequence[str]) -> DataFrame:
     """Unique, uncontaminated rows as a narrow table ``(position, *keep)``.
 
-    Dedup and decontamination on the keys alone: each text is read once to make
-    its digest, copies collapse before the shuffle, and the evaluation keys are
-    taken out of the distinct keys, where no key is frequent any more. Join the
-    result with the corpus where the texts themselves are needed.
+    Dedup and decontamination are one aggregate over the keys of both tables: it
+    keeps the first row of each key and whether evaluation holds it. Each text
+    is read once, copies collapse before the only shuffle, and there is no join
+    that a frequent key could skew. Join the result with the corpus where the
+    texts themselves are needed.
     """
-    fields = [F.col(c) for c in (position, *keep)]
-    firsts = df.select(key_digest(text).alias("_key"), F.struct(*fields).alias("_row")).groupBy("_key").agg(F.min("_row").alias("_row"))
-    seen = evaluation.select(key_digest(text).alias("_key")).distinct()
-    return firsts.join(seen, "_key", "left_anti").select("_row.*")
+    fields = F.struct(*[F.col(c) for c in (position, *keep)])
+    rows = df.select(key_digest(text).alias("_key"), fields.alias("_row"), F.lit(False).alias("_seen"))
+    held_out = evaluation.select(
+        key_digest(text).alias("_key"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.lit(True).alias("_seen")
+    )
+    keys = rows.unionByName(held_out).groupBy("_key").agg(F.min("_row").alias("_row"), F.max("_seen").alias("_seen"))
+    return keys.filter(F.col("_row").isNotNull() & ~F.col("_seen")).select("_row.*")
 
 
 def held_out_violations(evaluation: DataFrame, training: DataFrame, text: str) -> DataFrame:
@@ -223,9 +231,8 @@ def select_by_order(pool: DataFrame, ordering: DataFrame, budget: int, ident: st
     A pool id that repeats counts once, its last row (by ``pool_position``) wins.
     """
     last = pool.groupBy(ident).agg(F.max("pool_position").alias("pool_position"))
-    unique = pool.join(last, [ident, "pool_position"], "left_semi")
-    present = ordering.join(unique, ident)
-    return positions(present, ["order_index"]).filter(F.col("position") <= budget)
+    present = positions(ordering.join(last, ident), ["order_index"]).filter(F.col("position") <= budget)
+    return present.join(pool, [ident, "pool_position"])
 
 
 def source_counts(df: DataFrame, *by: str) -> DataFrame:

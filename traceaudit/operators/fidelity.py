@@ -161,9 +161,9 @@ def heldout_fidelity(pairs: DataFrame) -> DataFrame:
 
 
 def normalised_agreement(pairs: DataFrame) -> DataFrame:
-    equal = norm_key("teacher_text") == norm_key("student_text")
-    return pairs.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(equal).alias("equal"), F.avg(equal.cast("double")).alias("agreement_rate")
+    marked = pairs.select((norm_key("teacher_text") == norm_key("student_text")).alias("same"))
+    return marked.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("same").alias("equal"), F.avg(F.col("same").cast("double")).alias("agreement_rate")
     )
 
 

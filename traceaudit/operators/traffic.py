@@ -57,25 +57,28 @@ def windows(df: DataFrame, order: str, size: int = BATCH_SIZE, keep_last: bool =
     ).drop("position")
     if keep_last:
         return cut
-    full = cut.groupBy("window").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == size).select("window")
-    return cut.join(full, "window", "left_semi")
+    # Only the last window can be short, so the row count alone tells which are full.
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return cut.filter(F.col("window") < F.floor(total / F.lit(size)))
 
 
 def null_windows(benign: DataFrame, ident: str, samples: int, size: int, seed: int) -> DataFrame:
     """Bootstrap windows drawn from benign rows.
 
-    Draws are rows of a generated range that are matched with benign positions,
-    so ``samples * size`` rows move whatever the size of the benign log.
+    Draws are ``samples * size`` generated rows, a number set by parameters
+    alone, so they may be broadcast: first to the numbered ids, then to the
+    embeddings. The benign log itself is not shuffled with its vectors.
     """
-    pool = seeded_positions(benign, ident, seed)
-    total = pool.agg(F.count(F.lit(1)).alias("total"))
+    pool = seeded_positions(benign.select(ident), ident, seed)
+    total = benign.agg(F.count(F.lit(1)).alias("total"))
     draws = benign.sparkSession.range(samples * size).withColumn("total", total.scalar())
     picked = draws.select(
         F.floor(F.col("id") / F.lit(size)).alias("window"),
         (F.col("id") % F.lit(size)).alias("slot"),
         (F.floor(hash_fraction("id", seed + 1) * F.col("total")) + 1).cast("bigint").alias("position"),
     )
-    return picked.join(pool, "position").drop("position")
+    chosen = pool.join(F.broadcast(picked), "position").drop("position")
+    return benign.join(F.broadcast(chosen), ident)
 
 
 def score_windows(cut: DataFrame, score: Callable[[np.ndarray], float]) -> DataFrame:

@@ -69,7 +69,7 @@ def monitor_first_detection_lower(spark, sf_dir):
 
 LOCKED = """
 benign AS (SELECT entity_id, max(score) AS score FROM series WHERE part = 'calibration' AND query_index <= 40 GROUP BY 1),
-locked AS (SELECT min(b.score) AS threshold FROM benign b WHERE (SELECT count(*) FROM benign x WHERE x.score >= b.score)::DOUBLE / (SELECT count(*) FROM benign) <= 0.1)"""
+locked AS (SELECT coalesce((SELECT min(b.score) FROM benign b WHERE (SELECT count(*) FROM benign x WHERE x.score >= b.score)::DOUBLE / (SELECT count(*) FROM benign) <= 0.1), nextafter(max(score), 'inf'::DOUBLE)) AS threshold FROM benign)"""
 
 
 @query("monitor_entity_threshold", f"WITH {SERIES}, {LOCKED} SELECT threshold, (SELECT count(*) FROM benign)::BIGINT AS benign_entities FROM locked")

@@ -126,7 +126,12 @@ def latest(df: DataFrame, sequence: str, keys: Sequence[str] = IDENTITY) -> Data
 
 
 def summary(records: DataFrame, by: Sequence[str] = ("model_key", "dataset", "split")) -> DataFrame:
-    """Counts, rates and latencies per group; null rates for empty groups."""
+    """Counts, rates and latencies per group; null rates for empty groups.
+
+    The records are read by several branches (counts, medians): pass a stored
+    table such as ``materialise(latest(...))``, so each branch scans the two or
+    three columns it needs.
+    """
     is_code = F.col("dataset") == CODE_DATASET
     latency = F.coalesce("latency_seconds", F.lit(0.0))
     with_latency = records.withColumn("_latency", latency)

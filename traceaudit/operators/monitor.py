@@ -94,20 +94,20 @@ def series_violations(df: DataFrame) -> DataFrame:
 def entities(df: DataFrame, direction: str, threshold: float | None = None) -> DataFrame:
     """One row per entity: attributes, horizon, extreme score, first crossing.
 
-    All of it is min/max, so a hot entity collapses before the shuffle.
+    All of it is min/max of numbers in a hash aggregate, so a hot entity
+    collapses before the shuffle. The attributes are grouping keys: they are
+    constant per entity in a series that passes ``series_violations``.
     """
     check_direction(direction)
     extreme = F.max("score") if direction == "higher" else F.min("score")
     measures = [
-        F.first("label").alias("label"),
-        F.first("attack_type").alias("attack_type"),
         F.max("query_index").alias("observed_until"),
         extreme.alias("score"),
     ]
     if threshold is not None:
         crossed = F.when(crosses(F.col("score"), threshold, direction), F.col("query_index"))
         measures.append(F.min(crossed).alias("queries_to_detection"))
-    return df.groupBy("entity_id").agg(*measures)
+    return df.groupBy("entity_id", "label", "attack_type").agg(*measures)
 
 
 def first_detection(df: DataFrame, threshold: float, direction: str) -> DataFrame:

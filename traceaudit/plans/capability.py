@@ -8,6 +8,7 @@ from traceaudit.functions.hashing import typed_eq
 from traceaudit.functions.parsing import parse_number
 from traceaudit.operators import capability as A
 from traceaudit.plans.registry import Catalog, table
+from traceaudit.session import materialise
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -50,6 +51,10 @@ def records(spark, sf_dir):
     )
 
 
+def newest_records(spark, sf_dir):
+    return materialise(A.latest(records(spark, sf_dir), "seq"))
+
+
 @query("capability_latest", f"WITH {RECORDS} SELECT model_key, dataset, example_id, seq, correct FROM latest")
 def capability_latest(spark, sf_dir):
     return A.latest(records(spark, sf_dir), "seq").select("model_key", "dataset", "example_id", "seq", "correct")
@@ -77,7 +82,7 @@ def rounded(df):
 
 @query("capability_per_dataset", f"WITH {RECORDS} {SUMMARY.format(split='split,')}")
 def capability_per_dataset(spark, sf_dir):
-    return rounded(A.summary(A.latest(records(spark, sf_dir), "seq")))
+    return rounded(A.summary(newest_records(spark, sf_dir)))
 
 
 @query(
@@ -97,7 +102,7 @@ def capability_per_model(spark, sf_dir):
 SELECT model_key, {', '.join(f"max(CASE WHEN dataset = '{t}' THEN score END) AS {t}" for t in A.DATASET_ORDER)} FROM s GROUP BY 1""",
 )
 def capability_matrix(spark, sf_dir):
-    cells = A.summary(A.latest(records(spark, sf_dir), "seq"), ("model_key", "dataset"))
+    cells = A.summary(newest_records(spark, sf_dir), ("model_key", "dataset"))
     return A.matrix(cells.withColumn("score", F.round("score", 9)))
 
 
@@ -110,7 +115,7 @@ SELECT model_key, dataset, CASE WHEN s.score IS NOT NULL AND dataset = 'humaneva
 CASE WHEN dataset = 'humaneval' AND s.score IS NOT NULL THEN 1.0 ELSE s.score END AS score, coalesce(evaluated_count, 0)::BIGINT AS evaluated_count FROM g LEFT JOIN s USING (model_key, dataset)""",
 )
 def capability_dense_grid(spark, sf_dir):
-    newest = A.latest(records(spark, sf_dir), "seq").filter("latency_seconds > 9")
+    newest = newest_records(spark, sf_dir).filter("latency_seconds > 9")
     models = table(spark, sf_dir, "events").select(F.col("event_type").alias("model_key"))
     grid = A.dense_grid(A.summary(newest, ("model_key", "dataset")), models)
     return grid.select("model_key", "dataset", "metric_name", F.round("score", 9).alias("score"), "evaluated_count")

@@ -330,3 +330,12 @@ def test_kernel_statistic_prefers_the_same_distribution():
 
     want = off(x) + off(y) - 2 * sum(k(a, b) for a in x for b in y) / 9
     assert traffic.KernelReference(y[None], 4.0, False).statistic(x) == pytest.approx(want)
+
+
+def test_registered_scorer(spark):
+    @provenance.register_scorer("seat")
+    def scorer(df):
+        return df.select("model_id", F.col("share").alias("score"), F.lit("clean").alias("label"))
+
+    row = provenance.run_scorer("seat", spark.createDataFrame([("m", 0.5)], "model_id string, share double"), defense_run_id="r").first()
+    assert (row["id"], row["label"], row["direction"], row["defense_run_id"], row["score"]) == ("seat:m", "negative", "higher", "r", 0.5)

@@ -6,7 +6,7 @@ inclusive thresholds and shares no helper with this one.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -435,6 +435,25 @@ def finalize_scores(df: DataFrame, detector: str, defense_run_id: str | None = N
     )
 
 
+Scorer = Callable[[DataFrame], DataFrame]
+SCORERS: dict[str, Scorer] = {}
+
+
+def register_scorer(name: str) -> Callable[[Scorer], Scorer]:
+    """Register a detector: a function from an input table to raw score rows."""
+
+    def add(scorer: Scorer) -> Scorer:
+        SCORERS[name] = scorer
+        return scorer
+
+    return add
+
+
+def run_scorer(name: str, df: DataFrame, **identity: str) -> DataFrame:
+    """Uniform detector rows of a registered scorer."""
+    return finalize_scores(SCORERS[name](df), name, **identity)
+
+
 def low_evidence(samples: Column | str) -> Column:
     """Warning flag: too few outputs for a stable p-value. The result is kept."""
     return as_column(samples) < LOW_EVIDENCE_SAMPLES

@@ -7,13 +7,14 @@ so each rule has its own picker: null, blank text, falsy, empty, or not a text.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from traceaudit.functions.parsing import clean_answer
-from traceaudit.functions.text import SPACE, as_column, render, strip
+from traceaudit.functions.text import SPACE, as_column, let, render, strip
 from traceaudit.operators import rules
 from traceaudit.operators.combine import beside
 from traceaudit.operators.ordering import positions
@@ -51,58 +52,71 @@ DIALOGUES = {
     "system": "{system}\n\nUser: {prompt}\nAssistant:",
 }
 
-Getter = Callable[[str], tuple[Column, Column] | None]
+Usable = Callable[[Column, Column], Column]
 
 
-def column_fields(df: DataFrame) -> Getter:
-    """Fields of a flat table: (text, kind) per name, None when the column is absent."""
-    kinds = {}
-    for field in df.schema.fields:
-        if isinstance(field.dataType, T.StringType):
-            kinds[field.name] = "STRING"
-        elif isinstance(field.dataType, T.BooleanType):
-            kinds[field.name] = "BOOLEAN"
-        elif isinstance(field.dataType, T.NumericType):
-            kinds[field.name] = "NUMBER"
+class Fields(Protocol):
+    """Named fields of a row; ``usable(text, kind)`` says whether a field counts as present."""
 
-    def get(name: str):
-        return (F.col(name).cast("string"), F.lit(kinds[name])) if name in kinds else None
+    def first(self, keys: Sequence[str], usable: Usable) -> Column: ...
 
-    return get
 
+class ColumnFields:
+    """Fields of a flat table; columns that are absent or not scalar are skipped."""
 
-def variant_fields(raw: Column | str) -> Getter:
-    """Fields of a VARIANT object."""
-    raw = as_column(raw)
+    def __init__(self, df: DataFrame) -> None:
+        kinds = ((T.StringType, "STRING"), (T.BooleanType, "BOOLEAN"), (T.NumericType, "NUMBER"))
+        self.kinds = {f.name: k for f in df.schema.fields for t, k in kinds if isinstance(f.dataType, t)}
+
+    def first(self, keys: Sequence[str], usable: Usable) -> Column:
+        texts = {k: F.col(k).cast("string") for k in keys if k in self.kinds}
+        picks = [F.when(usable(text, F.lit(self.kinds[k])), text) for k, text in texts.items()]
+        return F.coalesce(*picks) if picks else F.lit(None).cast("string")
+
+
+class VariantFields:
+    """Fields of a VARIANT object, opened once per row however many names are tried."""
+
+    def __init__(self, raw: Column | str) -> None:
+        self.raw = as_column(raw)
+
+    def first(self, keys: Sequence[str], usable: Usable) -> Column:
+        names = F.array(*[F.lit(k) for k in keys])
+
+        def text_if_usable(value: Column) -> Column:
+            kind = F.schema_of_variant(value)
+            scalar = F.when(kind.isin("STRING", "BOOLEAN"), kind).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "NUMBER")
+            text = F.try_variant_get(value, "$", "string")
+            return F.when(usable(text, scalar), text)
+
+        def pick(opened: Column) -> Column:
+            values = F.transform(names, lambda k: text_if_usable(F.try_element_at(opened, k)))
+            return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
+
+        return let(F.try_variant_get(self.raw, "$", "map<string,variant>"), pick)
 
-    def get(name: str):
-        kind = F.schema_of_variant(F.try_variant_get(raw, f"$.{name}", "variant"))
-        scalar = F.when(kind.rlike("^(STRING|BOOLEAN)$"), kind).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "NUMBER")
-        return F.try_variant_get(raw, f"$.{name}", "string"), scalar
 
-    return get
+def column_fields(df: DataFrame) -> Fields:
+    return ColumnFields(df)
 
 
-def _first(get: Getter, keys: Sequence[str], usable: Callable[[Column, Column], Column]) -> Column:
-    found = [get(k) for k in keys]
-    picks = [F.when(usable(text, kind), text) for text, kind in (f for f in found if f is not None)]
-    return F.coalesce(*picks) if picks else F.lit(None).cast("string")
+def variant_fields(raw: Column | str) -> Fields:
+    return VariantFields(raw)
 
 
-def first_non_null(get: Getter, keys: Sequence[str]) -> Column:
+def first_non_null(get: Fields, keys: Sequence[str]) -> Column:
     """First field that is present and not null."""
-    return _first(get, keys, lambda text, kind: text.isNotNull())
+    return get.first(keys, lambda text, kind: text.isNotNull())
 
 
-def first_filled(get: Getter, keys: Sequence[str]) -> Column:
+def first_filled(get: Fields, keys: Sequence[str]) -> Column:
     """First field that is not null and not the empty text."""
-    return _first(get, keys, lambda text, kind: text != "")
+    return get.first(keys, lambda text, kind: text != "")
 
 
-def first_truthy(get: Getter, keys: Sequence[str]) -> Column:
+def first_truthy(get: Fields, keys: Sequence[str]) -> Column:
     """First field that is neither null, empty, zero nor false."""
-    return _first(
-        get,
+    return get.first(
         keys,
         lambda text, kind: F.when(kind == "NUMBER", text.cast("double") != 0)
         .when(kind == "BOOLEAN", text == "true")
@@ -110,14 +124,14 @@ def first_truthy(get: Getter, keys: Sequence[str]) -> Column:
     )
 
 
-def first_text(get: Getter, keys: Sequence[str]) -> Column:
+def first_text(get: Fields, keys: Sequence[str]) -> Column:
     """First field that holds a text, the empty text included."""
-    return _first(get, keys, lambda text, kind: kind == "STRING")
+    return get.first(keys, lambda text, kind: kind == "STRING")
 
 
-def first_non_blank(get: Getter, keys: Sequence[str]) -> Column:
+def first_non_blank(get: Fields, keys: Sequence[str]) -> Column:
     """First field that holds a non-blank text, trimmed."""
-    return strip(_first(get, keys, lambda text, kind: (kind == "STRING") & (strip(text) != "")))
+    return strip(get.first(keys, lambda text, kind: (kind == "STRING") & (strip(text) != "")))
 
 
 def pick_query(raw: Column | str, depth: int = 3) -> Column:
@@ -139,7 +153,7 @@ def pick_query(raw: Column | str, depth: int = 3) -> Column:
     return F.coalesce(direct, joined, pick_query(F.try_variant_get(raw, "$.request", "variant"), depth - 1))
 
 
-def normalize_query(df: DataFrame, get: Getter, index: str) -> DataFrame:
+def normalize_query(df: DataFrame, get: Fields, index: str) -> DataFrame:
     """``(query_id, query)`` with the row index as fallback id; rows without text keep a null query."""
     return df.select(
         F.coalesce(first_non_null(get, QUERY_ID_KEYS), F.col(index).cast("string")).alias("query_id"),
@@ -162,27 +176,27 @@ def normalize_query_log(df: DataFrame, raw: str, index: str, path: str, limit: i
     return (kept if limit is None else kept.orderBy("source_index").limit(limit)), counts
 
 
-def pool_id(get: Getter, index: Column | str) -> Column:
+def pool_id(get: Fields, index: Column | str) -> Column:
     return F.coalesce(first_truthy(get, POOL_ID_KEYS), F.format_string("row_%08d", as_column(index)))
 
 
-def pool_text(get: Getter) -> Column:
+def pool_text(get: Fields) -> Column:
     return F.coalesce(first_truthy(get, POOL_TEXT_KEYS), F.lit(""))
 
 
-def record_id(get: Getter, index: Column | str) -> Column:
+def record_id(get: Fields, index: Column | str) -> Column:
     return F.coalesce(first_filled(get, RECORD_ID_KEYS), F.format_string("row_%08d", as_column(index)))
 
 
-def record_prompt(get: Getter) -> Column:
+def record_prompt(get: Fields) -> Column:
     return first_filled(get, RECORD_PROMPT_KEYS)
 
 
-def record_response(get: Getter, *preferred: str) -> Column:
+def record_response(get: Fields, *preferred: str) -> Column:
     return first_filled(get, (*preferred, *RECORD_RESPONSE_KEYS))
 
 
-def normalize_transcript(df: DataFrame, get: Getter, index: str, prefix: str = "countermeasure") -> DataFrame:
+def normalize_transcript(df: DataFrame, get: Fields, index: str, prefix: str = "countermeasure") -> DataFrame:
     """``(query_id, query, response)`` with a numbered fallback id."""
     fallback = F.format_string(prefix + "_%06d", F.col(index))
     return df.select(
@@ -199,7 +213,7 @@ def triple_violations(df: DataFrame) -> DataFrame:
     )
 
 
-def import_transcript(df: DataFrame, get: Getter, index: str, budget: int, teacher: str | None = None, seed: int = 0) -> DataFrame:
+def import_transcript(df: DataFrame, get: Fields, index: str, budget: int, teacher: str | None = None, seed: int = 0) -> DataFrame:
     """External prompt/response rows as transcript records, cut to a budget in input order."""
     triples = normalize_transcript(df, get, index, "external")
     ordered = positions(triples, ["source_index"]).filter(F.col("position") <= budget)
@@ -217,7 +231,7 @@ def import_transcript(df: DataFrame, get: Getter, index: str, budget: int, teach
     )
 
 
-def query_log(transcripts: DataFrame, get: Getter, index: str) -> DataFrame:
+def query_log(transcripts: DataFrame, get: Fields, index: str) -> DataFrame:
     """Queries a teacher received, read back from a transcript."""
     return transcripts.select(
         F.coalesce(first_truthy(get, ("query_id", "id")), F.format_string("offline_%06d", F.col(index))).alias("query_id"),

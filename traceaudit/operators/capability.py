@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from traceaudit.functions.hashing import is_scalar, typed_eq
 from traceaudit.functions.stats import ratio
-from traceaudit.functions.text import word_choice
+from traceaudit.functions.text import strip, word_choice
 from traceaudit.operators import rules
 from traceaudit.operators.combine import beside
 from traceaudit.operators.ordering import exact_medians
@@ -248,7 +248,7 @@ def accuracy_violations(df: DataFrame, prediction: str, target: str, task: str,
         df,
         key,
         [
-            ("blank_task", F.coalesce(F.trim(task), F.lit("")) == ""),
+            ("blank_task", F.coalesce(strip(task), F.lit("")) == ""),
             ("prediction_not_scalar", ~F.coalesce(is_scalar(prediction), F.lit(False))),
             ("target_not_scalar", ~F.coalesce(is_scalar(target), F.lit(False))),
         ],

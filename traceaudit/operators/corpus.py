@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceaudit.functions.text import as_column, norm_key
+from traceaudit.functions.text import as_column, norm_key, strip
 from traceaudit.operators import rules
 from traceaudit.operators.ordering import hash_fraction, positions, seeded_positions
 
@@ -78,8 +78,8 @@ def held_out_violations(evaluation: DataFrame, training: DataFrame, text: str) -
 def exclude(df: DataFrame, other: DataFrame, ident: str, prompt: str) -> DataFrame:
     """Drop rows whose id or trimmed prompt occurs in the other table."""
     by_id = df.join(other.select(ident).distinct(), ident, "left_anti")
-    prompts = other.select(F.sha2(F.trim(prompt), 256).alias("_prompt")).distinct()
-    return by_id.withColumn("_prompt", F.sha2(F.trim(prompt), 256)).join(prompts, "_prompt", "left_anti").drop("_prompt")
+    prompts = other.select(F.sha2(strip(prompt), 256).alias("_prompt")).distinct()
+    return by_id.withColumn("_prompt", F.sha2(strip(prompt), 256)).join(prompts, "_prompt", "left_anti").drop("_prompt")
 
 
 def budget_members(ordered: DataFrame, budgets: Sequence[int], position: str = "position") -> DataFrame:
@@ -250,8 +250,8 @@ def take_user_traffic(
     stream: DataFrame, excluded: DataFrame, wanted: int, max_scan: int, position: str = "position", text: str = "query"
 ) -> DataFrame:
     """First ``wanted`` usable rows among the first ``max_scan`` scanned ones."""
-    scanned = stream.filter((F.col(position) <= max_scan) & (F.length(F.trim(text)) > 0))
-    banned = excluded.select(F.trim(text).alias(text)).distinct()
+    scanned = stream.filter((F.col(position) <= max_scan) & (F.length(strip(text)) > 0))
+    banned = excluded.select(strip(text).alias(text)).distinct()
     usable = scanned.join(banned, text, "left_anti")
     return usable.orderBy(position).limit(wanted)
 

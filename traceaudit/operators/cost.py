@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceaudit.functions.stats import mul_known
+from traceaudit.functions.text import strip
 from traceaudit.operators import rules
 from traceaudit.operators.provenance import finite, reasons
 
@@ -46,7 +47,7 @@ def cost_violations(df: DataFrame) -> DataFrame:
         ("missing_id", F.coalesce(F.col("id"), F.lit("")) == ""),
         ("bad_stage", ~F.coalesce(F.col("stage").isin(*STAGES), F.lit(False)), F.col("stage")),
         ("missing_currency", F.coalesce(F.col("currency"), F.lit("")) == ""),
-        ("missing_price_as_of", F.coalesce(F.trim("price_as_of"), F.lit("")) == ""),
+        ("missing_price_as_of", F.coalesce(strip("price_as_of"), F.lit("")) == ""),
         ("bad_billing_mode", ~F.coalesce(mode.isin(*BILLING_MODES), F.lit(False)), mode),
     ]
     billing = [
@@ -215,7 +216,7 @@ def queries_to_target(points: DataFrame, target: float, cap: int, higher_is_bett
 def curve_violations(points: DataFrame) -> DataFrame:
     """One effect identity, one value per method and budget, finite numbers."""
     identity = F.concat_ws("/", "effect_family", "metric", "unit")
-    blank = [(f"blank_{c}", F.coalesce(F.trim(c), F.lit("")) == "") for c in ("method", "effect_family", "metric", "unit")]
+    blank = [(f"blank_{c}", F.coalesce(strip(c), F.lit("")) == "") for c in ("method", "effect_family", "metric", "unit")]
     numbers = [
         ("bad_budget", ~F.coalesce((F.col("budget") >= 0) & (F.col("budget") == F.floor("budget")), F.lit(False)), F.col("budget")),
         ("value_not_finite", ~finite("value"), F.col("value")),

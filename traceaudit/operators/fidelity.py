@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from traceaudit.functions.hashing import prompt_signature
 from traceaudit.functions.stats import safe_exp
-from traceaudit.functions.text import norm_key, rouge_l, rouge_l_keys
+from traceaudit.functions.text import norm_key, rouge_l, rouge_l_keys, strip
 from traceaudit.operators import rules
 from traceaudit.operators.capability import rate_rollup
 from traceaudit.operators.combine import beside
@@ -101,7 +101,7 @@ def text_pair_violations(pairs: DataFrame, require_prompt: bool = False) -> Data
         ("missing_student_text", F.col("student_text").isNull()),
     ]
     if require_prompt:
-        checks.append(("blank_prompt", F.coalesce(F.trim("prompt"), F.lit("")) == ""))
+        checks.append(("blank_prompt", F.coalesce(strip("prompt"), F.lit("")) == ""))
     return rules.all_violations(
         [
             rules.row_rules(pairs, "id", checks),
@@ -136,7 +136,7 @@ def reference_violations(prompts: DataFrame, teacher: DataFrame) -> DataFrame:
         [
             ("missing_teacher", ~has),
             ("prompt_differs", has & ~F.col("prompt").eqNullSafe(F.col("_p"))),
-            ("blank_answer", has & (F.coalesce(F.trim("_a"), F.lit("")) == "")),
+            ("blank_answer", has & (F.coalesce(strip("_a"), F.lit("")) == "")),
         ],
     )
 
@@ -207,5 +207,5 @@ def score_pairs(pairs: DataFrame, scorer, schema: str) -> DataFrame:
 
 def with_empty_rules(score: Column, candidate: Column, reference: Column) -> Column:
     """External scores with the fixed rules for blank texts: both blank 1, one blank 0."""
-    blank_c, blank_r = F.trim(candidate) == "", F.trim(reference) == ""
+    blank_c, blank_r = strip(candidate) == "", strip(reference) == ""
     return F.when(blank_c & blank_r, 1.0).when(blank_c | blank_r, 0.0).otherwise(score)

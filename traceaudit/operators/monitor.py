@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceaudit.functions.stats import binom_upper, ratio
+from traceaudit.functions.text import strip
 from traceaudit.operators import rules
 from traceaudit.operators.combine import beside
 from traceaudit.operators.ordering import exact_medians, running_totals
@@ -45,7 +46,7 @@ def event_violations(df: DataFrame) -> DataFrame:
             ("bad_query_index", F.coalesce(F.col("query_index"), F.lit(0)) < 1, F.col("query_index")),
             ("score_not_finite", ~finite("score"), F.col("score")),
             ("attacker_without_type", is_attacker & (F.coalesce(F.col("attack_type"), F.lit("")) == "")),
-            ("missing_detector", F.coalesce(F.trim("detector"), F.lit("")) == ""),
+            ("missing_detector", F.coalesce(strip("detector"), F.lit("")) == ""),
             ("bad_monitor_mode", ~F.coalesce(F.col("monitor_mode").isin(*MONITOR_MODES), F.lit(False))),
         ],
     )

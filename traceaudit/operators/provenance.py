@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from traceaudit.functions.parsing import probe_choice
 from traceaudit.functions.stats import binom_upper, ratio
-from traceaudit.functions.text import as_column
+from traceaudit.functions.text import as_column, strip
 from traceaudit.operators import rules
 from traceaudit.operators.combine import beside
 from traceaudit.operators.ordering import running_totals
@@ -67,7 +67,7 @@ def score_violations(df: DataFrame) -> DataFrame:
             ("missing_id", F.col("id").isNull()),
             ("bad_label", ~F.coalesce(F.col("label").isin(*LABELS), F.lit(False)), F.col("label")),
             ("bad_direction", ~F.coalesce(F.col("direction").isin(*DIRECTIONS), F.lit(False)), F.col("direction")),
-            ("missing_detector", F.coalesce(F.trim("detector"), F.lit("")) == ""),
+            ("missing_detector", F.coalesce(strip("detector"), F.lit("")) == ""),
             ("score_not_finite", ~finite("score"), F.col("score")),
         ],
     )
@@ -234,7 +234,7 @@ def trigger_violations(df: DataFrame) -> DataFrame:
         [
             ("missing_id", F.col("id").isNull()),
             ("missing_model", F.coalesce(F.col("model_id"), F.lit("")) == ""),
-            ("missing_detector", F.coalesce(F.trim("detector"), F.lit("")) == ""),
+            ("missing_detector", F.coalesce(strip("detector"), F.lit("")) == ""),
             ("missing_response", F.col("response").isNull()),
             ("missing_expected", F.col("expected").isNull()),
         ],
@@ -378,7 +378,7 @@ def cached_answer_violations(cached: DataFrame, response: str, choice: str, iden
 
 def matrix_label(label: Column | str) -> Column:
     """Map label spellings onto positive / negative; null when unknown."""
-    text = F.lower(F.trim(as_column(label).cast("string")))
+    text = F.lower(strip(as_column(label).cast("string")))
     return F.when(text.isin(*POSITIVE_ALIASES), "positive").when(text.isin(*NEGATIVE_ALIASES), "negative")
 
 
@@ -386,7 +386,7 @@ def resolve_direction(detector: Column, *given: Column) -> Column:
     """First usable direction text, else the detector's own, else higher."""
 
     def read(c: Column) -> Column:
-        text = F.lower(F.trim(c.cast("string")))
+        text = F.lower(strip(c.cast("string")))
         return F.when(text.contains("lower"), "lower").when(text.contains("higher"), "higher")
 
     own = F.create_map(*[F.lit(x) for pair in DETECTOR_DIRECTION.items() for x in pair])
@@ -411,7 +411,7 @@ def finalize_scores(df: DataFrame, detector: str, defense_run_id: str | None = N
     model = F.coalesce(*[text(c) for c in ("model_id", "student", "student_checkpoint", "student_outputs")])
     label = matrix_label(col("label"))
     raw = col("label").cast("string")
-    changed = raw.isNotNull() & (label.isNull() | (F.lower(F.trim(raw)) != label))
+    changed = raw.isNotNull() & (label.isNull() | (F.lower(strip(raw)) != label))
     score, p_value = col("score", "double").cast("double"), col("p_value", "double").cast("double")
     by_p = F.lit(detector == "radioactivity") & p_value.isNotNull()
     green = F.coalesce(

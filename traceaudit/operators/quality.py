@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceaudit.functions.stats import ratio
-from traceaudit.functions.text import TOKENIZERS, norm_key, rep_n, split_words
+from traceaudit.functions.text import TOKENIZERS, norm_key, rep_n, split_words, strip
 from traceaudit.operators import rules
 
 SHORT_POLICIES = ("zero", "exclude")
@@ -78,7 +78,7 @@ def degeneration(df: DataFrame, text: str, threshold: float = 0.2, by: Sequence[
 
 def judge_outcome(position: Column, winner: Column) -> Column:
     """Meaning of one judgment: candidate, reference or tie; null when unreadable."""
-    position, winner = F.upper(F.trim(position)), F.upper(F.trim(winner))
+    position, winner = F.upper(strip(position)), F.upper(strip(winner))
     return (
         F.when(~position.isin("A", "B"), F.lit(None).cast("string"))
         .when(winner == "TIE", "tie")
@@ -108,7 +108,7 @@ def judgments(df: DataFrame) -> DataFrame:
 
 def judgment_violations(df: DataFrame) -> DataFrame:
     decided = judgments(df)
-    same_side = F.upper(F.trim("forward.candidate_position")) == F.upper(F.trim("reverse.candidate_position"))
+    same_side = F.upper(strip("forward.candidate_position")) == F.upper(strip("reverse.candidate_position"))
     return rules.all_violations(
         [
             rules.row_rules(

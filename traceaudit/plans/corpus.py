@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from traceaudit.functions.text import fold_key, norm_key
+from traceaudit.functions.text import fold_key, norm_key, strip
 from traceaudit.operators import corpus as C
 from traceaudit.operators import rules
 from traceaudit.operators.combine import beside
@@ -19,6 +19,7 @@ BUDGETS = C.DEFAULT_BUDGETS
 
 # DuckDB spelling of the comparison key, of the seeded digest and of hash draws.
 KEY = r"trim(regexp_replace(replace(lower({c}), 'ß', 'ss'), '[\t\n\v\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))"
+STRIPPED = r"regexp_replace(text, '^[\s\v\x1c-\x1f\x{85}\x{a0}]+|[\s\v\x1c-\x1f\x{85}\x{a0}]+$', '', 'g')"
 DIGEST = "md5('{seed}:' || {c})"
 DRAW = "(('0x' || substr(md5('{seed}:' || {c}), 1, 8))::BIGINT / 4294967296.0)"
 
@@ -149,7 +150,7 @@ def corpus_contamination_report(spark, sf_dir):
 
 @query(
     "corpus_excluded",
-    "SELECT doc_id FROM documents d WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src1') AND trim(text) NOT IN (SELECT trim(text) FROM documents WHERE source = 'src1')",
+    f"SELECT doc_id FROM documents d WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src1') AND {STRIPPED} NOT IN (SELECT {STRIPPED} FROM documents WHERE source = 'src1')",
 )
 def corpus_excluded(spark, sf_dir):
     docs = documents(spark, sf_dir)
@@ -274,7 +275,7 @@ def corpus_tier_per_source(spark, sf_dir):
 
 @query("corpus_head_limit", "SELECT doc_id FROM documents WHERE trim(text) <> '' ORDER BY doc_id LIMIT 150")
 def corpus_head_limit(spark, sf_dir):
-    docs = documents(spark, sf_dir).filter(F.trim("text") != "").select("doc_id")
+    docs = documents(spark, sf_dir).filter(strip("text") != "").select("doc_id")
     return C.limit_rows(docs, 150, "doc_id")
 
 
@@ -386,13 +387,13 @@ def corpus_distinct_sources(spark, sf_dir):
 
 @query(
     "corpus_bounded_scan",
-    """WITH u AS (SELECT conv_id, arg_min(trim(text), turn) AS query FROM conversations WHERE role = 'user' AND trim(text) <> '' GROUP BY 1),
+    f"""WITH u AS (SELECT conv_id, arg_min({STRIPPED}, turn) AS query FROM conversations WHERE role = 'user' AND {STRIPPED} <> '' GROUP BY 1),
 p AS (SELECT query, row_number() OVER (ORDER BY conv_id) AS position FROM u)
-SELECT query, position::BIGINT AS position FROM p WHERE position <= 60 AND query NOT IN (SELECT trim(text) FROM documents) ORDER BY position LIMIT 40""",
+SELECT query, position::BIGINT AS position FROM p WHERE position <= 60 AND query NOT IN (SELECT {STRIPPED} FROM documents) ORDER BY position LIMIT 40""",
 )
 def corpus_bounded_scan(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").filter((F.col("role") == "user") & (F.trim("text") != ""))
-    firsts = turns.groupBy("conv_id").agg(F.min_by(F.trim("text"), "turn").alias("query"))
+    turns = table(spark, sf_dir, "conversations").filter((F.col("role") == "user") & (strip("text") != ""))
+    firsts = turns.groupBy("conv_id").agg(F.min_by(strip("text"), "turn").alias("query"))
     stream = positions(firsts, ["conv_id"], sample_of=turns).select("query", "position")
     return C.take_user_traffic(stream, documents(spark, sf_dir).select(F.col("text").alias("query")), 40, 60)
 

@@ -43,11 +43,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, one machine) a fresh scratch folder is made for the session.
+    and the session is local (tests) a fresh scratch folder is made for it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     scratch = tempfile.mkdtemp(prefix="traceaudit-")
     spark.conf.set("spark.checkpoint.dir", scratch)
     return scratch

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from traceaudit.functions.text import strip
 from traceaudit.operators import rules
 from traceaudit.operators.corpus import tier_for
 from traceaudit.operators.transcripts import path_identity, pool_id, pool_text, sanitize_component, variant_fields
@@ -218,7 +219,7 @@ def log_from_manifest(catalog: DataFrame, pool: DataFrame, limit: int | None = N
     # A manifest asks for a contiguous prefix, so its rows are its own index range.
     ranges = plans.filter("wanted > 0").withColumn("order_index", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("wanted") - 1)))
     rows = ranges.join(pool, "order_index").select(
-        F.col("prompt_id").alias("id"), F.col("prompt_id").alias("query_id"), F.trim("prompt_text").alias("query"),
+        F.col("prompt_id").alias("id"), F.col("prompt_id").alias("query_id"), strip("prompt_text").alias("query"),
         "attack", F.col("run_id").alias("attack_run_id"), F.col("order_index").alias("source_index"), "source_path",
     )
     return rows, short

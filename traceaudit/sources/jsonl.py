@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +34,6 @@ def number_lines(lines: DataFrame) -> DataFrame:
     Rows of a block are consecutive, so only one small row per block (its first
     row and its length) is shuffled and joined back.
     """
-    from pyspark.sql import Window
-
     blocks = lines.groupBy("file", "block").agg(F.min("row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("file", "block", "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a scan that comes as fewer partitions than there are cores.
+    """Use all cores for a scan that would leave at least half of them idle.
 
     A small file is one partition and would tokenize in one task. A large table
     has more partitions than cores and is left as it is, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df

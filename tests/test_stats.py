@@ -339,3 +339,43 @@ def test_registered_scorer(spark):
 
     row = provenance.run_scorer("seat", spark.createDataFrame([("m", 0.5)], "model_id string, share double"), defense_run_id="r").first()
     assert (row["id"], row["label"], row["direction"], row["defense_run_id"], row["score"]) == ("seat:m", "negative", "higher", "r", 0.5)
+
+
+def test_clean_rows_with_a_hot_text(spark):
+    from traceaudit.operators import corpus
+
+    rng = random.Random(9)
+    rows = [(i, "Same  TEXT" if i % 3 == 0 else f"text {rng.randrange(400)}", f"s{i % 4}") for i in range(1500)]
+    evaluation = [(10_000 + i, f"TEXT\t{i}", "eval") for i in range(50)]
+    schema = "id bigint, text string, source string"
+    df, held = spark.createDataFrame(rows, schema).repartition(6), spark.createDataFrame(evaluation, schema)
+    seen, want = {" ".join(t.lower().split()) for _, t, _ in evaluation}, {}
+    for i, text, source in rows:
+        key = " ".join(text.lower().split())
+        if key not in seen:
+            want.setdefault(key, (i, source))
+    got = corpus.clean_rows(df, held, "text", "id", ["source"])
+    assert sorted((r["id"], r["source"]) for r in got.collect()) == sorted(want.values())
+    kept = corpus.decontaminate(corpus.dedup(df, "text", "id"), held, "text")
+    assert sorted(r["id"] for r in kept.collect()) == sorted(i for i, _ in want.values())
+    ordered = corpus.seeded_order(got, "id", 3)
+    assert sorted(r["position"] for r in ordered.collect()) == list(range(1, len(want) + 1))
+    prefix = corpus.budget_prefixes(ordered, (100, 10_000)).collect()
+    assert [(r["actual"], r["insufficient_data"]) for r in prefix] == [(100, False), (len(want), True)]
+    assert corpus.held_out_violations(held, got.join(df.select("id", "text"), "id"), "text").count() == 0
+    blocks = corpus.holdout_blocks(ordered, 100, 50, [2, 3])
+    assert corpus.block_violations(blocks.withColumn("text", F.lit("t")), ordered, 100, 50, [2, 3], "id", "text").count() == 0
+    with pytest.raises(ValueError):
+        corpus.holdout_blocks(ordered, 101, 50, [2])
+
+
+def test_mixing_and_allocation(spark):
+    from traceaudit.operators import corpus
+
+    assert corpus.mix_quotas(80, 100, 0.8) == (80, 20)
+    assert corpus.mix_quotas(1000, 10, 0.8) == (40, 10)
+    assert corpus.mix_quotas(0, 10, 0.8) == (0, 10)
+    assert corpus.mix_quotas(10, 5, 1.0) == (10, 0)
+    weights = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "stratum string, weight bigint")
+    got = {r["stratum"]: r["quota"] for r in corpus.largest_remainder(weights, 4).collect()}
+    assert got == {"a": 1, "b": 1, "c": 2}

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from traceaudit.functions.hashing import typed_eq
 from traceaudit.functions.parsing import parse_number
 from traceaudit.operators import capability as A
+from traceaudit.operators.ordering import hash_fraction
+from traceaudit.plans.corpus import draw_sql
 from traceaudit.plans.registry import Catalog, table
 from traceaudit.session import materialise
 
@@ -288,3 +290,23 @@ def capability_typed_equality(spark, sf_dir):
 def capability_unit_rules(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_type", (F.col("value") / 300).alias("score"))
     return A.unit_violations(rows, "event_type", "score").groupBy("row_key").agg(F.count(F.lit(1)).alias("broken"))
+
+
+# Sources as datasets; a split exists where a document was drawn into it.
+@query(
+    "capability_split_rows",
+    f"""WITH s AS (SELECT DISTINCT source AS dataset, CASE WHEN {draw_sql('doc_id', 5)} < 0.02 THEN 'validation' WHEN {draw_sql('doc_id', 5)} < 0.05 THEN 'train' ELSE 'test' END AS split FROM documents),
+a AS (SELECT dataset, string_agg(split, '|' ORDER BY split) AS available_splits, bool_or(split = 'train') AS t, bool_or(split = 'validation') AS v FROM s GROUP BY 1)
+SELECT dataset, available_splits, CASE WHEN t THEN 'available' ELSE 'unavailable' END AS train_status, CASE WHEN v THEN 'available' ELSE 'unavailable' END AS validation_status,
+false AS fallback_used, 'train: ' || CASE WHEN t THEN 'available' ELSE 'unavailable' END || '; validation: ' || CASE WHEN v THEN 'available' ELSE 'unavailable' END AS notes FROM a""",
+)
+def capability_split_rows(spark, sf_dir):
+    draw = hash_fraction("doc_id", 5)
+    split = F.when(draw < 0.02, "validation").when(draw < 0.05, "train").otherwise("test")
+    splits = table(spark, sf_dir, "documents").select(F.col("source").alias("dataset"), split.alias("split"))
+    # At most three split names per dataset.
+    available = splits.groupBy("dataset").agg(F.array_sort(F.collect_set("split")).alias("available_splits"))
+    requested = available.withColumn("r", F.explode(F.array(*[F.struct(F.lit(i).alias("selection_order"), F.lit(n).alias("requested_split")) for i, n in enumerate(("train", "validation"))])))
+    status = F.when(F.array_contains("available_splits", F.col("r.requested_split")), "available").otherwise("unavailable")
+    selections = requested.select("dataset", "available_splits", "r.*", status.alias("status"), F.lit(False).alias("fallback_used"))
+    return A.split_rows(selections.withColumn("note", F.concat_ws(": ", "requested_split", "status")))

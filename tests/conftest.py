@@ -11,8 +11,7 @@ from traceaudit.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session("*", shuffle_partitions=4, memory="4g")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    shared = tmp_path_factory.mktemp("shared")
+    session = local_session("*", shuffle_partitions=4, memory="4g", **{"spark.checkpoint.dir": str(shared)})
     yield session
     session.stop()

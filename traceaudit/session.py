@@ -43,16 +43,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    and the session is local (tests) a fresh scratch folder is made for it.
+    and the session is local (tests) a fresh scratch folder is made for it and
+    set as the checkpoint folder of the context, where later calls find it.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-    scratch = tempfile.mkdtemp(prefix="traceaudit-")
-    spark.conf.set("spark.checkpoint.dir", scratch)
-    return scratch
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="traceaudit-"))
+    return context.getCheckpointDir()
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from traceaudit.llm import packing, tokenfiles
+from traceaudit.llm import packing, substrings, tokenfiles
 from traceaudit.llm.store import fresh_folder
 from traceaudit.plans.registry import Catalog
 
@@ -26,6 +26,11 @@ def op4_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
+@CATALOG.query("op5_substring_dedup")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_digest(_table(spark, sf_dir, "documents"))
+
+
 @CATALOG.query("op10_token_files")
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_folder(spark, "token-files")

@@ -11,6 +11,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -113,3 +116,52 @@ def run_starts(counts: np.ndarray, width: int) -> np.ndarray:
     n = np.maximum(counts - width + 1, 0)
     before = np.cumsum(counts) - counts
     return np.repeat(before - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def hashed_words(batch: pa.RecordBatch, name: str = "text", lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a batch, text after text, and the number of words of each text."""
+    hashes, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+    for part in slices(batch, name):
+        bounds, data = utf8(part.column(name))
+        starts, ends, before = words(bounds, data)
+        hashes.append(word_hashes(data, starts, ends, lower))
+        counts.append(np.diff(before))
+    return np.concatenate(hashes), np.concatenate(counts)
+
+
+def planes(*columns: np.ndarray) -> bytes:
+    """Columns of numbers as byte planes, compressed: small differences take a few bits each."""
+    raw = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
+
+
+def unplaned(raw: bytes, count: int, *kinds: str) -> list[np.ndarray]:
+    flat, at, columns = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8), 0, []
+    for kind in map(np.dtype, kinds):
+        n = count * kind.itemsize
+        columns.append(np.ascontiguousarray(flat[at : at + n].reshape(kind.itemsize, count).T).view(kind).ravel())
+        at += n
+    return columns
+
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_packed``, the compressed text, in place of ``text``: for texts that go through a shuffle."""
+    at = docs.columns.index("text")
+    names = ["_packed" if c == "text" else c for c in docs.columns]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for part in slices(batch):
+                texts = part.column("text").cast(pa.binary()).to_pylist()
+                packed = pa.array([None if t is None else tool.compress(t) for t in texts], pa.binary())
+                columns = [packed if k == at else c for k, c in enumerate(part.columns)]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    fields = [T.StructField("_packed", T.BinaryType()) if f.name == "text" else f for f in docs.schema.fields]
+    return docs.mapInArrow(pack, T.StructType(fields))
+
+
+def unpacked(column: pa.Array) -> pa.Array:
+    tool = zstandard.ZstdDecompressor()
+    return pa.array([None if p is None else tool.decompress(p) for p in column.to_pylist()], pa.binary())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from traceaudit.llm import packing, substrings, tokenfiles
+from traceaudit.llm import jaccard, packing, substrings, tokenfiles
 from traceaudit.llm.store import fresh_folder
 from traceaudit.plans.registry import Catalog
 
@@ -31,6 +31,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_digest(_table(spark, sf_dir, "documents"))
 
 
+@CATALOG.query("op8_ngram_jaccard_join")
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 @CATALOG.query("op10_token_files")
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_folder(spark, "token-files")

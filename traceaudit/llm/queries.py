@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from traceaudit.llm import jaccard, packing, substrings, tokenfiles
+from traceaudit.llm import hosts, jaccard, mixing, packing, quality, substrings, tokenfiles
 from traceaudit.llm.store import fresh_folder
 from traceaudit.plans.registry import Catalog
 
@@ -21,6 +22,26 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@CATALOG.query("op1_quality_classifier")
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@CATALOG.query("op2_host_quality_rules")
+def op2_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judge(_table(spark, sf_dir, "documents"))
+
+
+@CATALOG.query("op3_source_mix")
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    taken = F.aggregate("_takes", F.lit(0).cast("bigint"), lambda total, take: total + take["words"])
+    return mixed.select(
+        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
+        F.col("_target").alias("target"), taken.alias("taken"), F.transform("_takes", lambda t: t["shard"]).alias("shards"),
+    )
+
+
 @CATALOG.query("op4_cost_balanced_packing")
 def op4_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceaudit.llm import hosts, jaccard, mixing, packing, quality, substrings, tokenfiles
+from traceaudit.llm import hosts, jaccard, mixing, packing, quality, substrings, tokenfiles, warc
 from traceaudit.llm.store import fresh_folder
 from traceaudit.plans.registry import Catalog
 
@@ -52,6 +52,15 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_digest(_table(spark, sf_dir, "documents"))
 
 
+@CATALOG.query("op7_warc_archives")
+def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_folder(spark, "archives")
+    warc.write_archives(_table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified", "url", "file", "start"
+    )
+
+
 @CATALOG.query("op8_ngram_jaccard_join")
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceaudit.llm import hosts, jaccard, mixing, packing, quality, substrings, tokenfiles, warc
+from traceaudit.llm import ann, hosts, jaccard, lm, mixing, packing, quality, substrings, tokenfiles, warc
 from traceaudit.llm.store import fresh_folder
 from traceaudit.plans.registry import Catalog
 
@@ -52,6 +52,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_digest(_table(spark, sf_dir, "documents"))
 
 
+@CATALOG.query("op6_nearest_neighbours")
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 @CATALOG.query("op7_warc_archives")
 def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "archives")
@@ -66,6 +72,12 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+@CATALOG.query("op9_cross_entropy_difference")
+def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = _table(spark, sf_dir, "labels").filter("quality = 1")
+    return lm.score(_table(spark, sf_dir, "documents"), good)
+
+
 @CATALOG.query("op10_token_files")
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_folder(spark, "token-files")

@@ -33,9 +33,10 @@ _BUCKET_BASE = 0xA24BAED4963EE407
 _SPANS = "array<struct<start:int,end:int>>"
 
 
-def bucket_count(docs: DataFrame, per_partition: int = 8) -> int:
-    """Groups of hashes: several to a shuffle partition, so each is a small part of what a task holds."""
-    return per_partition * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def bucket_counts(docs: DataFrame) -> tuple[int, int]:
+    """Groups of hashes, several to a shuffle partition, so each is a small part of what a task holds; of documents."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 4 * partitions, partitions
 
 
 def _packed(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -77,7 +78,7 @@ def repeated_starts(doc: np.ndarray, at: np.ndarray, key: np.ndarray) -> tuple[n
 
 def removal_spans(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``doc_id``, ``_spans``: word intervals [start, end) to remove, for documents that lose any words."""
-    buckets = bucket_count(docs)
+    buckets, owners = bucket_counts(docs)
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +129,7 @@ def removal_spans(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUN
         doc = np.concatenate([doc[later], *(g[0] for g in gone)])
         at = np.concatenate([at[later], *(g[1] for g in gone)])
         order = np.argsort(doc, kind="stable")
-        out = [(b, len(d), planes(_differences(d), a)) for b, (d, a) in _packed(_owner(doc[order], buckets), doc[order], at[order])]
+        out = [(b, len(d), planes(_differences(d), a)) for b, (d, a) in _packed(_owner(doc[order], owners), doc[order], at[order])]
         return pa.table({
             "owner": pa.array([r[0] for r in out], pa.int32()), "n": pa.array([r[1] for r in out], pa.int32()), "places": pa.array([r[2] for r in out], pa.binary()),
         })

@@ -88,7 +88,26 @@ def test_pick_query(spark):
         {"messages": [{"content": "  "}], "request": {"query": "never"}},
         {"other": 1},
     )
-    assert picked(df, transcripts.pick_query("raw")) == ["t", "a\nb", "deep", "", None]
+    found = transcripts.received_queries(df, "raw", "q")
+    assert [r.q for r in found.orderBy("i").collect()] == ["t", "a\nb", "deep", "", None]
+
+
+def test_received_query_at_any_depth(spark):
+    rows = []
+    for depth in (0, 3, 4, 5, 11):
+        row = {"query": f"at {depth}"}
+        for _ in range(depth):
+            row = {"request": row}
+        rows.append(row)
+    found = transcripts.received_queries(raw(spark, *rows), "raw", "q")
+    assert [r.q for r in found.orderBy("i").collect()] == [f"at {d}" for d in (0, 3, 4, 5, 11)]
+
+
+def test_budget_in_a_path(spark):
+    df = spark.createDataFrame([("/a/d/m/b100/x",), ("/a/d/m/b1" + "0" * 21 + "/x",), ("/a/m/x",)], "path string")
+    budgets = [r.b for r in df.select(transcripts.path_identity("path")["budget"].alias("b")).collect()]
+    assert budgets == [100, None, None]
+    assert [r.rule for r in transcripts.path_violations(df, "path").collect()] == ["budget_out_of_range"]
 
 
 def test_transcript_record_rules(spark):

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HASH_SPACE = float(1 << 32)
+EXACT_DOUBLES = float(1 << 53)
 
 
 def slice_count(df: DataFrame) -> int:
@@ -36,6 +37,11 @@ def hash_point(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 
+def hash_draw(key: Column | str, seed: int, below: Column) -> Column:
+    """Deterministic draw in [0, below) for a key, from 60 bits of its digest."""
+    return F.conv(F.substring(seeded_hash(key, seed), 1, 15), 16, 10).cast("bigint") % below
+
+
 def hash_fraction(key: Column | str, seed: int) -> Column:
     """Deterministic draw in [0, 1) for a key."""
     return hash_point(seeded_hash(key, seed)).cast("double") / F.lit(HASH_SPACE)
@@ -65,6 +71,13 @@ def _bucketize(df: DataFrame, order_col: str, cuts: Iterable[float], name: str)
     return bucketizer.transform(marked).drop("_order_value")
 
 
+def _beyond_double(df: DataFrame, name: str) -> Column | None:
+    """What the double of a 64-bit integer leaves out: orders keys above 2**53 that share a double."""
+    if not isinstance(df.schema[name].dataType, T.LongType):
+        return None
+    return F.col(name) - F.col(name).cast("double").cast("bigint")
+
+
 def add_slices(
     df: DataFrame, order: Sequence[str], name: str = "_slice", sample_of: DataFrame | None = None
 ) -> DataFrame:
@@ -72,21 +85,28 @@ def add_slices(
 
     Slices follow approximate quantiles of the first order column, so they hold
     similar numbers of rows whatever the distribution. A value so frequent that
-    it covers several quantiles gets slices of its own, cut by the second order
-    column. ``sample_of`` names a cheaper table with the same distribution.
+    it covers several quantiles gets slices of its own, cut by the next order
+    column; for 64-bit integers the rest of the value comes before that.
+    ``sample_of`` names a cheaper table with the same distribution.
     """
     base = df if sample_of is None else sample_of
     wanted = slice_count(df)
     cuts = _quantiles(base, order[0], wanted)
-    heavy = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b}) if len(order) > 1 else []
+    heavy = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
+    rest = _beyond_double(df, order[0])
+    if rest is not None and any(abs(h) >= EXACT_DOUBLES for h in heavy):
+        order = [order[0], "_rest", *order[1:]]
+        df, base = df.withColumn("_rest", rest), base.withColumn("_rest", _beyond_double(base, order[0]))
+    heavy = heavy if len(order) > 1 else []
     sliced = _bucketize(df, order[0], [*cuts, *[math.nextafter(h, math.inf) for h in heavy]], name)
     if not heavy:
         return sliced
     tied = _as_number(df, order[0]).isin(*heavy)
-    inner = _quantiles(base.filter(tied), order[1], wanted)
-    sub = _bucketize(sliced, order[1], inner, "_inner")
-    width = len(set(inner)) + 2
-    return sub.withColumn(name, F.col(name) * width + F.when(tied, F.col("_inner")).otherwise(0.0)).drop("_inner")
+    # Only rows of the frequent values have a place in the inner slices; width is above any of these.
+    inner = add_slices(sliced, order[1:], f"{name}_inner", base.filter(tied))
+    width = (8 * (wanted + 2)) ** (len(order) - 1)
+    combined = F.col(name) * width + F.when(tied, F.col(f"{name}_inner")).otherwise(0.0)
+    return inner.withColumn(name, combined).drop(f"{name}_inner", "_rest")
 
 
 def add_hash_slices(df: DataFrame, digest_col: str, name: str = "_slice") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from traceaudit.functions.parsing import OPTION_LETTERS
 from traceaudit.functions.text import as_column, strip
+from traceaudit.operators.rules import row_rules
 
 # Prompt wording and the number of examples per probe.
 FEW_SHOT = 5
@@ -49,15 +50,34 @@ def clean_options(options: Column | str) -> Column:
     return F.transform(kept, strip)
 
 
-def answer_letter(answer: Column | str, options: Column) -> Column:
-    """Letter of an answer given as index, letter or option text."""
+def answer_letter(answer: Column | str, options: Column, index: Column | None = None) -> Column:
+    """Letter of an answer: of its index where there is one, else of a letter or an option text.
+
+    Only an integer is an index; digits in a text are the text of an option.
+    """
     text = strip(as_column(answer).cast("string"))
-    count = F.size(options)
-    allowed = letters(count)
-    index = F.when(text.rlike("^[0-9]+$"), F.get(allowed, text.cast("int")))
+    allowed = letters(F.size(options))
     letter = F.when(F.array_contains(allowed, F.upper(text)), F.upper(text))
     place = F.array_position(options, text)
-    return F.coalesce(index, letter, F.when(place > 0, F.get(allowed, (place - 1).cast("int"))))
+    of_text = F.coalesce(letter, F.when(place > 0, F.get(allowed, (place - 1).cast("int"))))
+    return of_text if index is None else F.when(index.isNotNull(), F.get(allowed, index.cast("int"))).otherwise(of_text)
+
+
+def _answer(df: DataFrame) -> Column:
+    """Answer of cleaned rows; ``answer_index``, if they have it, is an integer."""
+    index = F.col("answer_index") if "answer_index" in df.columns else None
+    answer = F.col("answer") if "answer" in df.columns else F.lit(None)
+    return answer_letter(answer, F.col("options"), index)
+
+
+def option_violations(df: DataFrame, key: str) -> DataFrame:
+    """Questions with more options than there are letters."""
+    count = F.size(clean_options("options"))
+    return row_rules(df, key, [("too_many_options", count > len(OPTION_LETTERS), count.cast("string"))])
+
+
+def _usable(df: DataFrame) -> DataFrame:
+    return df.withColumn("options", clean_options("options")).filter(F.size("options").between(2, len(OPTION_LETTERS)))
 
 
 def category_matches(category: Column | str, selected: Sequence[str] | None) -> Column:
@@ -77,21 +97,20 @@ def build_probes(df: DataFrame, categories: Sequence[str] | None = None, example
 
     ``examples`` has (category, position, question, options, answer,
     cot_content). The first five per category are kept by rank before they are
-    gathered, so the gathered arrays have at most five entries.
+    gathered, so the gathered arrays have at most five entries. Questions with
+    more options than letters are no probes; ``option_violations`` lists them.
     """
-    cleaned = df.filter(category_matches("category", categories)).withColumn("options", clean_options("options"))
-    probes = cleaned.filter(F.size("options") >= 2).withColumns(
-        {"question": strip("question"), "answer": answer_letter("answer", F.col("options"))}
-    )
+    cleaned = _usable(df.filter(category_matches("category", categories)))
+    probes = cleaned.withColumns({"question": strip("question"), "answer": _answer(cleaned)})
     if examples is None:
         return probes
-    usable = examples.withColumn("options", clean_options("options")).filter(F.size("options") >= 2)
+    usable = _usable(examples)
     rank = Window.partitionBy("category").orderBy("position")
     first = usable.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= FEW_SHOT)
     shot = F.struct(
         strip("question").alias("question"),
         F.col("options"),
-        answer_letter("answer", F.col("options")).alias("answer"),
+        _answer(first).alias("answer"),
         strip(F.coalesce("cot_content", F.lit(""))).alias("cot_content"),
     )
     gathered = first.groupBy("category").agg(

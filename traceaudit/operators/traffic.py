@@ -10,16 +10,16 @@ Statistics follow the published papers: kernel two-sample test (Gretton et al.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceaudit.operators.ordering import hash_fraction, positions, seeded_positions
+from traceaudit.operators.ordering import hash_draw, hash_fraction, positions, seeded_hash, seeded_positions
 
 # Default parameters of the detectors.
 BATCH_SIZE = 100
@@ -27,7 +27,6 @@ NULL_SAMPLES = 1000
 NORMAL_TRAIN_RATIO = 0.8
 THRESHOLD_PERCENTILE = 95.0
 REFERENCE_REPEATS = 20
-MAX_SHAPIRO_SAMPLES = 5000
 PAIR_SAMPLE_SIZE = 200_000
 PAIR_PERCENTILE = 99.0
 KERNEL_SCALES = (0.25, 0.5, 1.0, 2.0, 4.0)
@@ -47,9 +46,9 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def windows(df: DataFrame, order: str, size: int = BATCH_SIZE, keep_last: bool = False) -> DataFrame:
-    """Count windows in arrival order, as ``(window, slot, embedding)``."""
-    ordered = positions(df, [order])
+def windows(df: DataFrame, order: str, size: int = BATCH_SIZE, keep_last: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """Count windows in arrival order, as ``(window, slot, embedding)``; with ``by``, within each entity."""
+    ordered = positions(df, [order], by)
     cut = ordered.select(
         F.floor((F.col("position") - 1) / F.lit(size)).alias("window"),
         ((F.col("position") - 1) % F.lit(size)).alias("slot"),
@@ -58,6 +57,9 @@ def windows(df: DataFrame, order: str, size: int = BATCH_SIZE, keep_last: bool =
     if keep_last:
         return cut
     # Only the last window can be short, so the row count alone tells which are full.
+    if by:
+        totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
+        return cut.join(totals, list(by)).filter(F.col("window") < F.floor(F.col("_total") / F.lit(size))).drop("_total")
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     return cut.filter(F.col("window") < F.floor(total / F.lit(size)))
 
@@ -65,9 +67,8 @@ def windows(df: DataFrame, order: str, size: int = BATCH_SIZE, keep_last: bool =
 def null_windows(benign: DataFrame, ident: str, samples: int, size: int, seed: int) -> DataFrame:
     """Bootstrap windows drawn from benign rows.
 
-    Draws are ``samples * size`` generated rows, a number set by parameters
-    alone, so they may be broadcast: first to the numbered ids, then to the
-    embeddings. The benign log itself is not shuffled with its vectors.
+    Draws are ``samples * size`` generated rows, joined first to the numbered
+    ids and then to the embeddings; Spark chooses the joins by their sizes.
     """
     pool = seeded_positions(benign.select(ident), ident, seed)
     total = benign.agg(F.count(F.lit(1)).alias("total"))
@@ -75,20 +76,52 @@ def null_windows(benign: DataFrame, ident: str, samples: int, size: int, seed: i
     picked = draws.select(
         F.floor(F.col("id") / F.lit(size)).alias("window"),
         (F.col("id") % F.lit(size)).alias("slot"),
-        (F.floor(hash_fraction("id", seed + 1) * F.col("total")) + 1).cast("bigint").alias("position"),
+        (hash_draw("id", seed + 1, F.col("total")) + 1).alias("position"),
     )
-    chosen = pool.join(F.broadcast(picked), "position").drop("position")
-    return benign.join(F.broadcast(chosen), ident)
+    chosen = pool.join(picked, "position").drop("position")
+    return benign.join(chosen, ident)
 
 
 def score_windows(cut: DataFrame, score: Callable[[np.ndarray], float]) -> DataFrame:
-    """Apply a window statistic; one call sees the rows of one window only."""
+    """Apply a window statistic; one call of it sees the rows of one window only."""
 
-    def per_window(pdf: pd.DataFrame) -> pd.DataFrame:
-        block = np.stack(pdf.sort_values("slot")["embedding"].to_numpy()).astype("float64")
-        return pd.DataFrame({"window": [pdf["window"].iloc[0]], "queries": [len(block)], "score": [score(block)]})
+    def scored(blocks: Iterator[tuple[tuple, pa.Table]]) -> Iterator[pa.RecordBatch]:
+        for (window,), rows in blocks:
+            value = score(_block(rows))
+            yield pa.RecordBatch.from_pydict({"window": [window], "queries": [rows.num_rows], "score": [value]})
 
-    return cut.select("window", "slot", "embedding").groupBy("window").applyInPandas(per_window, WINDOW_SCHEMA)
+    return _per_window(cut, ["window"], ["embedding"], scored, WINDOW_SCHEMA)
+
+
+def _block(rows: pa.Table) -> np.ndarray:
+    vectors = rows.column("embedding").combine_chunks()
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(rows.num_rows, -1)
+
+
+def _per_window(cut: DataFrame, keys: list[str], columns: list[str], work, schema: str) -> DataFrame:
+    """Run ``work`` on the windows of a partition, one after the other.
+
+    Windows are clustered by a shuffle on their keys and sorted inside the
+    partition, so each is a run of rows; only a run is held, whatever the
+    number of windows, and one Python call serves all windows of a partition.
+    """
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
+        held, key = [], None
+        for batch in batches:
+            ids = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+            starts = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]]
+            for a, b in zip(starts, [*starts[1:], len(ids)]):
+                if held and ids[a] != key:
+                    yield key, pa.Table.from_batches(held)
+                    held = []
+                key = ids[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield key, pa.Table.from_batches(held)
+
+    ordered = cut.select(*keys, "slot", *columns).repartition(*keys).sortWithinPartitions(*keys, "slot")
+    return ordered.mapInArrow(lambda batches: work(runs(batches)), schema)
 
 
 # Distances
@@ -101,8 +134,8 @@ def pairwise(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.ndar
         return 1.0 - unit_a @ unit_b.T
     if metric != "euclidean":
         raise ValueError("metric must be 'euclidean' or 'cosine'")
-    gap = a[:, None, :] - b[None, :, :]
-    return np.sqrt((gap * gap).sum(axis=2))
+    square = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * (a @ b.T)
+    return np.sqrt(np.maximum(square, 0.0))
 
 
 def nearest_earlier(block: np.ndarray, metric: str = "euclidean") -> np.ndarray:
@@ -112,20 +145,19 @@ def nearest_earlier(block: np.ndarray, metric: str = "euclidean") -> np.ndarray:
     return gaps[1:].min(axis=1)
 
 
-def min_prev_distance(cut: DataFrame, ident: str, metric: str = "euclidean") -> DataFrame:
-    """Distance to the nearest earlier query of the same window, null for the first."""
+def min_prev_distance(cut: DataFrame, ident: str, metric: str = "euclidean", by: Sequence[str] = ()) -> DataFrame:
+    """Distance to the nearest earlier query of the same window (and entity), null for the first."""
+    keys = [*by, "window"]
 
-    def per_window(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("slot")
-        block = np.stack(pdf["embedding"].to_numpy()).astype("float64")
-        gaps = np.concatenate([[np.nan], nearest_earlier(block, metric)]) if len(block) > 1 else np.array([np.nan])
-        return pd.DataFrame({"window": pdf["window"], ident: pdf[ident], "min_distance": gaps})
+    def distances(blocks: Iterator[tuple[tuple, pa.Table]]) -> Iterator[pa.RecordBatch]:
+        for _, rows in blocks:
+            block = _block(rows)
+            gaps = [None, *(nearest_earlier(block, metric) if len(block) > 1 else ())]
+            columns = [rows.column(k).combine_chunks() for k in (*keys, ident)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(gaps, pa.float64())], [*keys, ident, "min_distance"])
 
-    kind = cut.schema[ident].dataType.simpleString()
-    found = cut.select("window", "slot", ident, "embedding").groupBy("window").applyInPandas(
-        per_window, f"window bigint, {ident} {kind}, min_distance double"
-    )
-    return found.withColumn("min_distance", F.when(~F.isnan("min_distance"), F.col("min_distance")))
+    kinds = [f"{k} {cut.schema[k].dataType.simpleString()}" for k in (*keys, ident)]
+    return _per_window(cut, keys, [ident, "embedding"], distances, ", ".join([*kinds, "min_distance double"]))
 
 
 # Kernel two-sample statistic
@@ -179,8 +211,6 @@ def shapiro_w(values: np.ndarray) -> float:
     """Shapiro-Wilk W with Royston's 1992 weights."""
     x = np.sort(np.asarray(values, dtype="float64"))
     n = len(x)
-    if n > MAX_SHAPIRO_SAMPLES:
-        raise ValueError(f"W is defined for at most {MAX_SHAPIRO_SAMPLES} values; use smaller windows")
     spread = x - x.mean()
     total = float((spread * spread).sum())
     if n < 3 or total == 0.0:
@@ -238,23 +268,65 @@ def pair_threshold(
     left = sampled.filter("slot = 0").select("window", F.col("embedding").alias("a"))
     right = sampled.filter("slot = 1").select("window", F.col("embedding").alias("b"))
     similarity = left.join(right, "window").select(cosine(to_double("a"), to_double("b")).alias("s"))
-    return similarity.agg(F.percentile("s", percentile / 100.0).alias("t")).first()["t"]
+    return similarity.agg(F.percentile("s", percentile / 100.0).alias("t")).first()["t"]  # over ``pairs`` rows
+
+
+def held_out_split(benign: DataFrame, ident: str, seed: int, ratio: float = NORMAL_TRAIN_RATIO) -> tuple[DataFrame, DataFrame]:
+    """Benign rows that references and nulls are drawn from, and those that detectors are rated on."""
+    inside = hash_fraction(ident, seed) < ratio
+    return benign.filter(inside), benign.filter(~inside)
+
+
+def evaluation_windows(cut: DataFrame, batches: int = 0, seed: int = 0) -> DataFrame:
+    """All windows, or ``batches`` of them by seeded order."""
+    if not batches:
+        return cut
+    chosen = cut.select("window").distinct().orderBy(seeded_hash("window", seed), "window").limit(batches)
+    return cut.join(chosen, "window")
 
 
 # Decision
 
 
+TAILS = ("upper", "lower", "two-sided")
+
+
+def null_bounds(scores: DataFrame, percentile: float = THRESHOLD_PERCENTILE, tail: str = "upper") -> tuple[float | None, float | None]:
+    """Bounds of the null scores (``samples`` rows): below the first or above the second a window is flagged.
+
+    A two-sided test leaves half of the level on each side.
+    """
+    if tail not in TAILS:
+        raise ValueError(f"tail must be one of {TAILS}")
+    level = 1.0 - percentile / 100.0
+    shares = {"upper": (None, 1.0 - level), "lower": (level, None), "two-sided": (level / 2, 1.0 - level / 2)}[tail]
+    wanted = [s for s in shares if s is not None]
+    found = scores.agg(F.percentile("score", F.lit(wanted)).alias("t")).first()["t"] or [None] * len(wanted)
+    low = found[0] if shares[0] is not None else None
+    return low, found[-1] if shares[1] is not None else None
+
+
 def null_threshold(scores: DataFrame, percentile: float = THRESHOLD_PERCENTILE, tail: str = "upper") -> float:
-    """Percentile of the null scores (``samples`` rows) on the chosen tail."""
-    if tail not in ("upper", "lower"):
-        raise ValueError("tail must be 'upper' or 'lower'")
-    share = percentile / 100.0 if tail == "upper" else 1.0 - percentile / 100.0
-    return scores.agg(F.percentile("score", share).alias("t")).first()["t"]
+    """The bound of a one-sided test."""
+    if tail == "two-sided":
+        raise ValueError("a two-sided test has two bounds: use null_bounds")
+    low, high = null_bounds(scores, percentile, tail)
+    return high if tail == "upper" else low
+
+
+def flag_outside(scores: DataFrame, bounds: tuple[float | None, float | None]) -> DataFrame:
+    """``detected``: the score lies strictly outside the bounds."""
+    low, high = bounds
+    hit = F.lit(False)
+    if low is not None:
+        hit = hit | (F.col("score") < low)
+    if high is not None:
+        hit = hit | (F.col("score") > high)
+    return scores.withColumn("detected", F.coalesce(hit, F.lit(False)))
 
 
 def flag_windows(scores: DataFrame, threshold: float, tail: str = "upper") -> DataFrame:
-    hit = F.col("score") > threshold if tail == "upper" else F.col("score") < threshold
-    return scores.withColumn("detected", F.coalesce(hit, F.lit(False)))
+    return flag_outside(scores, (None, threshold) if tail == "upper" else (threshold, None))
 
 
 def detection_rate(flagged: DataFrame, *by: str) -> DataFrame:

@@ -7,6 +7,7 @@ so each rule has its own picker: null, blank text, falsy, empty, or not a text.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from traceaudit.functions.text import SPACE, as_column, let, render, strip
 from traceaudit.operators import rules
 from traceaudit.operators.combine import beside
 from traceaudit.operators.ordering import positions
+from traceaudit.session import materialise
 
 # Alias lists in order of preference.
 QUERY_ID_KEYS = ("query_id", "id", "qid", "uid", "example_id", "idx")
@@ -134,8 +136,8 @@ def first_non_blank(get: Fields, keys: Sequence[str]) -> Column:
     return strip(get.first(keys, lambda text, kind: (kind == "STRING") & (strip(text) != "")))
 
 
-def pick_query(raw: Column | str, depth: int = 3) -> Column:
-    """Text a teacher received: a direct field, else the message contents, else the nested request."""
+def pick_query(raw: Column | str, depth: int) -> Column:
+    """Text of a log object: a direct field, else the message contents, else of up to ``depth`` nested requests."""
     raw = as_column(raw)
     direct = first_non_blank(variant_fields(raw), RECEIVED_QUERY_KEYS)
     messages = F.try_variant_get(raw, "$.messages", "array<variant>")
@@ -153,6 +155,24 @@ def pick_query(raw: Column | str, depth: int = 3) -> Column:
     return F.coalesce(direct, joined, pick_query(F.try_variant_get(raw, "$.request", "variant"), depth - 1))
 
 
+def received_queries(df: DataFrame, raw: str, name: str = "query", depth: int = 3) -> DataFrame:
+    """``df`` with the text a teacher received: the object's own, else that of its nested request, however deep.
+
+    A pass opens ``depth`` nested requests. Rows that still have one, usually few, are stored and go through the next.
+    """
+    columns, parts = df.columns, []
+    left = df.withColumn("_request", F.col(raw))
+    while True:
+        below = F.try_variant_get(F.col("_request"), "$" + ".request" * (depth + 1), "variant")
+        found = left.withColumns({name: pick_query("_request", depth), "_below": below})
+        open_ = F.col(name).isNull() & F.col("_below").isNotNull()
+        parts.append(found.filter(~open_).select(*columns, name))
+        rest = found.filter(open_).select(*columns, F.col("_below").alias("_request"))
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        left = materialise(rest)
+
+
 def normalize_query(df: DataFrame, get: Fields, index: str) -> DataFrame:
     """``(query_id, query)`` with the row index as fallback id; rows without text keep a null query."""
     return df.select(
@@ -164,10 +184,10 @@ def normalize_query(df: DataFrame, get: Fields, index: str) -> DataFrame:
 
 def normalize_query_log(df: DataFrame, raw: str, index: str, path: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Query log rows and a one-row count of kept and skipped records."""
-    text, ident = pick_query(raw), first_truthy(variant_fields(raw), LOG_ID_KEYS)
+    ident = first_truthy(variant_fields(raw), LOG_ID_KEYS)
     synthetic = F.format_string("teacher_query_%06d", F.col(index))
-    picked = df.select(
-        F.coalesce(ident, synthetic).alias("id"), text.alias("query"), F.col(index).alias("source_index"), F.col(path).alias("source_path")
+    picked = received_queries(df, raw, "_query").select(
+        F.coalesce(ident, synthetic).alias("id"), F.col("_query").alias("query"), F.col(index).alias("source_index"), F.col(path).alias("source_path")
     )
     counts = picked.agg(
         F.count("query").alias("num_queries"), F.count_if(F.col("query").isNull()).alias("skipped_records")
@@ -516,9 +536,15 @@ def path_identity(path: Column | str) -> Column:
     return F.struct(
         F.nullif(before(2), F.lit("")).alias("defense"),
         F.nullif(before(1), F.lit("")).alias("attack"),
-        F.substring(F.get(parts, at), 2, 18).cast("bigint").alias("budget"),
+        F.substring(F.get(parts, at), 2, 2_000_000).try_cast("bigint").alias("budget"),
     )
 
 
+def path_violations(df: DataFrame, path: str) -> DataFrame:
+    """Paths whose budget is no 64-bit number."""
+    too_large = F.col(path).rlike("(^|/)b[0-9]+(/|$)") & path_identity(path)["budget"].isNull()
+    return rules.row_rules(df, path, [("budget_out_of_range", too_large)])
+
+
 def blank(c: Column | str) -> Column:
     return as_column(c).isNull() | as_column(c).rlike(f"^[{SPACE}]*$")

@@ -81,11 +81,12 @@ def sink_tagged_outputs(spark, sf_dir):
     return sinks.tag_outputs(parts).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-# Documents as raw probes: words of the source name as options.
+# Documents as raw probes: words of the source name as options. Even rows give the answer as an index, others as text;
+# the text "1" is neither a letter nor an option.
 @query(
     "probe_prompts",
     """WITH d AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 3 = 0 THEN [lang, source] ELSE [lang, source, 'none of these'] END AS o FROM documents WHERE lang <> 'es')
-SELECT doc_id, chr((65 + doc_id % 2)::INTEGER) AS answer, 'Which? ' || source || chr(10) || chr(10) || 'A. ' || o[1] || chr(10) || 'B. ' || o[2] || CASE WHEN len(o) = 3 THEN chr(10) || 'C. none of these' ELSE '' END
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 4 < len(o) THEN chr((65 + doc_id % 4)::INTEGER) END WHEN doc_id % 6 <> 1 THEN 'B' END AS answer, 'Which? ' || source || chr(10) || chr(10) || 'A. ' || o[1] || chr(10) || 'B. ' || o[2] || CASE WHEN len(o) = 3 THEN chr(10) || 'C. none of these' ELSE '' END
  || chr(10) || chr(10) || 'Answer with only one letter from: ' || CASE WHEN len(o) = 3 THEN 'A, B, C' ELSE 'A, B' END || '.' AS prompt FROM d""",
 )
 def probe_prompts(spark, sf_dir):
@@ -96,7 +97,8 @@ def probe_prompts(spark, sf_dir):
         F.concat(F.lit("field_"), "lang").alias("category"),
         F.concat(F.lit(" Which? "), "source").alias("question"),
         F.array(F.col("lang"), F.concat(F.lit(" "), "source"), extra, F.lit("")).alias("options"),
-        F.when(F.col("doc_id") % 2 == 0, F.lit("0")).otherwise(F.col("source")).alias("answer"),
+        F.when(F.col("doc_id") % 6 == 1, "1").when(F.col("doc_id") % 6 == 3, "b").otherwise(F.col("source")).alias("answer"),
+        F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") % 4).alias("answer_index"),
     )
     found = B.build_probes(raw, ["en", "fr", "de"])
     return found.select("doc_id", "answer", B.probe_prompt("question", "options").alias("prompt"))

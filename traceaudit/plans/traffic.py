@@ -82,31 +82,62 @@ def traffic_null_decision(spark, sf_dir):
 
 
 def _report(spark, sf_dir, score, tail):
-    null = score(T.null_windows(benign(spark, sf_dir), "vec_id", 50, SIZE, SEED))
-    threshold = T.null_threshold(null, tail=tail)
-    sides = {"benign": benign(spark, sf_dir), "observed": observed(spark, sf_dir)}
+    """Null windows of the training part of the benign log, rates on its held-out part and on the observed log."""
+    train, held_out = T.held_out_split(benign(spark, sf_dir), "vec_id", SEED)
+    bounds = T.null_bounds(score(T.null_windows(train, "vec_id", T.NULL_SAMPLES, T.BATCH_SIZE, SEED)), tail=tail)
     scored = None
-    for role, rows in sides.items():
-        part = score(T.windows(rows, "vec_id", SIZE)).withColumn("role", F.lit(role))
+    for role, rows in (("benign", held_out), ("observed", observed(spark, sf_dir))):
+        cut = T.windows(rows, "vec_id", T.BATCH_SIZE, keep_last=True)
+        part = score(cut).withColumn("role", F.lit(role))
         scored = part if scored is None else scored.unionByName(part)
-    return T.detection_rate(T.flag_windows(scored, threshold, tail), "role").withColumn("threshold", F.lit(threshold))
+    low, high = (F.lit(b).cast("double") for b in bounds)
+    return T.detection_rate(T.flag_outside(scored, bounds), "role").withColumns({"low": low, "high": high})
 
 
 @query("traffic_kernel_test")
 def traffic_kernel_test(spark, sf_dir):
-    reference = T.kernel_reference(benign(spark, sf_dir), "vec_id", SEED + 5, SIZE, 5)
+    train, _ = T.held_out_split(benign(spark, sf_dir), "vec_id", SEED)
+    reference = T.kernel_reference(train, "vec_id", SEED + 5)
     return _report(spark, sf_dir, lambda cut: T.mmd(cut, reference), "upper")
 
 
 @query("traffic_distance_normality")
 def traffic_distance_normality(spark, sf_dir):
-    return _report(spark, sf_dir, T.prada, "lower")
+    return _report(spark, sf_dir, T.prada, "upper")
 
 
-@query("traffic_pair_similarity")
+# Draws are digests, so SQL repeats them.
+def _draws_sql(name, samples, size, seed):
+    """Positions that ``null_windows`` draws: ``name``(window, slot, e)."""
+    base = digest_sql("id", seed + 1)
+    return f"""{name} AS (SELECT id // {size} AS w, id % {size} AS slot, e FROM
+(SELECT i AS id, (('0x' || substr({base.replace('id', 'i')}, 1, 15))::BIGINT % n) + 1 AS pos FROM range({samples * size}) AS r(i), n) JOIN
+(SELECT e, row_number() OVER (ORDER BY {digest_sql('vec_id', seed)}, vec_id) AS p FROM b) ON p = pos)"""
+
+
+def _pairs_sql(source):
+    return f"""SELECT a.role, a.w, count(*) FILTER (list_cosine_similarity(a.e, b.e) >= t)::DOUBLE / count(*) AS score
+FROM {source} a JOIN {source} b ON a.role = b.role AND a.w = b.w AND a.slot < b.slot, th GROUP BY 1, 2"""
+
+
+@query(
+    "traffic_pair_similarity",
+    f"""WITH b AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE label < 7 AND {draw_sql('vec_id', SEED)} < 0.8),
+n AS (SELECT count(*) AS n FROM b), {_draws_sql('pr', T.PAIR_SAMPLE_SIZE, 2, SEED + 9)}, {_draws_sql('nl', T.NULL_SAMPLES, T.BATCH_SIZE, SEED)},
+th AS (SELECT quantile_cont(list_cosine_similarity(x.e, y.e), 0.99) AS t FROM pr x JOIN pr y ON x.w = y.w AND x.slot = 0 AND y.slot = 1),
+nr AS (SELECT 'null' AS role, * FROM nl), ns AS ({_pairs_sql('nr')}),
+bd AS (SELECT quantile_cont(score, 0.025) AS low, quantile_cont(score, 0.975) AS high FROM ns),
+ev AS (SELECT role, (p - 1) // 100 AS w, (p - 1) % 100 AS slot, e FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY vec_id) AS p FROM
+(SELECT vec_id, embedding::DOUBLE[] AS e, CASE WHEN label < 7 THEN 'benign' ELSE 'observed' END AS role FROM embeddings WHERE label >= 7 OR {draw_sql('vec_id', SEED)} >= 0.8))),
+sc AS ({_pairs_sql('ev')}), al AS (SELECT DISTINCT role, w FROM ev), fl AS (SELECT al.role, coalesce(score, 0.0) AS score FROM al LEFT JOIN sc USING (role, w))
+SELECT role, count(*)::BIGINT AS windows, count(*) FILTER (score < low OR score > high)::BIGINT AS detected_windows,
+round(count(*) FILTER (score < low OR score > high)::DOUBLE / count(*), 9) AS detection_rate, round(low, 6) AS low, round(high, 6) AS high FROM fl, bd GROUP BY role, low, high""",
+)
 def traffic_pair_similarity(spark, sf_dir):
-    threshold = T.pair_threshold(benign(spark, sf_dir), "vec_id", SEED + 9, pairs=2000)
-    return _report(spark, sf_dir, lambda cut: T.seat(cut, threshold), "upper")
+    train, _ = T.held_out_split(benign(spark, sf_dir), "vec_id", SEED)
+    threshold = T.pair_threshold(train, "vec_id", SEED + 9)
+    found = _report(spark, sf_dir, lambda cut: T.seat(cut, threshold), "two-sided")
+    return found.withColumns({c: F.round(c, d) for c, d in (("detection_rate", 9), ("low", 6), ("high", 6))})
 
 
 @query(

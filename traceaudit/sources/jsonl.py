@@ -77,7 +77,7 @@ def read_jsonl(
     broken = parsed.filter(~F.coalesce(good, F.lit(False))).select(
         F.when(is_object, "not_valid_json").otherwise("not_an_object").alias("rule"),
         place.alias("row_key"),
-        F.substring("line", 1, 120).alias("detail"),
+        F.col("line").alias("detail"),
     )
     rows = parsed.filter(good).select("file", "line_no", *fields)
     if strict:

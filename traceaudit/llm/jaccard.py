@@ -35,7 +35,7 @@ from traceaudit.llm.texts import (
 WIDTH, PERCENT = 3, 90
 #: Slots that count n-grams (2 MB when sent to tasks, whatever the corpus), and parts they are summed in.
 SLOT_BITS, PARTS = 21, 64
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Parity bits of a set.
 PARITY = 192
 #: Prefixes of one n-gram, and sets of one group, that a task pairs with each other.
@@ -321,7 +321,8 @@ def _verified(docs: DataFrame, groups: DataFrame, width: int, percent: int) -> D
     members = groups.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "size")
     narrow = packed_texts(docs.select(F.col("doc_id").cast("bigint"), "text").filter("doc_id is not null"))
     schema = "bucket int, group bigint, low int, high int, tile int, doc_id bigint, grams binary"
-    return narrow.join(members, "doc_id").mapInArrow(gather, schema).groupBy("bucket").applyInArrow(compare, "a bigint, b bigint")
+    # A merge join at every size: members may well be few enough to send around, but grow with the documents.
+    return narrow.join(members.hint("merge"), "doc_id").mapInArrow(gather, schema).groupBy("bucket").applyInArrow(compare, "a bigint, b bigint")
 
 
 def linked_forest(sets: list[np.ndarray], ids: np.ndarray, tile: np.ndarray | None, percent: int) -> Iterator[tuple[int, int]]:

@@ -136,8 +136,8 @@ def block_violations(
 
 
 def slice_after(ordered: DataFrame, budget: int, size: int, position: str = "position") -> DataFrame:
-    """The rows directly behind a budget prefix."""
-    return ordered.filter(F.col(position).between(budget + 1, budget + size))
+    """The rows directly behind a budget prefix; refused where the table ends before."""
+    return require_rows(ordered.filter(F.col(position).between(budget + 1, budget + size)), size, "slice behind the budget")
 
 
 def require_rows(df: DataFrame, wanted: int, what: str) -> DataFrame:
@@ -249,11 +249,15 @@ def tier_for(budget: Column | str) -> Column:
 def take_user_traffic(
     stream: DataFrame, excluded: DataFrame, wanted: int, max_scan: int, position: str = "position", text: str = "query"
 ) -> DataFrame:
-    """First ``wanted`` usable rows among the first ``max_scan`` scanned ones."""
-    scanned = stream.filter((F.col(position) <= max_scan) & (F.length(strip(text)) > 0))
-    banned = excluded.select(strip(text).alias(text)).distinct()
-    usable = scanned.join(banned, text, "left_anti")
-    return usable.orderBy(position).limit(wanted)
+    """First ``wanted`` usable rows among the first ``max_scan`` of the stream; refused where these hold fewer.
+
+    Rows without text count as scanned. Both sides are compared by a digest of the stripped text.
+    """
+    digest = F.sha2(strip(text), 256)
+    scanned = stream.filter((F.col(position) <= max_scan) & (F.length(strip(text)) > 0)).withColumn("_digest", digest)
+    banned = excluded.select(digest.alias("_digest")).distinct()
+    usable = scanned.join(banned, "_digest", "left_anti").drop("_digest")
+    return require_rows(usable.orderBy(position).limit(wanted), wanted, f"user traffic in {max_scan} rows")
 
 
 def concat_limit(parts: Sequence[DataFrame], limit: int, position: str) -> DataFrame:

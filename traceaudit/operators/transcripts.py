@@ -18,6 +18,7 @@ from traceaudit.functions.parsing import clean_answer
 from traceaudit.functions.text import SPACE, as_column, let, render, strip
 from traceaudit.operators import rules
 from traceaudit.operators.combine import beside
+from traceaudit.operators.corpus import require_rows
 from traceaudit.operators.ordering import positions
 from traceaudit.session import materialise
 
@@ -234,9 +235,10 @@ def triple_violations(df: DataFrame) -> DataFrame:
 
 
 def import_transcript(df: DataFrame, get: Fields, index: str, budget: int, teacher: str | None = None, seed: int = 0) -> DataFrame:
-    """External prompt/response rows as transcript records, cut to a budget in input order."""
+    """External prompt/response rows as transcript records, cut to a budget in input order; refused if it has fewer."""
     triples = normalize_transcript(df, get, index, "external")
     ordered = positions(triples, ["source_index"]).filter(F.col("position") <= budget)
+    require_rows(ordered.select("position"), budget, "external transcript")
     return ordered.select(
         F.col("query_id").alias("prompt_id"),
         F.col("query").alias("prompt_text"),

@@ -387,15 +387,16 @@ def corpus_distinct_sources(spark, sf_dir):
 
 @query(
     "corpus_bounded_scan",
-    f"""WITH u AS (SELECT conv_id, arg_min({STRIPPED}, turn) AS query FROM conversations WHERE role = 'user' AND {STRIPPED} <> '' GROUP BY 1),
+    f"""WITH u AS (SELECT conv_id, arg_min({STRIPPED}, turn) FILTER (role = 'user' AND {STRIPPED} <> '') AS query FROM conversations GROUP BY 1),
 p AS (SELECT query, row_number() OVER (ORDER BY conv_id) AS position FROM u)
-SELECT query, position::BIGINT AS position FROM p WHERE position <= 60 AND query NOT IN (SELECT {STRIPPED} FROM documents) ORDER BY position LIMIT 40""",
+SELECT query, position::BIGINT AS position FROM p WHERE position <= 60 AND query <> '' AND query NOT IN (SELECT {STRIPPED} FROM documents) ORDER BY position LIMIT 10""",
 )
 def corpus_bounded_scan(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").filter((F.col("role") == "user") & (strip("text") != ""))
-    firsts = turns.groupBy("conv_id").agg(F.min_by(strip("text"), "turn").alias("query"))
+    turns = table(spark, sf_dir, "conversations")
+    asked = (F.col("role") == "user") & (strip("text") != "")
+    firsts = turns.groupBy("conv_id").agg(F.min_by(F.when(asked, strip("text")), F.when(asked, F.col("turn"))).alias("query"))
     stream = positions(firsts, ["conv_id"], sample_of=turns).select("query", "position")
-    return C.take_user_traffic(stream, documents(spark, sf_dir).select(F.col("text").alias("query")), 40, 60)
+    return C.take_user_traffic(stream, documents(spark, sf_dir).select(F.col("text").alias("query")), 10, 60)
 
 
 @query(

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from traceaudit.operators.ordering import positions
+from traceaudit.operators.rules import row_rules
 from traceaudit.plans.monitor import FOUND, SERIES, series
 from traceaudit.plans.registry import Catalog, table
 from traceaudit.session import DEFAULTS, checkpoint_root
@@ -46,11 +47,11 @@ def drain(stream, mode="append"):
 @query(
     "stream_detections",
     f"""WITH {SERIES}, {FOUND.format(t=90, where='query_index <= 40')}
-SELECT entity_id, CASE WHEN queries_to_detection IS NULL THEN 'censored' ELSE 'detected' END AS kind, coalesce(queries_to_detection, 40)::BIGINT AS query_index FROM found WHERE queries_to_detection IS NOT NULL OR observed_until >= 40""",
+SELECT entity_id, CASE WHEN queries_to_detection IS NULL THEN 'censored' ELSE 'detected' END AS kind, coalesce(queries_to_detection, observed_until)::BIGINT AS query_index FROM found""",
 )
 def stream_detections(spark, sf_dir):
     rows = series(spark, sf_dir).select("entity_id", "query_index", "score")
-    found = drain(S.monitor_stream(as_stream(spark, rows), 90.0, "higher", 40))
+    found = drain(S.monitor_stream(as_stream(spark, S.ended_series(rows)), 90.0, "higher", 40))
     return found.select("entity_id", "kind", "query_index")
 
 
@@ -117,3 +118,15 @@ def stream_ingest(spark, sf_dir):
     path, name = f"{scratch(spark)}/collected", uuid.uuid4().hex
     S.ingest(as_stream(spark, doubled), ["event_id"], "ts", path, name).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path).select("event_id", "user_id", "value")
+
+
+@query("stream_validated", "SELECT event_id, user_id, value FROM events")
+def stream_validated(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    path = f"{scratch(spark)}/gated"
+
+    def check(batch):
+        return row_rules(batch, "event_id", [("no_value", F.col("value").isNull()), ("negative", F.col("value") < 0)])
+
+    S.validated(as_stream(spark, rows), check, path, uuid.uuid4().hex).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).select("event_id", "user_id", "value")

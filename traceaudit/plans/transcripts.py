@@ -146,13 +146,13 @@ def transcript_coverage_gap(spark, sf_dir):
 @query(
     "transcript_import",
     """WITH o AS (SELECT conv_id, turn, role, text, row_number() OVER (ORDER BY conv_id * 1000 + turn) - 1 AS order_index FROM conversations)
-SELECT format('external_{:06d}', conv_id * 1000 + turn) AS query_id, order_index::BIGINT AS order_index, text AS prompt_text, role || '/' || text AS teacher_response FROM o WHERE order_index < 300""",
+SELECT format('external_{:06d}', conv_id * 1000 + turn) AS query_id, order_index::BIGINT AS order_index, text AS prompt_text, role || '/' || text AS teacher_response FROM o WHERE order_index < 60""",
 )
 def transcript_import(spark, sf_dir):
     rows = conversations(spark, sf_dir).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("row"), F.col("text").alias("prompt"), F.concat_ws("/", "role", "text").alias("output")
     )
-    found = X.import_transcript(rows, X.column_fields(rows), "row", 300)
+    found = X.import_transcript(rows, X.column_fields(rows), "row", 60)
     return found.select("query_id", "order_index", "prompt_text", "teacher_response")
 
 

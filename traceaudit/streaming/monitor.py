@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from traceaudit.operators import rules
 from traceaudit.operators.monitor import crosses
 from traceaudit.operators.provenance import check_direction
 from traceaudit.session import checkpoint_root
@@ -37,44 +38,64 @@ _ROW_STATE = T.StructType([T.StructField("item", T.StringType()), T.StructField(
 class SeriesMonitor(StatefulProcessor):
     """First crossing of a locked threshold per entity, with the order rule of a series.
 
-    Emits ``detected`` once, ``censored`` when the budget is reached without a
-    crossing, and ``duplicate`` / ``gap`` for indices that are not the next one.
-    The exact next index is kept: counts and sums cannot tell {1, 1, 4, 4} from
-    a clean series.
+    Emits ``detected`` once; ``censored`` at the last query observed when the
+    budget is reached, when a row without score says that the entity has ended,
+    or when it was idle for ``idle_ms``; and ``duplicate`` / ``gap`` for indices
+    that are not the next one. The exact next index is kept: counts and sums
+    cannot tell {1, 1, 4, 4} from a clean series.
     """
 
-    def __init__(self, threshold: float, direction: str, budget: int) -> None:
+    def __init__(self, threshold: float, direction: str, budget: int, idle_ms: int | None = None) -> None:
         check_direction(direction)
         self.threshold, self.sign, self.budget = threshold, (1.0 if direction == "higher" else -1.0), budget
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("series", _SERIES_STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        chunks = [r[["query_index", "score"]] for r in rows]
-        batch = pd.concat(chunks).sort_values("query_index", kind="stable")
-        saved = self.state.get() if self.state.exists() else (1, None, None, False)
-        expected, extreme, detected, closed = saved
+        batch = pd.concat([r[["query_index", "score"]] for r in rows])
+        ended = bool(batch["score"].isna().any())
+        batch = batch[batch["score"].notna() & (batch["query_index"] <= self.budget)].sort_values("query_index", kind="stable")
+        expected, extreme, detected, closed = self.state.get() if self.state.exists() else (1, None, None, False)
+        index, score = batch["query_index"].to_numpy(dtype="int64"), batch["score"].to_numpy(dtype="float64")
         out: list[tuple] = []
-        for index, score in zip(batch["query_index"].to_numpy(), batch["score"].to_numpy()):
-            index, score = int(index), float(score)
-            if index > self.budget:
-                continue
-            if index != expected:
-                out.append(("duplicate" if index < expected else "gap", index, score))
-                if index < expected:
-                    continue
-            expected = index + 1
-            if extreme is None or self.sign * score > self.sign * extreme:
-                extreme = score
-            if detected is None and self.sign * score >= self.sign * self.threshold:
-                detected = index
-                out.append(("detected", index, score))
-            if index == self.budget and detected is None and not closed:
-                closed = True
-                out.append(("censored", index, extreme))
+        if len(index):
+            before = np.maximum(expected - 1, np.concatenate([[expected - 1], index[:-1]]))
+            repeated, jumped = index <= before, index > before + 1
+            odd = repeated | jumped
+            kinds = np.where(repeated, "duplicate", "gap")
+            out += zip(kinds[odd].tolist(), index[odd].tolist(), score[odd].tolist())
+            index, score = index[~repeated], score[~repeated]
+        if len(index):
+            expected = int(index[-1]) + 1
+            best = float(score[np.argmax(self.sign * score)])
+            extreme = best if extreme is None or self.sign * best > self.sign * extreme else extreme
+            over = np.flatnonzero(self.sign * score >= self.sign * self.threshold)
+            if detected is None and len(over) and not closed:
+                detected = int(index[over[0]])
+                out.append(("detected", detected, float(score[over[0]])))
+        if detected is None and not closed and extreme is not None and (ended or expected > self.budget):
+            closed = True
+            out.append(("censored", expected - 1, extreme))
         self.state.update((expected, extreme, detected, closed))
-        yield pd.DataFrame(
+        if self.idle_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if detected is None and not closed:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield self._rows(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        expected, extreme, detected, closed = self.state.get()
+        if detected is None and not closed and extreme is not None:
+            self.state.update((expected, extreme, detected, True))
+            yield self._rows(key, [("censored", expected - 1, extreme)])
+
+    @staticmethod
+    def _rows(key, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(
             {
                 "entity_id": pd.Series([key[0]] * len(out), dtype="object"),
                 "kind": pd.Series([o[0] for o in out], dtype="object"),
@@ -87,14 +108,25 @@ class SeriesMonitor(StatefulProcessor):
         pass
 
 
-def monitor_stream(events: DataFrame, threshold: float, direction: str, budget: int) -> DataFrame:
-    """Detections, censorings and order violations of ``(entity_id, query_index, score)``."""
+def monitor_stream(events: DataFrame, threshold: float, direction: str, budget: int, idle_ms: int | None = None) -> DataFrame:
+    """Detections, censorings and order violations of ``(entity_id, query_index, score)``.
+
+    A log that ends needs a row with a null score per entity; a live one, ``idle_ms``.
+    """
     return events.select("entity_id", "query_index", "score").groupBy("entity_id").transformWithStateInPandas(
-        statefulProcessor=SeriesMonitor(threshold, direction, budget),
+        statefulProcessor=SeriesMonitor(threshold, direction, budget, idle_ms),
         outputStructType=MONITOR_SCHEMA,
         outputMode="Append",
-        timeMode="None",
+        timeMode="None" if idle_ms is None else "ProcessingTime",
+    )
+
+
+def ended_series(events: DataFrame) -> DataFrame:
+    """A finished log with the row per entity that says so."""
+    ends = events.select("entity_id").distinct().select(
+        "entity_id", F.lit(None).cast("bigint").alias("query_index"), F.lit(None).cast("double").alias("score")
     )
+    return events.select("entity_id", "query_index", "score").unionByName(ends)
 
 
 def monitor_view(events: DataFrame, threshold: float, direction: str) -> DataFrame:
@@ -184,3 +216,14 @@ def ingest(stream: DataFrame, keys: Sequence[str], time: str, path: str, name: s
         .option("checkpointLocation", f"{checkpoint_root(spark)}/streams/{name}")
         .outputMode("append")
     )
+
+
+def validated(stream: DataFrame, check, path: str, name: str):
+    """Append-only sink behind a gate: a batch with violations (``check`` gives them) stops the query unwritten."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        rules.enforce(check(batch), f"batch {number}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    location = f"{checkpoint_root(stream.sparkSession)}/streams/{name}"
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", location).outputMode("append")

@@ -51,7 +51,13 @@ def source_jsonl_violations(spark, sf_dir):
     return broken.groupBy("rule").agg(F.count(F.lit(1)).alias("broken"))
 
 
-@query("sink_canonical_lines")
+@query(
+    "sink_canonical_lines",
+    """WITH l AS (SELECT doc_id AS p, '{"doc_id":' || doc_id || ',"source":' || to_json(source)::VARCHAR || ',"text":' || to_json(text)::VARCHAR || '}' AS value FROM documents),
+r AS (SELECT p, sha256('{"value":' || to_json(value)::VARCHAR || '}') AS h FROM l), a AS (SELECT p // 65536 AS p, sha256(string_agg(h, chr(10) ORDER BY p)) AS h, count(*) AS n FROM r GROUP BY p // 65536),
+b AS (SELECT p // 65536 AS p, sha256(string_agg(h, chr(10) ORDER BY p)) AS h, sum(n) AS n FROM a GROUP BY p // 65536)
+SELECT 'block-sha256/65536' AS scheme, sum(n)::BIGINT AS row_count, sha256(string_agg(h, chr(10) ORDER BY p)) AS ordering_hash FROM b""",
+)
 def sink_canonical_lines(spark, sf_dir):
     path = scratch(spark)
     docs = table(spark, sf_dir, "documents")

@@ -347,7 +347,13 @@ def transcript_reused_outputs(spark, sf_dir):
     return X.reuse_outputs(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("transcript_ordering_hash")
+# Row hashes, hashed in blocks of 64 and blocks of blocks.
+@query(
+    "transcript_ordering_hash",
+    """WITH r AS (SELECT row_number() OVER (ORDER BY doc_id) AS p, sha256('{"doc_id":' || doc_id || ',"text":' || to_json(text)::VARCHAR || '}') AS h FROM documents),
+a AS (SELECT p // 64 AS p, sha256(string_agg(h, chr(10) ORDER BY p)) AS h, count(*) AS n FROM r GROUP BY p // 64), b AS (SELECT p // 64 AS p, sha256(string_agg(h, chr(10) ORDER BY p)) AS h, sum(n) AS n FROM a GROUP BY p // 64)
+SELECT 'block-sha256/64' AS scheme, sum(n)::BIGINT AS row_count, sha256(string_agg(h, chr(10) ORDER BY p)) AS ordering_hash FROM b""",
+)
 def transcript_ordering_hash(spark, sf_dir):
     ordered = X.positions(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
     return ordered_hash(ordered, "position", ["doc_id", "text"], block=64)

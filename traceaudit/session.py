@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,12 +61,33 @@ def checkpoint_root(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_SCOPE: ContextVar[str | None] = ContextVar("stored_tables", default=None)
+
+
+@contextmanager
+def stored_tables(spark: SparkSession) -> Iterator[None]:
+    """Owner of what ``materialise`` stores inside: it is deleted at the end.
+
+    Write or collect results before the block ends; they may read stored tables.
+    """
+    folder = f"{checkpoint_root(spark)}/tables/{uuid.uuid4().hex}"
+    token = _SCOPE.set(folder)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     For small per-entity or per-example tables that several parts of a report
-    use: the pipeline below runs once, and a lost executor costs nothing.
+    use: the pipeline below runs once, and a lost executor costs nothing. Tables
+    stored inside ``stored_tables`` go with it, others stay for the caller.
     """
-    path = f"{checkpoint_root(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    folder = _SCOPE.get() or f"{checkpoint_root(df.sparkSession)}/tables"
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,6 +12,7 @@ from traceaudit.llm import jaccard, mixing, packing, quality, substrings
 from traceaudit.llm.queries import tokenizer_path
 from traceaudit.llm.store import fresh_folder
 from traceaudit.plans.registry import Catalog
+from traceaudit.session import stored_tables
 
 CATALOG = Catalog()
 
@@ -56,8 +57,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{number}")
+        with stored_tables(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{folder}/{number}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{number}")
     return docs
 

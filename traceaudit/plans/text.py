@@ -66,6 +66,25 @@ def text_parse_choice(spark, sf_dir):
     return rows.select("event_id", "p.normalized", "p.status")
 
 
+# Whole documents with an answer behind them, whatever markers their own text holds.
+@query(
+    "text_parse_choice_marked",
+    "SELECT doc_id, chr((65 + doc_id % 5)::INTEGER) AS normalized, 'success' AS status FROM documents",
+)
+def text_parse_choice_marked(spark, sf_dir):
+    letter = F.char(F.col("doc_id") % 5 + 65)
+    answered = F.concat("text", F.lit("\nFinal answer: ("), F.lower(letter), F.lit(")"))
+    rows = documents(spark, sf_dir).select("doc_id", A.parse_choice(answered, ["A", "B", "C", "D", "E"]).alias("p"))
+    return rows.select("doc_id", "p.normalized", "p.status")
+
+
+@query("text_probe_choice_marked", "SELECT doc_id, chr((65 + doc_id % 5)::INTEGER) AS choice FROM documents")
+def text_probe_choice_marked(spark, sf_dir):
+    letter = F.char(F.col("doc_id") % 5 + 65)
+    answered = F.concat("text", F.lit("\nThe answer is ("), letter, F.lit(")."))
+    return documents(spark, sf_dir).select("doc_id", A.probe_choice(answered).alias("choice"))
+
+
 @query("text_parse_choice_documents")
 def text_parse_choice_documents(spark, sf_dir):
     rows = documents(spark, sf_dir).select("lang", A.parse_choice("text", ["A", "B", "C", "D", "E"]).alias("p"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceaudit.llm.store import materialise
+from traceaudit.llm.store import bounded_sample, materialise
 
 #: Vectors that centroids are fitted on, lists at most, and vectors per list aimed at.
 MAX_SAMPLE, MAX_LISTS, PER_LIST = 20_000, 2048, 200
@@ -167,8 +167,8 @@ def search(
     least = Window.partitionBy("vector").orderBy("vec_id")
     indexed = materialise(rows.withColumn("_rank", F.row_number().over(least)).filter(F.col("_rank") <= k + 1))
     first = indexed.filter("_rank = 1")
-    sample = first.orderBy(F.xxhash64("vec_id"), "vec_id").limit(MAX_SAMPLE).select("vector").toPandas()["vector"]
     count = first.count()
+    sample = bounded_sample(first, "vec_id", MAX_SAMPLE, count).select("vector").toPandas()["vector"]
     lists = max(1, min(MAX_LISTS, count // PER_LIST, len(sample) // 8))
     if not len(sample):
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)

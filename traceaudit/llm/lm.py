@@ -74,6 +74,14 @@ def word_vocabulary(background: DataFrame, size: int = VOCABULARY) -> np.ndarray
 
     packed = background.select("text").mapInArrow(count, "bucket int, n int, packed binary")
     words = packed.groupBy("bucket").applyInArrow(most, "word bigint, n bigint")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches([*batches], pa.schema([("word", pa.int64()), ("n", pa.int64())]))
+        keys, counts = held.column("word").to_numpy().view(np.uint64), held.column("n").to_numpy()
+        yield from held.take(pa.array(np.lexsort((keys, -counts))[:wanted])).to_batches()
+
+    # Buckets meet in the root of their number of tasks, which leaves the driver as many candidates of each at most.
+    words = words.repartition(max(1, round(buckets**0.5))).mapInArrow(best, "word bigint, n bigint")
     # As in the buckets, ties go to the smaller unsigned hash.
     top = words.orderBy(F.desc("n"), F.col("word") < 0, "word").limit(wanted).select("word").toPandas()
     return np.sort(top["word"].to_numpy(dtype=np.int64).view(np.uint64))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceaudit.llm.store import materialise
+from traceaudit.llm.store import bounded_sample, materialise
 from traceaudit.llm.texts import run_starts, slices, utf8, window_hashes, word_hashes, words
 
 #: Labelled rows that a model is fitted on, at most.
@@ -237,10 +237,8 @@ def held_out():
 def learn(features: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> AdditiveModel:
     """Fit on labelled rows (``doc_id``, ``quality``) that are not held out, at most ``max_rows`` of them."""
     usable = labels.filter("doc_id is not null and quality in (0, 1)").filter(~held_out())
-    sample = (
-        features.join(usable.select("doc_id", "quality"), "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows).select("features", "quality").toPandas()
-    )
+    marked = features.join(usable.select("doc_id", "quality"), "doc_id")
+    sample = bounded_sample(marked, "doc_id", max_rows, usable.count()).select("features", "quality").toPandas()
     values = np.array(sample["features"].tolist(), dtype=np.float32).reshape(len(sample), len(FEATURES))
     return fit_model(values, sample["quality"].to_numpy())
 

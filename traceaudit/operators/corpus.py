@@ -76,10 +76,18 @@ def held_out_violations(evaluation: DataFrame, training: DataFrame, text: str) -
 
 
 def exclude(df: DataFrame, other: DataFrame, ident: str, prompt: str) -> DataFrame:
-    """Drop rows whose id or trimmed prompt occurs in the other table."""
-    by_id = df.join(other.select(ident).distinct(), ident, "left_anti")
-    prompts = other.select(F.sha2(strip(prompt), 256).alias("_prompt")).distinct()
-    return by_id.withColumn("_prompt", F.sha2(strip(prompt), 256)).join(prompts, "_prompt", "left_anti").drop("_prompt")
+    """Drop rows whose id or trimmed prompt occurs in the other table.
+
+    Ids and prompt digests decide; texts cross the network once, with the rows that are left to keep.
+    """
+    digest = F.sha2(strip(prompt), 256)
+    marked = df.withColumn("_prompt", digest)
+    seen = other.select(ident, digest.alias("_prompt"))
+    keys = marked.select(ident, "_prompt").distinct()
+    keys = keys.join(seen.select(ident).distinct(), ident, "left_anti").join(seen.select("_prompt").distinct(), "_prompt", "left_anti")
+    keys = keys.select(F.col(ident).alias("_ident"), F.col("_prompt").alias("_digest"))
+    same = F.col(ident).eqNullSafe(F.col("_ident")) & F.col("_prompt").eqNullSafe(F.col("_digest"))
+    return marked.join(keys, same, "left_semi").drop("_prompt")
 
 
 def budget_members(ordered: DataFrame, budgets: Sequence[int], position: str = "position") -> DataFrame:

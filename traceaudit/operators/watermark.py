@@ -87,12 +87,13 @@ def green_test(
     if contexts is not None:
         scored = scored.join(contexts.select("context").distinct(), "context", "left_semi")
     unique = deduplicate(scored, mode)
-    pairs = unique.groupBy("context", "token").agg(F.count(F.lit(1)).alias("n"))
     if membership is None:
         if key is None:
             raise ValueError("give a key or a membership table")
-        marked = pairs.withColumn("green", hashed_green(key, gamma))
+        # Membership depends on the row alone: no pair has to meet its likes.
+        marked = unique.select(F.lit(1).alias("n"), hashed_green(key, gamma).alias("green"))
     else:
+        pairs = unique.groupBy("context", "token").agg(F.count(F.lit(1)).alias("n"))
         green = membership.select("context", "token").distinct().withColumn("green", F.lit(True))
         marked = pairs.join(green, ["context", "token"], "left")
     counts = marked.agg(

@@ -8,7 +8,7 @@ from traceaudit.plans.registry import Query
 
 FAMILIES = (
     "corpus", "provenance", "monitor", "traffic", "capability", "fidelity", "quality", "cost",
-    "transcripts", "text", "watermark", "sources", "streams", "checks",
+    "transcripts", "text", "watermark", "sources", "streams", "checks", "adapters",
 )
 
 

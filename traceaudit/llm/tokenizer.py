@@ -12,8 +12,8 @@ import struct
 
 import numpy as np
 
-#: Words that a worker remembers; when they are as many, it starts anew.
-CACHE_WORDS = 600_000
+#: Words that a worker learns before it forgets those that it has not met since it had last learnt as many.
+CACHE_WORDS = 300_000
 #: Marks that end words. An apostrophe is none: the pre-tokenizer has its own rule for contractions.
 _MARKS = ".,!%&*$#|;:?"
 #: Byte-level alphabet: printable bytes of Latin-1 stand for themselves, the others for the characters from 256 on.
@@ -26,8 +26,9 @@ class _Words(dict):
     """Word to its ids, as little-endian unsigned 32-bit bytes; ``lead`` stands before each word."""
 
     def __init__(self, tokenizer, lead: str) -> None:
-        self._lead = lead
+        self._lead, self._mark = lead, lead.translate(_ALPHABET)
         self._tail: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         self._cut = tokenizer.pre_tokenizer.pre_tokenize_str
         self._merge = tokenizer.model.tokenize
 
@@ -40,8 +41,12 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > CACHE_WORDS:
+            self._old = dict(self)
             self.clear()
             self._tail.clear()
+        if word in self._old:
+            self[word] = found = self._old[word]
+            return found
         base = word.rstrip(_MARKS)
         if base and len(base) < len(word) and base.isalpha():
             mark = word[len(base) :]
@@ -49,7 +54,10 @@ class _Words(dict):
                 self._tail[mark] = self._ids(mark)
             found = self[base] + self._tail[mark]
         elif word.isalpha():  # letters only are one pre-token
-            found = self._part((self._lead + word).encode().decode("latin-1").translate(_ALPHABET))
+            if word.isascii():  # these stand for themselves in the byte alphabet
+                found = self._part(self._mark + word)
+            else:
+                found = self._part(self._mark + word.encode().decode("latin-1").translate(_ALPHABET))
         else:
             found = self._ids(self._lead + word)
         self[word] = found
@@ -72,16 +80,16 @@ class Encoder:
         """Ids of one text as little-endian unsigned 32-bit bytes."""
         if not text:
             return b""
-        if text.count(" ") + text.count("\n") + 1 != len(text.split()):
+        words, lines = text.split(), text.split("\n")
+        if text.count(" ") + len(lines) != len(words) or len(" ".join(words)) != len(text):
             whole = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
             return np.array(whole.ids, dtype="<u4").tobytes()
-        found: list[bytes] = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            found.append(self._first[first])
-            found.extend(map(self._next.__getitem__, rest))
-            found.append(self._newline)
-        found.pop()
+        found = list(map(self._next.__getitem__, words))
+        at = 0
+        for line in lines:  # no space is before its first word, but a newline
+            found[at] = self._newline + self._first[words[at]]
+            at += line.count(" ") + 1
+        found[0] = found[0][len(self._newline) :]
         return b"".join(found)
 
 

@@ -124,12 +124,27 @@ def provenance_detector_report(spark, sf_dir):
     )
 
 
-@query("provenance_detector_bounds")
+# The bound is the rate at which so few hits or fewer have a chance of 5 %: bisection over the sum of binomial terms.
+TERM = "exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln((lo + hi) / 2) + (n - j) * ln(1 - (lo + hi) / 2))"
+
+
+@query(
+    "provenance_detector_bounds",
+    f"""WITH RECURSIVE {SCORES}, {threshold_sql('higher', 0.05)}, test AS (SELECT * FROM scores WHERE part = 'test'),
+c AS ({COUNTS.format(t='(SELECT threshold FROM locked)')} FROM test),
+kn AS (SELECT 'calibration' AS part, (SELECT fp FROM cand, locked WHERE cand.score = locked.threshold)::BIGINT AS k, (SELECT count(*) FROM neg)::BIGINT AS n UNION ALL SELECT 'test', false_positives, n_negative FROM c),
+bis AS (SELECT part, k, n, k::DOUBLE / n AS lo, 1.0::DOUBLE AS hi, 0 AS i FROM kn
+UNION ALL SELECT part, k, n, CASE WHEN above THEN (lo + hi) / 2 ELSE lo END, CASE WHEN above THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM (SELECT *, list_sum([{TERM} FOR j IN range(0, k + 1)]) > 0.05 AS above FROM bis WHERE i < 50)),
+b AS (SELECT max(hi) FILTER (part = 'calibration') AS cal, max(hi) FILTER (part = 'test') AS tst FROM bis WHERE i = 50),
+w AS (SELECT cal, tst, tpr, [r FOR r IN [CASE WHEN cal > 0.05 THEN '{P.CALIBRATION_BOUND}' END, CASE WHEN tst > 0.05 THEN '{P.TEST_BOUND}' END, CASE WHEN fpr > 0.05 THEN '{P.TEST_FPR}' END] IF r IS NOT NULL] AS reasons FROM b, c)
+SELECT round(cal, 7) AS calibration_fpr_upper, round(tst, 7) AS test_fpr_upper, CASE WHEN len(reasons) = 0 THEN tpr END AS tpr_at_target_fpr, array_to_string(reasons, '; ') AS withheld FROM w""",
+)
 def provenance_detector_bounds(spark, sf_dir):
     rows = scores(spark, sf_dir)
     report = P.detector_report(rows.filter("part = 'test'"), rows.filter("part = 'calibration'"), 0.05, "higher")
     return report.select(
-        "calibration_fpr_upper", "test_fpr_upper", "tpr_at_target_fpr", F.concat_ws("; ", "withheld_reasons").alias("withheld")
+        F.round("calibration_fpr_upper", 7).alias("calibration_fpr_upper"), F.round("test_fpr_upper", 7).alias("test_fpr_upper"),
+        "tpr_at_target_fpr", F.concat_ws("; ", "withheld_reasons").alias("withheld"),
     )
 
 

@@ -64,10 +64,24 @@ def watermark_green_membership(spark, sf_dir):
     return found.select("scored_tokens", "green_score")
 
 
-@query("watermark_p_values")
+def normal_cdf_sql(x: str) -> str:
+    """Normal distribution function by Simpson's rule between 0 and the value."""
+    weight = "CASE WHEN j = 0 OR j = 600 THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(0.5 + ({x}) / 1800.0 / sqrt(2 * pi()) * list_sum([({weight}) * exp(-0.5 * (j * ({x}) / 600.0) * (j * ({x}) / 600.0)) FOR j IN range(0, 601)]))"
+
+
+# Contexts of two words, each (context, token) pair once; the binomial tail is a sum of its terms.
+@query(
+    "watermark_p_values",
+    f"""WITH {WORDS}, s AS (SELECT doc_id, i, t[i - 2] || ' ' || t[i - 1] AS context, t[i] AS token FROM (SELECT doc_id, t, unnest(range(4, len(t) + 1)) AS i FROM w)),
+u AS (SELECT DISTINCT context, token FROM s), c AS (SELECT count(*) AS n, count(*) FILTER ({GREEN}) AS g FROM u), z AS (SELECT n, g, (g - 0.25 * n) / sqrt(n * 0.25 * 0.75) AS z FROM c)
+SELECT round(1 - {normal_cdf_sql('z')}, 7) AS p_value_z, round(z, 6) AS z_score,
+round(list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.25) + (n - j) * ln(0.75)) FOR j IN range(g, n + 1)]), 6) AS p_value_binomial FROM z""",
+)
 def watermark_p_values(spark, sf_dir):
     found = W.green_test(words(spark, sf_dir), "doc_id", "tokens", 2, GAMMA, key="key", mode="v2")
-    return found.select("p_value_z", "p_value_binomial", "z_score")
+    places = {"p_value_z": 7, "p_value_binomial": 6, "z_score": 6}
+    return found.select(*[F.round(c, p).alias(c) for c, p in places.items()])
 
 
 @query(
@@ -133,7 +147,14 @@ def watermark_context_mass(spark, sf_dir):
     )
 
 
-@query("watermark_phase_table")
+PHASE_KEY = [((i * 37) % 19 - 9) / 9.0 for i in range(64)]
+
+
+@query(
+    "watermark_phase_table",
+    f"""WITH p AS (SELECT vec_id, list_dot_product(embedding::DOUBLE[], {PHASE_KEY}::DOUBLE[]) / sqrt(64 / 3.0) AS x FROM embeddings)
+SELECT vec_id, round({normal_cdf_sql('x')}, 7) AS phase FROM p""",
+)
 def watermark_phase_table(spark, sf_dir):
-    key = [((i * 37) % 19 - 9) / 9.0 for i in range(64)]
-    return W.phase_table(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", key)
+    found = W.phase_table(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", PHASE_KEY)
+    return found.withColumn("phase", F.round("phase", 7))

@@ -8,16 +8,30 @@ from traceaudit.functions.text import interval_distance, length_group, ngrams, r
 from traceaudit.operators import quality as Q
 from traceaudit.plans.corpus import key_sql
 from traceaudit.plans.registry import Catalog, table
+from traceaudit.plans.text import WS
 
 CATALOG = Catalog()
 query = CATALOG.query
 
-WORDS = f"""
-words AS (SELECT doc_id, lang, CASE WHEN {key_sql('text')} = '' THEN [] ELSE string_split({key_sql('text')}, ' ') END AS t FROM documents),
+BLANK_SPLIT = f"""
+words AS (SELECT doc_id, lang, CASE WHEN {key_sql('text')} = '' THEN [] ELSE string_split({key_sql('text')}, ' ') END AS t FROM documents),"""
+UNICODE_SPLIT = rf"""
+words AS (SELECT doc_id, lang, [replace(lower(x), 'ß', 'ss') FOR x IN regexp_extract_all(text, '[\x{{3400}}-\x{{4dbf}}\x{{4e00}}-\x{{9fff}}\x{{f900}}-\x{{faff}}\x{{20000}}-\x{{2fa1f}}]|[\p{{L}}\p{{N}}]+(?:[''’\-][\p{{L}}\p{{N}}]+)*|[^{WS}]')] AS t FROM documents),"""
+GRAMS = """
 grams AS (SELECT doc_id, lang, len(t) AS n,
   CASE WHEN len(t) > 1 THEN 1.0 - len(list_distinct([t[i] || ' ' || t[i + 1] FOR i IN range(1, len(t))]))::DOUBLE / (len(t) - 1) END AS r2,
   CASE WHEN len(t) > 2 THEN 1.0 - len(list_distinct([t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] FOR i IN range(1, len(t) - 1)]))::DOUBLE / (len(t) - 2) END AS r3,
   CASE WHEN len(t) > 3 THEN 1.0 - len(list_distinct([t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] || ' ' || t[i + 3] FOR i IN range(1, len(t) - 2)]))::DOUBLE / (len(t) - 3) END AS r4 FROM words)"""
+WORDS = BLANK_SPLIT + GRAMS
+REPETITION = """SELECT lang, count(*)::BIGINT AS sample_count, count(*) FILTER (n = 0)::BIGINT AS empty_count, round(avg(n), 6) AS mean_tokens, min(n)::BIGINT AS min_tokens, max(n)::BIGINT AS max_tokens,
+round(avg(coalesce(r2, 0)), 9) AS rep_2, round(avg(coalesce(r3, 0)), 9) AS rep_3, round(avg(coalesce(r4, 0)), 9) AS rep_4,
+count(*) FILTER (r2 IS NULL)::BIGINT AS short_2, count(*) FILTER (r3 IS NULL)::BIGINT AS short_3, count(*) FILTER (r4 IS NULL)::BIGINT AS short_4,
+round(count(*) FILTER (n = 0)::DOUBLE / count(*), 9) AS empty_rate FROM grams GROUP BY 1"""
+
+
+def rounded(found):
+    places = {"rep_2": 9, "rep_3": 9, "rep_4": 9, "empty_rate": 9, "mean_tokens": 6}
+    return found.withColumns({c: F.round(c, p) for c, p in places.items()})
 
 
 def documents(spark, sf_dir):
@@ -26,16 +40,10 @@ def documents(spark, sf_dir):
 
 @query(
     "quality_repetition",
-    f"""WITH {WORDS} SELECT lang, count(*)::BIGINT AS sample_count, count(*) FILTER (n = 0)::BIGINT AS empty_count, round(avg(n), 6) AS mean_tokens, min(n)::BIGINT AS min_tokens, max(n)::BIGINT AS max_tokens,
-round(avg(coalesce(r2, 0)), 9) AS rep_2, round(avg(coalesce(r3, 0)), 9) AS rep_3, round(avg(coalesce(r4, 0)), 9) AS rep_4,
-count(*) FILTER (r2 IS NULL)::BIGINT AS short_2, count(*) FILTER (r3 IS NULL)::BIGINT AS short_3, count(*) FILTER (r4 IS NULL)::BIGINT AS short_4,
-round(count(*) FILTER (n = 0)::DOUBLE / count(*), 9) AS empty_rate FROM grams GROUP BY 1""",
+    f"WITH {WORDS} {REPETITION}",
 )
 def quality_repetition(spark, sf_dir):
-    found = Q.repetition(documents(spark, sf_dir), "text", tokenizer="whitespace", by=["lang"])
-    return found.withColumns({c: F.round(c, 9) for c in ("rep_2", "rep_3", "rep_4", "empty_rate")}).withColumn(
-        "mean_tokens", F.round("mean_tokens", 6)
-    )
+    return rounded(Q.repetition(documents(spark, sf_dir), "text", tokenizer="whitespace", by=["lang"]))
 
 
 @query(
@@ -49,9 +57,9 @@ def quality_repetition_long_texts(spark, sf_dir):
     return found.select("lang", F.round("rep_2", 9).alias("rep_2"), F.round("rep_4", 9).alias("rep_4"))
 
 
-@query("quality_repetition_unicode")
+@query("quality_repetition_unicode", f"WITH {UNICODE_SPLIT}{GRAMS} {REPETITION}")
 def quality_repetition_unicode(spark, sf_dir):
-    return Q.repetition(documents(spark, sf_dir), "text", tokenizer="unicode_cjk", by=["lang"])
+    return rounded(Q.repetition(documents(spark, sf_dir), "text", tokenizer="unicode_cjk", by=["lang"]))
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceaudit.llm import ann, hosts, jaccard, lm, mixing, packing, quality, substrings, tokenfiles, warc
+from traceaudit.llm.sql import HOST_RULES, JACCARD, SUBSTRINGS, WARC
 from traceaudit.llm.store import fresh_folder
 from traceaudit.plans.registry import Catalog
 
@@ -27,9 +28,9 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-@CATALOG.query("op2_host_quality_rules")
+@CATALOG.query("op2_host_quality_rules", HOST_RULES)
 def op2_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hosts.judge(_table(spark, sf_dir, "documents"))
+    return hosts.judge(_table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 9))
 
 
 @CATALOG.query("op3_source_mix")
@@ -47,9 +48,9 @@ def op4_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
-@CATALOG.query("op5_substring_dedup")
+@CATALOG.query("op5_substring_dedup", SUBSTRINGS)
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.removal_digest(_table(spark, sf_dir, "documents"))
+    return substrings.removal_digest(_table(spark, sf_dir, "documents")).drop("spans")
 
 
 @CATALOG.query("op6_nearest_neighbours")
@@ -58,16 +59,16 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
-@CATALOG.query("op7_warc_archives")
+@CATALOG.query("op7_warc_archives", WARC)
 def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "archives")
     warc.write_archives(_table(spark, sf_dir, "pages"), folder)
     return warc.read_archives(spark, folder).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified", "url", "file", "start"
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified"
     )
 
 
-@CATALOG.query("op8_ngram_jaccard_join")
+@CATALOG.query("op8_ngram_jaccard_join", JACCARD)
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 

@@ -69,19 +69,22 @@ def word_vocabulary(background: DataFrame, size: int = VOCABULARY) -> np.ndarray
 
     def most(table: pa.Table) -> pa.Table:
         keys, (counts,) = _unpacked_counts(table, 1)
-        top = np.lexsort((keys, -counts))[:wanted]
-        return pa.table({"word": keys[top].view(np.int64), "n": counts[top]})
+        top = np.sort(np.lexsort((keys, -counts))[:wanted])
+        packed = planes(np.diff(keys[top], prepend=np.uint64(0)), counts[top])
+        return pa.table({"n": pa.array([len(top)], pa.int32()), "packed": [packed]})
 
     packed = background.select("text").mapInArrow(count, "bucket int, n int, packed binary")
-    words = packed.groupBy("bucket").applyInArrow(most, "word bigint, n bigint")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches([*batches], pa.schema([("word", pa.int64()), ("n", pa.int64())]))
-        keys, counts = held.column("word").to_numpy().view(np.uint64), held.column("n").to_numpy()
-        yield from held.take(pa.array(np.lexsort((keys, -counts))[:wanted])).to_batches()
+        held = pa.Table.from_batches([*batches], pa.schema([("n", pa.int32()), ("packed", pa.binary())]))
+        if held.num_rows:
+            keys, (counts,) = _unpacked_counts(held, 1)
+            top = np.lexsort((keys, -counts))[:wanted]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[top].view(np.int64)), pa.array(counts[top])], ["word", "n"])
 
     # Buckets meet in the root of their number of tasks, which leaves the driver as many candidates of each at most.
-    words = words.repartition(max(1, round(buckets**0.5))).mapInArrow(best, "word bigint, n bigint")
+    tops = packed.groupBy("bucket").applyInArrow(most, "n int, packed binary")
+    words = tops.repartition(max(1, round(buckets**0.5))).mapInArrow(best, "word bigint, n bigint")
     # As in the buckets, ties go to the smaller unsigned hash.
     top = words.orderBy(F.desc("n"), F.col("word") < 0, "word").limit(wanted).select("word").toPandas()
     return np.sort(top["word"].to_numpy(dtype=np.int64).view(np.uint64))
@@ -100,7 +103,7 @@ def bigram_cells(batch: pa.RecordBatch, vocabulary: np.ndarray, size: int) -> tu
 
 
 def bigram_counts(flagged: DataFrame, vocabulary: np.ndarray, size: int = VOCABULARY) -> DataFrame:
-    """``cell, background, target``: counts over all rows, and over those whose ``target`` is true."""
+    """Counts of cells over all rows, and over those whose ``target`` is true: one packed row per bucket (``n``, ``packed``)."""
     buckets = _buckets(flagged)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,25 +117,34 @@ def bigram_counts(flagged: DataFrame, vocabulary: np.ndarray, size: int = VOCABU
                 yield _packed_counts(keys.astype(np.uint64), [b.astype(np.int64) for b in both], buckets)
 
     def add(table: pa.Table) -> pa.Table:
-        keys, (background, target) = _unpacked_counts(table, 2)
-        return pa.table({"cell": keys.astype(np.int64), "background": background, "target": target})
+        keys, sums = _unpacked_counts(table, 2)
+        return pa.table({"n": pa.array([len(keys)], pa.int32()), "packed": [planes(np.diff(keys, prepend=np.uint64(0)), *sums)]})
 
     packed = flagged.select("_packed", "target").mapInArrow(count, "bucket int, n int, packed binary")
-    return packed.groupBy("bucket").applyInArrow(add, "cell bigint, background bigint, target bigint")
+    return packed.groupBy("bucket").applyInArrow(add, "n int, packed binary")
 
 
-def loss_table(cells: np.ndarray, counts: np.ndarray, size: int, weight: float = BIGRAM_WEIGHT) -> np.ndarray:
-    """Loss of each word after each other, in nats: bigram and unigram shares, interpolated."""
-    table = np.zeros(size * size, dtype=np.float32)
-    table[cells] = counts
-    table = table.reshape(size, size)
+def loss_tables(counts: DataFrame, size: int, weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """Loss tables of the target and of the background. What is gathered has an entry per cell of a table at most."""
+    background, target = (np.zeros(size * size, dtype=np.float32) for _ in range(2))
+    for row in counts.collect():
+        keys, b, t = unplaned(bytes(row.packed), row.n, "u8", "i8", "i8")
+        cells = np.cumsum(keys).astype(np.int64)
+        background[cells], target[cells] = b, t
+    return loss_table(target, size, weight), loss_table(background, size, weight)
+
+
+def loss_table(counts: np.ndarray, size: int, weight: float = BIGRAM_WEIGHT) -> np.ndarray:
+    """Loss of each word after each other, in nats: bigram and unigram shares, interpolated. Works in place."""
+    table = counts.reshape(size, size)
     unigrams = table.sum(axis=0, dtype=np.float64) + 1
     unigrams[START] = 0  # no word is the start
     after = np.maximum(table.sum(axis=1, dtype=np.float64), 1)
     table *= (weight / after)[:, None].astype(np.float32)
     table += ((1 - weight) * unigrams / unigrams.sum()).astype(np.float32)
     with np.errstate(divide="ignore"):
-        return -np.log(table)
+        np.log(table, out=table)
+    return np.negative(table, out=table).ravel()
 
 
 def score(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY, weight: float = BIGRAM_WEIGHT) -> DataFrame:
@@ -144,9 +156,7 @@ def score(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY,
     words = word_vocabulary(rows, vocabulary)
     marks = target_ids.select(F.col("doc_id").cast("bigint")).filter("doc_id is not null").distinct().withColumn("target", F.lit(True))
     flagged = packed_texts(rows).join(marks.hint("merge"), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
-    counts = bigram_counts(flagged, words, vocabulary).toPandas()  # a row for each cell of the table at most
-    cells = counts["cell"].to_numpy(dtype=np.int64)
-    losses = [loss_table(cells, counts[c].to_numpy(dtype=np.float32), vocabulary, weight).ravel() for c in ("target", "background")]
+    losses = loss_tables(bigram_counts(flagged, words, vocabulary), vocabulary, weight)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from traceaudit.functions import stats as N
+from traceaudit.functions.hashing import ordered_hash
 from traceaudit.operators import ordering, probes, traffic
 
 
@@ -65,3 +66,12 @@ def test_windows_per_entity(spark):
     assert sizes == {("a", w): 7 for w in range(8)} | {("b", w): 7 for w in range(4)}
     nearest = traffic.min_prev_distance(cut, "i", by=["who"]).filter("min_distance is not null")
     assert nearest.filter("who = 'b'").agg(F.min("min_distance"), F.max("min_distance")).first()[:] == (3.0, 3.0)
+
+
+def test_ordered_hash_of_sparse_positions(spark):
+    rows = [((1 << 40) * k + 3, f"t{k}") for k in range(200)]
+    random.Random(2).shuffle(rows)
+    df = spark.createDataFrame(rows, "p bigint, t string")
+    a = ordered_hash(df, "p", ["p", "t"], block=8).first()
+    b = ordered_hash(df.repartition(3), "p", ["p", "t"], block=8).first()
+    assert a == b and a["row_count"] == 200

@@ -22,10 +22,13 @@ def put(path, text):
 
 def test_strict_jsonl(spark, tmp_path):
     path = put(f"{tmp_path}/a.jsonl", '{"id": "1", "x": 1.5}\n\n  \n[1]\n{"id": "2", "x": true}\n{bad\n{"id": "3", "x": NaN}\n')
-    rows, broken = jsonl.read_jsonl(spark, path, "id string, x double", strict=False)
+    rows, broken = jsonl.read_jsonl(spark, path, "id string, x double", strict=False, numbered=True)
     assert {r["id"]: r["line_no"] for r in rows.collect()} == {"1": 1, "3": 7}
-    found = {r["row_key"].rsplit(":", 1)[1]: r["rule"] for r in broken.collect()}
-    assert found == {"4": "not_an_object", "5": "not_valid_json", "6": "not_valid_json"}
+    plain, unnumbered = jsonl.read_jsonl(spark, path, "id string, x double", strict=False)
+    assert plain.columns == ["file", "id", "x"] and plain.count() == 2
+    for each in (broken, unnumbered):
+        found = {r["row_key"].rsplit(":", 1)[1]: r["rule"] for r in each.collect()}
+        assert found == {"4": "not_an_object", "5": "not_valid_json", "6": "not_valid_json"}
     _, no_nan = jsonl.read_jsonl(spark, path, "id string, x double", strict=False, allow_nan=False)
     assert no_nan.count() == 4
     with pytest.raises(rules.AuditRuleError):
@@ -45,7 +48,7 @@ def test_line_numbers_over_splits(spark, tmp_path):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
-        rows, _ = jsonl.read_jsonl(spark, path, "id bigint")
+        rows, _ = jsonl.read_jsonl(spark, path, "id bigint", numbered=True)
         assert rows.filter("id <> line_no").count() == 0 and rows.count() == 5000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
@@ -258,12 +261,13 @@ def test_adapters(spark):
 
 
 def test_probe_examples(spark):
-    df = spark.createDataFrame([("1", "cs", "Q", ["x", " y ", "", "N/A"], "1")], "probe_id string, category string, question string, options array<string>, answer string")
+    df = spark.createDataFrame([("1", "cs", "Q", ["x", " y ", "", "N/A"], "1", 1)], "probe_id string, category string, question string, options array<string>, answer string, answer_index int")
     shots = spark.createDataFrame([("cs", i, f"E{i}", ["u", "v"], "v", "" if i else "think") for i in range(7)], "category string, position int, question string, options array<string>, answer string, cot_content string")
     row = probes.build_probes(df, ["cs"], shots).withColumn("p", probes.probe_prompt("question", "options", "few_shot_examples")).first()
     assert row["answer"] == "B" and len(row["few_shot_examples"]) == 5
     assert row["p"].startswith(probes.HEADER) and "Question:\nE0\nOptions:\nA. u\nB. v\nAnswer: Let's think step by step. think" in row["p"]
     assert "Answer: Let's think step by step. The answer is (B)." in row["p"] and row["p"].endswith("Question:\nQ\nOptions:\nA. x\nB. y\nAnswer: Let's think step by step.")
+    assert probes.build_probes(df.drop("answer_index"), ["cs"]).first()["answer"] is None  # a text is no index
     assert probes.build_probes(df.withColumn("options", F.array(F.lit("x"), F.lit("N/A")))).count() == 0
     matches = spark.createDataFrame([("field_cs",), ("cs",), ("csx",)], "c string").select(probes.category_matches("c", ["CS"]).alias("v"))
     assert [r["v"] for r in matches.collect()] == [True, True, False]

@@ -87,12 +87,15 @@ def ordered_hash(df: DataFrame, position: str, parts: list[str], block: int = 1
 
     Rows are hashed one by one, then blocks of consecutive positions over their
     row hashes, then blocks of blocks. No task sees more than ``block`` short
-    hashes, and the last step sees rows / block**2 of them. The value is not
+    hashes; where positions are so sparse that more than ``block`` blocks are
+    left, these are hashed in blocks once more, until the last step has few. The value is not
     that of ``stable_hash`` over the same list, so the scheme is named.
     """
     row_hash = F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256)
     rows = df.select(F.col(position).cast("bigint").alias("p"), row_hash.alias("h"), F.lit(1).cast("bigint").alias("n"))
     tree = _hash_level(_hash_level(rows, block), block)
+    while tree.limit(block + 1).count() > block:
+        tree = _hash_level(tree, block)
     merged = tree.agg(F.array_sort(F.collect_list(F.struct("p", "h"))).alias("tops"), F.sum("n").alias("n"))
     return merged.select(
         F.lit(f"block-sha256/{block}").alias("scheme"),

@@ -31,6 +31,7 @@ EXCLUSIVE_LOGS = (
     "teacher_received_queries.jsonl", "combined_teacher.jsonl", "teacher_raw.jsonl", "transcript.jsonl",
     "preferences.jsonl",
 )
+PLAN_BLOCK = 1 << 16
 SAMPLE_STAMP = r"_\d{4}-\d{2}-\d{2}T.*$"
 ADAPTIVE_ATTACKS = ("dipper", "translation")
 ADAPTIVE_DEFENSES = ("adfp", "ginsew", "radioactivity")
@@ -217,7 +218,10 @@ def log_from_manifest(catalog: DataFrame, pool: DataFrame, limit: int | None = N
         F.lit("pool_too_short").alias("rule"), F.col("source_path").alias("row_key"), F.format_string("%d rows, need %d", "have", "wanted").alias("detail")
     )
     # A manifest asks for a contiguous prefix, so its rows are its own index range.
-    ranges = plans.filter("wanted > 0").withColumn("order_index", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("wanted") - 1)))
+    # Two steps, so that no row holds an array as long as a budget.
+    blocks = plans.filter("wanted > 0").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("wanted") - 1) / PLAN_BLOCK))))
+    last = F.least(F.col("wanted"), (F.col("_block") + 1) * PLAN_BLOCK) - 1
+    ranges = blocks.withColumn("order_index", F.explode(F.sequence(F.col("_block") * PLAN_BLOCK, last))).drop("_block")
     rows = ranges.join(pool, "order_index").select(
         F.col("prompt_id").alias("id"), F.col("prompt_id").alias("query_id"), strip("prompt_text").alias("query"),
         "attack", F.col("run_id").alias("attack_run_id"), F.col("order_index").alias("source_index"), "source_path",

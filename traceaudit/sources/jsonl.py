@@ -28,13 +28,13 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     )
 
 
-def number_lines(lines: DataFrame) -> DataFrame:
-    """Add the 1-based line number inside the file.
+def number_lines(lines: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """Add the 1-based line number inside the file; ``every`` has all lines if ``lines`` are some of them.
 
     Rows of a block are consecutive, so only one small row per block (its first
     row and its length) is shuffled and joined back.
     """
-    blocks = lines.groupBy("file", "block").agg(F.min("row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    blocks = (lines if every is None else every).groupBy("file", "block").agg(F.min("row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("file", "block", "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     joined = lines.join(offsets, ["file", "block"])
@@ -47,16 +47,19 @@ def read_jsonl(
     schema: str | T.StructType | None = None,
     strict: bool = True,
     allow_nan: bool = True,
+    numbered: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of a JSON-lines table and the lines that are not valid objects.
 
     With a schema, fields become typed columns and a value of the wrong type
     (a boolean in a number field, say) breaks its line. Without one, each row
     is a VARIANT column ``raw`` (which never admits NaN). Blank lines are
-    skipped. ``strict=False`` drops broken lines silently, as a resume scan
+    skipped. Broken lines carry their number; good rows do if ``numbered``,
+    which takes a second look at the file for the lengths of its blocks. ``strict=False`` drops broken lines silently, as a resume scan
     does; the violations are returned either way.
     """
-    lines = number_lines(read_lines(spark, paths)).withColumn("line", strip("line")).filter("line <> ''")
+    every = read_lines(spark, paths)
+    lines = (number_lines(every) if numbered else every).withColumn("line", strip("line")).filter("line <> ''")
     is_object = F.col("line").startswith("{")
     if schema is None:
         parsed = lines.withColumn("raw", F.try_parse_json("line"))
@@ -74,12 +77,13 @@ def read_jsonl(
         good = is_object & F.col("_r._corrupt").isNull()
         fields = [f"_r.{f.name}" for f in wanted.fields]
     place = F.concat_ws(":", "file", F.col("line_no").cast("string"))
-    broken = parsed.filter(~F.coalesce(good, F.lit(False))).select(
+    bad = parsed.filter(~F.coalesce(good, F.lit(False)))
+    broken = (bad if numbered else number_lines(bad, every)).select(
         F.when(is_object, "not_valid_json").otherwise("not_an_object").alias("rule"),
         place.alias("row_key"),
         F.col("line").alias("detail"),
     )
-    rows = parsed.filter(good).select("file", "line_no", *fields)
+    rows = parsed.filter(good).select("file", *(["line_no"] if numbered else []), *fields)
     if strict:
         rules.enforce(broken, "invalid JSON lines")
     return rows, broken

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from traceaudit.llm import ann, warc
 from traceaudit.llm.components import connected_components
@@ -112,6 +113,43 @@ def test_few_or_no_vectors(spark):
     assert ann.search(none, none).count() == 0
 
 
+def test_isolated_groups_get_all_neighbours(spark, monkeypatch):
+    """Groups of three vectors, each far from all others: lists that hold one group alone do not end a search."""
+    monkeypatch.setattr(ann, "PER_LIST", 3)
+    draw = np.random.default_rng(5)
+    vectors = np.repeat(draw.normal(size=(40, 32)), 3, axis=0) + draw.normal(size=(120, 32)) * 1e-3
+    table = spark.createDataFrame([(k, v.astype(np.float32).tolist(), 0, 1, 0.5) for k, v in enumerate(vectors)], VECTORS)
+    found = collections.defaultdict(list)
+    for r in ann.search(table, table).orderBy("query_id", "rank").collect():
+        found[r.query_id].append(r.vec_id)
+    assert {q: len(set(n)) for q, n in found.items()} == dict.fromkeys(range(120), 5)
+    assert all({n // 3 for n in found[q][:2]} == {q // 3} for q in found)
+
+
+def test_short_queries_are_compared_with_all_rows(spark, monkeypatch):
+    """With lists that hold a few vectors each and no list beyond the nearest, the exact pass finds what is missing."""
+    monkeypatch.setattr(ann, "PER_LIST", 3)
+    monkeypatch.setattr(ann, "LEAST_HELD", 0)
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    draw = np.random.default_rng(8)
+    rows = [(k, v.astype(np.float32).tolist(), 0, 1, 0.5) for k, v in enumerate(draw.normal(size=(90, 8)))]
+    table = spark.createDataFrame(rows, VECTORS)
+    found = collections.defaultdict(list)
+    for r in ann.search(table, table, search_ratio=0.0, replicas=1).orderBy("query_id", "rank").collect():
+        found[r.query_id].append(r.vec_id)
+    assert {q: len(set(n)) for q, n in found.items()} == {k: 5 for k in range(90)}
+
+
+def test_repeated_ids_crowd_out_nobody(spark):
+    """Rows of one id count once among equal vectors and among the k best, whether their vectors are equal or not."""
+    alike = [(1, [1.0, 0.001 * k], 0, 0, 0.0) for k in range(7)]
+    rows = [(0, [1.0, 0.0], 0, 0, 0.0)] + [(1, [1.0, 0.0], 0, 0, 0.0)] * 6 + alike
+    rows += [(k, [1.0, 0.0], 0, 0, 0.0) for k in (2, 3)] + [(k, [1.0, 0.1 * k], 0, 0, 0.0) for k in (4, 5, 6)]
+    table = spark.createDataFrame(rows, VECTORS)
+    found = ann.search(table, table.filter("vec_id = 0")).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == [1, 2, 3, 4, 5]
+
+
 def test_graph_search_meets_all_near_centroids():
     draw = np.random.default_rng(6)
     unit = draw.normal(size=(600, 24))

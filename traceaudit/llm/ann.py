@@ -4,10 +4,11 @@ Centroids are fitted on a sample of at most ``MAX_SAMPLE`` distinct vectors (tho
 and moved until no list of the sample is more than twice the mean. A graph that links each centroid to its nearest
 ones finds, in memory, the centroids near a vector. Every vector enters its nearest list and, as a boundary vector, up
 to ``REPLICAS`` lists whose centroids are nearly as near; a query searches all lists whose centroid is within a ratio of
-its nearest one's distance. Lists and their queries are dealt to tasks in blocks of bounded size.
+its nearest one's distance, and on to the next ones until they hold ``LEAST_HELD * k`` vectors. Lists and their queries
+are dealt to tasks in blocks of bounded size. A query that still has fewer than k neighbours is compared with all rows.
 
-Of equal vectors only the ``k + 1`` smallest ids are indexed: no others can be among the k nearest, ties going to the
-smaller id. So a vector that a third of all rows share fills no list, and no result changes.
+Of equal vectors only the ``k + 1`` smallest ids are indexed, each once: no others can be among the k nearest, ties
+going to the smaller id. So a vector that a third of all rows share fills no list, and no result changes.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those of
 another length than most, nor rows without id; rows that repeat an id are candidates of their own, but none of their
@@ -31,6 +32,8 @@ MAX_SAMPLE, MAX_LISTS, PER_LIST = 20_000, 2048, 200
 REPLICAS, BOUNDARY_RATIO = 2, 0.06
 #: How much farther than the nearest a searched list's centroid may be.
 SEARCH_RATIO = 0.30
+#: Vectors, as a multiple of k, that the searched lists hold at least.
+LEAST_HELD = 10
 LINKS, BEAM = 16, 8
 #: Vectors and queries that a task compares at once.
 BLOCK = 4096
@@ -114,8 +117,14 @@ def _matrix(column: pa.Array, rows: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
 
 
-def _with_lists(rows: DataFrame, centroids: np.ndarray, graph: np.ndarray, ratio: float, most: int | None) -> DataFrame:
-    """A row for each vector and list within the ratio of its nearest one, at most ``most`` of them."""
+def _with_lists(
+    rows: DataFrame, centroids: np.ndarray, graph: np.ndarray, ratio: float, most: int | None,
+    sizes: np.ndarray | None = None, least: int = 0,
+) -> DataFrame:
+    """A row for each vector and list within the ratio of its nearest one, at most ``most`` of them.
+
+    With ``sizes`` of the lists, the next ones follow until those taken hold ``least`` vectors, if the search met as many.
+    """
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,6 +135,12 @@ def _with_lists(rows: DataFrame, centroids: np.ndarray, graph: np.ndarray, ratio
                 if most is not None:
                     rank = np.argsort(np.argsort(far, axis=1, kind="stable"), axis=1, kind="stable")
                     near &= rank < most
+                if sizes is not None:
+                    order = np.argsort(far, axis=1, kind="stable")
+                    held = np.cumsum(sizes[order], axis=1) - sizes[order]
+                    wanted = np.zeros_like(near)
+                    np.put_along_axis(wanted, order, held < least, axis=1)
+                    near |= wanted & np.isfinite(far)
                 row, col = np.nonzero(near)
                 taken = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
@@ -144,15 +159,21 @@ def _blocks(rows: DataFrame, mine: str, other: str, counts: DataFrame) -> DataFr
 
 
 def nearest_of(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, own: np.ndarray, k: int) -> tuple:
-    """Rows (query, vector, cosine) of the k best per query: by a matrix product, then exactly on what is near its bar."""
+    """Rows (query, vector, cosine) of the k best ids per query: by a matrix product, then exactly on what is near its bar."""
     product = _unit(queries) @ _unit(vectors).T
     product[own[:, None] == ids[None, :]] = -np.inf
-    bar = np.partition(product, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+    by_id = np.argsort(ids, kind="stable")
+    firsts = np.flatnonzero(np.diff(ids[by_id], prepend=ids[by_id[0]] - 1))
+    best = product if len(firsts) == len(ids) else np.maximum.reduceat(product[:, by_id], firsts, axis=1)
+    bar = np.partition(best, -min(k, len(firsts)), axis=1)[:, -min(k, len(firsts))]
     row, col = np.nonzero((product >= bar[:, None] - _ROUNDING) & np.isfinite(product))
     length = lambda m: np.sqrt((m * m).sum(axis=1))
     score = (queries[row] * vectors[col]).sum(axis=1) / (length(queries)[row] * length(vectors)[col])
     order = np.lexsort((ids[col], -score, row))
     row, col, score = row[order], col[order], score[order]
+    if len(firsts) < len(ids):  # the best row of each id
+        again = np.unique(np.stack([row, ids[col]]), axis=1, return_index=True)[1]
+        row, col, score = (x[np.sort(again)] for x in (row, col, score))
     place = np.arange(len(row)) - np.searchsorted(row, row)
     return row[place < k], col[place < k], score[place < k]
 
@@ -165,7 +186,8 @@ def search(
     rows = valid_vectors(table, key, vector)
     asked = valid_vectors(queries, key, vector)
     least = Window.partitionBy("vector").orderBy("vec_id")
-    indexed = materialise(rows.withColumn("_rank", F.row_number().over(least)).filter(F.col("_rank") <= k + 1))
+    distinct = rows.dropDuplicates(["vec_id", "vector"])
+    indexed = materialise(distinct.withColumn("_rank", F.dense_rank().over(least)).filter(F.col("_rank") <= k + 1))
     first = indexed.filter("_rank = 1")
     count = first.count()
     sample = bounded_sample(first, "vec_id", MAX_SAMPLE, count).select("vector").toPandas()["vector"]
@@ -175,7 +197,10 @@ def search(
     centroids = fit_centroids(_unit(np.array(sample.tolist(), dtype=np.float64)), lists)
     graph = link_centroids(centroids)
     postings = materialise(_with_lists(indexed, centroids, graph, boundary_ratio, replicas))
-    wanted = materialise(_with_lists(asked, centroids, graph, search_ratio, None))
+    sizes = np.zeros(lists, dtype=np.int64)
+    for row in postings.groupBy("list").agg(F.count_distinct("vec_id").alias("n")).collect():
+        sizes[row["list"]] = row.n
+    wanted = materialise(_with_lists(asked, centroids, graph, search_ratio, None, sizes, LEAST_HELD * k + 1))
     blocks = F.ceil(F.count("*") / BLOCK).cast("int")
     counts = postings.groupBy("list").agg(blocks.alias("n_vb")).join(wanted.groupBy("list").agg(blocks.alias("n_qb")), "list")
 
@@ -192,12 +217,25 @@ def search(
             found.append((own[at : at + 256][row], ids[col], score))
         return pa.table([pa.array(np.concatenate(x)) for x in zip(*found)], names)
 
-    keys = ["list", "vb", "qb"]
-    near = (
-        _blocks(wanted, "n_qb", "n_vb", counts).groupBy(*keys)
-        .cogroup(_blocks(postings, "n_vb", "n_qb", counts).groupBy(*keys))
-        .applyInArrow(compare, "query_id bigint, vec_id bigint, score double")
-    )
+    def nearest(asked: DataFrame, held: DataFrame, counts: DataFrame) -> DataFrame:
+        keys = ["list", "vb", "qb"]
+        near = (
+            _blocks(asked, "n_qb", "n_vb", counts).groupBy(*keys)
+            .cogroup(_blocks(held, "n_vb", "n_qb", counts).groupBy(*keys))
+            .applyInArrow(compare, "query_id bigint, vec_id bigint, score double")
+        )
+        return near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    found = materialise(nearest(wanted, postings, counts))
+    enough = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select(F.col("query_id").alias("vec_id"))
+    short = materialise(asked.join(enough, "vec_id", "left_anti").withColumn("list", F.lit(0)))
+    if n_short := short.count():
+        every = indexed.select("vec_id", "vector", F.lit(0).alias("list"))
+        n_every = indexed.count()
+        one = rows.sparkSession.range(1).select(
+            F.lit(0).alias("list"), F.lit(-(-n_every // BLOCK)).alias("n_vb"), F.lit(-(-n_short // BLOCK)).alias("n_qb")
+        )
+        short_ids = short.select(F.col("vec_id").alias("query_id")).distinct()
+        found = found.join(short_ids, "query_id", "left_anti").unionByName(nearest(short, every, one))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from traceaudit.operators import probes, rules, transcripts
+from traceaudit.plans import checks
 from traceaudit.session import DEFAULTS
 from traceaudit.sources import bundles, catalog, jsonl, pools, sinks, tasks
 from traceaudit.streaming import monitor as stream
@@ -303,3 +304,19 @@ def test_stream_windows_over_batches(spark, tmp_path):
         out = run_stream(spark, source, lambda s: stream.batch_stream(s, 5), tmp_path, "w")
     got = sorted((r["batch"], r["slot"], r["item"]) for r in spark.read.parquet(out).collect())
     assert got == [(i // 5, i % 5, f"i{i}") for i in range(10)]
+
+
+def test_pool_documents_hold_one_block(spark, tmp_path, monkeypatch):
+    """A source larger than a block is written as several pools and read back in one numbering."""
+    monkeypatch.setattr(checks, "POOL_BLOCK", 7, raising=False)
+    monkeypatch.setattr(checks, "scratch", lambda _: str(tmp_path / "pools"))
+    rows = [(k, f"text {k}", None if k % 10 == 9 else "big" if k % 10 else "small") for k in range(100)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.source, r.position, r.prompt_id, r.prompt_text) for r in checks.source_pool_rows(spark, str(tmp_path)).collect()}
+    want = set()
+    for source in ("big", "small", None):
+        for position, (k, text, _) in enumerate(r for r in rows if r[2] == source):
+            want.add((source, position, str(k) if k % 3 else f"row_{position:08d}", text))
+    assert got == want
+    sizes = [len(json.loads(line)["queries"]) for f in (tmp_path / "pools").rglob("part-*") for line in f.read_text().splitlines()]
+    assert sum(sizes) == 100 and max(sizes) == 7

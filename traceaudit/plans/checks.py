@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from traceaudit.functions import hashing
 from traceaudit.operators import capability, cost, fidelity, provenance, quality
 from traceaudit.operators import transcripts as X
+from traceaudit.operators.ordering import positions
 from traceaudit.operators.rules import row_rules
+from traceaudit.operators.transcripts import pool_id, variant_fields
 from traceaudit.plans.registry import Catalog, table
 from traceaudit.session import checkpoint_root
 from traceaudit.sources import bundles, catalog, jsonl, pools, sinks
@@ -44,6 +46,9 @@ def source_jsonl_typed(spark, sf_dir):
     return counted.unionByName(faults)
 
 
+#: Documents of a source that one JSON pool holds at most.
+POOL_BLOCK = 1024
+
 POOL = """WITH p AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position FROM documents)"""
 
 
@@ -52,17 +57,29 @@ POOL = """WITH p AS (SELECT source, doc_id, text, row_number() OVER (PARTITION B
     f"{POOL} SELECT source, position::BIGINT AS position, CASE WHEN doc_id % 3 = 0 THEN format('row_{{:08d}}', position) ELSE doc_id::VARCHAR END AS prompt_id, text AS prompt_text FROM p",
 )
 def source_pool_rows(spark, sf_dir):
-    """One JSON pool per source, some records without id."""
-    docs = table(spark, sf_dir, "documents")
+    """JSON pools of at most ``POOL_BLOCK`` documents of a source, some records without id."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    # The key is never null, so documents without source are numbered too.
+    keyed = docs.withColumn("_pool", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    numbered = positions(keyed, ["doc_id"], by=["_pool"], sample_of=docs.select("doc_id")).drop("_pool")
     record = F.struct(F.when(F.col("doc_id") % 3 != 0, F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("prompt"))
     path = scratch(spark)
-    pool = docs.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", record.alias("r")))), lambda x: x["r"]).alias("queries"))
-    pool.select("source", F.struct("queries", F.struct(F.col("source").alias("name")).alias("meta")).alias("v")).select(
-        "source", F.to_json("v").alias("value")
-    ).repartition("source").write.partitionBy("source").option("lineSep", "\n").text(path)
+    block = F.floor((F.col("position") - 1) / POOL_BLOCK).cast("bigint")
+    pool = numbered.groupBy("source", block.alias("block")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("position", record.alias("r")))), lambda x: x["r"]).alias("queries")
+    )
+    meta = F.struct(F.col("source").alias("name"), (F.col("block") * POOL_BLOCK).alias("first"))
+    pool.select("source", "block", F.to_json(F.struct("queries", meta.alias("meta"))).alias("value")).write.partitionBy(
+        "source", "block"
+    ).option("lineSep", "\n").text(path)
     rows, meta = pools.read_pool(spark, path)
-    named = meta.select("path", F.try_variant_get("meta", "$.name", "string").alias("source"))
-    return rows.join(named, "path").select("source", F.col("position").cast("bigint").alias("position"), "prompt_id", "prompt_text")
+    named = meta.select(
+        "path", F.try_variant_get("meta", "$.name", "string").alias("source"), F.try_variant_get("meta", "$.first", "bigint").alias("_first")
+    )
+    placed = rows.join(named, "path").withColumn("position", F.col("_first") + F.col("position"))
+    # A record without id is named by its place in the source, not in its block.
+    prompt_id = pool_id(variant_fields("raw"), "position")
+    return placed.select("source", "position", prompt_id.alias("prompt_id"), "prompt_text")
 
 
 @query(

@@ -420,3 +420,33 @@ def test_losses_like_by_hand(spark, docs, empty):
         assert found[doc].target_loss == pytest.approx(np.mean([target(*p) for p in pairs]), abs=1e-4)
         assert found[doc].background_loss == pytest.approx(np.mean([background(*p) for p in pairs]), abs=1e-4)
     assert lm.score(empty, good).count() == 0
+
+
+def test_every_word_has_its_own_entry(spark, monkeypatch):
+    """Texts that differ from the target in rare topic words alone score differently, as by hand, over many chunks."""
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 2000)
+    common = [f"c{k}" for k in range(3000)] * 2
+    rows = [(k, " ".join(common[k * 40 : k * 40 + 40])) for k in range(150)]
+    rows += [(1000, "apple pear plum fig"), (1001, "apple pear plum fig"), (1002, "iron zinc tin lead"), (None, "Apple zinc"), (1003, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = {r.doc_id: r for r in lm.score(docs, spark.createDataFrame([(1000,), (3,)], "doc_id bigint")).collect()}
+    texts = [(d, (t or "").lower().split()) for d, t in rows]
+    entries = len({w for _, t in texts for w in t}) + 1
+
+    def model(some):
+        pairs = collections.Counter(p for t in some for p in zip(["<s>", *t], t))
+        after, single = collections.Counter(), collections.Counter()
+        for (a, b), n in pairs.items():
+            after[a] += n
+            single[b] += n
+        total = sum(single.values()) + entries
+        return lambda a, b: -np.log(0.7 * pairs[a, b] / max(after[a], 1) + 0.3 * (single[b] + 1) / total)
+
+    target, background = model([t for d, t in texts if d in (1000, 3)]), model([t for _, t in texts])
+    for doc, words in texts:
+        if words:
+            pairs = list(zip(["<s>", *words], words))
+            assert found[doc].target_loss == pytest.approx(np.mean([target(*p) for p in pairs]), abs=1e-9)
+            assert found[doc].background_loss == pytest.approx(np.mean([background(*p) for p in pairs]), abs=1e-9)
+    assert len(found) == len(rows) and found[1003].score is None
+    assert found[1001].score < found[1002].score - 1

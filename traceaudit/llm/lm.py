@@ -1,20 +1,23 @@
 """Language-model scoring by cross-entropy difference.
 
-Two bigram models, of a target corpus and of the background corpus, share one vocabulary: the ``vocabulary`` most
-frequent words of the background, counted over all of it, besides one entry for all other words and one for the start
-of a document. Both are smoothed alike, with their own unigrams. A document's score is the mean over its words of the
-target's loss minus the background's: below 0 for texts that the target's model expects more.
+Two bigram models, of a target corpus and of the background corpus, share one vocabulary: every word of the background,
+or its ``vocabulary`` most frequent words if a number is given, besides one entry for all other words and one for the
+start of a document. Both are smoothed alike, with their own unigrams. A document's score is the mean over its words of
+the target's loss minus the background's: below 0 for texts that the target's model expects more.
 
-Counts are made per chunk of texts, packed by bucket and summed in Spark. What scoring tasks need is two tables of
-``vocabulary``² losses, whose size depends on that parameter and not on the corpus.
+Texts are stored in chunks. Each chunk sends its distinct bigrams, words and predecessors with their counts to buckets,
+once each however frequent they are; a bucket sums them over all chunks and answers each chunk with the sums in the order
+in which it asked. So chunks are scored with the counts of their own words, and the models stay in Spark: the driver gets
+three totals.
 
 Defined results: null, empty and blank texts have no words and null losses and score; rows without ``doc_id`` are
 scored and counted as background; rows that repeat a ``doc_id`` are texts of their own, all of them target if the id is.
-Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, told apart by 64-bit hashes. Other columns are ignored.
+Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, told apart by 64-bit hashes (bigrams by 62 bits). Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traceaudit.llm.store import materialise
 from traceaudit.llm.texts import hashed_words, mixed, packed_texts, planes, slices, unpacked, unplaned
 
-#: Entries of the vocabulary with the two special ones.
-VOCABULARY = 2048
-OTHER, START = 0, 1
+#: Stand for the hash of all other words and of the start of a document.
+OTHER, START = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+#: Kinds of keys, in their two lowest bits.
+PAIR, WORD, BEFORE = (np.uint64(k) for k in range(3))
 #: Weight of bigrams beside unigrams.
 BIGRAM_WEIGHT = 0.7
 CHUNK_BYTES = 4 << 20
@@ -36,10 +41,15 @@ def _buckets(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _bucketed(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each key, and the order of keys in which buckets follow each other."""
+    bucket = (mixed(keys) % np.uint64(buckets)).astype(np.int64)
+    return bucket, np.argsort(bucket, kind="stable")
+
+
 def _packed_counts(keys: np.ndarray, counts: list[np.ndarray], buckets: int) -> pa.RecordBatch:
     """Ascending keys with their counts, one row per bucket."""
-    bucket = (mixed(keys) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    bucket, order = _bucketed(keys, buckets)
     out = []
     for rows in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
         k = keys[rows]
@@ -57,7 +67,7 @@ def _unpacked_counts(table: pa.Table, columns: int) -> tuple[np.ndarray, list[np
     return distinct, sums
 
 
-def word_vocabulary(background: DataFrame, size: int = VOCABULARY) -> np.ndarray:
+def word_vocabulary(background: DataFrame, size: int) -> np.ndarray:
     """Hashes of the most frequent words, ascending; ties go to the smaller hash."""
     buckets, wanted = _buckets(background), size - 2
 
@@ -90,88 +100,125 @@ def word_vocabulary(background: DataFrame, size: int = VOCABULARY) -> np.ndarray
     return np.sort(top["word"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
-def bigram_cells(batch: pa.RecordBatch, vocabulary: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cell (previous word, word) of each word, and the number of words of each text."""
+def model_keys(batch: pa.RecordBatch, vocabulary: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each word's bigram, of the word and of its predecessor, as three rows, and the words of each text."""
     words, counts = hashed_words(batch, lower=True)
-    at = np.minimum(np.searchsorted(vocabulary, words), max(len(vocabulary) - 1, 0))
-    known = vocabulary[at] == words if len(vocabulary) else np.zeros(len(words), dtype=bool)
-    ids = np.where(known, at + 2, OTHER)
-    before = np.roll(ids, 1)
-    firsts = (np.cumsum(counts) - counts)[counts > 0]
-    before[firsts] = START
-    return before * size + ids, counts
+    if vocabulary is not None:
+        at = np.minimum(np.searchsorted(vocabulary, words), max(len(vocabulary) - 1, 0))
+        known = vocabulary[at] == words if len(vocabulary) else np.zeros(len(words), dtype=bool)
+        words = np.where(known, words, OTHER)
+    before = np.roll(words, 1)
+    before[(np.cumsum(counts) - counts)[counts > 0]] = START
+    tagged = lambda x, kind: (x & ~np.uint64(3)) | kind
+    pairs = mixed(mixed(before) * np.uint64(0x9E3779B97F4A7C15) + words)
+    return np.stack([tagged(pairs, PAIR), tagged(mixed(words), WORD), tagged(mixed(before), BEFORE)]), counts
+
+
+def text_chunks(flagged: DataFrame) -> DataFrame:
+    """Rows of about ``CHUNK_BYTES`` of texts: ``chunk, docs, targets, texts``."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for row in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "target", "_packed", "bytes")]):
+                if held and size + row[3] > CHUNK_BYTES:
+                    yield row_of(held)
+                    held, size = [], 0
+                held.append(row[:3])
+                size += row[3]
+        if held:
+            yield row_of(held)
 
+    def row_of(held: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.binary()))
+        columns = [pa.array([list(c)], k) for c, k in zip(zip(*held), kinds)]
+        name = pa.array([uuid.uuid4().int >> 65], pa.int64())
+        return pa.RecordBatch.from_arrays([name, *columns], ["chunk", "docs", "targets", "texts"])
 
-def bigram_counts(flagged: DataFrame, vocabulary: np.ndarray, size: int = VOCABULARY) -> DataFrame:
-    """Counts of cells over all rows, and over those whose ``target`` is true: one packed row per bucket (``n``, ``packed``)."""
-    buckets = _buckets(flagged)
+    rows = flagged.select("doc_id", "target", "_packed", "bytes")
+    return rows.mapInArrow(gather, "chunk bigint, docs array<bigint>, targets array<boolean>, texts array<binary>")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _texts(row: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
+    """Texts of a chunk's only row."""
+    return pa.RecordBatch.from_arrays([unpacked(pa.array(row.column("texts")[0].as_py(), pa.binary()))], ["text"])
+
+
+def model_sums(chunks: DataFrame, vocabulary: np.ndarray | None, buckets: int) -> DataFrame:
+    """For each chunk and bucket the packed sums of its keys (background, target); totals of each bucket in chunk null."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.RecordBatch.from_arrays([unpacked(batch.column("_packed")), batch.column("target")], ["text", "target"])
-            for part in slices(texts, limit=CHUNK_BYTES):
-                cells, counts = bigram_cells(part, vocabulary, size)
-                target = np.repeat(part.column("target").to_numpy(zero_copy_only=False), counts)
-                keys, at = np.unique(cells, return_inverse=True)
-                both = [np.bincount(at, minlength=len(keys)), np.bincount(at[target], minlength=len(keys))]
-                yield _packed_counts(keys.astype(np.uint64), [b.astype(np.int64) for b in both], buckets)
-
-    def add(table: pa.Table) -> pa.Table:
-        keys, sums = _unpacked_counts(table, 2)
-        return pa.table({"n": pa.array([len(keys)], pa.int32()), "packed": [planes(np.diff(keys, prepend=np.uint64(0)), *sums)]})
-
-    packed = flagged.select("_packed", "target").mapInArrow(count, "bucket int, n int, packed binary")
-    return packed.groupBy("bucket").applyInArrow(add, "n int, packed binary")
-
-
-def loss_tables(counts: DataFrame, size: int, weight: float) -> tuple[np.ndarray, np.ndarray]:
-    """Loss tables of the target and of the background. What is gathered has an entry per cell of a table at most."""
-    background, target = (np.zeros(size * size, dtype=np.float32) for _ in range(2))
-    for row in counts.collect():
-        keys, b, t = unplaned(bytes(row.packed), row.n, "u8", "i8", "i8")
-        cells = np.cumsum(keys).astype(np.int64)
-        background[cells], target[cells] = b, t
-    return loss_table(target, size, weight), loss_table(background, size, weight)
-
-
-def loss_table(counts: np.ndarray, size: int, weight: float = BIGRAM_WEIGHT) -> np.ndarray:
-    """Loss of each word after each other, in nats: bigram and unigram shares, interpolated. Works in place."""
-    table = counts.reshape(size, size)
-    unigrams = table.sum(axis=0, dtype=np.float64) + 1
-    unigrams[START] = 0  # no word is the start
-    after = np.maximum(table.sum(axis=1, dtype=np.float64), 1)
-    table *= (weight / after)[:, None].astype(np.float32)
-    table += ((1 - weight) * unigrams / unigrams.sum()).astype(np.float32)
-    with np.errstate(divide="ignore"):
-        np.log(table, out=table)
-    return np.negative(table, out=table).ravel()
-
-
-def score(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY, weight: float = BIGRAM_WEIGHT) -> DataFrame:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                keys, counts = model_keys(_texts(row), vocabulary)
+                target = np.repeat(np.array(row.column("targets")[0].as_py(), dtype=bool), counts)
+                distinct, place = np.unique(keys, return_inverse=True)
+                place = place.reshape(keys.shape)
+                both = [np.bincount(p.ravel(), minlength=len(distinct)).astype(np.int64) for p in (place, place[:, target])]
+                packed = _packed_counts(distinct, both, buckets)
+                chunk = pa.array([row.column("chunk")[0].as_py()] * packed.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([chunk, *packed.columns], ["chunk", *packed.schema.names])
+
+    def answer(asked: pa.Table) -> pa.Table:
+        parts = list(zip(*[asked.column(c).to_pylist() for c in ("chunk", "bucket", "n", "packed")]))
+        distinct, sums = _unpacked_counts(asked, 2)
+        rows = []
+        for chunk, bucket, n, packed in parts:
+            at = np.searchsorted(distinct, np.cumsum(unplaned(packed, n, "u8", "i8", "i8")[0]))
+            rows.append((chunk, bucket, n, planes(*[c[at] for c in sums]), None, None))
+        words = (distinct & np.uint64(3)) == WORD
+        rows.append((None, parts[0][1], int(words.sum()), None, *[int(c[words].sum()) for c in sums]))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+        names = ["chunk", "bucket", "n", "packed", "background", "target"]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    asked = chunks.select("chunk", "targets", "texts").mapInArrow(ask, "chunk bigint, bucket int, n int, packed binary")
+    return asked.groupBy("bucket").applyInArrow(
+        answer, "chunk bigint, bucket int, n int, packed binary, background bigint, target bigint"
+    )
+
+
+def score(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None, weight: float = BIGRAM_WEIGHT) -> DataFrame:
     """``doc_id, n_words, target_loss, background_loss, score`` of every document.
 
-    The background is ``docs``; the target those of its documents whose ``doc_id`` is in ``target_ids``.
+    The background is ``docs``; the target those of its documents whose ``doc_id`` is in ``target_ids``. ``vocabulary``
+    counts the two special entries; without it every word has an entry.
     """
     rows = docs.select(F.col("doc_id").cast("bigint"), "text")
-    words = word_vocabulary(rows, vocabulary)
+    words = None if vocabulary is None else word_vocabulary(rows, vocabulary)
+    buckets = _buckets(docs)
     marks = target_ids.select(F.col("doc_id").cast("bigint")).filter("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    flagged = packed_texts(rows).join(marks.hint("merge"), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
-    losses = loss_tables(bigram_counts(flagged, words, vocabulary), vocabulary, weight)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                at, n = bigram_cells(part, words, vocabulary)
-                ends = np.cumsum(n)
-                means = []
-                for loss in losses:
-                    total = np.concatenate([[0.0], np.cumsum(loss[at], dtype=np.float64)])
-                    means.append((total[ends] - total[ends - n]) / np.maximum(n, 1))
-                none = n == 0
-                values = [pa.array(m, pa.float64(), mask=none) for m in (*means, means[0] - means[1])]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), *values],
-                    ["doc_id", "n_words", "target_loss", "background_loss", "score"],
-                )
-
-    return rows.mapInArrow(add, "doc_id bigint, n_words bigint, target_loss double, background_loss double, score double")
+    sized = rows.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)))
+    flagged = packed_texts(sized).join(marks.hint("merge"), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    chunks = materialise(text_chunks(flagged))
+    sums = materialise(model_sums(chunks, words, buckets))
+    found = sums.filter("chunk is null").agg(F.sum("n").alias("n"), F.sum("background").alias("b"), F.sum("target").alias("t")).first()
+    size = vocabulary if vocabulary is not None else (found.n or 0) + 2
+    # No word is the start; each other entry has one more than it was counted.
+    totals = [(x or 0) + size - 1 for x in (found.t, found.b)]
+    names = ["doc_id", "n_words", "target_loss", "background_loss", "score"]
+
+    def add(asked: pa.Table, answers: pa.Table) -> pa.Table:
+        keys, n = model_keys(_texts(asked), words)
+        distinct, place = np.unique(keys, return_inverse=True)
+        place = place.reshape(keys.shape)
+        order = _bucketed(distinct, buckets)[1]
+        parts = sorted(zip(*[answers.column(c).to_pylist() for c in ("bucket", "n", "packed")]))
+        both = [unplaned(packed, count, "i8", "i8") for _, count, packed in parts]
+        ends, means, none = np.cumsum(n), [], n == 0
+        for side, total in zip((1, 0), totals):
+            counts = np.zeros(len(distinct), dtype=np.int64)
+            counts[order] = np.concatenate([np.zeros(0, dtype=np.int64), *[b[side] for b in both]])
+            pair, word, before = counts[place]
+            loss = -np.log(weight * pair / np.maximum(before, 1) + (1 - weight) * (word + 1) / total)
+            upto = np.concatenate([[0.0], np.cumsum(loss)])
+            means.append((upto[ends] - upto[ends - n]) / np.maximum(n, 1))
+        values = [pa.array(m, pa.float64(), mask=none) for m in (*means, means[0] - means[1])]
+        return pa.table([pa.array(asked.column("docs")[0].as_py(), pa.int64()), pa.array(n, pa.int64()), *values], names)
+
+    answers = sums.filter("chunk is not null").select("chunk", "bucket", "n", "packed")
+    return (
+        chunks.select("chunk", "docs", "texts").groupBy("chunk").cogroup(answers.groupBy("chunk"))
+        .applyInArrow(add, "doc_id bigint, n_words bigint, target_loss double, background_loss double, score double")
+    )

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceaudit.llm import ann, hosts, jaccard, lm, mixing, packing, quality, substrings, tokenfiles, warc
-from traceaudit.llm.sql import HOST_RULES, JACCARD, SUBSTRINGS, WARC
+from traceaudit.llm import ann, hosts, infill, jaccard, lm, minmax, mixing, packing, quality, substrings, tokenfiles, vectorcodes, warc
+from traceaudit.llm.sql import HOST_RULES, INFILL, JACCARD, MIN_MAX, SUBSTRINGS, VECTOR_CODES, WARC
 from traceaudit.llm.store import fresh_folder
 from traceaudit.plans.registry import Catalog
 
@@ -84,3 +84,21 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_folder(spark, "token-files")
     tokenfiles.write_token_files(_table(spark, sf_dir, "documents"), path, tokenizer_path())
     return tokenfiles.token_spans(spark, path)
+
+
+@CATALOG.query("op11_min_max_near_dedup", MIN_MAX)
+def op11_min_max_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@CATALOG.query("op12_fill_in_middle", INFILL)
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill.transform(_table(spark, sf_dir, "documents"))
+    digests = [F.sha2(c, 256).alias(name) for c, name in ((F.col("output"), "output_sha256"), (infill.restored("output", "form"), "restored_sha256"))]
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+@CATALOG.query("op13_vector_codes", VECTOR_CODES)
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vectorcodes.encode(_table(spark, sf_dir, "embeddings"))
+    return codes.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")

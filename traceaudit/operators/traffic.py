@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceaudit.operators.ordering import hash_draw, hash_fraction, positions, seeded_hash, seeded_positions
+from traceaudit.operators.ordering import hash_draw, hash_fraction, positions, running_totals, seeded_hash, seeded_positions
+from traceaudit.session import materialise
 
 # Default parameters of the detectors.
 BATCH_SIZE = 100
@@ -291,6 +292,21 @@ def evaluation_windows(cut: DataFrame, batches: int = 0, seed: int = 0) -> DataF
 TAILS = ("upper", "lower", "two-sided")
 
 
+def exact_percentile(scores: DataFrame, value: str, percentile: float) -> float | None:
+    """Percentile with linear interpolation, from counts per distinct value and their running totals, at any number of rows."""
+    known = scores.filter(F.col(value).isNotNull()).select(value)
+    counts = materialise(known.groupBy(value).agg(F.count("*").alias("_n")))
+    total = counts.agg(F.sum("_n").alias("n")).first().n
+    if not total:
+        return None
+    place = (total - 1) * percentile / 100.0
+    low = int(place)
+    upto = running_totals(counts, value, {"_n": "_upto"})
+    wanted = [F.min(F.when(F.col("_upto") > rank, F.col(value))) for rank in (low, min(low + 1, total - 1))]
+    a, b = upto.agg(*wanted).first()
+    return a + (b - a) * (place - low)
+
+
 def null_bounds(scores: DataFrame, percentile: float = THRESHOLD_PERCENTILE, tail: str = "upper") -> tuple[float | None, float | None]:
     """Bounds of the null scores (``samples`` rows): below the first or above the second a window is flagged.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from traceaudit.operators import history as H
 from traceaudit.operators import traffic as T
 from traceaudit.operators.corpus import split_by_ratio
 from traceaudit.plans.corpus import digest_sql, draw_sql
@@ -12,7 +13,7 @@ from traceaudit.plans.registry import Catalog, table
 CATALOG = Catalog()
 query = CATALOG.query
 
-SIZE = 20
+SIZE = T.BATCH_SIZE
 SEED = 20260701
 
 
@@ -32,14 +33,38 @@ CUT = """
 cut AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, (row_number() OVER (ORDER BY vec_id) - 1) // {size} AS w, (row_number() OVER (ORDER BY vec_id) - 1) % {size} AS slot FROM embeddings {where})"""
 
 
+PREV_DISTANCE = """SELECT a.vec_id, round(min(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS min_distance
+FROM embeddings a LEFT JOIN embeddings b ON b.vec_id < a.vec_id {on} GROUP BY 1"""
+
+
+def _prev_distance(spark, sf_dir, **options):
+    found = H.nearest_earlier_distance(embeddings(spark, sf_dir), ["vec_id"], **options)
+    return found.select("vec_id", F.round("min_distance", 6).alias("min_distance"))
+
+
+@query("traffic_min_prev_distance", PREV_DISTANCE.format(on=""))
+def traffic_min_prev_distance(spark, sf_dir):
+    return _prev_distance(spark, sf_dir)
+
+
+@query("traffic_prev_distance_in_rings", PREV_DISTANCE.format(on=""))
+def traffic_prev_distance_in_rings(spark, sf_dir):
+    """The same with blocks so small that short histories go through cells and rings too."""
+    return _prev_distance(spark, sf_dir, pivots=8, rings=4, block_rows=64)
+
+
+@query("traffic_account_prev_distance", PREV_DISTANCE.format(on="AND a.label = b.label"))
+def traffic_account_prev_distance(spark, sf_dir):
+    return _prev_distance(spark, sf_dir, by=["label"], block_rows=32)
+
+
 @query(
-    "traffic_min_prev_distance",
-    f"""WITH {CUT.format(size=100, where='')} SELECT a.w::BIGINT AS "window", a.vec_id, round(min(list_distance(a.e, b.e)), 6) AS min_distance
-FROM cut a LEFT JOIN cut b ON a.w = b.w AND b.slot < a.slot GROUP BY 1, 2""",
+    "traffic_account_prev_cosine",
+    """SELECT a.vec_id, round(min(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS min_distance
+FROM embeddings a LEFT JOIN embeddings b ON b.vec_id < a.vec_id AND a.label = b.label GROUP BY 1""",
 )
-def traffic_min_prev_distance(spark, sf_dir):
-    cut = T.windows(embeddings(spark, sf_dir), "vec_id", keep_last=True)
-    return T.min_prev_distance(cut, "vec_id").withColumn("min_distance", F.round("min_distance", 6))
+def traffic_account_prev_cosine(spark, sf_dir):
+    return _prev_distance(spark, sf_dir, by=["label"], metric="cosine")
 
 
 SIMILAR = """
@@ -68,17 +93,26 @@ def traffic_similar_pair_count(spark, sf_dir):
 
 @query(
     "traffic_null_decision",
-    f"""WITH {CUT.format(size=SIZE, where='')}, {SIMILAR.format(size=SIZE)}, s AS (SELECT w, count(*) FILTER (s >= 0.3)::DOUBLE / count(*) AS score FROM pairs GROUP BY 1),
-t AS (SELECT quantile_cont(score, 0.8) AS t FROM s)
-SELECT round(t, 9) AS threshold, count(*)::BIGINT AS windows, count(*) FILTER (score > t)::BIGINT AS detected_windows, round(count(*) FILTER (score > t)::DOUBLE / count(*), 9) AS detection_rate FROM s, t GROUP BY t""",
+    f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e, CASE WHEN label >= 7 THEN 'observed' WHEN {draw_sql('vec_id', SEED)} < 0.8 THEN 'train' ELSE 'benign' END AS role FROM embeddings),
+p AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY role) AS n FROM e),
+cut AS (SELECT role, i // {SIZE} AS w, i % {SIZE} AS slot, e FROM p WHERE role <> 'train' OR i // {SIZE} < n // {SIZE}),
+s AS (SELECT a.role, a.w, count(*) FILTER (list_cosine_similarity(a.e, b.e) >= 0.3)::DOUBLE / count(*) AS score FROM cut a JOIN cut b ON a.role = b.role AND a.w = b.w AND a.slot < b.slot GROUP BY 1, 2),
+al AS (SELECT DISTINCT role, w FROM cut), sc AS (SELECT role, coalesce(score, 0.0) AS score FROM al LEFT JOIN s USING (role, w)),
+t AS (SELECT quantile_cont(score, 0.95) AS t FROM sc WHERE role = 'train')
+SELECT role, round(t, 9) AS threshold, count(*)::BIGINT AS windows, count(*) FILTER (score > t)::BIGINT AS detected_windows, round(count(*) FILTER (score > t)::DOUBLE / count(*), 9) AS detection_rate
+FROM sc, t WHERE role <> 'train' GROUP BY role, t""",
 )
 def traffic_null_decision(spark, sf_dir):
-    scores = T.seat(T.windows(embeddings(spark, sf_dir), "vec_id", SIZE), 0.3)
-    threshold = T.null_threshold(scores, 80.0)
-    rate = T.detection_rate(T.flag_windows(scores, threshold))
-    return rate.withColumn("detection_rate", F.round("detection_rate", 9)).withColumn(
-        "threshold", F.round(F.lit(threshold), 9)
-    )
+    """The bound comes from all count windows of the training part; the rest of the benign log and the observed log are rated."""
+    train, held_out = T.held_out_split(benign(spark, sf_dir), "vec_id", SEED)
+    null = T.seat(T.windows(train, "vec_id", SIZE), 0.3)
+    threshold = T.exact_percentile(null, "score", T.THRESHOLD_PERCENTILE)
+    rated = None
+    for role, rows in (("benign", held_out), ("observed", observed(spark, sf_dir))):
+        part = T.seat(T.windows(rows, "vec_id", SIZE, keep_last=True), 0.3).withColumn("role", F.lit(role))
+        rated = part if rated is None else rated.unionByName(part)
+    rate = T.detection_rate(T.flag_windows(rated, threshold), "role")
+    return rate.withColumn("detection_rate", F.round("detection_rate", 9)).withColumn("threshold", F.round(F.lit(threshold), 9))
 
 
 def _report(spark, sf_dir, score, tail):
@@ -144,9 +178,9 @@ def traffic_pair_similarity(spark, sf_dir):
 @query(
     "traffic_mixed_windows",
     f"""WITH o AS (SELECT vec_id, label >= 7 AS obs, row_number() OVER (PARTITION BY label >= 7 ORDER BY {digest_sql('vec_id', 5)}, vec_id) AS p FROM embeddings),
-n AS (SELECT count(*) FILTER (obs) AS no, count(*) FILTER (NOT obs) AS nb FROM o), r AS (SELECT ratio, take, no // take AS k, least(no // take, nb // (20 - take)) AS windows FROM (VALUES (0.1, 2), (0.5, 10)) AS v(ratio, take), n)
-SELECT ratio::DOUBLE AS ratio, ((p - 1) // CASE WHEN obs THEN take ELSE 20 - take END)::BIGINT AS "window", vec_id, CASE WHEN obs THEN 'observed' ELSE 'benign' END AS role
-FROM o, r WHERE (p - 1) // CASE WHEN obs THEN take ELSE 20 - take END < windows""",
+n AS (SELECT count(*) FILTER (obs) AS no, count(*) FILTER (NOT obs) AS nb FROM o), r AS (SELECT ratio, take, no // take AS k, least(no // take, nb // ({SIZE} - take)) AS windows FROM (VALUES (0.1, {SIZE // 10}), (0.5, {SIZE // 2})) AS v(ratio, take), n)
+SELECT ratio::DOUBLE AS ratio, ((p - 1) // CASE WHEN obs THEN take ELSE {SIZE} - take END)::BIGINT AS "window", vec_id, CASE WHEN obs THEN 'observed' ELSE 'benign' END AS role
+FROM o, r WHERE (p - 1) // CASE WHEN obs THEN take ELSE {SIZE} - take END < windows""",
 )
 def traffic_mixed_windows(spark, sf_dir):
     return T.mixed_batches(benign(spark, sf_dir), observed(spark, sf_dir), "vec_id", [0.1, 0.5], SIZE, 5)

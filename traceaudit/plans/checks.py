@@ -13,9 +13,10 @@ from traceaudit.operators import transcripts as X
 from traceaudit.operators.ordering import positions
 from traceaudit.operators.rules import row_rules
 from traceaudit.operators.transcripts import pool_id, variant_fields
+from traceaudit.plans.corpus import key_sql
 from traceaudit.plans.registry import Catalog, table
 from traceaudit.session import checkpoint_root
-from traceaudit.sources import bundles, catalog, jsonl, pools, sinks
+from traceaudit.sources import bundles, catalog, jsonl, large_pools, pools, sinks
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -82,16 +83,41 @@ def source_pool_rows(spark, sf_dir):
     return placed.select("source", "position", prompt_id.alias("prompt_id"), "prompt_text")
 
 
+#: What the records of the large pools hold beside their text: nothing in it is structure.
+POOL_NOTE = '}],{"queries": [\\"[{,'
+
+
+@query(
+    "source_large_pool_rows",
+    """SELECT doc_id::VARCHAR AS prompt_id, text AS prompt_text, lang AS note_lang, 'documents' AS pool, true AS in_place FROM documents""",
+)
+def source_large_pool_rows(spark, sf_dir):
+    """All documents as JSON pools of any size, one per writing task, read by as many tasks as they have splits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    here = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    note = F.struct(F.lit(POOL_NOTE).alias("text"), F.array("lang").alias("langs"))
+    record = F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("prompt"), note.alias("note"), here.alias("at"))
+    path = scratch(spark)
+    large_pools.write_large_pool(docs.select(F.to_json(record).alias("record")), path, '{"name": "documents", "of": [1, {"a": "]"}]}')
+    rows, meta = large_pools.read_large_pool(spark, path)
+    names = meta.select("path", F.try_variant_get("meta", "$.name", "string").alias("pool"))
+    at, lang = (F.try_variant_get("raw", p, k) for p, k in (("$.at", "bigint"), ("$.note.langs[0]", "string")))
+    return rows.join(names, "path").select(
+        "prompt_id", "prompt_text", lang.alias("note_lang"), "pool", (at == F.col("position")).alias("in_place")
+    )
+
+
 @query(
     "source_pool_violations",
-    """SELECT 'empty_prompt' AS rule, count(*) FILTER (text = '')::BIGINT AS n FROM documents HAVING count(*) FILTER (text = '') > 0
-UNION ALL SELECT 'duplicate_id', count(*)::BIGINT FROM (SELECT lang, doc_id % 50 AS k FROM documents GROUP BY 1, 2 HAVING count(*) > 1)""",
+    f"""SELECT 'empty_prompt' AS rule, count(*) FILTER (text = '')::BIGINT AS n FROM documents HAVING count(*) FILTER (text = '') > 0
+UNION ALL SELECT 'duplicate_id', count(*)::BIGINT FROM (SELECT lang, doc_id % 50 AS k FROM documents GROUP BY 1, 2 HAVING count(*) > 1)
+UNION ALL SELECT 'duplicate_prompt', count(*)::BIGINT FROM (SELECT lang, {key_sql('text')} AS k FROM documents GROUP BY 1, 2 HAVING count(*) > 1) HAVING count(*) > 0""",
 )
 def source_pool_violations(spark, sf_dir):
     pool = table(spark, sf_dir, "documents").select(
         F.col("lang").alias("path"), (F.col("doc_id") % 50).cast("string").alias("prompt_id"), F.col("text").alias("prompt_text")
     )
-    return pools.pool_violations(pool).filter("rule <> 'duplicate_prompt'").groupBy("rule").agg(F.count("*").alias("n"))
+    return pools.pool_violations(pool).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @query(

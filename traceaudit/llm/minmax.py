@@ -37,7 +37,7 @@ PERMUTATIONS, BAND_ROWS = 64, 4
 #: Sets whose estimate is this far below the threshold are no candidates.
 FLOOR = 0.2
 #: Members of a tile at most: signatures, sets, and bytes of sets.
-TILE_SIGNATURES, TILE_SETS, TILE_BYTES = 4096, 512, 16 << 20
+TILE_SIGNATURES, TILE_SETS, TILE_BYTES = 1024, 512, 16 << 20
 _CHUNK_BYTES = 2 << 20
 
 
@@ -156,7 +156,8 @@ def forest(
 ) -> DataFrame:
     """Links ``a, b`` that connect what is connected in each group of ``members`` (``grp, hub, tiles, node``).
 
-    ``tiles`` is the number of tiles of a row's group, ``hub`` one of its nodes; ``fetch`` adds each node's ``data``.
+    ``tiles`` is the number of tiles of a row's group, ``hub`` one of its nodes; ``fetch`` adds each node's ``data``
+    where ``members`` leave it out.
     Groups of a tile are done at once; of larger ones each tile first connects its own members and the hub, and members
     that it leaves apart from the hub then meet all other tiles.
     """
@@ -291,7 +292,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     tiles = F.greatest(F.ceil(F.count("*") / TILE_SETS), F.ceil(8 * F.sum("n") / TILE_BYTES)).cast("int")
     sizes = named.groupBy("grp").agg(tiles.alias("tiles"), F.min("node").alias("hub"))
     wanted = materialise(named.drop("n").join(sizes, "grp"))
-    linked = connected_components(forest(wanted, lambda rows: _grams(docs, rows, width), _alike_sets(percent)))
+    # Texts are shuffled once; what a large group's second meeting needs is read again.
+    linked = connected_components(forest(materialise(_grams(docs, wanted, width)), lambda rows: rows, _alike_sets(percent)))
     classed = distinct.select("n", "node", "k2", "doc_id").join(linked, "node", "left").withColumn("_class", F.coalesce("component", "node"))
     least = classed.groupBy("_class").agg(F.min("doc_id").alias("component_id"))
     found = classed.join(least, "_class").select("n", F.col("node").alias("k1"), "k2", "component_id")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceaudit.llm.texts import slices
+from traceaudit.llm.texts import slices, utf8
 from traceaudit.llm.tokenizer import encoder
 
 LENGTH = 1024
@@ -52,17 +52,20 @@ def balance(lengths: list[int], capacity: int, linear: float = LINEAR, quadratic
 def pack(
     docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = 0,
     window_tokens: int = WINDOW_TOKENS, linear: float = LINEAR, quadratic: float = QUADRATIC, with_ids: bool = True,
+    escape_special: bool = False,
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, if wanted, ``ids``.
 
     Every row of ``docs`` (``doc_id``, ``text``) is a document of its own, so repeated ones are packed as often; a null
     or empty text is the end id alone; a null ``doc_id`` stays null. Each task packs what it reads, with no shuffle;
     ``sequence_id`` holds the task's number above bit 40. Read ``docs`` from files: a task that runs again after the
-    loss of an executor then meets the same rows and packs them alike.
+    loss of an executor then meets the same rows and packs them alike. Texts of any length are packed whole, ties in
+    length go to the earlier document, an empty table gives no pieces, and other columns are ignored, whatever their
+    names. The string of a special token in a text is that token, unless ``escape_special``.
     """
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end = encoder(tokenizer_path), np.uint32(end_id).tobytes()
+        bpe, end = encoder(tokenizer_path, escape_special), np.uint32(end_id).tobytes()
         sequence = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         rests: list[tuple] = []  # doc_id, start, tokens of the document, bytes of the rest
@@ -94,8 +97,10 @@ def pack(
 
         for batch in batches:
             for part in slices(batch):
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    ids = bpe.encode(text or "") + end
+                found, sizes = bpe.encode_texts(*utf8(part.column("text")))
+                raw, ends = found.tobytes(), (4 * np.cumsum(sizes)).tolist()
+                for doc_id, a, b in zip(part.column("doc_id").to_pylist(), [0, *ends], ends):
+                    ids = raw[a:b] + end
                     total = len(ids) // 4
                     whole = total // length * length
                     for at in range(0, whole, length):

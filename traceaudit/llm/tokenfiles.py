@@ -3,6 +3,9 @@
 Row: ``doc_id``, ``ids`` (a list of ints, the end id last) and ``n_tokens``. Integers are dictionary-encoded, or packed
 as deltas where a dictionary grows too large; row groups and pages have set sizes and page indexes, so a reader gets
 the lengths without the ids, and a few documents without the others.
+
+Texts of any length are encoded whole; an empty table gives files without rows. Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from traceaudit.llm.texts import slices
+from traceaudit.llm.texts import slices, utf8
 from traceaudit.llm.tokenizer import encoder
 
 #: Bytes of a row group, of a page, and rows of a page.
@@ -23,40 +26,35 @@ ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 1 << 20, 20_000
 SCHEMA = "doc_id bigint, ids array<int>, n_tokens bigint"
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
-    """``doc_id``, ``ids`` with the end id, ``n_tokens``; a null text is empty. Keeps order and partitions."""
+def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, escape_special: bool = False) -> DataFrame:
+    """``doc_id``, ``ids`` with the end id, ``n_tokens``; a null text is empty. Keeps order and partitions.
+
+    The string of a special token in a text is that token, as in a plain call of the library, unless ``escape_special``.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end = encoder(tokenizer_path), np.uint32(end_id).tobytes()
+        bpe = encoder(tokenizer_path, escape_special)
         for batch in batches:
             for part in slices(batch):
-                found = [bpe.encode(text or "") + end for text in part.column("text").to_pylist()]
-                sizes = np.array([len(x) // 4 for x in found], dtype=np.int32)
-                bounds = np.zeros(len(found) + 1, dtype=np.int32)
-                np.cumsum(sizes, out=bounds[1:])
-                values = pa.array(np.frombuffer(b"".join(found), dtype="<i4"))
-                ids = pa.ListArray.from_arrays(pa.array(bounds), values)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), ids, pa.array(sizes.astype(np.int64))], ["doc_id", "ids", "n_tokens"]
-                )
+                found, sizes = bpe.encode_texts(*utf8(part.column("text")))
+                ids = np.insert(found.view("<i4"), np.cumsum(sizes), end_id)
+                bounds = np.append(0, np.cumsum(sizes + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(sizes + 1)], ["doc_id", "ids", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text")).mapInArrow(encode, SCHEMA)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, escape_special: bool = False) -> None:
     """Write the ids of ``docs`` (``doc_id``, ``text``), one file per range of ``doc_id``.
 
     Texts, which are smaller than their ids, go through the one shuffle. Ranges also cut by a hash of the text, so a
     repeated doc_id fills no task; rows of one doc_id stand in the order of that hash and the text, null ids first.
     """
-    tie = F.xxhash64("text")
-    ordered = (
-        docs.select("doc_id", "text")
-        .repartitionByRange("doc_id", tie)
-        .sortWithinPartitions("doc_id", tie, "text")
-    )
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie"))
+    ordered = hashed.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie", "text")
     (
-        encode_documents(ordered, tokenizer_path, end_id)
+        encode_documents(ordered, tokenizer_path, end_id, escape_special)
         .write.option("compression", "zstd")
         .option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.block.size", ROW_GROUP_BYTES)

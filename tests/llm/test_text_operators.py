@@ -7,11 +7,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
-from traceaudit.llm import hosts, jaccard, lm, mixing, packing, quality, substrings, tokenfiles
+from traceaudit.llm import hosts, jaccard, lm, mixing, packing, quality, substrings, tokenfiles, tokenizer
 from traceaudit.llm.queries import tokenizer_path
 from traceaudit.llm.store import fresh_folder
+from traceaudit.llm.texts import utf8
 from traceaudit.llm.tokenizer import Encoder
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -184,12 +187,32 @@ def test_jaccard_keeps_one_of_each_group(docs, empty):
 
 
 def test_encoder_equals_the_library():
-    bpe = Encoder(tokenizer_path())
+    bpe, plain = Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
     odd = ["a  b", "\n\na", "a\n\nb", " x", "x ", "a  b", "a b c", "it's 'tis  don't. x", "x\r\ny", "a\tb", "é.è ,b", "c12,3 <|endoftext|> y"]
     odd += ["", "\n", " ", "a\x1c b", "日本 語。 x", "a.́ b", "x'.' y", "l'été, x", "ñ ÑE!! x3. 3.", "ab-cd e_f"]
+    odd += ["<|endoftext|>", "a<|endoftext|>", "x <|endoftext|>\n<|endoftext|> y <|endof", "a\u00a0b", "a \u2003b", "x\u3000y \u1680z \u2028 w\u205f"]
     for text in odd + [t for t in made_texts(8, 60) if t]:
-        want = np.array(bpe._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        want = np.array(plain.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         assert bpe.encode(text) == want, repr(text)
+    assert np.frombuffer(bpe.encode("a <|endoftext|>"), dtype="<u4").tolist()[-1] == 50256
+    escaped = Encoder(tokenizer_path(), escape_special=True)
+    assert 50256 not in np.frombuffer(escaped.encode("a <|endoftext|>"), dtype="<u4").tolist()
+
+
+def test_slices_of_texts_equal_the_library(monkeypatch):
+    """Many texts at once, words met again and words forgotten in between."""
+    monkeypatch.setattr(tokenizer, "KNOWN_WORDS", 400)
+    monkeypatch.setattr(tokenizer, "_RECENT_WORDS", 50)
+    monkeypatch.setattr(tokenizer, "CACHE_WORDS", 30)
+    bpe, plain, draw = Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path()), random.Random(3)
+    pool = [t or "" for seed in range(4) for t in made_texts(seed, 40)[:-2]] + ["a  b", "", " x", "x <|endoftext|>", "a\n"]
+    pool += [" ".join(f"w{draw.randrange(3000)}" for _ in range(90)) for _ in range(30)]
+    for _ in range(40):
+        texts = [draw.choice(pool) for _ in range(draw.randrange(1, 30))]
+        ids, counts = bpe.encode_texts(*utf8(pa.array(texts, pa.string())))
+        want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+        assert counts.tolist() == [len(w) for w in want]
+        assert ids.tolist() == [i for w in want for i in w]
 
 
 def encoded(docs):
@@ -388,37 +411,50 @@ def test_pairs_learn_what_single_features_cannot():
 # Language models
 
 
+def losses_by_hand(texts, target, entries, weight=0.7, uniform=0.1):
+    """(target loss, background loss) of each (doc, words): models of bigrams without the document's own counts."""
+
+    def counted(some):
+        pairs = collections.Counter(p for t in some for p in zip(["<s>", *t], t))
+        after, single = collections.Counter(), collections.Counter()
+        for (a, b), n in pairs.items():
+            after[a] += n
+            single[b] += n
+        return pairs, after, single
+
+    models = [counted([t for d, t in texts if inside(d)]) for inside in (lambda d: d in target, lambda d: True)]
+    out = []
+    for doc, words in texts:
+        own, means = counted([words]), []
+        for model, holds in zip(models, (doc in target, True)):
+            pairs, after, single = (collections.Counter(m) for m in model)
+            if holds:
+                for left, mine in zip((pairs, after, single), own):
+                    left.subtract(mine)
+            total = sum(single.values())
+            chance = [
+                weight * pairs[p] / max(after[p[0]], 1) + (1 - weight) * ((1 - uniform) * single[p[1]] / max(total, 1) + uniform / entries)
+                for p in zip(["<s>", *words], words)
+            ]
+            means.append(-np.mean(np.log(chance)) if words else None)
+        out.append(means)
+    return out
+
+
 def test_losses_like_by_hand(spark, docs, empty):
-    size, weight = 12, 0.7
+    size = 12
     good = spark.createDataFrame([(k,) for k in range(20, 60)] + [(None,)], "doc_id bigint")
-    found = {r.doc_id: r for r in lm.score(docs, good, vocabulary=size, weight=weight).collect() if r.doc_id is not None}
+    rows = docs.filter("doc_id is not null")
+    found = {r.doc_id: r for r in lm.score(rows, good, vocabulary=size).collect()}
     low = {k: k + 32 for k in range(65, 91)}
-    texts = [(r.doc_id, re.findall(WORD, (r.text or "").translate(low))) for r in docs.collect()]
-    vocabulary = set(collections.Counter(w for _, t in texts for w in t).most_common(size - 2)[k][0] for k in range(size - 2))
-
-    def model(rows):
-        pairs, after, single = collections.Counter(), collections.Counter(), collections.Counter()
-        for words in rows:
-            ids = [w if w in vocabulary else None for w in words]
-            for a, b in zip(["<s>", *ids], ids):
-                pairs[a, b] += 1
-                after[a] += 1
-                single[b] += 1
-        total = sum(single.values()) + size - 1
-        return lambda a, b: -np.log(weight * pairs[a, b] / max(after[a], 1) + (1 - weight) * (single[b] + 1) / total)
-
-    target = model([t for d, t in texts if d is not None and 20 <= d < 60])
-    background = model([t for _, t in texts])
-    for doc, words in texts:
-        if doc is None:
-            continue
-        if not words:
+    texts = [(r.doc_id, re.findall(WORD, (r.text or "").translate(low))) for r in rows.collect()]
+    vocabulary = {w for w, _ in collections.Counter(w for _, t in texts for w in t).most_common(size - 2)}
+    known = [(d, [w if w in vocabulary else None for w in t]) for d, t in texts]
+    for (doc, words), want in zip(known, losses_by_hand(known, set(range(20, 60)), size - 1)):
+        if words:
+            assert [found[doc].target_loss, found[doc].background_loss] == pytest.approx(want, abs=1e-4)
+        else:
             assert found[doc].score is None
-            continue
-        ids = [w if w in vocabulary else None for w in words]
-        pairs = list(zip(["<s>", *ids], ids))
-        assert found[doc].target_loss == pytest.approx(np.mean([target(*p) for p in pairs]), abs=1e-4)
-        assert found[doc].background_loss == pytest.approx(np.mean([background(*p) for p in pairs]), abs=1e-4)
     assert lm.score(empty, good).count() == 0
 
 
@@ -431,22 +467,30 @@ def test_every_word_has_its_own_entry(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     found = {r.doc_id: r for r in lm.score(docs, spark.createDataFrame([(1000,), (3,)], "doc_id bigint")).collect()}
     texts = [(d, (t or "").lower().split()) for d, t in rows]
-    entries = len({w for _, t in texts for w in t}) + 1
-
-    def model(some):
-        pairs = collections.Counter(p for t in some for p in zip(["<s>", *t], t))
-        after, single = collections.Counter(), collections.Counter()
-        for (a, b), n in pairs.items():
-            after[a] += n
-            single[b] += n
-        total = sum(single.values()) + entries
-        return lambda a, b: -np.log(0.7 * pairs[a, b] / max(after[a], 1) + 0.3 * (single[b] + 1) / total)
-
-    target, background = model([t for d, t in texts if d in (1000, 3)]), model([t for _, t in texts])
-    for doc, words in texts:
+    for (doc, words), want in zip(texts, losses_by_hand(texts, {1000, 3}, len({w for _, t in texts for w in t}))):
         if words:
-            pairs = list(zip(["<s>", *words], words))
-            assert found[doc].target_loss == pytest.approx(np.mean([target(*p) for p in pairs]), abs=1e-9)
-            assert found[doc].background_loss == pytest.approx(np.mean([background(*p) for p in pairs]), abs=1e-9)
+            assert [found[doc].target_loss, found[doc].background_loss] == pytest.approx(want, abs=1e-9)
     assert len(found) == len(rows) and found[1003].score is None
     assert found[1001].score < found[1002].score - 1
+
+
+def test_models_have_not_seen_what_they_score(spark):
+    """A text of the target that nothing else resembles scores like its equal outside the target, and copies are expected."""
+    draw = random.Random(6)
+    texts = [" ".join(f"u{draw.randrange(10**6)}" for _ in range(30)) for _ in range(40)]
+    rows = [*enumerate(texts), (100, texts[7]), (101, texts[8])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r for r in lm.score(docs, spark.createDataFrame([(k,) for k in range(7)], "doc_id bigint")).collect()}
+    alone = [found[k].background_loss for k in range(40) if k not in (7, 8)]
+    twice = [found[k].background_loss for k in (7, 8, 100, 101)]
+    assert max(twice) < min(alone) - 2
+    inside, outside = [found[k].score for k in range(7)], [found[k].score for k in range(9, 40)]
+    assert abs(np.mean(inside) - np.mean(outside)) < 0.1
+
+
+def test_smoothing_does_not_depend_on_the_size_of_a_corpus(spark):
+    """Words that neither model has seen cost both the same, however small the target is."""
+    rows = [(k, f"a b c d e f g h n{k}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = lm.score(docs, spark.createDataFrame([(1,), (2,)], "doc_id bigint"), weight=0.0).filter("doc_id > 2").collect()
+    assert all(abs(r.score) < 0.05 for r in found)

@@ -2,17 +2,21 @@
 
 Two bigram models, of a target corpus and of the background corpus, share one vocabulary: every word of the background,
 or its ``vocabulary`` most frequent words if a number is given, besides one entry for all other words and one for the
-start of a document. Both are smoothed alike, with their own unigrams. A document's score is the mean over its words of
-the target's loss minus the background's: below 0 for texts that the target's model expects more.
+start of a document. They are matched: both are smoothed by the same shares of their own unigrams and of the uniform
+distribution over the vocabulary, so a smaller corpus is not smoothed more; and neither has seen what it scores, since a
+document's own counts are taken out of each model that holds them. A document's score is the mean over its words of the
+target's loss minus the background's: below 0 for texts that the target's model expects more.
 
-Texts are stored in chunks. Each chunk sends its distinct bigrams, words and predecessors with their counts to buckets,
-once each however frequent they are; a bucket sums them over all chunks and answers each chunk with the sums in the order
-in which it asked. So chunks are scored with the counts of their own words, and the models stay in Spark: the driver gets
-three totals.
+Texts are stored in chunks. Each chunk sends its distinct bigrams and words with their counts (words also as predecessors)
+to buckets, once each however frequent they are; a bucket sums them over all chunks and answers each chunk with the sums
+in the order in which it asked. So chunks are scored with the counts of their own words, and the models stay in Spark: the
+driver gets three totals. Buckets are ranges of hashes, so ascending keys of a chunk differ by little.
 
 Defined results: null, empty and blank texts have no words and null losses and score; rows without ``doc_id`` are
 scored and counted as background; rows that repeat a ``doc_id`` are texts of their own, all of them target if the id is.
-Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, told apart by 64-bit hashes (bigrams by 62 bits). Other columns are ignored.
+Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, told apart by 64-bit hashes (bigrams by 63 bits). Texts of any
+length are scored whole; equal texts get equal results if both are target or neither is; an empty table gives an empty
+one. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,37 +34,31 @@ from traceaudit.llm.texts import hashed_words, mixed, packed_texts, planes, slic
 
 #: Stand for the hash of all other words and of the start of a document.
 OTHER, START = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
-#: Kinds of keys, in their two lowest bits.
-PAIR, WORD, BEFORE = (np.uint64(k) for k in range(3))
-#: Weight of bigrams beside unigrams.
-BIGRAM_WEIGHT = 0.7
-CHUNK_BYTES = 4 << 20
+#: Kinds of keys, in their lowest bit.
+PAIR, WORD = (np.uint64(k) for k in range(2))
+#: Weight of bigrams beside unigrams, and of the uniform distribution beside what was counted.
+BIGRAM_WEIGHT, UNIFORM_WEIGHT = 0.7, 0.1
+CHUNK_BYTES = 8 << 20
 
 
 def _buckets(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def _bucketed(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each key, and the order of keys in which buckets follow each other."""
-    bucket = (mixed(keys) % np.uint64(buckets)).astype(np.int64)
-    return bucket, np.argsort(bucket, kind="stable")
+    return 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _packed_counts(keys: np.ndarray, counts: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-    """Ascending keys with their counts, one row per bucket."""
-    bucket, order = _bucketed(keys, buckets)
+    """Ascending keys with their counts, one row per bucket; buckets are ranges of keys."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(keys)]
     out = []
-    for rows in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
-        k = keys[rows]
-        out.append((int(bucket[rows[0]]), len(rows), planes(np.diff(k, prepend=np.uint64(0)), *[c[rows] for c in counts])))
+    for a, b in zip(cuts[:-1], cuts[1:]) if len(keys) else ():
+        out.append((int(bucket[a]), b - a, planes(np.diff(keys[a:b], prepend=np.uint64(0)), *[c[a:b] for c in counts])))
     columns = [pa.array(x, t) for x, t in zip(zip(*out) if out else ((),) * 3, (pa.int32(), pa.int32(), pa.binary()))]
     return pa.RecordBatch.from_arrays(columns, ["bucket", "n", "packed"])
 
 
 def _unpacked_counts(table: pa.Table, columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Distinct keys of a bucket and their summed counts."""
-    found = [unplaned(p, n, "u8", *["i8"] * columns) for n, p in zip(table.column("n").to_pylist(), table.column("packed").to_pylist())]
+    found = [unplaned(p, n, "u8", *["i4"] * columns) for n, p in zip(table.column("n").to_pylist(), table.column("packed").to_pylist())]
     keys = np.concatenate([np.cumsum(f[0]) for f in found])
     distinct, at = np.unique(keys, return_inverse=True)
     sums = [np.bincount(at, np.concatenate([f[c + 1] for f in found]), len(distinct)).astype(np.int64) for c in range(columns)]
@@ -75,25 +73,24 @@ def word_vocabulary(background: DataFrame, size: int) -> np.ndarray:
         for batch in batches:
             for part in slices(batch, limit=CHUNK_BYTES):
                 keys, counts = np.unique(hashed_words(part, lower=True)[0], return_counts=True)
-                yield _packed_counts(keys, [counts.astype(np.int64)], buckets)
+                yield _packed_counts(keys, [counts.astype(np.int32)], buckets)
 
     def most(table: pa.Table) -> pa.Table:
         keys, (counts,) = _unpacked_counts(table, 1)
-        top = np.sort(np.lexsort((keys, -counts))[:wanted])
-        packed = planes(np.diff(keys[top], prepend=np.uint64(0)), counts[top])
-        return pa.table({"n": pa.array([len(top)], pa.int32()), "packed": [packed]})
+        top = np.lexsort((keys, -counts))[:wanted]
+        return pa.table({"keys": [keys[top].tobytes()], "counts": [counts[top].tobytes()]})
 
     packed = background.select("text").mapInArrow(count, "bucket int, n int, packed binary")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches([*batches], pa.schema([("n", pa.int32()), ("packed", pa.binary())]))
-        if held.num_rows:
-            keys, (counts,) = _unpacked_counts(held, 1)
+        held = [(np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)) for b in batches for k, c in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist())]
+        if held:
+            keys, counts = map(np.concatenate, zip(*held))
             top = np.lexsort((keys, -counts))[:wanted]
             yield pa.RecordBatch.from_arrays([pa.array(keys[top].view(np.int64)), pa.array(counts[top])], ["word", "n"])
 
     # Buckets meet in the root of their number of tasks, which leaves the driver as many candidates of each at most.
-    tops = packed.groupBy("bucket").applyInArrow(most, "n int, packed binary")
+    tops = packed.groupBy("bucket").applyInArrow(most, "keys binary, counts binary")
     words = tops.repartition(max(1, round(buckets**0.5))).mapInArrow(best, "word bigint, n bigint")
     # As in the buckets, ties go to the smaller unsigned hash.
     top = words.orderBy(F.desc("n"), F.col("word") < 0, "word").limit(wanted).select("word").toPandas()
@@ -101,7 +98,7 @@ def word_vocabulary(background: DataFrame, size: int) -> np.ndarray:
 
 
 def model_keys(batch: pa.RecordBatch, vocabulary: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of each word's bigram, of the word and of its predecessor, as three rows, and the words of each text."""
+    """Keys of each word's bigram, of the word and of its predecessor (a word too), as three rows, and the words of each text."""
     words, counts = hashed_words(batch, lower=True)
     if vocabulary is not None:
         at = np.minimum(np.searchsorted(vocabulary, words), max(len(vocabulary) - 1, 0))
@@ -109,9 +106,23 @@ def model_keys(batch: pa.RecordBatch, vocabulary: np.ndarray | None) -> tuple[np
         words = np.where(known, words, OTHER)
     before = np.roll(words, 1)
     before[(np.cumsum(counts) - counts)[counts > 0]] = START
-    tagged = lambda x, kind: (x & ~np.uint64(3)) | kind
+    tagged = lambda x, kind: (x & ~np.uint64(1)) | kind
     pairs = mixed(mixed(before) * np.uint64(0x9E3779B97F4A7C15) + words)
-    return np.stack([tagged(pairs, PAIR), tagged(mixed(words), WORD), tagged(mixed(before), BEFORE)]), counts
+    return np.stack([tagged(pairs, PAIR), tagged(mixed(words), WORD), tagged(mixed(before), WORD)]), counts
+
+
+def key_counts(place: np.ndarray, distinct: int) -> list[np.ndarray]:
+    """How often each distinct key is met as bigram or word, and as predecessor."""
+    return [np.bincount(p.ravel(), minlength=distinct).astype(np.int32) for p in (place[:2], place[2])]
+
+
+def own_counts(place: np.ndarray, text: np.ndarray, distinct: int) -> np.ndarray:
+    """For each word how often its own text holds its bigram, the word and its predecessor."""
+    out = np.empty(place.shape, dtype=np.int64)
+    for row, keys in zip(out, place):
+        _, at, n = np.unique(text * distinct + keys, return_inverse=True, return_counts=True)
+        row[:] = n[at]
+    return out
 
 
 def text_chunks(flagged: DataFrame) -> DataFrame:
@@ -155,20 +166,21 @@ def model_sums(chunks: DataFrame, vocabulary: np.ndarray | None, buckets: int) -
                 target = np.repeat(np.array(row.column("targets")[0].as_py(), dtype=bool), counts)
                 distinct, place = np.unique(keys, return_inverse=True)
                 place = place.reshape(keys.shape)
-                both = [np.bincount(p.ravel(), minlength=len(distinct)).astype(np.int64) for p in (place, place[:, target])]
-                packed = _packed_counts(distinct, both, buckets)
+                counted = key_counts(place, len(distinct)) + key_counts(place[:, target], len(distinct))
+                packed = _packed_counts(distinct, counted, buckets)
                 chunk = pa.array([row.column("chunk")[0].as_py()] * packed.num_rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([chunk, *packed.columns], ["chunk", *packed.schema.names])
 
     def answer(asked: pa.Table) -> pa.Table:
         parts = list(zip(*[asked.column(c).to_pylist() for c in ("chunk", "bucket", "n", "packed")]))
-        distinct, sums = _unpacked_counts(asked, 2)
+        distinct, sums = _unpacked_counts(asked, 4)
         rows = []
         for chunk, bucket, n, packed in parts:
-            at = np.searchsorted(distinct, np.cumsum(unplaned(packed, n, "u8", "i8", "i8")[0]))
+            at = np.searchsorted(distinct, np.cumsum(unplaned(packed, n, "u8", *["i4"] * 4)[0]))
             rows.append((chunk, bucket, n, planes(*[c[at] for c in sums]), None, None))
-        words = (distinct & np.uint64(3)) == WORD
-        rows.append((None, parts[0][1], int(words.sum()), None, *[int(c[words].sum()) for c in sums]))
+        # The start of a document is met as predecessor only.
+        words = ((distinct & np.uint64(1)) == WORD) & (sums[0] > 0)
+        rows.append((None, parts[0][1], int(words.sum()), None, *[int(c[words].sum()) for c in (sums[0], sums[2])]))
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
         names = ["chunk", "bucket", "n", "packed", "background", "target"]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
@@ -179,13 +191,17 @@ def model_sums(chunks: DataFrame, vocabulary: np.ndarray | None, buckets: int) -
     )
 
 
-def score(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None, weight: float = BIGRAM_WEIGHT) -> DataFrame:
+def score(
+    docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None, weight: float = BIGRAM_WEIGHT, uniform: float = UNIFORM_WEIGHT
+) -> DataFrame:
     """``doc_id, n_words, target_loss, background_loss, score`` of every document.
 
     The background is ``docs``; the target those of its documents whose ``doc_id`` is in ``target_ids``. ``vocabulary``
-    counts the two special entries; without it every word has an entry.
+    counts the two special entries; without it every word has an entry. A word after another has the probability
+    ``weight`` x its share of what follows the other, plus the rest x (its share of all words, and ``uniform`` of the
+    rest spread over all entries), from counts without the document itself.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text")
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     words = None if vocabulary is None else word_vocabulary(rows, vocabulary)
     buckets = _buckets(docs)
     marks = target_ids.select(F.col("doc_id").cast("bigint")).filter("doc_id is not null").distinct().withColumn("target", F.lit(True))
@@ -194,24 +210,30 @@ def score(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None,
     chunks = materialise(text_chunks(flagged))
     sums = materialise(model_sums(chunks, words, buckets))
     found = sums.filter("chunk is null").agg(F.sum("n").alias("n"), F.sum("background").alias("b"), F.sum("target").alias("t")).first()
-    size = vocabulary if vocabulary is not None else (found.n or 0) + 2
-    # No word is the start; each other entry has one more than it was counted.
-    totals = [(x or 0) + size - 1 for x in (found.t, found.b)]
+    # No word is the start.
+    entries = max(vocabulary - 1 if vocabulary is not None else (found.n or 0), 1)
+    totals = (found.t or 0, found.b or 0)
     names = ["doc_id", "n_words", "target_loss", "background_loss", "score"]
 
     def add(asked: pa.Table, answers: pa.Table) -> pa.Table:
         keys, n = model_keys(_texts(asked), words)
         distinct, place = np.unique(keys, return_inverse=True)
         place = place.reshape(keys.shape)
-        order = _bucketed(distinct, buckets)[1]
+        text = np.repeat(np.arange(len(n)), n)
+        own = own_counts(place, text, len(distinct))
         parts = sorted(zip(*[answers.column(c).to_pylist() for c in ("bucket", "n", "packed")]))
-        both = [unplaned(packed, count, "i8", "i8") for _, count, packed in parts]
+        sides = [unplaned(packed, count, *["i8"] * 4) for _, count, packed in parts]
+        met, before = ([np.concatenate([np.zeros(0, dtype=np.int64), *[s[c] for s in sides]]) for c in pair] for pair in ((0, 2), (1, 3)))
+        target = np.array(asked.column("targets")[0].as_py(), dtype=bool)
         ends, means, none = np.cumsum(n), [], n == 0
         for side, total in zip((1, 0), totals):
-            counts = np.zeros(len(distinct), dtype=np.int64)
-            counts[order] = np.concatenate([np.zeros(0, dtype=np.int64), *[b[side] for b in both]])
-            pair, word, before = counts[place]
-            loss = -np.log(weight * pair / np.maximum(before, 1) + (1 - weight) * (word + 1) / total)
+            # The background holds every document, the target its own.
+            without = own if side == 0 else own * target[text]
+            length = np.repeat(n, n) if side == 0 else (n * target)[text]
+            pair, word = met[side][place[0]] - without[0], met[side][place[1]] - without[1]
+            after = before[side][place[2]] - without[2]
+            single = (1 - uniform) * word / np.maximum(total - length, 1) + uniform / entries
+            loss = -np.log(weight * pair / np.maximum(after, 1) + (1 - weight) * single)
             upto = np.concatenate([[0.0], np.cumsum(loss)])
             means.append((upto[ends] - upto[ends - n]) / np.maximum(n, 1))
         values = [pa.array(m, pa.float64(), mask=none) for m in (*means, means[0] - means[1])]
@@ -219,6 +241,6 @@ def score(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None,
 
     answers = sums.filter("chunk is not null").select("chunk", "bucket", "n", "packed")
     return (
-        chunks.select("chunk", "docs", "texts").groupBy("chunk").cogroup(answers.groupBy("chunk"))
+        chunks.select("chunk", "docs", "targets", "texts").groupBy("chunk").cogroup(answers.groupBy("chunk"))
         .applyInArrow(add, "doc_id bigint, n_words bigint, target_loss double, background_loss double, score double")
     )

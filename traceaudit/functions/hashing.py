@@ -102,3 +102,18 @@ def ordered_hash(df: DataFrame, position: str, parts: list[str], block: int = 1
         F.coalesce("n", F.lit(0)).alias("row_count"),
         F.sha2(F.array_join(F.col("tops.h"), "\n"), 256).alias("ordering_hash"),
     )
+
+
+#: Bits of each of the two hashes of a set's members that are added up.
+SET_BITS = 60
+
+
+def set_digest(ident: Column | str) -> Column:
+    """Aggregate: digest of the set of (distinct, non-null) texts of a group, whatever their order.
+
+    Two independent hashes of each member are added up modulo 2**60, so parts of a set can be summed apart, at any size.
+    The scheme is ``sum-md5/60``: SHA-256 of the number of members and both sums. It is not the hash of a sorted list.
+    """
+    text = as_column(ident).cast("string")
+    sums = [F.coalesce(F.sum(F.conv(F.substring(F.md5(F.concat(F.lit(f"{k}:"), text)), 1, SET_BITS // 4), 16, 10).cast("decimal(38,0)")), F.lit(0)) for k in (1, 2)]
+    return F.sha2(F.concat_ws(":", F.count(text).cast("string"), *[(s % F.lit(1 << SET_BITS)).cast("decimal(38,0)").cast("string") for s in sums]), 256)

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traceaudit.functions.ngrams import repeated_shares
 from traceaudit.functions.stats import ratio
-from traceaudit.functions.text import TOKENIZERS, norm_key, rep_n, split_words, strip
+from traceaudit.functions.text import TOKENIZERS, norm_key, split_words, strip
 from traceaudit.operators import rules
 
 SHORT_POLICIES = ("zero", "exclude")
@@ -39,10 +40,10 @@ def repetition(
     if not ns or any(n <= 0 for n in ns):
         raise ValueError("ns must hold positive integers")
     tokens = df.select(*by, TOKENIZERS[tokenizer](text).alias("_tokens"))
-    scored = tokens.select(*by, F.size("_tokens").alias("_len"), *[rep_n("_tokens", n).alias(f"_r{n}") for n in ns])
+    scored = tokens.select(*by, F.size("_tokens").alias("_len"), repeated_shares(F.col("_tokens"), ns).alias("_r"))
     per_n = []
     for n in ns:
-        raw = F.col(f"_r{n}")
+        raw = F.col(f"_r.r{n}")
         included = F.coalesce(raw, F.lit(0.0)) if short_policy == "zero" else raw
         per_n += [F.avg(included).alias(f"rep_{n}"), F.count_if(raw.isNull()).alias(f"short_{n}")]
     found = scored.groupBy(*by).agg(
@@ -59,8 +60,8 @@ def repetition(
 def degeneration(df: DataFrame, text: str, threshold: float = 0.2, by: Sequence[str] = ()) -> DataFrame:
     """Share of texts whose worst repetition exceeds a bound; 0.0 (not null) when empty."""
     words = df.select(*by, split_words(norm_key(text)).alias("_w"))
-    reps = [F.coalesce(rep_n("_w", n), F.lit(0.0)).alias(f"r{n}") for n in (2, 3, 4)]
-    scored = words.select(*by, F.size("_w").alias("_len"), *reps)
+    shares = words.select(*by, F.size("_w").alias("_len"), repeated_shares(F.col("_w"), (2, 3, 4)).alias("_r"))
+    scored = shares.select(*by, "_len", *[F.coalesce(f"_r.r{n}", F.lit(0.0)).alias(f"r{n}") for n in (2, 3, 4)])
     worst = F.greatest("r2", "r3", "r4")
 
     def mean(c: Column) -> Column:

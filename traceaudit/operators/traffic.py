@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 from statistics import NormalDist
 
 import numpy as np
@@ -177,16 +178,19 @@ class KernelReference:
         square = gaps * gaps
         return np.mean([np.exp(-square / (2.0 * s * self.bandwidth**2)) for s in scales], axis=0)
 
-    def statistic(self, block: np.ndarray) -> float:
-        """Unbiased squared discrepancy, averaged over the reference blocks."""
-        return float(np.mean([self._against(block, ref) for ref in self.blocks]))
+    @cached_property
+    def _inside(self) -> float:
+        """Mean similarity within the reference blocks, the same for every window."""
+        return float(np.mean([self._within(y) for y in self.blocks]))
 
-    def _against(self, x: np.ndarray, y: np.ndarray) -> float:
-        def inside(z: np.ndarray) -> float:
-            k = self.kernel(pairwise(z, z))
-            return (k.sum() - np.trace(k)) / (len(z) * (len(z) - 1))
+    def _within(self, z: np.ndarray) -> float:
+        k = self.kernel(pairwise(z, z))
+        return (k.sum() - np.trace(k)) / (len(z) * (len(z) - 1)) if len(z) > 1 else float("nan")
 
-        return inside(x) + inside(y) - 2.0 * self.kernel(pairwise(x, y)).mean()
+    def statistic(self, block: np.ndarray) -> float:
+        """Unbiased squared discrepancy, averaged over the reference blocks: one product of the window and all of them."""
+        every = self.blocks.reshape(-1, self.blocks.shape[-1])
+        return float(self._within(block) + self._inside - 2.0 * self.kernel(pairwise(block, every)).mean())
 
 
 def kernel_reference(
@@ -196,7 +200,8 @@ def kernel_reference(
     rows = null_windows(benign, ident, repeats, size, seed).select("window", "slot", "embedding").toPandas()
     ordered = rows.sort_values(["window", "slot"])
     blocks = np.stack(ordered["embedding"].to_numpy()).astype("float64").reshape(repeats, size, -1)
-    gaps = pairwise(blocks[0], blocks[0])[np.triu_indices(size, 1)]
+    # From differences: a row drawn twice is at no distance from itself.
+    gaps = np.sqrt(((blocks[0][:, None] - blocks[0][None]) ** 2).sum(axis=2))[np.triu_indices(size, 1)]
     middle = float(np.median(gaps[gaps > 0])) if (gaps > 0).any() else 1.0
     return KernelReference(blocks, middle, multi_kernel)
 
@@ -208,14 +213,8 @@ def mmd(cut: DataFrame, reference: KernelReference) -> DataFrame:
 # Distance-distribution statistic
 
 
-def shapiro_w(values: np.ndarray) -> float:
-    """Shapiro-Wilk W with Royston's 1992 weights."""
-    x = np.sort(np.asarray(values, dtype="float64"))
-    n = len(x)
-    spread = x - x.mean()
-    total = float((spread * spread).sum())
-    if n < 3 or total == 0.0:
-        return 1.0
+def shapiro_weights(n: int) -> np.ndarray:
+    """Royston's 1992 weights of n ordered values, for n of at least 3."""
     normal = NormalDist()
     m = np.array([normal.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
     # Royston's polynomial weights for the two largest order statistics.
@@ -225,18 +224,28 @@ def shapiro_w(values: np.ndarray) -> float:
     weights = np.empty(n)
     if n == 3:
         weights[:] = [-np.sqrt(0.5), 0.0, np.sqrt(0.5)]
+        return weights
+    top = last + m[-1] / np.sqrt(norm)
+    if n <= 5:
+        phi = (norm - 2 * m[-1] ** 2) / (1 - 2 * top**2)
+        weights[1:-1] = m[1:-1] / np.sqrt(phi)
     else:
-        top = last + m[-1] / np.sqrt(norm)
-        if n <= 5:
-            phi = (norm - 2 * m[-1] ** 2) / (1 - 2 * top**2)
-            weights[1:-1] = m[1:-1] / np.sqrt(phi)
-        else:
-            next_top = second + m[-2] / np.sqrt(norm)
-            phi = (norm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * top**2 - 2 * next_top**2)
-            weights[2:-2] = m[2:-2] / np.sqrt(phi)
-            weights[[1, -2]] = [-next_top, next_top]
-        weights[[0, -1]] = [-top, top]
-    return float(min(1.0, (weights @ x) ** 2 / total))
+        next_top = second + m[-2] / np.sqrt(norm)
+        phi = (norm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * top**2 - 2 * next_top**2)
+        weights[2:-2] = m[2:-2] / np.sqrt(phi)
+        weights[[1, -2]] = [-next_top, next_top]
+    weights[[0, -1]] = [-top, top]
+    return weights
+
+
+def shapiro_w(values: np.ndarray) -> float:
+    """Shapiro-Wilk W with Royston's 1992 weights."""
+    x = np.sort(np.asarray(values, dtype="float64"))
+    spread = x - x.mean()
+    total = float((spread * spread).sum())
+    if len(x) < 3 or total == 0.0:
+        return 1.0
+    return float(min(1.0, (shapiro_weights(len(x)) @ x) ** 2 / total))
 
 
 def prada(cut: DataFrame, metric: str = "euclidean") -> DataFrame:

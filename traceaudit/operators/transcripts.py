@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from traceaudit.functions.hashing import set_digest
 from traceaudit.functions.parsing import clean_answer
 from traceaudit.functions.text import SPACE, as_column, let, render, strip
 from traceaudit.operators import rules
@@ -464,7 +465,7 @@ def ledger(attempts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def completion(prompts: DataFrame, outputs: DataFrame, ident: str) -> DataFrame:
-    """Planned, finished and failed counts of a collection job."""
+    """Planned, finished and failed counts of a collection job, and a digest of the set of finished ids."""
     planned = prompts.select(ident).distinct()
     state = outputs.groupBy(ident).agg(F.bool_or(F.col("status") == "success").alias("_ok"))
     joined = planned.join(state, ident, "left")
@@ -472,6 +473,7 @@ def completion(prompts: DataFrame, outputs: DataFrame, ident: str) -> DataFrame:
         F.count(F.lit(1)).alias("prompt_count"),
         F.count_if("_ok").alias("completed_count"),
         F.count_if(~F.coalesce("_ok", F.lit(True))).alias("failed_count"),
+        set_digest(F.when(F.col("_ok"), F.col(ident))).alias("completed_id_hash"),
     )
     return beside(counts, outputs.agg(F.count(F.lit(1)).alias("written_rows")))
 

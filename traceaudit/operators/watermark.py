@@ -7,11 +7,12 @@ not reproduce the green lists of generators based on random permutations.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -134,24 +135,49 @@ def noise_grid(frequency: float) -> list[float]:
     return [float(w) for w in (grid if len(grid) else np.linspace(*FALLBACK_GRID, GRID_POINTS))]
 
 
+#: Points whose angles are taken at all frequencies at once.
+_POINTS = 4096
+
+
+def wave_sums(points: DataFrame, frequencies: Sequence[float]) -> DataFrame:
+    """Sums over ``(t, y)`` per angular frequency: ``w, n, yy, s2, c2, yc, ys``; null values add nothing but to ``n``.
+
+    A task takes blocks of points times frequencies and returns one row, with its sums for all frequencies.
+    """
+    waves = np.array(frequencies, dtype=float)
+    names = ("s2", "c2", "yc", "ys")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, yy, sums = 0, 0.0, np.zeros((len(names), len(waves)))
+        for batch in batches:
+            n += batch.num_rows
+            known = [batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in ("t", "y")]
+            t, y = (np.where(k, batch.column(c).fill_null(0.0).to_numpy(zero_copy_only=False), 0.0) for k, c in zip(known, ("t", "y")))
+            yy += float(y @ y)
+            for at in range(0, batch.num_rows, _POINTS):
+                place = slice(at, at + _POINTS)
+                angle = np.outer(t[place], waves)
+                sine, cosine = np.sin(angle), np.cos(angle)
+                timed, both = known[0][place].astype(float), y[place] * known[0][place]
+                sums += [2 * (timed @ (sine * cosine)), timed @ (cosine * cosine - sine * sine), both @ cosine, both @ sine]
+        columns = [[n], [yy], *[[row.tolist()] for row in sums]]
+        kinds = [pa.int64(), pa.float64(), *[pa.list_(pa.float64())] * len(names)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["n", "yy", *names])
+
+    partial = points.mapInArrow(fold, "n bigint, yy double, " + ", ".join(f"{c} array<double>" for c in names))
+    wave = F.array(*[F.lit(float(w)) for w in frequencies]).alias("w")
+    rows = partial.select("n", "yy", F.explode(F.arrays_zip(wave, *names)).alias("e"))
+    return rows.groupBy(F.col("e.w").alias("w")).agg(F.sum("n").alias("n"), F.sum("yy").alias("yy"), *[F.sum(f"e.{c}").alias(c) for c in names])
+
+
 def periodogram(df: DataFrame, t: str, y: str, frequencies: Sequence[float]) -> DataFrame:
     """Normalised Lomb-Scargle power per angular frequency.
 
-    Power needs only sums of sines and cosines, so each task folds its rows into
-    one partial sum per frequency and nothing else is shuffled.
+    Power needs only sums of sines and cosines, so each task folds its rows into one row and nothing else is shuffled.
     """
     centre = df.agg(F.avg(y).alias("m")).scalar()
-    points = df.select(F.col(t).cast("double").alias("t"), (F.col(y) - centre).alias("y"))
-    waves = points.withColumn("w", F.explode(F.array(*[F.lit(float(w)) for w in frequencies])))
-    angle = F.col("w") * F.col("t")
-    sums = waves.groupBy("w").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("y") * F.col("y")).alias("yy"),
-        F.sum(F.sin(2 * angle)).alias("s2"),
-        F.sum(F.cos(2 * angle)).alias("c2"),
-        F.sum(F.col("y") * F.cos(angle)).alias("yc"),
-        F.sum(F.col("y") * F.sin(angle)).alias("ys"),
-    )
+    points = df.select(F.col(t).cast("double").alias("t"), (F.col(y) - centre).cast("double").alias("y"))
+    sums = wave_sums(points, frequencies).filter("n > 0")
     shifted = sums.withColumn("phase", F.atan2("s2", "c2") / 2)
     c, s, phase = F.cos("phase"), F.sin("phase"), F.col("phase")
     cc = 0.5 * (F.col("n") + F.col("c2") * F.cos(2 * phase) + F.col("s2") * F.sin(2 * phase))

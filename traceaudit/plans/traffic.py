@@ -128,18 +128,6 @@ def _report(spark, sf_dir, score, tail):
     return T.detection_rate(T.flag_outside(scored, bounds), "role").withColumns({"low": low, "high": high})
 
 
-@query("traffic_kernel_test")
-def traffic_kernel_test(spark, sf_dir):
-    train, _ = T.held_out_split(benign(spark, sf_dir), "vec_id", SEED)
-    reference = T.kernel_reference(train, "vec_id", SEED + 5)
-    return _report(spark, sf_dir, lambda cut: T.mmd(cut, reference), "upper")
-
-
-@query("traffic_distance_normality")
-def traffic_distance_normality(spark, sf_dir):
-    return _report(spark, sf_dir, T.prada, "upper")
-
-
 # Draws are digests, so SQL repeats them.
 def _draws_sql(name, samples, size, seed):
     """Positions that ``null_windows`` draws: ``name``(window, slot, e)."""
@@ -149,6 +137,56 @@ def _draws_sql(name, samples, size, seed):
 (SELECT e, row_number() OVER (ORDER BY {digest_sql('vec_id', seed)}, vec_id) AS p FROM b) ON p = pos)"""
 
 
+# Distances of distinct rows are taken once; drawn windows hold ids.
+_POINTS_SQL = f"""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+b AS (SELECT vec_id, vec_id AS e FROM e WHERE label < 7 AND {draw_sql('vec_id', SEED)} < 0.8), n AS (SELECT count(*) AS n FROM b),
+{_draws_sql('nl', T.NULL_SAMPLES, T.BATCH_SIZE, SEED)},
+ev AS (SELECT role, (p - 1) // {T.BATCH_SIZE} AS w, (p - 1) % {T.BATCH_SIZE} AS slot, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY vec_id) AS p FROM
+(SELECT vec_id, CASE WHEN label < 7 THEN 'benign' ELSE 'observed' END AS role FROM e WHERE label >= 7 OR {draw_sql('vec_id', SEED)} >= 0.8))),
+win AS (SELECT 'null' AS role, w, slot, e AS vec_id FROM nl UNION ALL SELECT * FROM ev),
+gap AS MATERIALIZED (SELECT x.vec_id AS i, y.vec_id AS j, list_distance(x.e, y.e) AS d FROM e x, e y)"""
+_REPORT_SQL = """bd AS (SELECT quantile_cont(score, 0.95) AS high FROM sc WHERE role = 'null')
+SELECT role, count(*)::BIGINT AS windows, count(*) FILTER (score > high)::BIGINT AS detected_windows, round(count(*) FILTER (score > high)::DOUBLE / count(*), 9) AS detection_rate,
+NULL::DOUBLE AS low, round(high, 7) AS high FROM sc, bd WHERE role <> 'null' GROUP BY role, high"""
+
+
+def _rounded_report(found):
+    return found.withColumns({c: F.round(c, d) for c, d in (("detection_rate", 9), ("low", 7), ("high", 7))})
+
+
+@query(
+    "traffic_kernel_test",
+    f"""{_POINTS_SQL}, {_draws_sql('rf', T.REFERENCE_REPEATS, T.BATCH_SIZE, SEED + 5)},
+bw AS (SELECT median(d) AS s FROM rf x JOIN rf y ON x.w = 0 AND y.w = 0 AND x.slot < y.slot JOIN gap ON i = x.e AND j = y.e WHERE d > 0),
+k AS MATERIALIZED (SELECT i, j, exp(-d * d / (2 * s * s)) AS k FROM gap, bw),
+cross_ AS (SELECT i, sum(k * c) / (SELECT count(*) FROM rf) AS m FROM k JOIN (SELECT e, count(*) AS c FROM rf GROUP BY 1) ON j = e GROUP BY 1),
+inside_r AS (SELECT avg(v) AS v FROM (SELECT x.w, sum(k) / ({T.BATCH_SIZE} * {T.BATCH_SIZE - 1}) AS v FROM rf x JOIN rf y ON x.w = y.w AND x.slot <> y.slot JOIN k ON i = x.e AND j = y.e GROUP BY 1)),
+inside_w AS (SELECT x.role, x.w, avg(k) AS v FROM win x JOIN win y ON x.role = y.role AND x.w = y.w AND x.slot <> y.slot JOIN k ON i = x.vec_id AND j = y.vec_id GROUP BY 1, 2),
+cw AS (SELECT role, w, avg(m) AS m FROM win JOIN cross_ ON i = vec_id GROUP BY 1, 2),
+sc AS (SELECT cw.role, inside_w.v + inside_r.v - 2 * m AS score FROM cw LEFT JOIN inside_w USING (role, w), inside_r), {_REPORT_SQL}""",
+)
+def traffic_kernel_test(spark, sf_dir):
+    train, _ = T.held_out_split(benign(spark, sf_dir), "vec_id", SEED)
+    reference = T.kernel_reference(train, "vec_id", SEED + 5)
+    return _rounded_report(_report(spark, sf_dir, lambda cut: T.mmd(cut, reference), "upper"))
+
+
+# One entry per number of distances that a window can have, by the published rule.
+_WEIGHTS_SQL = ", ".join(f"({n}, {T.shapiro_weights(n).tolist()})" for n in range(3, T.BATCH_SIZE))
+
+
+@query(
+    "traffic_distance_normality",
+    f"""{_POINTS_SQL}, weight(n, a) AS (VALUES {_WEIGHTS_SQL}),
+near AS (SELECT x.role, x.w, x.slot, min(d) AS d FROM win x JOIN win y ON x.role = y.role AND x.w = y.w AND y.slot < x.slot JOIN gap ON i = x.vec_id AND j = y.vec_id GROUP BY 1, 2, 3),
+lists AS (SELECT role, w, list(d ORDER BY d) AS x, var_pop(d) * count(*) AS total FROM near GROUP BY 1, 2),
+sc AS (SELECT role, w, CASE WHEN total > 0 AND a IS NOT NULL THEN least(1.0, pow(list_dot_product(a::DOUBLE[], x), 2) / total) ELSE 1.0 END AS score
+  FROM (SELECT DISTINCT role, w FROM win) LEFT JOIN lists USING (role, w) LEFT JOIN weight ON n = len(x)), {_REPORT_SQL}""",
+)
+def traffic_distance_normality(spark, sf_dir):
+    return _rounded_report(_report(spark, sf_dir, T.prada, "upper"))
+
+
 def _pairs_sql(source):
     return f"""SELECT a.role, a.w, count(*) FILTER (list_cosine_similarity(a.e, b.e) >= t)::DOUBLE / count(*) AS score
 FROM {source} a JOIN {source} b ON a.role = b.role AND a.w = b.w AND a.slot < b.slot, th GROUP BY 1, 2"""

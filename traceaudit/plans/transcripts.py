@@ -297,8 +297,10 @@ def transcript_ledger(spark, sf_dir):
 
 @query(
     "transcript_completion",
-    """WITH s AS (SELECT user_id, bool_or(event_type = 'purchase' AND value > 60) AS ok, count(*) AS n FROM events WHERE value > 40 GROUP BY 1)
-SELECT (SELECT count(DISTINCT user_id) FROM events)::BIGINT AS prompt_count, count(*) FILTER (ok)::BIGINT AS completed_count, count(*) FILTER (NOT ok)::BIGINT AS failed_count, sum(n)::BIGINT AS written_rows FROM s""",
+    """WITH s AS (SELECT user_id, bool_or(event_type = 'purchase' AND value > 60) AS ok, count(*) AS n FROM events WHERE value > 40 GROUP BY 1),
+d AS (SELECT count(*) AS n, sum(('0x' || substr(md5('1:' || user_id), 1, 15))::BIGINT::HUGEINT) % (1::HUGEINT << 60) AS a, sum(('0x' || substr(md5('2:' || user_id), 1, 15))::BIGINT::HUGEINT) % (1::HUGEINT << 60) AS b FROM s WHERE ok)
+SELECT (SELECT count(DISTINCT user_id) FROM events)::BIGINT AS prompt_count, count(*) FILTER (ok)::BIGINT AS completed_count, count(*) FILTER (NOT ok)::BIGINT AS failed_count, sum(s.n)::BIGINT AS written_rows,
+(SELECT sha256(n || ':' || coalesce(a, 0) || ':' || coalesce(b, 0)) FROM d) AS completed_id_hash FROM s""",
 )
 def transcript_completion(spark, sf_dir):
     events = table(spark, sf_dir, "events")

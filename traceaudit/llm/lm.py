@@ -10,7 +10,7 @@ target's loss minus the background's: below 0 for texts that the target's model
 Texts are stored in chunks. Each chunk sends its distinct bigrams and words with their counts (words also as predecessors)
 to buckets, once each however frequent they are; a bucket sums them over all chunks and answers each chunk with the sums
 in the order in which it asked. So chunks are scored with the counts of their own words, and the models stay in Spark: the
-driver gets three totals. Buckets are ranges of hashes, so ascending keys of a chunk differ by little.
+driver gets two totals. Buckets are ranges of hashes, so ascending keys of a chunk differ by little.
 
 Defined results: null, empty and blank texts have no words and null losses and score; rows without ``doc_id`` are
 scored and counted as background; rows that repeat a ``doc_id`` are texts of their own, all of them target if the id is.
@@ -26,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceaudit.llm.store import materialise
-from traceaudit.llm.texts import hashed_words, mixed, packed_texts, planes, slices, unpacked, unplaned
+from traceaudit.llm.texts import hashed_words, mixed, packed_texts, planes, slices, unpacked, unplaned, words
 
 #: Stand for the hash of all other words and of the start of a document.
 OTHER, START = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -42,7 +43,7 @@ CHUNK_BYTES = 8 << 20
 
 
 def _buckets(df: DataFrame) -> int:
-    return 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _packed_counts(keys: np.ndarray, counts: list[np.ndarray], buckets: int) -> pa.RecordBatch:
@@ -125,38 +126,48 @@ def own_counts(place: np.ndarray, text: np.ndarray, distinct: int) -> np.ndarray
     return out
 
 
+_CHUNK = "chunk bigint, docs array<bigint>, targets array<boolean>, sizes array<bigint>, texts binary, words bigint, target_words bigint"
+
+
 def text_chunks(flagged: DataFrame) -> DataFrame:
-    """Rows of about ``CHUNK_BYTES`` of texts: ``chunk, docs, targets, texts``."""
+    """Rows of about ``CHUNK_BYTES`` of texts, compressed together, with their number of words: all and of the target."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "target", "_packed", "bytes")]):
-                if held and size + row[3] > CHUNK_BYTES:
+            texts = unpacked(batch.column("_packed")).to_pylist()
+            for doc, target, text in zip(batch.column("doc_id").to_pylist(), batch.column("target").to_pylist(), texts):
+                text = text or b""
+                if held and size + len(text) > CHUNK_BYTES:
                     yield row_of(held)
                     held, size = [], 0
-                held.append(row[:3])
-                size += row[3]
+                held.append((doc, target, text))
+                size += len(text)
         if held:
             yield row_of(held)
 
     def row_of(held: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.binary()))
-        columns = [pa.array([list(c)], k) for c, k in zip(zip(*held), kinds)]
-        name = pa.array([uuid.uuid4().int >> 65], pa.int64())
-        return pa.RecordBatch.from_arrays([name, *columns], ["chunk", "docs", "targets", "texts"])
+        docs, targets, texts = zip(*held)
+        raw, sizes = b"".join(texts), [len(t) for t in texts]
+        counts = np.diff(words(np.append(0, np.cumsum(sizes)), np.frombuffer(raw, dtype=np.uint8))[2])
+        packed = zstandard.ZstdCompressor(level=3).compress(raw)
+        columns = [uuid.uuid4().int >> 65, docs, targets, sizes, packed, int(counts.sum()), int(counts[np.array(targets)].sum())]
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, kinds)], [c.split()[0] for c in _CHUNK.split(", ")])
 
-    rows = flagged.select("doc_id", "target", "_packed", "bytes")
-    return rows.mapInArrow(gather, "chunk bigint, docs array<bigint>, targets array<boolean>, texts array<binary>")
+    return flagged.select("doc_id", "target", "_packed").mapInArrow(gather, _CHUNK)
 
 
 def _texts(row: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
     """Texts of a chunk's only row."""
-    return pa.RecordBatch.from_arrays([unpacked(pa.array(row.column("texts")[0].as_py(), pa.binary()))], ["text"])
+    raw = zstandard.ZstdDecompressor().decompress(row.column("texts")[0].as_py())
+    at = np.append(0, np.cumsum(row.column("sizes")[0].as_py()))
+    texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw)])
+    return pa.RecordBatch.from_arrays([texts], ["text"])
 
 
 def model_sums(chunks: DataFrame, vocabulary: np.ndarray | None, buckets: int) -> DataFrame:
-    """For each chunk and bucket the packed sums of its keys (background, target); totals of each bucket in chunk null."""
+    """For each chunk and bucket the packed sums of its keys: met and met before others, in the background and the target."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,18 +188,13 @@ def model_sums(chunks: DataFrame, vocabulary: np.ndarray | None, buckets: int) -
         rows = []
         for chunk, bucket, n, packed in parts:
             at = np.searchsorted(distinct, np.cumsum(unplaned(packed, n, "u8", *["i4"] * 4)[0]))
-            rows.append((chunk, bucket, n, planes(*[c[at] for c in sums]), None, None))
-        # The start of a document is met as predecessor only.
-        words = ((distinct & np.uint64(1)) == WORD) & (sums[0] > 0)
-        rows.append((None, parts[0][1], int(words.sum()), None, *[int(c[words].sum()) for c in (sums[0], sums[2])]))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-        names = ["chunk", "bucket", "n", "packed", "background", "target"]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+            rows.append((chunk, bucket, n, planes(*[c[at] for c in sums])))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["chunk", "bucket", "n", "packed"])
 
-    asked = chunks.select("chunk", "targets", "texts").mapInArrow(ask, "chunk bigint, bucket int, n int, packed binary")
-    return asked.groupBy("bucket").applyInArrow(
-        answer, "chunk bigint, bucket int, n int, packed binary, background bigint, target bigint"
-    )
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    schema = "chunk bigint, bucket int, n int, packed binary"
+    asked = chunks.select("chunk", "targets", "sizes", "texts").mapInArrow(ask, schema)
+    return asked.groupBy("bucket").applyInArrow(answer, schema)
 
 
 def score(
@@ -198,25 +204,25 @@ def score(
 
     The background is ``docs``; the target those of its documents whose ``doc_id`` is in ``target_ids``. ``vocabulary``
     counts the two special entries; without it every word has an entry. A word after another has the probability
-    ``weight`` x its share of what follows the other, plus the rest x (its share of all words, and ``uniform`` of the
-    rest spread over all entries), from counts without the document itself.
+    ``weight`` x its share of what follows the other, plus the rest x (its share of all words, ``uniform`` of which goes
+    to all entries alike), from counts without the document itself. Where every word is an entry, an entry's part is as if
+    there were one for each running word of the background, which needs no count of distinct words and is the same for
+    both models.
     """
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    words = None if vocabulary is None else word_vocabulary(rows, vocabulary)
+    words_of = None if vocabulary is None else word_vocabulary(rows, vocabulary)
     buckets = _buckets(docs)
     marks = target_ids.select(F.col("doc_id").cast("bigint")).filter("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    sized = rows.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)))
-    flagged = packed_texts(sized).join(marks.hint("merge"), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    flagged = packed_texts(rows).join(marks.hint("merge"), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
     chunks = materialise(text_chunks(flagged))
-    sums = materialise(model_sums(chunks, words, buckets))
-    found = sums.filter("chunk is null").agg(F.sum("n").alias("n"), F.sum("background").alias("b"), F.sum("target").alias("t")).first()
-    # No word is the start.
-    entries = max(vocabulary - 1 if vocabulary is not None else (found.n or 0), 1)
+    found = chunks.agg(F.sum("words").alias("b"), F.sum("target_words").alias("t")).first()
     totals = (found.t or 0, found.b or 0)
+    # No word is the start.
+    entries = max(vocabulary - 1 if vocabulary is not None else totals[1], 1)
     names = ["doc_id", "n_words", "target_loss", "background_loss", "score"]
 
     def add(asked: pa.Table, answers: pa.Table) -> pa.Table:
-        keys, n = model_keys(_texts(asked), words)
+        keys, n = model_keys(_texts(asked), words_of)
         distinct, place = np.unique(keys, return_inverse=True)
         place = place.reshape(keys.shape)
         text = np.repeat(np.arange(len(n)), n)
@@ -239,8 +245,8 @@ def score(
         values = [pa.array(m, pa.float64(), mask=none) for m in (*means, means[0] - means[1])]
         return pa.table([pa.array(asked.column("docs")[0].as_py(), pa.int64()), pa.array(n, pa.int64()), *values], names)
 
-    answers = sums.filter("chunk is not null").select("chunk", "bucket", "n", "packed")
+    answers = model_sums(chunks, words_of, buckets)
     return (
-        chunks.select("chunk", "docs", "targets", "texts").groupBy("chunk").cogroup(answers.groupBy("chunk"))
+        chunks.select("chunk", "docs", "targets", "sizes", "texts").groupBy("chunk").cogroup(answers.groupBy("chunk"))
         .applyInArrow(add, "doc_id bigint, n_words bigint, target_loss double, background_loss double, score double")
     )

@@ -15,6 +15,8 @@ from traceaudit.plans.registry import Catalog
 from traceaudit.session import stored_tables
 
 CATALOG = Catalog()
+#: Near duplicates: words of an n-gram, and percent of the n-grams of two documents that both have.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +25,8 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that n-gram Jaccard links connect."""
-    return jaccard.drop_near_duplicates(docs)
+    """One document of each group that links connect: four of five of their 5-word n-grams in common."""
+    return jaccard.drop_near_duplicates(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from traceaudit.llm import hosts, jaccard, lm, mixing, packing, quality, substrings, tokenfiles, tokenizer
@@ -121,16 +122,16 @@ def test_substrings_repeated_ids_keep_equal_windows(spark):
 # n-gram Jaccard join
 
 
-def shingles(text):
+def shingles(text, width=3):
     low = (text or "").translate({k: k + 32 for k in range(65, 91)})
     words = re.findall(WORD, low)
-    if len(words) < 3:
+    if len(words) < width:
         return frozenset([tuple(words)] if words else [])
-    return frozenset(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    return frozenset(tuple(words[i : i + width]) for i in range(len(words) - width + 1))
 
 
-def components_by_hand(rows, percent):
-    sets = {doc: shingles(text) for doc, text in rows}
+def components_by_hand(rows, percent, width=3):
+    sets = {doc: shingles(text, width) for doc, text in rows}
     root = {doc: doc for doc in sets}
 
     def top(x):
@@ -327,6 +328,60 @@ def test_mixed_documents_hold_the_words_taken(docs):
     assert all(abs(taken[s] - t) <= 1 for s, t in targets_by_hand(sizes).items())
 
 
+CLASHING = (
+    "target take block source_size quota ends words key copy shard index _point _slice _start _tie _id _source _s _k _c0 _text _take _rank "
+    "_packed n k1 k2 node component component_id doc"
+).split()
+
+
+def test_mix_and_near_duplicates_keep_columns_of_any_name(spark, docs):
+    rows = docs.select("doc_id", "text", "source")
+    more = rows.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHING)])
+    for keep in (mixing.mixed_documents, jaccard.drop_near_duplicates, lambda d: mixing.mix(d).select(*d.columns, "_size")):
+        wide, narrow = keep(more), keep(rows)
+        assert wide.columns[: len(more.columns)] == more.columns
+        found = [tuple(r) for r in wide.collect()]
+        assert {r[3 : 3 + len(CLASHING)] for r in found} == {tuple(range(len(CLASHING)))}
+        assert collections.Counter(r[:3] for r in found) == collections.Counter(tuple(r)[:3] for r in narrow.collect())
+
+
+def test_mix_of_repeated_ids_and_blank_sources(spark):
+    """Rows of one id and size are told apart by their texts, so reruns agree; a source without words takes nothing."""
+    rows = [(7, f"w{k} x y", "a") for k in range(30)] + [(None, f"v{k} x y", "a") for k in range(5)]
+    rows += [(k, "z " * 50, "b") for k in range(100, 120)] + [(200, " ", "c"), (201, None, "c")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    one, two = ({r.text: [tuple(t) for t in r._takes] for r in mixing.mix(d, shards=4).collect()} for d in (df, df.repartition(7)))
+    assert one == two and one[" "] == [] and one[None] == []
+
+
+def test_blocks_are_permuted_by_key(spark):
+    counts = [1, 2, 3, 5, 17, 331, 662, 4681, 5000]
+    df = spark.createDataFrame([(c, k) for c in counts for k in range(c)], "n bigint, k bigint")
+    at = mixing.permuted(F.col("k"), F.col("n"), F.lit(9), F.lit("src"))
+    other = mixing.permuted(F.col("k"), F.col("n"), F.lit(9), F.lit("more"))
+    found = df.select("n", "k", at.alias("p"), other.alias("q")).orderBy("n", "k").collect()
+    for c in counts:
+        p, q = ([getattr(r, x) for r in found if r.n == c] for x in "pq")
+        assert sorted(p) == sorted(q) == list(range(c))
+        if c > 300:  # neighbours part, and keys give other permutations
+            assert np.mean(np.abs(np.diff(p)) < c / 20) < 0.2 and np.mean(np.array(p) == np.array(q)) < 0.05
+
+
+def test_bisection_counts_ends(spark):
+    ends = [0, 0, 3, 3, 7, 9, 9, 12]
+    for size in (1, 2, 5, 8):
+        df = spark.range(14).select(mixing.place_in(F.array(*[F.lit(e).cast("bigint") for e in ends[:size]]), F.col("id")).alias("p"), "id")
+        assert all(r.p == sum(e <= r.id for e in ends[:size]) for r in df.collect())
+
+
+def test_shards_follow_the_words(docs, monkeypatch):
+    words = sum(len(words_of(r.text)) for r in docs.collect())
+    for per_shard, want in ((words, 1), (words // 3, 4), (words // 30, 32)):
+        monkeypatch.setattr(mixing, "WORDS_PER_SHARD", per_shard)
+        found = {t.shard for r in mixing.mix(docs).collect() for t in r._takes}
+        assert max(found) < want and len(found) > want / 2
+
+
 def test_split_quotas_add_up_and_follow_the_distribution(spark):
     quotas = [0, 7, 300, 41]
     row = spark.createDataFrame([(quotas,)], "quota array<bigint>")
@@ -467,7 +522,7 @@ def test_every_word_has_its_own_entry(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     found = {r.doc_id: r for r in lm.score(docs, spark.createDataFrame([(1000,), (3,)], "doc_id bigint")).collect()}
     texts = [(d, (t or "").lower().split()) for d, t in rows]
-    for (doc, words), want in zip(texts, losses_by_hand(texts, {1000, 3}, len({w for _, t in texts for w in t}))):
+    for (doc, words), want in zip(texts, losses_by_hand(texts, {1000, 3}, sum(len(t) for _, t in texts))):
         if words:
             assert [found[doc].target_loss, found[doc].background_loss] == pytest.approx(want, abs=1e-9)
     assert len(found) == len(rows) and found[1003].score is None

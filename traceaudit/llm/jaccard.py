@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceaudit.llm.components import connected_components
@@ -368,8 +368,19 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row of each group, that of the smallest ``doc_id``; rows without one stay."""
-    leaders = near_duplicates(docs, width, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    first = docs.filter("doc_id is not null").withColumn("_rank", F.row_number().over(one)).filter("_rank = 1").drop("_rank")
-    return first.join(leaders, "doc_id", "left_semi").select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    """``docs`` with one row of each group, that of the smallest ``doc_id``; rows without one stay.
+
+    Of rows that share a ``doc_id`` one of the smallest text hash stays; hashes are compared in sums, texts are moved once.
+    Columns keep their names, whatever these are.
+    """
+    given = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)]
+    tie = F.xxhash64("text")
+    rows = docs.select(*given, F.col("doc_id").alias("_id"), tie.alias("_tie"), F.col("text").alias("_text"))
+    leaders = near_duplicates(docs, width, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    # A row per id, from sums that combine before they are shuffled.
+    ties = docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min(tie).alias("_tie"), F.count("*").alias("_n"))
+    kept = rows.filter("_id is not null").join(leaders.join(ties, "_id"), ["_id", "_tie"])
+    back = [F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    # Rows of one id and text: one of them, chosen before they are moved.
+    every = kept.filter("_n = 1").unionByName(kept.filter("_n > 1").dropDuplicates(["_id", "_tie"]))
+    return every.select(back).unionByName(rows.filter("_id is null").select(back))

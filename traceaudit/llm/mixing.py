@@ -4,15 +4,17 @@ The documents of a source, in the order of a seeded hash, are one stream of word
 ``most_repeats`` times. What it takes is the stream up to the source's target, in blocks of one size: that is the
 source's quota, exact to the word. A binary tree deals the quotas to the output shards: each node draws, from a
 multivariate hypergeometric distribution, which of its blocks go left, so every shard gets the mix it would get from a
-random deal of all blocks, though only counts are handled. A permutation of each source's blocks then gives the shards
-disjoint runs of blocks, and rows of a shard are put in random order where they are.
+random deal of all blocks, though only counts are handled. A keyed permutation of each source's blocks then gives the
+shards disjoint runs of blocks, and rows of a shard are put in random order where they are.
 
 All of it is DataFrame functions. Sums per source and hash slice are the only grouping, so a source that owns most
 rows is spread over all slices.
 
 Defined results: a null ``source`` is a source of its own, last in order; null or blank texts have size 0, and nothing
-of them is taken; null or repeated ``doc_id`` are rows like others; one document of a source may be taken in part, where
-the quota ends. Columns named ``_size``, ``_source_size``, ``_target`` or ``_takes`` are refused.
+of them is taken; null or repeated ``doc_id`` are rows like others, in the order of size and a hash of the text, so rows
+that agree in these are taken alike whichever comes first; texts of any length count whole; one document of a source may
+be taken in part, where the quota ends. An empty table gives an empty mix. Other columns are kept, whatever their names,
+but ``_size``, ``_source_size``, ``_target`` and ``_takes``, which ``mix`` adds and so refuses.
 """
 
 from __future__ import annotations
@@ -23,9 +25,13 @@ from pyspark.sql import functions as F
 from traceaudit.llm.store import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
-WEIGHTS, MOST_REPEATS, SHARDS, BLOCKS_PER_SHARD, SEED = (5, 2, 1), 3, 16, 256, 17
-#: A permutation of a source's blocks: multiplication by a prime that is larger than any number of blocks.
-_STEP = 2_147_483_647
+WEIGHTS, MOST_REPEATS, BLOCKS_PER_SHARD, SEED = (5, 2, 1), 3, 256, 17
+#: Words of an output shard; their number is the power of two that gives each shard no more.
+WORDS_PER_SHARD = 1 << 22
+#: Rounds of the permutation of a source's blocks, and how often a number beyond the blocks is permuted again. Of n
+#: blocks at most the root of n numbers lie beyond, so fewer steps suffice for some thousand blocks, and with more
+#: blocks a step leaves one in forty open.
+_ROUNDS, _WALK = 4, 40
 #: Draws farther than this many standard deviations from the mean have a chance below 1e-20 and are left out.
 _REACH = 10.0
 _OWN = ("_size", "_source_size", "_target", "_takes")
@@ -106,6 +112,37 @@ def _uniform(seed: int, *keys: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 12) + 0.5) / float(1 << 52)
 
 
+def permuted(value: Column, count: Column, *key: Column) -> Column:
+    """A keyed permutation of 0 .. count - 1: a Feistel network over two digits, walked on until it is below ``count``."""
+    width = F.ceil(F.sqrt(count.cast("double"))).cast("bigint")
+    height = F.ceil(count / width).cast("bigint")
+
+    def once(x: Column) -> Column:
+        def turn(digits: Column, number: Column) -> Column:
+            low, high = digits["low"], digits["high"]
+            hashed = F.xxhash64(*key, number, F.when(number % 2 == 0, high).otherwise(low))
+            return F.when(number % 2 == 0, F.struct(F.pmod(low + F.pmod(hashed, width), width).alias("low"), high.alias("high"))).otherwise(
+                F.struct(low.alias("low"), F.pmod(high + F.pmod(hashed, height), height).alias("high"))
+            )
+
+        start = F.struct(F.pmod(x, width).alias("low"), F.floor(x / width).cast("bigint").alias("high"))
+        return F.aggregate(F.array(*[F.lit(r) for r in range(_ROUNDS)]), start, turn, lambda d: d["high"] * width + d["low"])
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), once(value), lambda x, _: F.when(x < count, x).otherwise(once(x)))
+
+
+def place_in(ends: Column, value: Column) -> Column:
+    """How many of the ascending ``ends``, a power of two less one or more, are at most ``value``: by bisection."""
+    widths = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(ends) + 1)).cast("int") - 1), lambda k: F.pow(F.lit(2), k).cast("int"))
+    halves = F.reverse(widths)
+
+    def step(found: Column, width: Column) -> Column:
+        end = F.get(ends, found + width - 1)
+        return F.when(F.coalesce(end <= value, F.lit(False)), found + width).otherwise(found)
+
+    return F.aggregate(halves, F.lit(0), step)
+
+
 def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     """``shard``, ``quota`` (an array like ``quota`` of the one row given): what each shard gets of every source."""
     if shards < 1 or shards & (shards - 1):
@@ -159,33 +196,37 @@ def source_plan(totals: DataFrame, weights, most_repeats: int, shards: int, bloc
 
 
 def mix(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: int = MOST_REPEATS, shards: int = SHARDS,
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: int = MOST_REPEATS, shards: int | None = None,
     blocks_per_shard: int = BLOCKS_PER_SHARD, seed: int = SEED,
 ) -> DataFrame:
     """``docs`` with ``_size``, ``_source_size``, ``_target`` and ``_takes``: what the mix takes of each row.
 
     A take is ``copy`` (which reading of the source), ``words`` (from the front of the text), ``shard`` and ``key``, a
-    random order in the shard. Reruns agree: all is a function of ``doc_id``, size, source and seed.
+    random order in the shard. Reruns agree: all is a function of ``doc_id``, text, source and seed.
     """
     clash = set(_OWN) & set(docs.columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} clash with those of the mix")
     slices = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    point = F.xxhash64(F.lit(seed), "doc_id")
+    # Columns of the caller go by numbers, so none is named like one of these.
+    given = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)]
+    flat = docs.select(*given, F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "text")
+    point = F.xxhash64(F.lit(seed), "_id")
     # Slices follow the order of the hash, so sums of earlier slices complete the sums inside one.
     cut = F.floor((F.shiftright(point, 40) + (1 << 23)) * slices / float(1 << 24)).cast("int")
-    rows = sized(docs).withColumn("_point", point).withColumn("_slice", cut)
-    parts = materialise(rows.groupBy("source", "_slice").agg(F.sum("_size").alias("_words")))
-    totals = parts.groupBy("source").agg(F.sum("_words").alias("source_size"))
+    rows = sized(flat).withColumns({"_point": point, "_slice": cut, "_tie": F.xxhash64("text")}).drop("text")
+    parts = materialise(rows.groupBy("_source", "_slice").agg(F.sum("_size").alias("_words")))
+    totals = parts.groupBy(F.col("_source").alias("source")).agg(F.sum("_words").alias("source_size"))
+    if shards is None:
+        words = totals.agg(F.sum("source_size")).first()[0] or 0
+        shards = 1 << max(0, -(-words // WORDS_PER_SHARD) - 1).bit_length()
     plan = source_plan(totals, weights, most_repeats, shards, blocks_per_shard, seed)
-    earlier = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     before = parts.withColumn("_before", F.coalesce(F.sum("_words").over(earlier), F.lit(0))).drop("_words")
-    plan = plan.withColumnRenamed("source", "_source")
-    here = before.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    here = here.withColumnsRenamed({"source": "_s", "_slice": "_c"})
-    joined = rows.join(here, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_c")))
+    here = before.withColumnsRenamed({"_source": "_s", "_slice": "_k"}).join(plan, F.col("_s").eqNullSafe(F.col("source"))).drop("source")
+    joined = rows.join(here, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_k")))
     inside = (
-        Window.partitionBy("source", "_slice").orderBy("_point", "doc_id", "_size")
+        Window.partitionBy("_source", "_slice").orderBy("_point", "_id", "_size", "_tie")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     start = F.col("_before") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
@@ -193,18 +234,19 @@ def mix(
     def take(copy: Column) -> Column:
         at = copy * F.col("source_size") + F.col("_start")
         words = F.greatest(F.lit(0), F.least(F.col("_size"), F.col("take") - at)).cast("bigint")
-        block = F.floor((at + words / 2) / F.col("block")).cast("bigint")
-        rank = F.pmod(block * _STEP + F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(_STEP)), F.col("quota"))
-        shard = F.size(F.filter("ends", lambda end: end <= rank)).cast("int")
+        quota = F.greatest(F.col("quota"), F.lit(1))
+        block = F.least(F.floor((at + words / 2) / F.col("block")).cast("bigint"), quota - 1)
+        shard = place_in(F.col("ends"), permuted(block, quota, F.lit(seed), F.col("_source"))).cast("int")
         return F.struct(
-            copy.alias("copy"), words.alias("words"), shard.alias("shard"), F.xxhash64(F.lit(seed + 1), "doc_id", copy).alias("key")
+            copy.alias("copy"), words.alias("words"), shard.alias("shard"), F.xxhash64(F.lit(seed + 1), "_id", copy).alias("key")
         )
 
-    takes = F.filter(F.transform(F.sequence(F.lit(0), F.lit(most_repeats - 1)), take), lambda t: t["words"] > 0)
-    return joined.withColumn("_start", start).select(
-        *[F.col(c) for c in docs.columns], "_size", F.col("source_size").alias("_source_size"),
-        F.col("target").alias("_target"), takes.alias("_takes"),
+    copies = F.filter(F.sequence(F.lit(0), F.lit(most_repeats - 1)), lambda c: (F.col("_size") > 0) & (c * F.col("source_size") + F.col("_start") < F.col("take")))
+    taken = joined.withColumn("_start", start).select(
+        *[f"_c{i}" for i in range(len(docs.columns))], "_size", F.col("source_size").alias("_source_size"),
+        F.col("target").alias("_target"), F.transform(copies, take).alias("_takes"),
     )
+    return taken.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)], *_OWN)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -212,8 +254,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Ranges of (shard, key) make the partitions, so a shard larger than a task is several, and each is sorted locally.
     """
-    taken = mix(docs, **options).select("*", F.inline("_takes"))
-    front = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), 1, F.col("words").cast("int")), " ")
-    whole = taken.withColumn("text", F.when(F.col("words") < F.col("_size"), front).otherwise(F.col("text")))
-    ordered = whole.repartitionByRange("shard", "key").sortWithinPartitions("shard", "key", "copy")
-    return ordered.select(docs.columns)
+    given = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)]
+    taken = mix(docs, **options).select(*given, F.col("text").alias("_text"), "_size", F.explode("_takes").alias("_take"))
+    front = F.array_join(F.slice(F.regexp_extract_all("_text", F.lit(f"({WORD})"), F.lit(1)), 1, F.col("_take.words").cast("int")), " ")
+    whole = F.when(F.col("_take.words") < F.col("_size"), front).otherwise(F.col("_text"))
+    order = [F.col(f"_take.{c}") for c in ("shard", "key", "copy")]
+    ordered = taken.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    return ordered.select(*[(whole if c == "text" else F.col(f"_c{i}")).alias(c) for i, c in enumerate(docs.columns)])

@@ -320,3 +320,15 @@ def pick_split(df: DataFrame, by: Sequence[str], split: str = "split") -> DataFr
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, ("validation", "train", "test"))), F.col(split)), F.lit(0))
     rank = F.when(rank == 0, 99).otherwise(rank)
     return df.groupBy(*by).agg(F.min_by(F.col(split), F.struct(rank, F.col(split))).alias(split))
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
+    """Number of distinct non-null values of each column, as one row.
+
+    Each value is kept once per task before it is shuffled by column and value, so a column of few values costs few rows
+    and one of many is spread; several columns need one pass.
+    """
+    values = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(columns)])
+    pairs = df.select(F.inline(values)).filter("v is not null").distinct()
+    counts = [F.count_if(F.col("i") == i).alias(n) for i, n in enumerate(names or columns)]
+    return pairs.agg(*counts)

@@ -540,7 +540,7 @@ def path_identity(path: Column | str) -> Column:
     return F.struct(
         F.nullif(before(2), F.lit("")).alias("defense"),
         F.nullif(before(1), F.lit("")).alias("attack"),
-        F.substring(F.get(parts, at), 2, 2_000_000).try_cast("bigint").alias("budget"),
+        F.substr(F.get(parts, at), F.lit(2)).try_cast("bigint").alias("budget"),
     )
 
 

@@ -108,18 +108,18 @@ def capability_matrix(spark, sf_dir):
     return A.matrix(cells.withColumn("score", F.round("score", 9)))
 
 
-# Only confident rows of two event types, so that some cells stay empty.
+# Models without any record, one beside each with records, leave empty cells.
 @query(
     "capability_dense_grid",
-    f"""WITH {RECORDS}, s AS (SELECT model_key, dataset, count(*) AS evaluated_count, round(count(*) FILTER (correct)::DOUBLE / count(*), 9) AS score FROM latest WHERE latency_seconds > 9 GROUP BY 1, 2),
-g AS (SELECT model_key, d.dataset FROM (SELECT DISTINCT event_type AS model_key FROM events), (SELECT unnest([{TASKS}]) AS dataset) d)
+    f"""WITH {RECORDS}, s AS (SELECT model_key, dataset, count(*) AS evaluated_count, CASE WHEN dataset = 'humaneval' THEN round(count(*) FILTER (parse_status = 'success')::DOUBLE / count(*), 9) ELSE round(count(*) FILTER (correct)::DOUBLE / count(*), 9) END AS score FROM latest GROUP BY 1, 2),
+t AS (SELECT DISTINCT event_type AS m FROM events), g AS (SELECT model_key, d.dataset FROM (SELECT m AS model_key FROM t UNION ALL SELECT m || '-next' FROM t), (SELECT unnest([{TASKS}]) AS dataset) d)
 SELECT model_key, dataset, CASE WHEN s.score IS NOT NULL AND dataset = 'humaneval' THEN 'completion_extraction_rate' WHEN dataset = 'humaneval' THEN 'pass@1' ELSE 'M1 rollout accuracy' END AS metric_name,
-CASE WHEN dataset = 'humaneval' AND s.score IS NOT NULL THEN 1.0 ELSE s.score END AS score, coalesce(evaluated_count, 0)::BIGINT AS evaluated_count FROM g LEFT JOIN s USING (model_key, dataset)""",
+s.score, coalesce(evaluated_count, 0)::BIGINT AS evaluated_count FROM g LEFT JOIN s USING (model_key, dataset)""",
 )
 def capability_dense_grid(spark, sf_dir):
-    newest = newest_records(spark, sf_dir).filter("latency_seconds > 9")
-    models = table(spark, sf_dir, "events").select(F.col("event_type").alias("model_key"))
-    grid = A.dense_grid(A.summary(newest, ("model_key", "dataset")), models)
+    known = table(spark, sf_dir, "events").select(F.col("event_type").alias("model_key")).distinct()
+    models = known.unionByName(known.select(F.concat("model_key", F.lit("-next")).alias("model_key")))
+    grid = A.dense_grid(A.summary(newest_records(spark, sf_dir), ("model_key", "dataset")), models)
     return grid.select("model_key", "dataset", "metric_name", F.round("score", 9).alias("score"), "evaluated_count")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from traceaudit.functions import hashing
@@ -31,12 +32,12 @@ def scratch(spark) -> str:
 
 @query(
     "source_jsonl_typed",
-    """SELECT 'row' AS kind, count(*)::BIGINT AS n, sum(n_chars)::BIGINT AS chars FROM documents WHERE doc_id % 7 <> 0 AND text <> ''
-UNION ALL SELECT 'not_valid_json', count(*)::BIGINT, NULL FROM documents WHERE doc_id % 7 = 0 AND text <> ''""",
+    """SELECT 'row' AS kind, count(*)::BIGINT AS n, sum(n_chars)::BIGINT AS chars FROM documents WHERE doc_id % 7 <> 0
+UNION ALL SELECT 'not_valid_json', count(*)::BIGINT, NULL FROM documents WHERE doc_id % 7 = 0""",
 )
 def source_jsonl_typed(spark, sf_dir):
     """Documents as lines in which every seventh has a boolean for a number."""
-    rows = table(spark, sf_dir, "documents").filter("text <> ''")
+    rows = table(spark, sf_dir, "documents")
     number = F.when(F.col("doc_id") % 7 != 0, F.col("n_chars").cast("string")).otherwise("true")
     line = F.concat(F.lit('{"text": '), F.to_json(F.array("text")), F.lit(', "n_chars": '), number, F.lit("}"))
     path = scratch(spark)
@@ -47,6 +48,34 @@ def source_jsonl_typed(spark, sf_dir):
     return counted.unionByName(faults)
 
 
+#: Not a number and the infinities as JSON lines write them, and separators that are no line ends in such files.
+LINE_NUMBERS, LINE_MARKS = ("NaN", "Infinity", "-Infinity"), ("\u2028", "\u2029", "\x85", "\x1e")
+
+
+@query(
+    "source_jsonl_odd_lines",
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'nan' WHEN 1 THEN 'inf' WHEN 2 THEN '-inf' ELSE 'number' END AS score,
+md5(coalesce(text, '') || [chr(8232), chr(8233), chr(133), chr(30)][doc_id % 4 + 1] || 'x') AS digest, row_number() OVER (ORDER BY doc_id) AS line_no FROM documents""",
+)
+def source_jsonl_odd_lines(spark, sf_dir):
+    """Whole texts with a separator behind them that Python would split at, and scores beyond the numbers, line by line."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kind = F.col("doc_id") % 4
+    mark = F.get(F.array(*map(F.lit, LINE_MARKS)), kind.cast("int"))
+    number = F.coalesce(F.get(F.array(*map(F.lit, LINE_NUMBERS)), kind.cast("int")), F.lit("0.5"))
+    # JSON leaves these marks as they are; its own escapes stand for line feeds.
+    body = F.to_json(F.struct("doc_id", F.concat(F.coalesce("text", F.lit("")), mark, F.lit("x")).alias("text")))
+    line = F.concat(F.lit('{"score": '), number, F.lit(", "), F.substr(body, F.lit(2)))
+    path = scratch(spark)
+    docs.withColumn("value", line).repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("value").write.text(path)
+    rows, _ = jsonl.read_jsonl(spark, path, "doc_id bigint, score double, text string", numbered=True)
+    score = F.when(F.isnan("score"), "nan").when(F.col("score") == float("inf"), "inf").when(F.col("score") == float("-inf"), "-inf").otherwise("number")
+    # Files follow each other by name, so lines of earlier files count.
+    sizes = rows.groupBy("file").agg(F.max("line_no").alias("n"))
+    before = sizes.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return rows.join(before, "file").select("doc_id", score.alias("score"), F.md5("text").alias("digest"), (F.col("_before") + F.col("line_no")).alias("line_no"))
+
+
 #: Documents of a source that one JSON pool holds at most.
 POOL_BLOCK = 1024
 
@@ -279,20 +308,31 @@ def sink_result_rows(spark, sf_dir):
 
 @query(
     "capability_prediction_rules",
-    """SELECT 'generation_config_not_object' AS rule, count(*)::BIGINT AS n FROM conversations WHERE turn % 2 = 1 GROUP BY 1 HAVING count(*) > 0
-UNION ALL SELECT 'missing_fields', count(*)::BIGINT FROM conversations WHERE turn % 3 = 0 HAVING count(*) > 0""",
+    """WITH c AS (SELECT conv_id, turn, conv_id % 5 AS k FROM conversations), r AS (SELECT unnest([
+  CASE WHEN turn % 3 = 0 THEN 'missing_fields' END, CASE WHEN turn % 2 = 1 THEN 'generation_config_not_object' END, CASE WHEN turn % 2 = 0 AND k = 4 THEN 'generation_config_missing_fields' END,
+  CASE WHEN k = 0 THEN 'bad_request_status' END, CASE WHEN k = 1 THEN 'bad_parse_status' END, CASE WHEN k = 2 THEN 'failed_parse_with_prediction' END,
+  CASE WHEN k = 3 AND turn % 3 <> 0 THEN 'code_record_missing_fields' END]) AS rule FROM c)
+SELECT rule, count(*)::BIGINT AS n FROM r WHERE rule IS NOT NULL GROUP BY 1""",
 )
 def capability_prediction_rules(spark, sf_dir):
-    """Turns as prediction records: some lack a field, some have a text for the generation settings."""
-    names = [f for f in capability.RECORD_FIELDS if f not in ("generation_config", "raw_response", "dataset")]
-    settings = F.to_json(F.struct(*[F.lit(0).alias(f) for f in capability.GENERATION_FIELDS]))
-    fields = F.to_json(F.struct(F.col("text").alias("raw_response"), *[F.lit(1).alias(f) for f in names]))
-    dataset = F.when(F.col("turn") % 3 == 0, F.lit("")).otherwise(F.lit('"dataset": "d", '))
-    config = F.when(F.col("turn") % 2 == 1, F.lit('"none"')).otherwise(settings)
-    record = F.concat(F.lit("{"), dataset, F.lit('"generation_config": '), config, F.lit(", "), F.substring(fields, 2, 10_000_000))
+    """Turns as prediction records, by conversation and turn with one fault or another of each rule."""
+    turn, kind = F.col("turn"), F.col("conv_id") % 5
+    set_here = ("generation_config", "raw_response", "dataset", "request_status", "parse_status", "parsed_prediction")
+    names = [f for f in capability.RECORD_FIELDS if f not in set_here]
+    settings = [F.to_json(F.struct(*[F.lit(0).alias(f) for f in some])) for some in (capability.GENERATION_FIELDS, capability.GENERATION_FIELDS[1:])]
+    fields = F.to_json(
+        F.struct(
+            F.col("text").alias("raw_response"), F.when(kind == 0, "lost").otherwise("completed").alias("request_status"),
+            F.when(kind == 1, "odd").when(kind == 2, "failed").otherwise("success").alias("parse_status"), F.lit("p").alias("parsed_prediction"),
+            *[F.lit(1).alias(f) for f in names],
+        ),
+        {"ignoreNullFields": "false"},
+    )
+    dataset = F.when(turn % 3 == 0, F.lit("")).when(kind == 3, F.lit('"dataset": "humaneval", ')).otherwise(F.lit('"dataset": "d", '))
+    config = F.when(turn % 2 == 1, F.lit('"none"')).when(kind == 4, settings[1]).otherwise(settings[0])
+    record = F.concat(F.lit("{"), dataset, F.lit('"generation_config": '), config, F.lit(", "), F.substr(fields, F.lit(2)))
     rows = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("row_key"), F.parse_json(record).alias("raw"))
-    found = capability.prediction_violations(rows).filter("rule in ('missing_fields', 'generation_config_not_object')")
-    return found.groupBy("rule").agg(F.count("*").alias("n"))
+    return capability.prediction_violations(rows).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -305,7 +345,7 @@ def transcript_record_rules(spark, sf_dir):
     config = F.when(F.col("turn") % 3 == 0, F.lit('"decode_config": "s"')).otherwise(F.lit('"decode_config": {"t": 0}'))
     logits = F.when(F.col("turn") % 2 == 0, F.lit(', "logits": [1]')).otherwise("")
     created = F.when(F.col("turn") % 4 == 1, F.lit("")).otherwise(F.lit(', "created_at": "now"'))
-    record = F.concat(F.lit("{"), config, logits, created, F.lit(", "), F.substring(fields, 2, 10_000_000))
+    record = F.concat(F.lit("{"), config, logits, created, F.lit(", "), F.substr(fields, F.lit(2)))
     rows = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("row_key"), F.parse_json(record).alias("raw"))
     return X.record_violations(rows, "raw", "row_key").groupBy("rule").agg(F.count("*").alias("n"))
 

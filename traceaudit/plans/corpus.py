@@ -380,9 +380,7 @@ def corpus_key_coverage(spark, sf_dir):
 
 @query("corpus_distinct_sources", "SELECT count(DISTINCT source)::BIGINT AS sources, count(DISTINCT lang)::BIGINT AS languages FROM documents")
 def corpus_distinct_sources(spark, sf_dir):
-    return documents(spark, sf_dir).agg(
-        F.count_distinct("source").alias("sources"), F.count_distinct("lang").alias("languages")
-    )
+    return C.distinct_counts(documents(spark, sf_dir), ["source", "lang"], ["sources", "languages"])
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from traceaudit.operators import fidelity as D
 from traceaudit.plans.corpus import key_sql
 from traceaudit.plans.registry import Catalog, table
+from traceaudit.plans.text import WS
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -118,16 +119,47 @@ def pairs(spark, sf_dir):
     )
 
 
-@query("fidelity_rouge")
+# The table of common subsequences, row by row for all pairs: a row is the running maximum of the one before it, and of
+# its left neighbour plus one where tokens agree.
+ROUGE_SQL = rf"""WITH RECURSIVE f AS (SELECT conv_id AS id, arg_min(text, turn) FILTER (role = 'user') AS t, arg_min(text, turn) FILTER (role = 'assistant') AS s FROM conversations GROUP BY 1),
+c AS (SELECT id, t, s FROM f WHERE t IS NOT NULL AND s IS NOT NULL), tk AS (SELECT id, {{left}} AS a, {{right}} AS b FROM c),
+ta AS (SELECT id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS x FROM tk), tb AS (SELECT id, unnest(range(1, len(b) + 1)) AS j, unnest(b) AS y FROM tk),
+dp AS (SELECT id, 0::BIGINT AS i, j, 0::BIGINT AS v FROM tb UNION ALL
+  SELECT id, i + 1, j, max(u) OVER (PARTITION BY id ORDER BY j) FROM (SELECT dp.id, dp.i, dp.j, CASE WHEN x = y THEN coalesce(lag(v) OVER (PARTITION BY dp.id ORDER BY dp.j), 0) + 1 ELSE v END AS u
+  FROM dp JOIN ta ON ta.id = dp.id AND ta.i = dp.i + 1 JOIN tb ON tb.id = dp.id AND tb.j = dp.j)),
+l AS (SELECT id, max(v) AS n FROM dp GROUP BY 1),
+r AS (SELECT tk.id, CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE 2.0 * coalesce(n, 0) / (len(a) + len(b)) END AS f1, a, b FROM tk LEFT JOIN l USING (id))"""
+
+
+def rouge_tokens_sql(column: str) -> str:
+    return rf"[lower(x) FOR x IN regexp_extract_all({column}, '[\x{{3400}}-\x{{4dbf}}\x{{4e00}}-\x{{9fff}}]|[A-Za-z0-9]+(?:[''’\-][A-Za-z0-9]+)*|[^{WS}]')]"
+
+
+def key_words_sql(column: str) -> str:
+    return f"CASE WHEN {key_sql(column)} = '' THEN [] ELSE string_split({key_sql(column)}, ' ') END"
+
+
+@query(
+    "fidelity_rouge",
+    f"""{ROUGE_SQL.format(left=rouge_tokens_sql('t'), right=rouge_tokens_sql('s'))},
+base AS (SELECT avg(CASE WHEN list_contains(a, 'the') THEN 2.0 / (len(a) + 1) ELSE 0.0 END) AS v FROM tk)
+SELECT round(avg(f1), 9) AS rouge_l_f1, count(*)::BIGINT AS n, round(any_value(v), 9) AS base_rouge_l_f1, round(avg(f1) - any_value(v), 9) AS gain_over_base FROM r, base""",
+)
 def fidelity_rouge(spark, sf_dir):
     complete = pairs(spark, sf_dir).dropna()
     base = complete.withColumn("student_text", F.lit("the"))
-    return D.rouge_report(complete, base)
+    found = D.rouge_report(complete, base)
+    return found.withColumns({c: F.round(c, 9) for c in ("rouge_l_f1", "base_rouge_l_f1", "gain_over_base")})
 
 
-@query("fidelity_heldout_text")
+@query(
+    "fidelity_heldout_text",
+    f"""{ROUGE_SQL.format(left=key_words_sql('t'), right=key_words_sql('s'))}
+SELECT count(*)::BIGINT AS n, round(avg(({key_sql('t')} = {key_sql('s')})::INT), 9) AS agreement_rate, round(avg(f1), 9) AS rouge_l FROM r JOIN c USING (id)""",
+)
 def fidelity_heldout_text(spark, sf_dir):
-    return D.heldout_fidelity(pairs(spark, sf_dir).dropna())
+    found = D.heldout_fidelity(pairs(spark, sf_dir).dropna())
+    return found.withColumns({c: F.round(c, 9) for c in ("agreement_rate", "rouge_l")})
 
 
 # Students repeat even documents with extra blanks and change odd ones.

@@ -282,15 +282,25 @@ def catalog_detector_columns(spark, sf_dir):
 
 @query(
     "catalog_merged_summaries",
-    "SELECT attack FROM (VALUES ('click'), ('view'), ('lord'), ('gad')) AS e(attack) WHERE attack NOT IN (SELECT event_type FROM events)",
+    """WITH e AS (SELECT event_type AS attack, round(avg(value), 9) AS score FROM events GROUP BY 1)
+SELECT 'merged' AS kind, attack, score FROM e UNION ALL SELECT 'unexpected_method', attack, NULL FROM e WHERE attack NOT IN ('click', 'view', 'lord', 'gad')
+UNION ALL SELECT 'missing', m, NULL FROM (VALUES ('click'), ('view'), ('lord'), ('gad')) AS w(m) WHERE m NOT IN (SELECT attack FROM e)""",
 )
 def catalog_merged_summaries(spark, sf_dir):
+    """One worker summary for each event type, against a list that names some of them and some that no worker has."""
     events = table(spark, sf_dir, "events")
+    kinds = [r.event_type for r in events.select("event_type").distinct().orderBy("event_type").collect()]  # a handful
     parts = [
         events.filter(F.col("event_type") == t).groupBy(F.col("event_type").alias("attack")).agg(F.avg("value").alias("score"))
-        for t in ("click", "view")
+        for t in kinds
     ]
-    return G.merge_summaries(parts, ["click", "view", "lord", "gad"])[2]
+    merged, broken, missing = G.merge_summaries(parts, ["click", "view", "lord", "gad"])
+    nothing = F.lit(None).cast("double").alias("score")
+    return (
+        merged.select(F.lit("merged").alias("kind"), "attack", F.round("score", 9).alias("score"))
+        .unionByName(broken.select(F.col("rule").alias("kind"), F.col("row_key").alias("attack"), nothing))
+        .unionByName(missing.select(F.lit("missing").alias("kind"), "attack", nothing))
+    )
 
 
 @query(

@@ -425,6 +425,25 @@ def test_host_counts_and_verdicts(spark, docs, empty):
     assert hosts.judge(empty).count() == 0
 
 
+BAD_PAGES = {
+    "length_failed": lambda k: " ".join(f"{'x' * 20}{k}y{j}" for j in range(30)),
+    "symbols_failed": lambda k: " ".join(f"a{k}b{j}#$" for j in range(30)),
+    "lines_failed": lambda k: "\n".join("menu" if j % 2 else " ".join(f"w{k}l{j}x{i}" for i in range(6)) for j in range(20)),
+}
+
+
+@pytest.mark.parametrize("rule", sorted(BAD_PAGES))
+def test_a_host_goes_by_any_rule_and_its_neighbours_stay(spark, rule):
+    fine = lambda k: "\n".join(" ".join(f"word{k}x{i}y{j}" for j in range(8)) for i in range(5))
+    rows = [(100 * h + k, f"h{h}", fine(100 * h + k)) for h in range(12) for k in range(20)]
+    rows += [(5000 + k, "bad", BAD_PAGES[rule](k)) for k in range(20)] + [(5100, "bad", fine(1)), (5200, "h3", BAD_PAGES[rule](99)), (5300, None, BAD_PAGES[rule](98))]
+    found = {r.doc_id: r for r in hosts.judge(spark.createDataFrame(rows, "doc_id bigint, source string, text string")).collect()}
+    assert not any(r.base_failed for r in found.values())
+    assert all(found[5000 + k][rule] for k in range(20)) and found[5200][rule] and not found[5100][rule]
+    gone = {d for d, r in found.items() if not r.kept}
+    assert gone == {5100, *range(5000, 5020)}  # all of the bad host, none of its neighbours, none without a host
+
+
 # Classifier
 
 

@@ -30,7 +30,8 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOG.query("op2_host_quality_rules", HOST_RULES)
 def op2_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hosts.judge(_table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 9))
+    judged = hosts.judge(_table(spark, sf_dir, "documents"))
+    return judged.withColumns({rate: F.round(rate, 9) for rate in hosts.RULES.values()})
 
 
 @CATALOG.query("op3_source_mix")

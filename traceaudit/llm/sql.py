@@ -15,15 +15,19 @@ g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(t[i:
   FROM (SELECT doc_id, t, unnest(range(1, len(t) - {hosts.WINDOW - 2})) AS i FROM w)),
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {hosts.WINDOW})) AS p FROM g WHERE n > 1) GROUP BY 1),
 c AS (SELECT doc_id, source AS host, len(t)::BIGINT AS n_words, coalesce(list_sum([length(v) FOR v IN t]), 0)::BIGINT AS word_chars,
-  len(regexp_extract_all(x, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  len(regexp_extract_all(x, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines
   FROM w JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
-b AS (SELECT *, n_words < {hosts.LEAST_WORDS} OR 100 * n_repeat_words > {hosts.MOST_REPEATED} * n_words AS base_failed FROM c),
-h AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed) AS f FROM b WHERE host IS NOT NULL GROUP BY 1),
-m AS (SELECT least(greatest(avg(f / n), 1e-6), 1 - 1e-6) AS mean, coalesce(var_samp(f / n), 0.0) AS variance, avg(1.0 / n) AS inverse FROM h),
-s AS (SELECT mean, greatest(mean * (1 - mean) / greatest(variance - mean * (1 - mean) * inverse, 1e-6) - 1, 1e-3) AS strength FROM m),
-v AS (SELECT host, (f + mean * strength) / (n + strength) AS rate FROM h, s)
-SELECT doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 9) AS host_rate,
-  NOT base_failed AND coalesce(rate, 0.0) <= {hosts.HOST_LIMIT} AS kept FROM b LEFT JOIN v USING (host)
+b AS (SELECT *, n_words < {hosts.LEAST_WORDS} OR 100 * n_repeat_words > {hosts.MOST_REPEATED} * n_words AS base_failed,
+  word_chars > {hosts.LONGEST_WORD} * n_words OR word_chars < {hosts.SHORTEST_WORD} * n_words AS length_failed, 100 * n_symbols > {hosts.MOST_SYMBOLS} * n_words AS symbols_failed,
+  100 * n_dup_lines > {hosts.MOST_EQUAL_LINES} * n_lines AS lines_failed FROM c),
+h AS (SELECT host, rule, count(*) AS n, count(*) FILTER (failed) AS f FROM (SELECT host, unnest(['host_rate', 'length_rate', 'symbols_rate', 'lines_rate']) AS rule,
+  unnest([base_failed, length_failed, symbols_failed, lines_failed]) AS failed FROM b WHERE host IS NOT NULL) GROUP BY 1, 2),
+m AS (SELECT rule, least(greatest(avg(f / n), 1e-6), 1 - 1e-6) AS mean, coalesce(var_samp(f / n), 0.0) AS variance, avg(1.0 / n) AS inverse FROM h GROUP BY 1),
+s AS (SELECT rule, mean, greatest(mean * (1 - mean) / greatest(variance - mean * (1 - mean) * inverse, 1e-6) - 1, 1e-3) AS strength FROM m),
+v AS (SELECT host, rule, (f + mean * strength) / (n + strength) AS rate FROM h JOIN s USING (rule)),
+o AS (SELECT host, max(rate) AS worst, {", ".join(f"any_value(rate) FILTER (rule = '{rate}') AS {rate}" for rate in hosts.RULES.values())} FROM v GROUP BY 1)
+SELECT doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, length_failed, symbols_failed, lines_failed,
+  {", ".join(f"round({rate}, 9) AS {rate}" for rate in hosts.RULES.values())}, NOT base_failed AND coalesce(worst, 0.0) <= {hosts.HOST_LIMIT} AS kept FROM b LEFT JOIN o USING (host)
 """
 
 SUBSTRINGS = rf"""

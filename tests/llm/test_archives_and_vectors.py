@@ -20,15 +20,32 @@ def pages(spark):
     magic = "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\nContent-Length: 999999\r\n\r\n\r\n\r\n"
     whole = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n\r\n\r\n" * 30
     copy = "é" * 600
-    html = [None, "", "x", "tail\r\n", "tail\r\n\r", "\r\n\r\n", magic, whole, copy, copy, copy, magic * 9, magic * 9, "y" * 999, "y" * 999, "long " * 200_000]
+    html = [None, "", "x", "tail\r\n", "tail\r\n\r", "\r\n\r\n", magic, whole, copy, copy, copy, magic * 9, magic * 9, "y" * 999, "y" * 999, "long " * 200_000, "many\r\nlines\r\n\r\n" * 20_000, "WARC/1.1\r\nContent-Length: 40\r\n" * 5000]
     rows = [(k, f"http://h/{k} \r\n", t, "clash", -1) for k, t in enumerate(html)]
     rows += [(8, None, copy, None, None), (None, "u", copy, None, None), (None, None, "short", None, None)]
     return spark.createDataFrame(rows, PAGES).repartition(3).cache()
 
 
-def test_archives_round_trip(spark, pages):
+@pytest.fixture
+def split_bytes(spark, request):
+    """Splits of so many bytes."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    for name, value in zip(names, (request.param, 1)):
+        spark.conf.set(name, str(value))
+    yield request.param
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize(("split_bytes", "compression"), [(32 << 20, "gzip"), (40_000, "none"), (150, "none"), (1500, "gzip")], indirect=["split_bytes"])
+def test_archives_round_trip(spark, pages, split_bytes, compression):
     folder = fresh_folder(spark, "archives")
-    warc.write_archives(pages, folder)
+    if split_bytes == 150:  # more splits than header lines: no long page
+        pages = pages.filter("html is null or length(html) < 2000")
+    warc.write_archives(pages, folder, compression=compression)
+    if compression == "none":
+        assert warc._lines(spark, folder).select("file", "block").distinct().count() > 8
     records = warc.read_archives(spark, folder, with_payload=True).collect()
     rows = pages.collect()
     largest = {}

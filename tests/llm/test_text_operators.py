@@ -148,6 +148,21 @@ def components_by_hand(rows, percent, width=3):
     return {doc: (len(sets[doc]), top(doc)) for doc in sets}
 
 
+def test_suffix_filter_bounds_the_difference():
+    draw, pruned = np.random.default_rng(5), 0
+    for _ in range(400):
+        base = draw.choice(5000, size=draw.integers(1, 80), replace=False).astype(np.uint64)
+        other = np.unique(np.append(base[draw.random(len(base)) < draw.random()], draw.choice(5000, size=draw.integers(0, 30)).astype(np.uint64)))
+        x, y = np.sort(base), other
+        differ = len(set(x.tolist()) ^ set(y.tolist()))
+        for most in (0, 3, 20, 200):
+            bound = jaccard.hamming_bound(x, y, most)
+            assert bound <= differ
+            pruned += bound > most
+        assert jaccard.hamming_bound(x, y, 10**6, depth=20) == differ
+    assert pruned > 400
+
+
 def near_copies(count, seed, length=60):
     draw = random.Random(seed)
     base = [f"b{k}" for k in range(length)]

@@ -5,10 +5,11 @@
    must share one, packed by bucket. Any order that all documents share keeps the join exact; the slots only decide how
    well frequent n-grams go last. Equal sets are one set: each task ships one of them, each bucket keeps one.
 3. A bucket's task pairs the sets of an n-gram after the length filter, the positional filter (what can still follow
-   the shared n-gram) and the suffix filter (n-grams are dealt to parity bits; every bit that differs is an n-gram
-   that only one of the two has). It returns no pairs but a spanning forest of them.
-4. The sets of each group so connected are brought together once, a large group as pairs of tiles, and pairs that no
-   earlier link of the tile connects are compared n-gram by n-gram, each once.
+   the shared n-gram) and a bitmap filter (n-grams are dealt to parity bits; every bit that differs is an n-gram that
+   only one of the two has). It returns no pairs but a spanning forest of them.
+4. The sets of each group so connected are brought together once, a large group as pairs of tiles. Pairs that no earlier
+   link of the tile connects go through the suffix filter (both sets are parted at a probe n-gram, again and again, and
+   the sizes of the parts bound how much the sets differ); what it leaves is compared n-gram by n-gram, each pair once.
 
 Nothing is sampled or capped. An n-gram in very many prefixes is dealt to pairs of tiles as well.
 
@@ -41,6 +42,8 @@ PARITY = 192
 #: Prefixes of one n-gram, and sets of one group, that a task pairs with each other.
 TILE_PREFIXES, TILE_SETS = 4096, 512
 _PAIRS_AT_ONCE = 1 << 20
+#: How often the suffix filter parts two sets.
+SUFFIX_DEPTH = 3
 
 
 # Sets of a batch
@@ -325,6 +328,29 @@ def _verified(docs: DataFrame, groups: DataFrame, width: int, percent: int) -> D
     return narrow.join(members.hint("merge"), "doc_id").mapInArrow(gather, schema).groupBy("bucket").applyInArrow(compare, "a bigint, b bigint")
 
 
+def hamming_bound(x: np.ndarray, y: np.ndarray, most: int, depth: int = SUFFIX_DEPTH) -> int:
+    """At least so many entries of two ascending sets are in one of them only; exact, or above ``most``, or a lower bound.
+
+    The middle entry of one set is the probe: it parts both sets, entries of a left part equal none of a right part, and
+    the difference in size of each side is a bound of its own. While a level's bounds leave the pair open, each side is
+    parted again with what the other side leaves of ``most``.
+    """
+    if not depth or not len(x) or not len(y):
+        return abs(len(x) - len(y))
+    middle = len(y) // 2
+    at = int(np.searchsorted(x, y[middle]))
+    met = at < len(x) and x[at] == y[middle]
+    left, right = (x[:at], y[:middle]), (x[at + met :], y[middle + 1 :])
+    sides = [abs(len(a) - len(b)) for a, b in (left, right)]
+    alone = int(not met)
+    if sum(sides) + alone > most:
+        return sum(sides) + alone
+    first = hamming_bound(*left, most - sides[1] - alone, depth - 1)
+    if first + sides[1] + alone > most:
+        return first + sides[1] + alone
+    return first + hamming_bound(*right, most - first - alone, depth - 1) + alone
+
+
 def linked_forest(sets: list[np.ndarray], ids: np.ndarray, tile: np.ndarray | None, percent: int) -> Iterator[tuple[int, int]]:
     """Links between sorted sets that connect all that are connected; with ``tile``, links between tiles."""
     n = np.array([len(s) for s in sets])
@@ -345,6 +371,9 @@ def linked_forest(sets: list[np.ndarray], ids: np.ndarray, tile: np.ndarray | No
         for x, y in zip(order[i].tolist(), order[j].tolist()):
             if ids[x] != ids[y] and (tx := top(x)) != (ty := top(y)):
                 small, large = (sets[x], sets[y]) if n[x] <= n[y] else (sets[y], sets[x])
+                most = int(n[x] + n[y] - 2 * needed(n[x], n[y], percent))
+                if hamming_bound(small, large, most) > most:
+                    continue
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 if int((large[at] == small).sum()) >= needed(n[x], n[y], percent):
                     root[max(tx, ty)] = min(tx, ty)

@@ -7,7 +7,7 @@ pairs, not hashes: the result is exact.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +20,13 @@ SLICE_TOKENS = 1 << 19
 
 
 class GramIds:
-    """Ids of the n-grams that begin at each token; an id belongs to one text. Beyond the end of a text they mean nothing."""
+    """Ids of the n-grams that begin at each token, of one text each if ``apart``. Beyond the end of a text they mean nothing."""
 
-    def __init__(self, codes: np.ndarray, lengths: np.ndarray) -> None:
+    def __init__(self, codes: np.ndarray, lengths: np.ndarray, apart: bool = True) -> None:
         self._text = np.repeat(np.arange(len(lengths)), lengths)
         self._left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))
         self._texts = len(lengths)
-        self._found = {1: self._number(self._text, codes)}
+        self._found = {1: self._number(self._text, codes) if apart else codes}
 
     @staticmethod
     def _number(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -43,6 +43,12 @@ class GramIds:
             self._found[n] = self._number(a, np.where(self._left >= n, shifted, 0))
         return self._found[n]
 
+    def counts(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where each distinct n-gram begins first, and how often it is met."""
+        whole = np.flatnonzero(self._left >= n)
+        _, first, counts = np.unique(self.of(n)[whole], return_index=True, return_counts=True)
+        return whole[first], counts
+
     def repeated_shares(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """1 - distinct / all n-grams of each text, and which texts have none."""
         whole = self._left >= n
@@ -52,21 +58,37 @@ class GramIds:
         return 1.0 - distinct / np.maximum(every, 1), every == 0
 
 
-def _shares(tokens: pa.Array, ns: Sequence[int]) -> pa.Array:
+def _parts(tokens: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First token and text of parts of bounded size, with the codes of their tokens and the lengths of their texts."""
     lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     values = tokens.flatten().dictionary_encode().indices
     codes = pc.fill_null(values, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
     ends = np.cumsum(lengths)
-    out: dict[int, list] = {n: [] for n in ns}
     at = 0
     while at < len(lengths):
         start = int(ends[at] - lengths[at])
         to = max(at + 1, int(np.searchsorted(ends, start + SLICE_TOKENS, side="right")))
-        grams = GramIds(codes[start : int(ends[to - 1])], lengths[at:to])
+        yield start, at, codes[start : int(ends[to - 1])], lengths[at:to]
+        at = to
+
+
+def gram_counts(tokens: pa.Array, n: int) -> Iterator[pa.RecordBatch]:
+    """``ngram``, its tokens joined by a blank, and ``n``, how often parts of the arrays hold it."""
+    values = tokens.flatten()
+    for start, _, codes, lengths in _parts(tokens):
+        first, counts = GramIds(codes, lengths, apart=False).counts(n)
+        words = [values.take(pa.array(start + first + k)) for k in range(n)]
+        texts = pc.binary_join_element_wise(*words, " ", null_handling="skip")
+        yield pa.RecordBatch.from_arrays([texts, pa.array(counts, pa.int64())], ["ngram", "n"])
+
+
+def _shares(tokens: pa.Array, ns: Sequence[int]) -> pa.Array:
+    out: dict[int, list] = {n: [] for n in ns}
+    for _, _, codes, lengths in _parts(tokens):
+        grams = GramIds(codes, lengths)
         for n in ns:
             share, none = grams.repeated_shares(n)
             out[n].append(pa.array(share, mask=none))
-        at = to
     columns = [pa.concat_arrays(out[n]) if out[n] else pa.array([], pa.float64()) for n in ns]
     return pa.StructArray.from_arrays(columns, [f"r{n}" for n in ns])
 

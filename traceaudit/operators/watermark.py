@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from traceaudit.functions.ngrams import gram_counts
 from traceaudit.functions.stats import green_p_exact, green_p_normal, green_z, hoeffding, ratio
-from traceaudit.functions.text import aligned_slices, as_column, gram_texts
+from traceaudit.functions.text import aligned_slices, as_column
 from traceaudit.operators.combine import beside
 from traceaudit.operators.ordering import HASH_SPACE, hash_point
 
@@ -33,9 +34,14 @@ NOISE_FLOOR = 1e-12
 
 
 def ngram_counts(df: DataFrame, tokens: str, n: int) -> DataFrame:
-    """Frequency of every n-gram; counts combine before the shuffle."""
-    grams = df.select(F.explode(gram_texts(tokens, n)).alias("ngram"))
-    return grams.groupBy("ngram").agg(F.count(F.lit(1)).alias("n"))
+    """Frequency of every n-gram; tasks count n-grams by number and write each distinct one once before the shuffle."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from gram_counts(batch.column(0), n)
+
+    counted = df.select(F.col(tokens).cast("array<string>")).mapInArrow(count, "ngram string, n bigint")
+    return counted.groupBy("ngram").agg(F.sum("n").alias("n"))
 
 
 def top_ngrams(df: DataFrame, tokens: str, n: int, k: int) -> DataFrame:

@@ -93,12 +93,13 @@ def text_parse_choice_documents(spark, sf_dir):
 
 @query(
     "text_parse_code",
-    "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'x = ' || conv_id ELSE 'plain ' || role END AS completion FROM conversations",
+    rf"""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'x = ' || conv_id ELSE nullif(regexp_replace(coalesce(text, ''), '[{WS}]+$', ''), '') END AS completion FROM conversations""",
 )
 def text_parse_code(spark, sf_dir):
-    fenced = F.concat(F.lit("first ```python\ny = 1\n``` then ```\nx = "), F.col("conv_id").cast("string"), F.lit("\n\n``` end"))
-    plain = F.concat(F.lit("plain "), F.col("role"), F.lit("  \n"))
-    response = F.when(F.col("turn") % 2 == 0, fenced).otherwise(plain)
+    """Whole texts, every other one with two fenced blocks behind it."""
+    text = F.coalesce("text", F.lit(""))
+    fenced = F.concat(text, F.lit("\nfirst ```python\ny = 1\n``` then ```\nx = "), F.col("conv_id").cast("string"), F.lit("\n\n``` end"))
+    response = F.when(F.col("turn") % 2 == 0, fenced).otherwise(F.concat(text, F.lit("  \n")))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", A.parse_code(response).alias("p"))
     return rows.select("conv_id", "turn", F.col("p.normalized").alias("completion"))
 
@@ -188,17 +189,24 @@ def text_rendered_prompts(spark, sf_dir):
 
 @query(
     "text_clean_task_text",
-    "SELECT doc_id, source || '. ' || lang AS context FROM documents",
+    rf"""SELECT doc_id, md5(regexp_replace(regexp_replace('  ' || coalesce(text, '') || '  [title] ' || lang || chr(10), '\s*\[title\]\s*', '. ', 'g'), '^[{WS}]+|[{WS}]+$', '', 'g')) AS context FROM documents""",
 )
 def text_clean_task_text(spark, sf_dir):
-    marked = F.concat(F.lit("  "), F.col("source"), F.lit("  [title] "), F.col("lang"), F.lit("\n"))
-    return documents(spark, sf_dir).select("doc_id", S.clean_task_text(marked).alias("context"))
+    """Whole texts with a title marker behind them."""
+    marked = F.concat(F.lit("  "), F.coalesce("text", F.lit("")), F.lit("  [title] "), F.col("lang"), F.lit("\n"))
+    return documents(spark, sf_dir).select("doc_id", F.md5(S.clean_task_text(marked)).alias("context"))
 
 
-@query("text_gold_after_marker", "SELECT event_id, user_id::VARCHAR AS gold FROM events")
+@query(
+    "text_gold_after_marker",
+    rf"""WITH s AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN '' ELSE chr(10) || '#### ' || doc_id || ' ' || chr(10) || 'rest' END AS x FROM documents)
+SELECT doc_id, md5(regexp_replace(CASE WHEN regexp_extract(x, '####\s*([^\n]+)', 1) <> '' THEN regexp_extract(x, '####\s*([^\n]+)', 1) ELSE x END, '^[{WS}]+|[{WS}]+$', '', 'g')) AS gold FROM s""",
+)
 def text_gold_after_marker(spark, sf_dir):
-    solution = F.concat(F.lit("work 1 + 2\n#### "), F.col("user_id").cast("string"), F.lit(" \nrest"))
-    return table(spark, sf_dir, "events").select("event_id", A.gold_after_marker(solution).alias("gold"))
+    """Whole texts as solutions, two of three with a marked answer behind them."""
+    answer = F.concat(F.lit("\n#### "), F.col("doc_id").cast("string"), F.lit(" \nrest"))
+    solution = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 0, "").otherwise(answer))
+    return documents(spark, sf_dir).select("doc_id", F.md5(A.gold_after_marker(solution)).alias("gold"))
 
 
 @query("text_clipped", "SELECT event_id, round(least(greatest(value / 50, 0.5), 1.5), 6) AS ratio, round(least(greatest(ln(value / 50), ln(0.8)), ln(1.2)), 6) AS log_ratio FROM events")

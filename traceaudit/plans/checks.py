@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from traceaudit.functions import hashing
 from traceaudit.operators import capability, cost, fidelity, provenance, quality
 from traceaudit.operators import transcripts as X
-from traceaudit.operators.ordering import positions
+from traceaudit.operators.ordering import running_totals
 from traceaudit.operators.rules import row_rules
 from traceaudit.operators.transcripts import pool_id, variant_fields
 from traceaudit.plans.corpus import key_sql
@@ -76,8 +76,8 @@ def source_jsonl_odd_lines(spark, sf_dir):
     return rows.join(before, "file").select("doc_id", score.alias("score"), F.md5("text").alias("digest"), (F.col("_before") + F.col("line_no")).alias("line_no"))
 
 
-#: Documents of a source that one JSON pool holds at most.
-POOL_BLOCK = 1024
+#: Documents of a source that one JSON pool holds at most, and bytes of text before its last one.
+POOL_BLOCK, POOL_BYTES = 1024, 32 << 20
 
 POOL = """WITH p AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position FROM documents)"""
 
@@ -87,18 +87,21 @@ POOL = """WITH p AS (SELECT source, doc_id, text, row_number() OVER (PARTITION B
     f"{POOL} SELECT source, position::BIGINT AS position, CASE WHEN doc_id % 3 = 0 THEN format('row_{{:08d}}', position) ELSE doc_id::VARCHAR END AS prompt_id, text AS prompt_text FROM p",
 )
 def source_pool_rows(spark, sf_dir):
-    """JSON pools of at most ``POOL_BLOCK`` documents of a source, some records without id."""
+    """JSON pools of a source, bounded in documents and in bytes, some records without id."""
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
     # The key is never null, so documents without source are numbered too.
     keyed = docs.withColumn("_pool", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-    numbered = positions(keyed, ["doc_id"], by=["_pool"], sample_of=docs.select("doc_id")).drop("_pool")
+    sized = keyed.withColumns({"_one": F.lit(1), "_bytes": F.coalesce(F.octet_length("text"), F.lit(0))})
+    numbered = running_totals(sized, "doc_id", {"_one": "position", "_bytes": "_upto"}, by=["_pool"], sample_of=docs.select("doc_id"))
     record = F.struct(F.when(F.col("doc_id") % 3 != 0, F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("prompt"))
     path = scratch(spark)
-    block = F.floor((F.col("position") - 1) / POOL_BLOCK).cast("bigint")
+    parts = (F.col("position") - 1) / POOL_BLOCK, (F.col("_upto") - F.col("_bytes")) / POOL_BYTES
+    block = F.concat_ws("-", *[F.floor(part).cast("string") for part in parts])
     pool = numbered.groupBy("source", block.alias("block")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("position", record.alias("r")))), lambda x: x["r"]).alias("queries")
+        F.transform(F.array_sort(F.collect_list(F.struct("position", record.alias("r")))), lambda x: x["r"]).alias("queries"),
+        (F.min("position") - 1).alias("first"),
     )
-    meta = F.struct(F.col("source").alias("name"), (F.col("block") * POOL_BLOCK).alias("first"))
+    meta = F.struct(F.col("source").alias("name"), "first")
     pool.select("source", "block", F.to_json(F.struct("queries", meta.alias("meta"))).alias("value")).write.partitionBy(
         "source", "block"
     ).option("lineSep", "\n").text(path)

@@ -318,14 +318,15 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False)
     records = chained.filter("block is null")
     told = [c.split()[0] for c in _FIELDS.split(", ")]
     known = placed.filter(F.col("kind") == CANDIDATE).select("file", "start", *told, "digest")
-    whole = records.filter("not head").select("file", "start", "next").join(known, ["file", "start"]).unionByName(
+    # Merge joins at every size: records grow with the archives.
+    whole = records.filter("not head").select("file", "start", "next").join(known.hint("merge"), ["file", "start"]).unionByName(
         records.filter("head").select("file", "start", "next", *told, F.lit(None).cast("string").alias("digest"))
     )
     cut = chained.filter("block is not null").select("file", "start", "block", "low", "high")
     payloads = None if cut.isEmpty() else materialise(_pieces(spark, folder, cut))
     if payloads is not None:
         sums = payloads.select("file", "start", F.sha1("payload").alias("_sum"))
-        whole = whole.join(sums, ["file", "start"], "left").withColumn("digest", F.coalesce("digest", "_sum")).drop("_sum")
+        whole = whole.join(sums.hint("merge"), ["file", "start"], "left").withColumn("digest", F.coalesce("digest", "_sum")).drop("_sum")
     revisit = F.col("record_type") == "revisit"
     out = whole.select(
         "file", "start", "next", "record_type", "page_id", "url", "refers_to", "payload_bytes",
@@ -336,4 +337,4 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False)
         return out
     bodies = scan(spark, folder, True).filter((F.col("kind") == CANDIDATE) & F.col("raw").isNotNull())
     held = bodies.join(bases, ["file", "block"]).select("file", (F.col("start") + F.col("base")).alias("start"), F.col("raw").alias("payload"))
-    return out.join(held if payloads is None else held.unionByName(payloads), ["file", "start"])
+    return out.join((held if payloads is None else held.unionByName(payloads)).hint("merge"), ["file", "start"])

@@ -7,7 +7,7 @@ token, is encoded as a whole.
 
 The words of a slice of texts are told apart by 64-bit hashes, the words that a worker has met lie in sorted arrays beside
 their ids, and the ids of all texts are gathered at once. Only words not met before go to the library. Two words out of
-the ``KNOWN_WORDS`` that a worker holds share a hash with a chance of 3 in 10**7.
+the ``KNOWN_WORDS`` that a worker holds share a hash with a chance of 3 in 10**8.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ import numpy as np
 from traceaudit.llm.texts import mixed, word_hashes, words
 
 #: Words whose ids a worker holds, and words that it holds as text to put others together from.
-KNOWN_WORDS, CACHE_WORDS = 3_000_000, 60_000
+KNOWN_WORDS, CACHE_WORDS = 1_000_000, 40_000
 #: Newly met words that are held apart before they are merged with the others.
-_RECENT_WORDS = 150_000
+_RECENT_WORDS = 60_000
 #: Marks that end words. An apostrophe is none: the pre-tokenizer has its own rule for contractions.
 _MARKS = ".,!%&*$#|;:?"
 #: Byte-level alphabet: printable bytes of Latin-1 stand for themselves, the others for the characters from 256 on.
@@ -73,7 +73,7 @@ class _Table:
     """Ascending hashes with the place and number of their ids; ``used`` since the last look."""
 
     def __init__(self) -> None:
-        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int32)
         self.used = np.zeros(0, dtype=bool)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +86,8 @@ class _Table:
     def add(self, keys: np.ndarray, at: np.ndarray, n: np.ndarray, used: np.ndarray) -> None:
         place = np.searchsorted(self.keys, keys)
         for name, values in (("keys", keys), ("at", at), ("n", n), ("used", used)):
-            setattr(self, name, np.insert(getattr(self, name), place, values))
+            kept = getattr(self, name)
+            setattr(self, name, np.insert(kept, place, values.astype(kept.dtype)))
 
     def take(self, rows: np.ndarray) -> None:
         for name in ("keys", "at", "n", "used"):
@@ -121,24 +122,25 @@ class _Known:
         at = self._end + np.cumsum(n) - n
         end = self._end + int(n.sum())
         if end > len(self._ids):
-            self._ids = np.concatenate([self._ids[: self._end], np.zeros(max(end, 1 << 16), dtype="<u4")])
+            self._ids = np.concatenate([self._ids[: self._end], np.zeros(max(end - self._end, end >> 2, 1 << 16), dtype="<u4")])
         self._ids[self._end : end] = np.frombuffer(b"".join(found), dtype="<u4")
         self._end = end
         self._new.add(keys, at, n, np.ones(len(keys), dtype=bool))
         return at, n
 
     def settle(self) -> None:
-        """Merge new words with the others; of too many, those not used since the last time are forgotten."""
+        """Merge new words with the others; of too many, those not used since the last time are forgotten, or each second one."""
         if len(self._new.keys) <= _RECENT_WORDS:
             return
         self._old.add(self._new.keys, self._new.at, self._new.n, self._new.used)
         self._new = _Table()
         if len(self._old.keys) > KNOWN_WORDS:
             rows = np.flatnonzero(self._old.used)
-            self._old.take(rows if len(rows) <= KNOWN_WORDS // 2 else rows[:0])
-            self._ids = gathered(self._ids, self._old.at, self._old.n)
+            self._old.take(rows if len(rows) <= KNOWN_WORDS // 2 else rows[::2])
+            n = self._old.n.astype(np.int64)
+            self._ids = gathered(self._ids, self._old.at.astype(np.int64), n)
             self._end = len(self._ids)
-            self._old.at = np.cumsum(self._old.n) - self._old.n
+            self._old.at = (np.cumsum(n) - n).astype(np.uint32)
             self._old.used[:] = False
 
     def ids(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:

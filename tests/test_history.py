@@ -53,6 +53,47 @@ def test_nearest_earlier_like_by_hand(spark, by, metric, block):
         assert got[at] == (None if value is None else pytest.approx(value, abs=1e-7)), at
 
 
+@pytest.mark.parametrize(("by", "metric"), [([], "euclidean"), (["who"], "cosine")])
+def test_histories_of_several_eras(spark, monkeypatch, by, metric):
+    """Rows meet the bundles of their own and all earlier eras, and of equal vectors the first one is their neighbour."""
+    monkeypatch.setattr(history, "ERA_BYTES", 8 * 6 * 60)
+    rows = histories(9, 600)
+    out = history.nearest_earlier_distance(spark.createDataFrame(rows, SCHEMA), ["at"], by=by, metric=metric, pivots=5, rings=4, block_rows=16)
+    got, want = {r.at: r.min_distance for r in out.collect()}, by_hand(rows, by, metric)
+    assert got.keys() == want.keys()
+    for at, value in want.items():
+        assert got[at] == (None if value is None else pytest.approx(value, abs=1e-7)), at
+
+
+def test_accounts_stay_together_behind_a_join(spark):
+    """A join by account that turns into a broadcast while it runs leaves no account in pieces."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "64m"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = [r for r in histories(4, 700) if r[1] != "hot"]
+        out = history.nearest_earlier_distance(spark.createDataFrame(rows, SCHEMA).repartition(8), ["at"], by=["who"])
+        got = {r.at: r.min_distance for r in out.collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    for at, value in by_hand(rows, ["who"], "euclidean").items():
+        assert got[at] == (None if value is None else pytest.approx(value, abs=1e-7)), at
+
+
+def test_few_copies_of_a_visitor(spark, monkeypatch):
+    """A row goes once to a bundle, however many rings and blocks the history has."""
+    taken = []
+    visits = history._visits
+    monkeypatch.setattr(history, "_visits", lambda rows, keys: taken.append(rows.filter("_bound is not null").count()) or visits(rows, keys))
+    x = np.random.default_rng(5).normal(size=(400, 8)).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "at int, embedding array<float>")
+    history.nearest_earlier_distance(df, ["at"], pivots=8, rings=8, block_rows=4)
+    assert taken[0] <= history.BUNDLES * 400
+
+
 def test_no_and_single_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert history.nearest_earlier_distance(none, ["at"]).collect() == []

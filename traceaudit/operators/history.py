@@ -6,9 +6,13 @@ triangle inequality cannot put beyond that bound: by the ring's range of distanc
 way between the row's pivot and the ring's. So the search ends exactly, whatever the data; how much it leaves out depends
 on the data (repeated and similar queries end early, vectors without structure visit most rings).
 
-Pivots and ring bounds are a fixed number of small arrays. A ring with many rows is dealt to blocks. A task holds one
-block and streams the rows that visit it, so neither a hot ring nor a hot account fills a task. Accounts that fit one
-block are compared inside it and need no rings.
+Pivots and ring bounds are a fixed number of small arrays. Of equal vectors only the first is looked at: the others are
+at no distance from it. A ring with many rows is dealt to blocks, inside which rows find their bound. For the visits a
+history is cut into eras of bounded size, and the rings of an era lie in a few bundles: a row goes once to each bundle of
+its own and earlier eras that has a ring in its reach, whatever the number of rings and blocks. A task holds one bundle
+and streams the visitors of one era, so neither a hot ring nor a hot account fills a task. Accounts that fit one block
+are compared inside it and need no rings. Vectors without structure meet all earlier ones: that is quadratic work, in
+tasks of bounded size.
 """
 
 from __future__ import annotations
@@ -17,19 +21,21 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from traceaudit.operators.ordering import hash_fraction, positions
+from traceaudit.operators.ordering import hash_fraction, positions, together
 from traceaudit.session import materialise
 
 PIVOTS, RINGS = 32, 16
 #: Rows of a block, and of the sample that pivots and ring bounds are taken from.
 BLOCK_ROWS, SAMPLE_ROWS = 4096, 4096
 _METRICS = ("euclidean", "cosine")
-#: Rows compared with a block at once.
-_TOGETHER = 512
+#: Bytes of vectors (in doubles) of an era, and the bundles that its rings lie in.
+ERA_BYTES, BUNDLES = 32 << 20, 4
+#: Rows compared with a block at once, and distances held at once.
+_TOGETHER, _DISTANCES = 512, 1 << 21
 #: Slack of a bound for the rounding of distances, in shares of their scale.
 _SLACK = 1e-6
 
@@ -73,6 +79,9 @@ class Rings:
         self.inner = np.array(cuts).reshape(-1, rings)
         self.inner[:, 0] = 0.0
         self.outer = np.append(self.inner[:, 1:], np.full((len(self.inner), 1), np.inf), axis=1)
+        # Neighbouring rings with a like share of the sample make a bundle.
+        rows = np.bincount(cell * rings + self.ring(cell, radius), minlength=self.inner.size)
+        self.bundle = ((np.cumsum(rows) - rows) * BUNDLES // len(sample)).clip(max=BUNDLES - 1).reshape(self.inner.shape)
 
     def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cell of each row, its distance to the pivot, and the distances to all pivots."""
@@ -96,14 +105,31 @@ class Rings:
 
 
 def _usable(df: DataFrame, vector: str, metric: str) -> DataFrame:
-    """``_v``: the vector in doubles, of length 1 for the cosine; null if it can't be compared."""
-    finite = F.forall("_v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    rows = df.withColumn("_v", F.col(vector).cast("array<double>"))
-    rows = rows.withColumn("_v", F.when((F.size("_v") > 0) & finite, F.col("_v")))
-    if metric == "euclidean":
-        return rows
-    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda total, x: total + x * x))
-    return rows.withColumn("_norm", norm).withColumn("_v", F.when(F.col("_norm") > 0, F.transform("_v", lambda x: x / F.col("_norm")))).drop("_norm")
+    """``df`` with ``_v`` in place of the vector (of length 1 for the cosine), without the rows that can't be compared."""
+    # Floats stay as short as they are; ``_matrix`` makes doubles of them.
+    short = metric == "euclidean" and df.schema[vector].dataType == T.ArrayType(T.FloatType())
+    df = df if short else df.withColumn(vector, F.col(vector).cast("array<double>"))
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(vector)
+            counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            x = column.flatten().to_numpy(zero_copy_only=False).astype("float64")  # nulls are not finite
+            row = np.repeat(np.arange(len(counts)), counts)
+            good = (counts > 0) & (np.bincount(row, ~np.isfinite(x), len(counts)) == 0)
+            if metric == "cosine":
+                with np.errstate(all="ignore"):
+                    norm = np.sqrt(np.bincount(row, x * x, len(counts)))
+                    good &= norm > 0
+                    x = x / norm[row]
+            ends = np.cumsum(np.append(0, counts[good])).astype(np.int32)
+            values = pa.array(x[good[row]].astype("float32" if short else "float64"))
+            others = [batch.column(c).filter(pa.array(good)) for c in names]
+            yield pa.RecordBatch.from_arrays([*others, pa.ListArray.from_arrays(pa.array(ends), values)], [*names, "_v"])
+
+    names = [c for c in df.columns if c != vector]
+    kind = T.StructField("_v", T.ArrayType(T.FloatType() if short else T.DoubleType()))
+    return df.mapInArrow(checked, T.StructType([*[df.schema[c] for c in names], kind]))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.RecordBatch, bool]]:
@@ -118,10 +144,29 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tu
                 last = ids[a]
 
 
-def _visits(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Distance of each visiting row to the nearest earlier row of the block: ``_id, _pos, distance``.
-
-    ``blocks`` holds rows of blocks (``_bound`` null) and visitors with the bound they came with; a visitor that finds
+def _nearest_before(y: np.ndarray, pos: np.ndarray, x: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``y`` with an earlier row in ``x`` (whose places ascend), and the nearest such row of each."""
+    earlier = np.searchsorted(order, pos)
+    some = np.flatnonzero(earlier)
+    best = np.zeros(len(some), dtype=np.int64)
+    square = (x * x).sum(axis=1)
+    step = max(1, _DISTANCES // len(x))
+    for at in range(0, len(some), step):
+        rows = some[at : at + step]
+        upto = earlier[rows]
+        far = y[rows] @ x[: upto.max()].T
+        far *= -2.0
+        far += square[: upto.max()]
+        if upto.min() < upto.max():
+            far[np.arange(upto.max()) >= upto[:, None]] = np.inf
+        best[at : at + step] = far.argmin(axis=1)
+    return some, best
+
+
+def _visits(bundles: DataFrame, keys: list[str]) -> DataFrame:
+    """Distance of each visiting row to the nearest earlier row of the bundle: ``_id, distance``.
+
+    ``bundles`` holds rows of bundles (``_bound`` null) and visitors with the bound they came with; a visitor that finds
     nothing nearer is not returned.
     """
 
@@ -136,24 +181,19 @@ def _visits(blocks: DataFrame, keys: list[str]) -> DataFrame:
                 rows = part.filter(pa.array(~visitor))
                 held.append(_matrix(rows.column("_v")))
                 places.append(rows.column("_pos").to_numpy())
-            if visitor.any() and held:
+            if visitor.any() and (held or x is not None):
                 if x is None:
-                    x, order = np.concatenate(held), np.concatenate(places)
+                    x, order = np.concatenate(held), np.concatenate(places)  # rows come in their order
+                    held, places = [], []
                 rows = part.filter(pa.array(visitor))
                 y, pos, bound = _matrix(rows.column("_v")), rows.column("_pos").to_numpy(), rows.column("_bound").to_numpy()
-                far = _distances(y, x)
-                far[order[None, :] >= pos[:, None]] = np.inf
-                best = far.argmin(axis=1)
-                some = np.flatnonzero(np.isfinite(far[np.arange(len(y)), best]))
-                exact = _exact(y[some], x[best[some]])
-                nearer = some[exact < bound[some]]
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("_id").take(pa.array(nearer)), pa.array(pos[nearer]), pa.array(exact[exact < bound[some]])],
-                    ["_id", "_pos", "distance"],
-                )
+                some, best = _nearest_before(y, pos, x, order)
+                exact = _exact(y[some], x[best])
+                nearer = exact < bound[some]
+                yield pa.RecordBatch.from_arrays([rows.column("_id").take(pa.array(some[nearer])), pa.array(exact[nearer])], ["_id", "distance"])
 
-    ordered = blocks.repartition(*keys).sortWithinPartitions(*keys, F.col("_bound").isNotNull(), "_pos")
-    return ordered.mapInArrow(meet, "_id bigint, _pos bigint, distance double")
+    ordered = together(bundles, keys).sortWithinPartitions(*keys, F.col("_bound").isNotNull(), "_pos")
+    return ordered.mapInArrow(meet, "_id bigint, distance double")
 
 
 def _own_blocks(placed: DataFrame, keys: list[str]) -> DataFrame:
@@ -172,7 +212,7 @@ def _own_blocks(placed: DataFrame, keys: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(found)], ["_id", "distance"])
             held = [x]
 
-    ordered = placed.repartition(*keys).sortWithinPartitions(*keys, "_pos")
+    ordered = together(placed, keys).sortWithinPartitions(*keys, "_pos")
     return ordered.mapInArrow(nearest, "_id bigint, distance double")
 
 
@@ -192,16 +232,19 @@ def nearest_earlier_distance(
     spark, names = df.sparkSession, list(by)
     account = F.coalesce(F.to_json(F.struct(*names)), F.lit("")) if names else F.lit("")
     rows = materialise(df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_account", account))
-    narrow = _usable(rows.select("_id", "_account", *order, vector), vector, metric).filter("_v is not null")
+    narrow = materialise(_usable(rows.select(*dict.fromkeys(["_id", "_account", *order]), vector), vector, metric))
     numbered = positions(narrow, list(order), by=["_account"], name="_pos")
     placed_at = materialise(numbered.select("_id", "_account", "_pos", "_v"))
-    sizes = placed_at.groupBy("_account").agg(F.count("*").alias("_rows"))
+    # Equal vectors are at no distance: only the first of them is a neighbour and has one to look for.
+    firsts = materialise(placed_at.groupBy("_account", "_v").agg(F.min_by("_id", "_pos").alias("_id"), F.min("_pos").alias("_pos")))
+    copies = placed_at.join(firsts, "_id", "left_anti").select("_id", F.lit(0.0).alias("distance"))
+    sizes = firsts.groupBy("_account").agg(F.count("*").alias("_rows"), F.max("_pos").alias("_last"))
     large = sizes.filter(F.col("_rows") > block_rows)
 
     # Small accounts are one block each; rows of the others get cells and rings.
-    small = placed_at.join(sizes.filter(F.col("_rows") <= block_rows).drop("_rows"), "_account", "left_semi")
-    kept = _own_blocks(small, ["_account"])
-    many = placed_at.join(large.drop("_rows"), "_account", "left_semi")
+    small = firsts.join(sizes.filter(F.col("_rows") <= block_rows), "_account", "left_semi")
+    kept = copies.unionByName(_own_blocks(small, ["_account"]))
+    many = firsts.join(large.select("_account", "_last"), "_account")
     total = many.count()
     if total:
         share = min(1.0, 2.0 * SAMPLE_ROWS / total)
@@ -232,31 +275,32 @@ def _over_rings(rows: DataFrame, index: Rings, block_rows: int) -> DataFrame:
     keys = ["_account", "_cell", "_ring"]
     in_rings = materialise(rows.mapInArrow(place, T.StructType(fields)))
     blocks = F.ceil(F.count("*") / block_rows).cast("int")
-    counted = materialise(in_rings.groupBy(*keys).agg(blocks.alias("_blocks"), F.min("_pos").alias("_first")))
+    counted = in_rings.groupBy(*keys).agg(blocks.alias("_blocks"))
     own = F.pmod(F.xxhash64("_pos"), F.col("_blocks")).cast("int")
-    dealt = in_rings.join(counted.drop("_first"), keys).withColumn("_block", own).drop("_blocks")
+    dealt = in_rings.join(counted, keys).withColumn("_block", own).drop("_blocks")
     bounds = materialise(_own_blocks(dealt, [*keys, "_block"]))
 
+    bundle_of = index.bundle.ravel()
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, _TOGETHER):
                 part = batch.slice(at, _TOGETHER)
-                reach = index.reachable(_matrix(part.column("_v")), part.column("_bound").to_numpy())
-                row, cell, ring = np.nonzero(reach)
+                reach = index.reachable(_matrix(part.column("_v")), part.column("_bound").to_numpy()).reshape(part.num_rows, -1)
+                row, bundle = np.nonzero(np.stack([reach[:, bundle_of == b].any(axis=1) for b in range(BUNDLES)], axis=1))
                 taken = part.take(pa.array(row))
-                columns = [*taken.columns, pa.array(cell, pa.int32()), pa.array(ring, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "_cell", "_ring"])
-
-    wanted = in_rings.withColumnsRenamed({"_cell": "_own_cell", "_ring": "_own_ring"}).join(
-        bounds.withColumnRenamed("distance", "_bound"), "_id"
-    )
-    kinds = [*wanted.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_ring", T.IntegerType())]
-    going = wanted.mapInArrow(visit, T.StructType(kinds)).join(counted, keys).filter("_first < _pos")
-    going = going.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    # The own block has been met.
-    same = (F.col("_cell") == F.col("_own_cell")) & (F.col("_ring") == F.col("_own_ring")) & (F.col("_block") == own)
-    columns = [*keys, "_block", "_id", "_pos", "_v"]
-    visitors = going.filter(~same).select(*columns, "_bound")
-    held = dealt.select(*columns, F.lit(None).cast("double").alias("_bound"))
-    found = _visits(held.unionByName(visitors), [*keys, "_block"])
-    return bounds.unionByName(found.select("_id", "distance"))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(bundle, pa.int32())], [*part.schema.names, "_bundle"])
+
+    def era(position: str) -> Column:
+        return F.floor((F.col(position) - 1) / F.lit(max(block_rows, ERA_BYTES // (8 * index.pivots.shape[1])))).cast("int")
+
+    # A bundle meets the visitors of each era by themselves, those of its own era and later ones.
+    bundled = F.get(F.lit(bundle_of.tolist()), F.col("_cell") * index.inner.shape[1] + F.col("_ring")).cast("int")
+    held = in_rings.select(
+        "_account", "_id", "_pos", "_v", F.lit(None).cast("double").alias("_bound"), bundled.alias("_bundle"),
+        era("_pos").alias("_era"), F.explode(F.sequence(era("_pos"), era("_last"))).alias("_visiting"),
+    )
+    wanted = in_rings.select("_account", "_id", "_pos", "_v").join(bounds.withColumnRenamed("distance", "_bound"), "_id")
+    going = wanted.mapInArrow(visit, T.StructType([*wanted.schema.fields, T.StructField("_bundle", T.IntegerType())]))
+    visitors = going.select("*", F.explode(F.sequence(F.lit(0), era("_pos"))).alias("_era"), era("_pos").alias("_visiting"))
+    return bounds.unionByName(_visits(held.unionByName(visitors), ["_account", "_era", "_bundle", "_visiting"]))

@@ -26,6 +26,15 @@ def slice_count(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def together(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with equal keys in one partition, for Python that works along runs of keys.
+
+    By a hash of the keys: a shuffle by the keys themselves is left out after a join by them, and when the join then
+    turns out small enough to broadcast, its shuffle is read where it lies and equal keys are apart again.
+    """
+    return df.repartition(F.xxhash64(*keys))
+
+
 def seeded_hash(key: Column | str, seed: int) -> Column:
     """Hex digest that orders rows pseudo-randomly, the same in every engine."""
     key = F.col(key) if isinstance(key, str) else key

@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from traceaudit.operators.ordering import positions
 from traceaudit.operators.rules import row_rules
 from traceaudit.plans.monitor import FOUND, SERIES, series
 from traceaudit.plans.registry import Catalog, table
-from traceaudit.session import DEFAULTS, checkpoint_root
+from traceaudit.session import DEFAULTS, checkpoint_root, materialise
 from traceaudit.streaming import accounts as A
 from traceaudit.streaming import monitor as S
 
@@ -143,14 +144,18 @@ FILES = 10
 def replay(spark, df, order, start):
     """Rows in files by ranges of ``order``, one micro-batch each; the query stops in mid-log and goes on from its checkpoint.
 
-    ``start`` makes a stream's writer; it is called for each of the two runs.
+    ``start`` makes a stream's writer; it is called for each of the two runs. The log is worked out once and stored by
+    its parts, so that the one task that writes a file reads the rows of that file only.
     """
     spark.conf.set(STATE_STORE, DEFAULTS[STATE_STORE])
-    path = f"{scratch(spark)}/in"
-    cuts = df.select(F.col(order).cast("double").alias("v")).approxQuantile("v", [k / FILES for k in range(1, FILES)], 0.001)
+    path, parts = f"{scratch(spark)}/in", f"{scratch(spark)}/parts"
+    log = materialise(df)
+    cuts = log.select(F.col(order).cast("double").alias("v")).approxQuantile("v", [k / FILES for k in range(1, FILES)], 0.001)
     place = sum(((F.col(order).cast("double") > c).cast("int") for c in cuts), F.lit(0))
+    log.withColumn("_part", place).write.partitionBy("_part").parquet(parts)
+    cut = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType())])).parquet(parts)
     for part in range(FILES):
-        df.filter(place == part).coalesce(1).write.mode("append").parquet(path)
+        cut.filter(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(path)
         if part in (FILES // 2, FILES - 1):
             stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
             start(stream).trigger(availableNow=True).start().awaitTermination()

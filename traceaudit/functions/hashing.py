@@ -5,25 +5,25 @@ from __future__ import annotations
 import json
 from hashlib import sha256
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
-from traceaudit.functions.text import as_column
+from traceaudit.functions.text import as_column, each_value
 
 SEED_MODULUS = (1 << 63) - 1  # fixed value: keyed seeds stay below 2^63 - 1
 
 
-@pandas_udf(T.StringType())
-def canonical_json(documents: pd.Series) -> pd.Series:
+@arrow_udf(T.StringType())
+def canonical_json(documents: pa.Array) -> pa.Array:
     """JSON text with sorted keys and no blanks."""
 
     def tidy(text: str) -> str:
         return json.dumps(json.loads(text), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
-    return documents.map(tidy, na_action="ignore")
+    return each_value(documents, tidy, pa.string())
 
 
 def stable_text_hash(document: Column | str) -> Column:

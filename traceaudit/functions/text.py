@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 # The whitespace that separates words, and the token patterns.
 SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -51,27 +54,53 @@ def collapse_space(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(as_column(c), f"[{SPACE}]+", " "))
 
 
-@pandas_udf(T.StringType())
-def _unicode_key(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: " ".join(unicodedata.normalize("NFKC", t).casefold().split()), na_action="ignore")
+#: Bytes of texts, or one text, that a Python function turns into Python values at once.
+SLICE_BYTES = 1 << 20
 
 
-@pandas_udf(T.ArrayType(T.StringType()))
-def _unicode_key_array(rows: pd.Series) -> pd.Series:
-    def one(text: str) -> str:
-        return " ".join(unicodedata.normalize("NFKC", text).casefold().split())
+def sliced(column: pa.Array) -> Iterator[pa.Array]:
+    """Parts of a column of at most ``SLICE_BYTES``, or one row: a batch of Spark is bounded by rows, not by their length."""
+    flat = column.flatten() if pa.types.is_list(column.type) else column
+    ends = np.cumsum(pc.fill_null(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    if pa.types.is_list(column.type):
+        count = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+        ends = np.append(0, ends)[count]
+    at = 0
+    while at < len(column):
+        start = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, start + SLICE_BYTES, side="right")))
+        yield column.slice(at, to - at)
+        at = to
+
+
+def each_value(column: pa.Array, work: Callable, kind: pa.DataType) -> pa.Array:
+    """``work`` on every value that is not null, a slice at a time."""
+    parts = [pa.array([None if v is None else work(v) for v in part.to_pylist()], kind) for part in sliced(column)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
 
-    return rows.map(lambda row: None if row is None else [one(t) for t in row])
+def _key(text: str) -> str:
+    return " ".join(unicodedata.normalize("NFKC", text).casefold().split())
 
 
-@pandas_udf(T.StringType())
-def _unicode_fold(texts: pd.Series) -> pd.Series:
-    return texts.map(str.casefold, na_action="ignore")
+@arrow_udf(T.StringType())
+def _unicode_key(texts: pa.Array) -> pa.Array:
+    return each_value(texts, _key, pa.string())
 
 
 @pandas_udf(T.ArrayType(T.StringType()))
-def _unicode_fold_tokens(rows: pd.Series) -> pd.Series:
-    return rows.map(lambda row: None if row is None else [t.casefold() for t in row])
+def _unicode_key_array(rows: pd.Series) -> pd.Series:
+    return rows.map(lambda row: None if row is None else [_key(t) for t in row])
+
+
+@arrow_udf(T.StringType())
+def _unicode_fold(texts: pa.Array) -> pa.Array:
+    return each_value(texts, str.casefold, pa.string())
+
+
+@arrow_udf(T.ArrayType(T.StringType()))
+def _unicode_fold_tokens(rows: pa.Array) -> pa.Array:
+    return each_value(rows, lambda row: [t.casefold() for t in row], pa.list_(pa.string()))
 
 
 def _ascii_or(c: Column, native: Column, python) -> Column:

@@ -60,10 +60,12 @@ def alphabet(count: Column) -> Column:
 
 
 def example_id(df: DataFrame, dataset: str, split: Column | str = "split") -> Column:
-    """First non-blank id field, else a short hash of the whole row."""
+    """First non-blank id field, else a short hash of the whole row; only rows without such a field go to Python."""
     given = [F.when(strip(F.col(c).cast("string")) != "", F.col(c).cast("string")) for c in ID_FIELDS if c in df.columns]
     payload = [c for c in df.columns if c not in ("split", "example_index")]
-    digest = F.substring(F.sha2(canonical_json(F.to_json(F.struct(*payload), {"ignoreNullFields": "false"})), 256), 1, 20)
+    row = F.to_json(F.struct(*payload), {"ignoreNullFields": "false"})
+    row = F.when(F.coalesce(*given).isNull(), row) if given else row
+    digest = F.substring(F.sha2(canonical_json(row), 256), 1, 20)
     split = F.col(split) if isinstance(split, str) else split
     return F.coalesce(*given, F.concat_ws(":", F.lit(dataset), split, digest))
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 
 #: Tokens that are numbered together, or one text.
-SLICE_TOKENS = 1 << 19
+SLICE_TOKENS = 1 << 17
 
 
 class GramIds:
@@ -61,14 +61,14 @@ class GramIds:
 def _parts(tokens: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """First token and text of parts of bounded size, with the codes of their tokens and the lengths of their texts."""
     lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    values = tokens.flatten().dictionary_encode().indices
-    codes = pc.fill_null(values, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    values = tokens.flatten()
     ends = np.cumsum(lengths)
     at = 0
     while at < len(lengths):
         start = int(ends[at] - lengths[at])
         to = max(at + 1, int(np.searchsorted(ends, start + SLICE_TOKENS, side="right")))
-        yield start, at, codes[start : int(ends[to - 1])], lengths[at:to]
+        codes = values.slice(start, int(ends[to - 1]) - start).dictionary_encode().indices
+        yield start, at, pc.fill_null(codes, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1, lengths[at:to]
         at = to
 
 

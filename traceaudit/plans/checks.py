@@ -16,7 +16,7 @@ from traceaudit.operators.rules import row_rules
 from traceaudit.operators.transcripts import pool_id, variant_fields
 from traceaudit.plans.corpus import key_sql
 from traceaudit.plans.registry import Catalog, table
-from traceaudit.session import checkpoint_root
+from traceaudit.session import checkpoint_root, materialise
 from traceaudit.sources import bundles, catalog, jsonl, large_pools, pools, sinks
 
 CATALOG = Catalog()
@@ -70,10 +70,12 @@ def source_jsonl_odd_lines(spark, sf_dir):
     docs.withColumn("value", line).repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("value").write.text(path)
     rows, _ = jsonl.read_jsonl(spark, path, "doc_id bigint, score double, text string", numbered=True)
     score = F.when(F.isnan("score"), "nan").when(F.col("score") == float("inf"), "inf").when(F.col("score") == float("-inf"), "-inf").otherwise("number")
+    # Texts are read once; only their digests are stored, counted and joined.
+    rows = materialise(rows.select("file", "line_no", "doc_id", score.alias("score"), F.md5("text").alias("digest")))
     # Files follow each other by name, so lines of earlier files count.
     sizes = rows.groupBy("file").agg(F.max("line_no").alias("n"))
     before = sizes.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return rows.join(before, "file").select("doc_id", score.alias("score"), F.md5("text").alias("digest"), (F.col("_before") + F.col("line_no")).alias("line_no"))
+    return rows.join(before, "file").select("doc_id", "score", "digest", (F.col("_before") + F.col("line_no")).alias("line_no"))
 
 
 #: Documents of a source that one JSON pool holds at most, and bytes of text before its last one.

@@ -32,12 +32,12 @@ def number_lines(lines: DataFrame, every: DataFrame | None = None) -> DataFrame:
     """Add the 1-based line number inside the file; ``every`` has all lines if ``lines`` are some of them.
 
     Rows of a block are consecutive, so only one small row per block (its first
-    row and its length) is shuffled and joined back.
+    row and its length) is shuffled; these go to the lines, which stay where they are.
     """
     blocks = (lines if every is None else every).groupBy("file", "block").agg(F.min("row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("file", "block", "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
-    joined = lines.join(offsets, ["file", "block"])
+    joined = lines.join(F.broadcast(offsets), ["file", "block"])
     return joined.withColumn("line_no", F.col("_before") + F.col("row") - F.col("_first") + 1).drop("_first", "_before")
 
 

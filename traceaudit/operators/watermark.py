@@ -13,6 +13,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,14 +58,98 @@ def scored_positions(df: DataFrame, ident: str, tokens: str, ngram: int) -> Data
     return exploded.select("sequence", "place", context.alias("context"), F.col("e")[f"g{ngram}"].alias("token"))
 
 
-def deduplicate(scored: DataFrame, mode: str) -> DataFrame:
-    """Drop repeated evidence: per context (v1) or per context and token (v2), first one kept."""
+#: Bytes of pairs, and pairs, that a task gathers before it drops repeats; as many bytes of all pairs come to a bucket.
+PAIR_BYTES = 1 << 25
+PAIR_ROWS = 1 << 20
+_CODEC = "zstd"
+_PAIR = ["context", "token"]
+
+
+def _packed(column: pa.Array) -> tuple[np.ndarray, bytes]:
+    """Length of each text in bytes, -1 for null, and all texts one after the other."""
+    lengths = pc.fill_null(pc.binary_length(column), -1).to_numpy(zero_copy_only=False).astype("<i4")
+    known = pc.fill_null(column, "")
+    _, ends, texts = known.buffers()
+    ends = np.frombuffer(ends, "<i4")[known.offset : known.offset + len(known) + 1]
+    return lengths, bytes(texts[int(ends[0]) : int(ends[-1])]) if texts else b""
+
+
+def _unpacked(lengths: np.ndarray, texts: memoryview) -> pa.Array:
+    ends = np.append(0, np.cumsum(np.maximum(lengths, 0))).astype("<i4")
+    column = pa.StringArray.from_buffers(len(lengths), pa.py_buffer(ends), pa.py_buffer(texts))
+    return pc.if_else(pa.array(lengths >= 0), column, pa.scalar(None, pa.string()))
+
+
+def _pack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted, compressed blocks of the distinct pairs of each bucket, of bounded parts of the rows."""
+    codec = pa.Codec(_CODEC)
+
+    def blocks(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        found = pa.Table.from_batches(rows).group_by(["bucket", *_PAIR], use_threads=False).aggregate([])
+        found = found.sort_by([(c, "ascending") for c in ("bucket", *_PAIR)]).combine_chunks()
+        buckets = found["bucket"].to_numpy()
+        starts = np.flatnonzero(np.diff(buckets, prepend=-1))
+        out = {"bucket": buckets[starts], "pairs": np.diff(starts, append=len(buckets)), "lengths": [], "texts": []}
+        for start, count in zip(starts, out["pairs"]):
+            part = found.slice(start, count)
+            lengths, texts = zip(*[_packed(part[c].combine_chunks()) for c in _PAIR])
+            out["lengths"].append(codec.compress(np.concatenate(lengths).tobytes(), asbytes=True))
+            out["texts"].append(codec.compress(b"".join(texts), asbytes=True))
+        return pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int32()), ("pairs", pa.int64()), ("lengths", pa.binary()), ("texts", pa.binary())]))
+
+    rows, count, volume = [], 0, 0
+    for batch in batches:
+        rows, count, volume = [*rows, batch], count + batch.num_rows, volume + batch.nbytes
+        if count >= PAIR_ROWS or volume >= PAIR_BYTES:
+            yield blocks(rows)
+            rows, count, volume = [], 0, 0
+    if count:
+        yield blocks(rows)
+
+
+def _distinct_pairs(blocks: pa.Table) -> pa.Table:
+    """Distinct pairs of the blocks of one bucket."""
+    codec = pa.Codec(_CODEC)
+    parts = []
+    for pairs, packed, texts in zip(*[blocks[c].to_pylist() for c in ("pairs", "lengths", "texts")]):
+        lengths = np.frombuffer(codec.decompress(packed, 2 * pairs * 4), "<i4").reshape(2, pairs)
+        size = [int(np.maximum(x, 0).sum()) for x in lengths]
+        plain = memoryview(codec.decompress(texts, sum(size), asbytes=True))
+        parts.append(pa.table([_unpacked(lengths[0], plain[: size[0]]), _unpacked(lengths[1], plain[size[0] :])], _PAIR))
+    return pa.concat_tables(parts).group_by(_PAIR, use_threads=False).aggregate([])
+
+
+def pair_volume(df: DataFrame, tokens: str, ngram: int, size: str | None = None) -> Column:
+    """About how many bytes the contexts and tokens of all scored positions have, as a scalar subquery."""
+    words = F.octet_length(F.array_join(as_column(tokens).cast("array<string>"), " ", "")) if size is None else F.col(size)
+    return df.agg(F.sum(words.cast("bigint")) * (ngram + 1)).scalar()
+
+
+def distinct_pairs(scored: DataFrame, volume: Column) -> DataFrame:
+    """Each (context, token) pair once.
+
+    Pairs are dealt to buckets by their hash, as many as their ``volume`` asks for. A task drops repeats in parts of its
+    rows and shuffles the rest of a bucket as one sorted, compressed block. Pairs are compared as they are, not by hashes.
+    """
+    count = F.greatest(F.ceil(F.coalesce(volume, F.lit(0)) / F.lit(PAIR_BYTES)), F.lit(1))
+    bucket = F.pmod(F.xxhash64(*_PAIR), count).cast("int").alias("bucket")
+    blocks = scored.select(*_PAIR, bucket).mapInArrow(_pack_pairs, "bucket int, pairs bigint, lengths binary, texts binary")
+    return blocks.groupBy("bucket").applyInArrow(_distinct_pairs, "context string, token string")
+
+
+def deduplicate(scored: DataFrame, mode: str, volume: Column | None = None) -> DataFrame:
+    """Drop repeated evidence: per context (v1) or per context and token (v2), first one kept.
+
+    ``volume`` is about the bytes of all pairs, where the caller knows them without another pass over ``scored``.
+    """
     if mode not in DEDUP_MODES:
         raise ValueError(f"mode must be one of {DEDUP_MODES}")
     if mode == "none":
         return scored.select("context", "token")
     if mode == "v2":
-        return scored.select("context", "token").distinct()
+        if volume is None:
+            volume = scored.agg(F.sum(F.octet_length(F.concat_ws(" ", *_PAIR)).cast("bigint"))).scalar()
+        return distinct_pairs(scored, volume)
     return scored.groupBy("context").agg(F.min_by("token", F.struct("sequence", "place")).alias("token"))
 
 
@@ -84,16 +169,19 @@ def green_test(
     membership: DataFrame | None = None,
     contexts: DataFrame | None = None,
     mode: str = "none",
+    size: str | None = None,
 ) -> DataFrame:
     """Green-token test over all sequences together.
 
     ``membership`` is a table (context, token) of green pairs; without it the
     keyed hash decides. ``contexts`` restricts scoring to known contexts.
+    ``size`` is a column with about the bytes of a sequence; without it mode
+    v2 adds them up from the tokens, which makes the tokens once more.
     """
     scored = scored_positions(df, ident, tokens, ngram)
     if contexts is not None:
         scored = scored.join(contexts.select("context").distinct(), "context", "left_semi")
-    unique = deduplicate(scored, mode)
+    unique = deduplicate(scored, mode, pair_volume(df, tokens, ngram, size) if mode == "v2" else None)
     if membership is None:
         if key is None:
             raise ValueError("give a key or a membership table")

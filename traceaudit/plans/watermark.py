@@ -20,7 +20,7 @@ GREEN = "('0x' || substr(md5('key|' || context || '|' || token), 1, 8))::BIGINT
 
 
 def words(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", split_words("text").alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", split_words("text").alias("tokens"), F.octet_length("text").alias("size"))
 
 
 def counted(found):
@@ -47,7 +47,7 @@ def watermark_green_first_context(spark, sf_dir):
 
 @query("watermark_green_unique_pairs", green_sql("SELECT DISTINCT context, token FROM s"))
 def watermark_green_unique_pairs(spark, sf_dir):
-    return counted(W.green_test(words(spark, sf_dir), "doc_id", "tokens", 1, GAMMA, key="key", mode="v2"))
+    return counted(W.green_test(words(spark, sf_dir), "doc_id", "tokens", 1, GAMMA, key="key", mode="v2", size="size"))
 
 
 # Known contexts and green pairs taken from the benchmark texts.
@@ -79,7 +79,7 @@ SELECT round(1 - {normal_cdf_sql('z')}, 7) AS p_value_z, round(z, 6) AS z_score,
 round(list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.25) + (n - j) * ln(0.75)) FOR j IN range(g, n + 1)]), 6) AS p_value_binomial FROM z""",
 )
 def watermark_p_values(spark, sf_dir):
-    found = W.green_test(words(spark, sf_dir), "doc_id", "tokens", 2, GAMMA, key="key", mode="v2")
+    found = W.green_test(words(spark, sf_dir), "doc_id", "tokens", 2, GAMMA, key="key", mode="v2", size="size")
     places = {"p_value_z": 7, "p_value_binomial": 6, "z_score": 6}
     return found.select(*[F.round(c, p).alias(c) for c, p in places.items()])
 

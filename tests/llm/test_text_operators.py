@@ -190,6 +190,88 @@ def test_jaccard_like_by_hand(spark, docs, monkeypatch, percent, prefixes, sets)
     assert {r.component_id for r in found if r.doc_id is None} == {None}
 
 
+def random_sets(draw, size, percent):
+    """Two sets that overlap by about ``percent`` of their union, as ascending hashes."""
+    common = draw.integers(0, 1 << 64, size=max(1, size), dtype=np.uint64)
+    more = int(size * 100 / percent - size)
+    cut = draw.integers(0, more + 1)
+    extra = draw.integers(0, 1 << 64, size=more, dtype=np.uint64)
+    return np.unique(np.append(common, extra[:cut])), np.unique(np.append(common, extra[cut:]))
+
+
+@pytest.mark.parametrize(("percent", "differ"), [(90, None), (80, None), (80, 2), (75, 9), (50, 2)])
+def test_linked_sets_meet_in_a_segment(monkeypatch, percent, differ):
+    if differ:  # many segments, some smaller than what they may differ by
+        monkeypatch.setattr(jaccard, "SEGMENT_DIFFER", differ)
+    draw, met, linked, segments = np.random.default_rng(percent), 0, 0, 0
+    for _ in range(300):
+        size = int(2 ** draw.uniform(0, 12))
+        sets = random_sets(draw, size, percent)
+        counts = np.array([len(s) for s in sets])
+        grams = np.concatenate(sets)
+        level = (grams % np.uint64(5)).astype(np.uint8)
+        doc, key, _, kind, place, cell, sizes, bits = jaccard.prefix_entries(grams, counts, level, np.ones(2, dtype=bool), percent)
+        order = np.lexsort((counts[doc], key))
+        run = (key[order], counts[doc[order]], sizes[cell[order]], place[order], bits[cell[order]], 4 ** kind[order])
+        pairs = [(doc[order[i]], doc[order[j]]) for i, j in jaccard.candidate_pairs(*run, percent) for i, j in zip(i, j)]
+        common = len(np.intersect1d(*sets))
+        if 100 * common >= percent * (counts.sum() - common):
+            linked += 1
+            met += any(a != b for a, b in pairs)
+            segments += kind.max() > 0
+    assert met == linked > 100
+    assert segments > 20 or percent == 50
+
+
+def long_texts(count, length, percent, seed):
+    """Long texts without structure that share a passage with the next one; and a copy of each, about as alike as asked."""
+    draw = random.Random(seed)
+    own = [[f"v{draw.randrange(10**6)}" for _ in range(int(length * 1.06**k))] for k in range(count)]
+    for k in range(count - 1):
+        own[k + 1][:90] = own[k][-90:]
+    copies = []
+    for words in own:
+        copy = list(words)
+        share = (100 - percent) / (100 + percent) / 3 * draw.uniform(0.7, 1.2)
+        for at in draw.sample(range(100, len(words) - 100), int(share * len(words))):
+            copy[at] = f"other{draw.randrange(10**6)}"
+        copies.append(copy)
+    return [" ".join(w) for w in own + copies]
+
+
+@pytest.mark.parametrize("percent", [90, 80])
+def test_long_texts_that_share_a_passage_are_no_group(spark, monkeypatch, percent):
+    rows = list(enumerate(long_texts(12, 1800, percent, percent)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    sizes, components = [], jaccard.connected_components
+
+    def watched(links):
+        found = components(links)
+        sizes.append(max((r["count"] for r in found.groupBy("component").count().collect()), default=0))
+        return found
+
+    monkeypatch.setattr(jaccard, "connected_components", watched)
+    # As in a large corpus: slots count so many n-grams that rare ones are not told from those of two texts.
+    monkeypatch.setattr(jaccard, "_slot", lambda grams: (grams % np.uint64(64)).astype(np.int64))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs, percent=percent).collect()}
+    want = components_by_hand(rows, percent)
+    assert got == want
+    assert 2 < len(rows) - len({c for _, c in want.values()}) < 12
+    assert sizes == [2, 2]
+
+
+def test_sets_of_many_tiles_leave_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK_BYTES", 4000)
+    texts = [" ".join(f"w{k}_{i}" for i in range(102)) for k in range(3)]
+    part = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts), pa.array([7, 7, 8]), pa.array([50, 50, 1])], ["doc_id", "text", "component", "tiles"])
+    batches = list(jaccard.tiled_sets(part, 3, 16))
+    assert max(b.nbytes for b in batches) < 6000
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert collections.Counter(r["doc_id"] for r in rows) == {1: 50, 2: 50, 3: 1}
+    assert {len(r["grams"]) for r in rows} == {800}
+    assert len({(r["low"], r["high"]) for r in rows if r["doc_id"] == 1}) == 50
+
+
 def test_jaccard_keeps_one_of_each_group(docs, empty):
     kept = jaccard.drop_near_duplicates(docs)
     assert kept.columns == docs.columns

@@ -4,9 +4,14 @@
 2. A second pass orders each set rare-first by these counts and ships its prefix, the n-grams of which a linked pair
    must share one, packed by bucket. Any order that all documents share keeps the join exact; the slots only decide how
    well frequent n-grams go last. Equal sets are one set: each task ships one of them, each bucket keeps one.
+   A large set is parted by its n-grams' hashes into segments. Two linked sets have a segment in which they differ by no
+   more than their difference over the number of segments, so each segment ships the prefix that this bound leaves.
+   Sizes are classed, a class has four times the segments of the one before; sets near the end of a class are in both.
 3. A bucket's task pairs the sets of an n-gram after the length filter, the positional filter (what can still follow
    the shared n-gram) and a bitmap filter (n-grams are dealt to parity bits; every bit that differs is an n-gram that
-   only one of the two has). It returns no pairs but a spanning forest of them.
+   only one of the two has). Segments are so small that bits of unrelated ones differ by more than the bound: else all
+   long texts that share one rare n-gram would be candidates, and more documents connect them all to a single group.
+   It returns no pairs but a spanning forest of them.
 4. The sets of each group so connected are brought together once, a large group as pairs of tiles. Pairs that no earlier
    link of the tile connects go through the suffix filter (both sets are parted at a probe n-gram, again and again, and
    the sizes of the parts bound how much the sets differ); what it leaves is compared n-gram by n-gram, each pair once.
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 from traceaudit.llm.components import connected_components
 from traceaudit.llm.store import materialise
 from traceaudit.llm.texts import (
-    hashed_words, mixed, packed_texts, planes, run_starts, slices, unpacked, unplaned, window_hashes,
+    hashed_words, mixed, packed_texts, planes, run_starts, slices, unpacked, unplaned, utf8, window_hashes,
 )
 
 WIDTH, PERCENT = 3, 90
@@ -39,8 +44,14 @@ SLOT_BITS, PARTS = 21, 64
 CHUNK_BYTES = 4 << 20
 #: Parity bits of a set.
 PARITY = 192
-#: Prefixes of one n-gram, and sets of one group, that a task pairs with each other.
-TILE_PREFIXES, TILE_SETS = 4096, 512
+#: Sets of which linked ones may differ by more n-grams are parted; bits of unrelated sets differ by half of ``PARITY``.
+SEGMENT_DIFFER = 3 * PARITY // 10
+#: Below this percentage segments would have to share next to nothing, and no set is parted.
+SEGMENT_PERCENT = 70
+#: Prefixes of one n-gram, and sets and n-grams of one group, that a task pairs with each other.
+TILE_PREFIXES, TILE_SETS, TILE_GRAMS = 4096, 512, 2 << 20
+#: Prefix entries that a task ships at once, and that a bucket has on average at most.
+SHIPPED, BUCKET_ENTRIES = 1 << 18, 1 << 17
 _PAIRS_AT_ONCE = 1 << 20
 #: How often the suffix filter parts two sets.
 SUFFIX_DEPTH = 3
@@ -104,6 +115,62 @@ def prefix_lengths(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
+def segment_limits(percent: int) -> np.ndarray:
+    """Size of the largest set of each class; a pair is compared in ``4**class`` segments, by the class of its larger set."""
+    if percent < SEGMENT_PERCENT:
+        return np.array([np.iinfo(np.int64).max])
+    return SEGMENT_DIFFER * (100 + percent) // (2 * max(100 - percent, 1)) * 4 ** np.arange(16)
+
+
+def segment_prefix_lengths(n: np.ndarray, kind: int, limits: np.ndarray, percent: int) -> np.ndarray:
+    """N-grams of each segment of which a linked set of class ``kind`` at most has one, in some segment."""
+    if not kind:
+        return prefix_lengths(n, percent)
+    largest = np.minimum(100 * n // percent, limits[kind])
+    return (100 - percent) * (n + largest) // (100 + percent) // 4**kind + 1
+
+
+def prefix_entries(grams, counts, level, shown, percent: int) -> tuple[np.ndarray, ...]:
+    """Prefixes of the sets that are ``shown``: per entry ``doc, key, level, class, place, cell``; per cell ``size, bits``.
+
+    A cell is a segment of a set, ``size`` its n-grams, ``bits`` their parity. Keys tell classes apart. A segment that
+    is no larger than what it may differ by has another entry, at place -1, where it meets all such segments.
+    """
+    limits = segment_limits(percent)
+    low, high = np.searchsorted(limits, counts), np.searchsorted(limits, 100 * counts // percent)
+    doc = np.repeat(np.arange(len(counts)), counts)
+    found: list[list[np.ndarray]] = [[] for _ in range(8)]
+    cells = 0
+    for kind in range(int(high[shown].max()) + 1 if shown.any() else 0):
+        parts = 4**kind
+        own = np.flatnonzero(shown & (low <= kind) & (kind <= high))
+        number = np.full(len(counts), -1)
+        number[own] = np.arange(len(own))
+        rows = np.flatnonzero(number[doc] >= 0)
+        cell = number[doc[rows]] * parts + (grams[rows] & np.uint64(parts - 1)).astype(np.int64)
+        order = np.lexsort((grams[rows], level[rows], cell))
+        rows, cell = rows[order], cell[order]
+        size = np.bincount(cell, minlength=len(own) * parts)
+        place = np.arange(len(cell)) - np.repeat(np.cumsum(size) - size, size)
+        length = np.repeat(segment_prefix_lengths(counts[own], kind, limits, percent), parts)
+        use = place < length[cell]
+        few = np.flatnonzero(size < length)
+        key = grams[rows[use]] if not kind else mixed(grams[rows[use]] + np.uint64(kind * 0x9E3779B97F4A7C15 % (1 << 64)))
+        alone = mixed((few % parts).astype(np.uint64) ^ np.uint64(kind * 0xD6E8FEB86659FD93 % (1 << 64)))
+        at = np.append(cell[use], few)
+        new = (
+            own[at // parts], np.append(key, alone), np.append(level[rows[use]], np.zeros(len(few), dtype=level.dtype)),
+            np.full(len(at), kind), np.append(place[use], np.full(len(few), -1)), cells + at, size, parity(grams[rows], size),
+        )
+        for column, x in zip(found, new):
+            column.append(x)
+        cells += len(size)
+    if not cells:
+        empty = np.zeros(0, dtype=np.int64)
+        return empty, np.zeros(0, dtype=np.uint64), level[:0], empty, empty, empty, empty, np.zeros((0, PARITY // 64), dtype=np.uint64)
+    return tuple(map(np.concatenate, found))
+
+
 class Forest:
     """Least node of each tree, while edges come in by the million."""
 
@@ -126,10 +193,13 @@ class Forest:
                 root[:] = up
 
 
-def candidate_pairs(run, n, place, bits, percent: int, tile=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs within runs of equal ``run``, sorted by run and ``n``, that pass the filters; ``place``: in the prefix."""
+def candidate_pairs(run, n, size, place, bits, parts, percent: int, tile=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within runs of equal ``run``, sorted by run and ``n``, that pass the filters.
+
+    ``n`` is the size of a set, ``size`` that of the segment at hand, one of ``parts``, and ``place`` is in its prefix.
+    """
     alive, step = np.arange(len(run)), 0
-    left = n - place - 1
+    left = size - place - 1
     while True:
         step += 1
         alive = alive[alive + step < len(run)]
@@ -141,11 +211,11 @@ def candidate_pairs(run, n, place, bits, percent: int, tile=None) -> Iterator[tu
             j = i + step
             if tile is not None:  # other tile, or the pair belongs to another task
                 i, j = i[tile[i] != tile[j]], j[tile[i] != tile[j]]
-            least = needed(n[i], n[j], percent)
-            ok = 1 + np.minimum(left[i], left[j]) >= least
-            i, j, least = i[ok], j[ok], least[ok]
+            most = (n[i] + n[j] - 2 * needed(n[i], n[j], percent)) // parts[i]
+            ok = 2 + 2 * np.minimum(left[i], left[j]) >= size[i] + size[j] - most
+            i, j, most = i[ok], j[ok], most[ok]
             differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-            ok = differ <= n[i] + n[j] - 2 * least
+            ok = differ <= most
             yield i[ok], j[ok]
 
 
@@ -177,8 +247,8 @@ def _base(docs: DataFrame, width: int) -> DataFrame:
     return materialise(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(digest, schema))
 
 
-def _levels(base: DataFrame) -> tuple[np.ndarray, float]:
-    """Count of each slot as eighths of its logarithm; what a slot counts beside a frequent n-gram."""
+def _levels(base: DataFrame) -> tuple[np.ndarray, float, float]:
+    """Count of each slot as eighths of its logarithm; what a slot counts beside a frequent n-gram; all counts."""
 
     def add(table: pa.Table) -> pa.Table:
         tool = zstandard.ZstdDecompressor()
@@ -193,13 +263,15 @@ def _levels(base: DataFrame) -> tuple[np.ndarray, float]:
     size = len(levels) // PARTS
     for row in found:  # as many rows as there are parts
         levels[row.part * size : (row.part + 1) * size] = np.frombuffer(row.level, dtype=np.uint8)
-    mean = sum(row.n for row in found) / len(levels)
-    return levels, mean + 6 * mean**0.5
+    total = sum(row.n for row in found)
+    mean = total / len(levels)
+    return levels, mean + 6 * mean**0.5, total
 
 
-def _candidates(docs: DataFrame, levels: np.ndarray, noise: float, width: int, percent: int) -> DataFrame:
-    """Forest over the pairs that pass the filters: ``a``, ``b``."""
-    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _candidates(docs: DataFrame, levels: np.ndarray, noise: float, total: float, width: int, percent: int) -> DataFrame:
+    """Forest over the pairs that pass the filters: ``a``, ``b``; ``total``: n-grams of all sets."""
+    # By partitions, so that all have some, and by entries, so that a bucket stays small.
+    buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total * (100 - percent) / 100 / BUCKET_ENTRIES))
     tiles_of_level = np.maximum(1, np.ceil((2.0 ** ((np.arange(256) + 1) / 8) - noise) / TILE_PREFIXES)).astype(np.int64)
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,46 +286,45 @@ def _candidates(docs: DataFrame, levels: np.ndarray, noise: float, width: int, p
                 shown = np.zeros(len(order), dtype=bool)
                 shown[order[own]] = True
                 shown &= counts > 0
-                bits = parity(grams, counts)
-                doc = np.repeat(np.arange(len(counts)), counts)
-                level = levels[_slot(grams)]
-                rare = np.lexsort((grams, level, doc))
-                place = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-                use = shown[doc] & (place < prefix_lengths(counts, percent)[doc])
-                doc, place, rare = doc[use], place[use], rare[use]
-                gram, tiles = grams[rare], tiles_of_level[level[rare]]
-                # A frequent n-gram: its prefixes are dealt to tiles, and each meets all tiles.
-                again = np.repeat(np.arange(len(doc)), tiles)
-                other = np.arange(len(again)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
-                tile = (k1[doc[again]] % tiles[again].astype(np.uint64)).astype(np.int64)
-                low, high = np.minimum(tile, other), np.maximum(tile, other)
-                doc, place, gram, tiles = doc[again], place[again], gram[again], tiles[again]
-                key = np.where(tiles > 1, mixed(gram + (low * 65521 + high).astype(np.uint64)), gram)
-                tile = np.where(low == high, -1, tile)  # -1: pairs within a tile
-                bucket = (mixed(key) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                out = []
-                for rows in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
-                    d = doc[rows]
-                    out.append((
-                        int(bucket[rows[0]]), len(rows), key[rows].tobytes() + k1[d].tobytes() + bits[d].tobytes(),
-                        planes(np.diff(ids[d], prepend=np.int64(0)), counts[d].astype(np.int32), place[rows].astype(np.int32), tile[rows].astype(np.int32)),
-                    ))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*out) if out else ((),) * 4, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
-                    ["bucket", "n", "wide", "narrow"],
-                )
+                owner, keys, level, kinds, places, cells, sizes, bits = prefix_entries(grams, counts, levels[_slot(grams)], shown, percent)
+                every = tiles_of_level[level]
+                ends = np.cumsum(every)
+                cuts = np.searchsorted(ends, np.arange(SHIPPED, int(ends[-1]) if len(ends) else 0, SHIPPED))
+                for rows in np.split(np.arange(len(owner)), np.unique(cuts)):
+                    # A frequent n-gram: its prefixes are dealt to tiles, and each meets all tiles.
+                    tiles = every[rows]
+                    again = np.repeat(np.arange(len(rows)), tiles)
+                    other = np.arange(len(again)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
+                    rows, tiles = rows[again], tiles[again]
+                    doc, key = owner[rows], keys[rows]
+                    tile = (k1[doc] % tiles.astype(np.uint64)).astype(np.int64)
+                    low, high = np.minimum(tile, other), np.maximum(tile, other)
+                    key = np.where(tiles > 1, mixed(key + (low * 65521 + high).astype(np.uint64)), key)
+                    tile = np.where(low == high, -1, tile)  # -1: pairs within a tile
+                    bucket = (mixed(key) % np.uint64(buckets)).astype(np.int64)
+                    order = np.argsort(bucket, kind="stable")
+                    out = []
+                    for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
+                        d, c = doc[at], cells[rows[at]]
+                        numbers = (counts[d], sizes[c], places[rows[at]], tile[at])
+                        out.append((
+                            int(bucket[at[0]]), len(at), key[at].tobytes() + k1[d].tobytes() + bits[c].tobytes(),
+                            planes(np.diff(ids[d], prepend=np.int64(0)), *(x.astype(np.int32) for x in numbers), kinds[rows[at]].astype(np.int8)),
+                        ))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x, t) for x, t in zip(zip(*out) if out else ((),) * 4, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
+                        ["bucket", "n", "wide", "narrow"],
+                    )
 
     def pair(table: pa.Table) -> pa.Table:
-        cells: list[list[np.ndarray]] = [[] for _ in range(7)]
-        size = PARITY // 64
+        cells: list[list[np.ndarray]] = [[] for _ in range(9)]
         for n, wide, narrow in zip(*(table.column(c).to_pylist() for c in ("n", "wide", "narrow"))):
             raw = np.frombuffer(wide, dtype=np.uint64)
-            ids, counts, place, tile = unplaned(narrow, n, "i8", "i4", "i4", "i4")
-            new = (raw[:n], raw[n : 2 * n], raw[2 * n :].reshape(n, size), np.cumsum(ids), counts.astype(np.int64), place.astype(np.int64), tile)
+            ids, counts, size, place, tile, kind = unplaned(narrow, n, "i8", "i4", "i4", "i4", "i4", "i1")
+            new = (raw[:n], raw[n : 2 * n], raw[2 * n :].reshape(n, PARITY // 64), np.cumsum(ids), counts, size, place, tile, kind)
             for cell, x in zip(cells, new):
                 cell.append(x)
-        key, k1, bits, ids, counts, place, tile = map(np.concatenate, cells)
+        key, k1, bits, ids, counts, size, place, tile, kind = map(np.concatenate, cells)
         order = np.argsort(key, kind="stable")
         same = key[order][1:] == key[order][:-1]
         crowded = np.zeros(len(key), dtype=bool)
@@ -266,13 +337,15 @@ def _candidates(docs: DataFrame, levels: np.ndarray, noise: float, width: int, p
             a, b = rows[1:], rows[:-1]
             first[1:] = (key[a] != key[b]) | (k1[a] != k1[b]) | (counts[a] != counts[b]) | (bits[a] != bits[b]).any(axis=1)
             rows = rows[first]
-        key, bits, ids, counts, place, tile = (x[rows] for x in (key, bits, ids, counts, place, tile))
+        key, bits, ids, tile = (x[rows] for x in (key, bits, ids, tile))
+        counts, size, place, parts = (x[rows].astype(np.int64) for x in (counts, size, place, kind))
+        parts = 4**parts
         nodes, node = np.unique(ids, return_inverse=True)
         forest = Forest(len(nodes))
         inner = tile < 0
-        for kind in (inner, ~inner):
-            at = np.flatnonzero(kind)
-            pairs = candidate_pairs(key[at], counts[at], place[at], bits[at], percent, None if kind is inner else tile[at])
+        for met in (inner, ~inner):
+            at = np.flatnonzero(met)
+            pairs = candidate_pairs(*(x[at] for x in (key, counts, size, place, bits, parts)), percent, None if met is inner else tile[at])
             for i, j in pairs:
                 forest.join(node[at[i]], node[at[j]])
         moved = np.flatnonzero(forest.root != np.arange(len(nodes)))
@@ -283,45 +356,56 @@ def _candidates(docs: DataFrame, levels: np.ndarray, noise: float, width: int, p
     return shipped.groupBy("bucket").applyInArrow(pair, "a bigint, b bigint")
 
 
-def _verified(docs: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
-    """Forest over the linked pairs of each group (``node``, ``component``): ``a``, ``b``."""
+def tiled_sets(part: pa.RecordBatch, width: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Sets of texts (``doc_id, text, component, tiles``), each once for every tile that it meets, in batches of bounded size."""
+    names = ["bucket", "group", "low", "high", "tile", "doc_id", "grams"]
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    grams, counts = shingle_sets(part, width)
+    ends = np.cumsum(counts)
+    out, held = [], 0
+    for doc, group, tiles, a, b in zip(*(part.column(c).to_pylist() for c in ("doc_id", "component", "tiles")), ends - counts, ends):
+        own = int(mixed(np.array([doc], dtype=np.int64).view(np.uint64))[0]) % tiles
+        raw = grams[a:b].tobytes()
+        for other in range(tiles):
+            task = (group, min(own, other), max(own, other))
+            code = int(mixed(np.array([group * 1_000_003 + task[1] * 65_521 + task[2]], dtype=np.int64).view(np.uint64))[0])
+            out.append((code % buckets, *task, own, doc, raw))
+            held += len(raw)
+            if held >= CHUNK_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names)
+                out, held = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names)
+
+
+def _verified(docs: DataFrame, base: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
+    """Forest over the linked pairs of each group (``node``, ``component``): ``a``, ``b``; ``base`` has the sizes of sets."""
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.set_column(batch.schema.get_field_index("_packed"), "text", unpacked(batch.column("_packed")))
-            for part in slices(texts, limit=CHUNK_BYTES):
-                grams, counts = shingle_sets(part, width)
-                ends = np.cumsum(counts)
-                out = []
-                for doc, group, size, a, b in zip(*(part.column(c).to_pylist() for c in ("doc_id", "component", "size")), ends - counts, ends):
-                    tiles = -(-size // TILE_SETS)
-                    own = int(mixed(np.array([doc], dtype=np.int64).view(np.uint64))[0]) % tiles
-                    for other in range(tiles):
-                        task = (group, min(own, other), max(own, other))
-                        code = int(mixed(np.array([group * 1_000_003 + task[1] * 65_521 + task[2]], dtype=np.int64).view(np.uint64))[0])
-                        out.append((code % buckets, *task, own, doc, grams[a:b].tobytes()))
-                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*out) if out else ((),) * 7, kinds)],
-                    ["bucket", "group", "low", "high", "tile", "doc_id", "grams"],
-                )
+            for few in slices(batch, "_packed", CHUNK_BYTES // 4):
+                texts = few.set_column(few.schema.get_field_index("_packed"), "text", unpacked(few.column("_packed")))
+                for part in slices(texts, limit=CHUNK_BYTES):
+                    yield from tiled_sets(part, width, buckets)
 
     def compare(table: pa.Table) -> pa.Table:
         group, low, high, tile, ids = (table.column(c).to_numpy() for c in ("group", "low", "high", "tile", "doc_id"))
-        raw = table.column("grams").combine_chunks()
+        bounds, raw = utf8(table.column("grams").combine_chunks())
         a, b = [], []
         order = np.lexsort((ids, high, low, group))
         new = (np.diff(group[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
         for rows in np.split(order, np.flatnonzero(new) + 1):
-            sets = [np.frombuffer(raw[int(r)].as_py(), dtype=np.uint64) for r in rows]
+            sets = [raw[bounds[r] : bounds[r + 1]].view(np.uint64) for r in rows]
             for i, j in linked_forest(sets, ids[rows], None if low[rows[0]] == high[rows[0]] else tile[rows], percent):
                 a.append(ids[rows[i]])
                 b.append(ids[rows[j]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    members = groups.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "size")
+    sets = base.filter("part is null and doc_id is not null").select(F.col("doc_id").alias("node"), "n")
+    tiles = F.greatest(F.ceil(F.count("*") / TILE_SETS), F.ceil(F.sum("n") / TILE_GRAMS)).cast("int")
+    sizes = groups.join(sets, "node").groupBy("component").agg(tiles.alias("tiles"))
+    members = groups.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "tiles")
     narrow = packed_texts(docs.select(F.col("doc_id").cast("bigint"), "text").filter("doc_id is not null"))
     schema = "bucket int, group bigint, low int, high int, tile int, doc_id bigint, grams binary"
     # A merge join at every size: members may well be few enough to send around, but grow with the documents.
@@ -354,7 +438,7 @@ def hamming_bound(x: np.ndarray, y: np.ndarray, most: int, depth: int = SUFFIX_D
 def linked_forest(sets: list[np.ndarray], ids: np.ndarray, tile: np.ndarray | None, percent: int) -> Iterator[tuple[int, int]]:
     """Links between sorted sets that connect all that are connected; with ``tile``, links between tiles."""
     n = np.array([len(s) for s in sets])
-    bits = parity(np.concatenate(sets), n)
+    bits = np.concatenate([parity(s, n[k : k + 1]) for k, s in enumerate(sets)])
     order = np.argsort(n, kind="stable")
     root = list(range(len(sets)))
 
@@ -365,9 +449,9 @@ def linked_forest(sets: list[np.ndarray], ids: np.ndarray, tile: np.ndarray | No
         return i
 
     kept = None if tile is None else tile[order]
-    same = np.zeros(len(sets), dtype=np.int64)
+    same, whole = np.zeros(len(sets), dtype=np.int64), np.ones(len(sets), dtype=np.int64)
     # Each set against all larger ones, the most alike first; those that are connected by then need no comparison.
-    for i, j in candidate_pairs(same, n[order], np.zeros_like(n), bits[order], percent, kept):
+    for i, j in candidate_pairs(same, n[order], n[order], np.zeros_like(n), bits[order], whole, percent, kept):
         for x, y in zip(order[i].tolist(), order[j].tolist()):
             if ids[x] != ids[y] and (tx := top(x)) != (ty := top(y)):
                 small, large = (sets[x], sets[y]) if n[x] <= n[y] else (sets[y], sets[x])
@@ -383,9 +467,9 @@ def linked_forest(sets: list[np.ndarray], ids: np.ndarray, tile: np.ndarray | No
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``."""
     base = _base(docs, width)
-    levels, noise = _levels(base)
-    groups = connected_components(_candidates(docs, levels, noise, width, percent))
-    links = connected_components(_verified(docs, groups, width, percent))
+    levels, noise, total = _levels(base)
+    groups = connected_components(_candidates(docs, levels, noise, total, width, percent))
+    links = connected_components(_verified(docs, base, groups, width, percent))
     rows = base.filter("part is null").select("doc_id", "n", "k1", "k2")
     # Equal sets link too: the least document of each set stands for it.
     sets = rows.filter("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("node"))

@@ -51,7 +51,7 @@ SEGMENT_PERCENT = 70
 #: Prefixes of one n-gram, and sets and n-grams of one group, that a task pairs with each other.
 TILE_PREFIXES, TILE_SETS, TILE_GRAMS = 4096, 512, 2 << 20
 #: Prefix entries that a task ships at once, and that a bucket has on average at most.
-SHIPPED, BUCKET_ENTRIES = 1 << 18, 1 << 17
+SHIPPED, BUCKET_ENTRIES = 1 << 18, 1 << 18
 _PAIRS_AT_ONCE = 1 << 20
 #: How often the suffix filter parts two sets.
 SUFFIX_DEPTH = 3
@@ -271,7 +271,7 @@ def _levels(base: DataFrame) -> tuple[np.ndarray, float, float]:
 def _candidates(docs: DataFrame, levels: np.ndarray, noise: float, total: float, width: int, percent: int) -> DataFrame:
     """Forest over the pairs that pass the filters: ``a``, ``b``; ``total``: n-grams of all sets."""
     # By partitions, so that all have some, and by entries, so that a bucket stays small.
-    buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total * (100 - percent) / 100 / BUCKET_ENTRIES))
+    buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total * (100 - percent) / 100 / BUCKET_ENTRIES))
     tiles_of_level = np.maximum(1, np.ceil((2.0 ** ((np.arange(256) + 1) / 8) - noise) / TILE_PREFIXES)).astype(np.int64)
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,14 +301,17 @@ def _candidates(docs: DataFrame, levels: np.ndarray, noise: float, total: float,
                     low, high = np.minimum(tile, other), np.maximum(tile, other)
                     key = np.where(tiles > 1, mixed(key + (low * 65521 + high).astype(np.uint64)), key)
                     tile = np.where(low == high, -1, tile)  # -1: pairs within a tile
-                    bucket = (mixed(key) % np.uint64(buckets)).astype(np.int64)
+                    key = mixed(key)
+                    bucket = (key % np.uint64(buckets)).astype(np.int64)
+                    # Half of a key tells those of a bucket apart; where it fails, more pairs go through the filters.
+                    key = (key >> np.uint64(32)).astype(np.uint32)
                     order = np.argsort(bucket, kind="stable")
                     out = []
                     for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
                         d, c = doc[at], cells[rows[at]]
                         numbers = (counts[d], sizes[c], places[rows[at]], tile[at])
                         out.append((
-                            int(bucket[at[0]]), len(at), key[at].tobytes() + k1[d].tobytes() + bits[c].tobytes(),
+                            int(bucket[at[0]]), len(at), k1[d].tobytes() + bits[c].tobytes() + key[at].tobytes(),
                             planes(np.diff(ids[d], prepend=np.int64(0)), *(x.astype(np.int32) for x in numbers), kinds[rows[at]].astype(np.int8)),
                         ))
                     yield pa.RecordBatch.from_arrays(
@@ -319,9 +322,10 @@ def _candidates(docs: DataFrame, levels: np.ndarray, noise: float, total: float,
     def pair(table: pa.Table) -> pa.Table:
         cells: list[list[np.ndarray]] = [[] for _ in range(9)]
         for n, wide, narrow in zip(*(table.column(c).to_pylist() for c in ("n", "wide", "narrow"))):
-            raw = np.frombuffer(wide, dtype=np.uint64)
+            raw = np.frombuffer(wide, dtype=np.uint64, count=n * (1 + PARITY // 64))
+            key = np.frombuffer(wide, dtype=np.uint32, offset=raw.nbytes)
             ids, counts, size, place, tile, kind = unplaned(narrow, n, "i8", "i4", "i4", "i4", "i4", "i1")
-            new = (raw[:n], raw[n : 2 * n], raw[2 * n :].reshape(n, PARITY // 64), np.cumsum(ids), counts, size, place, tile, kind)
+            new = (key, raw[:n], raw[n:].reshape(n, PARITY // 64), np.cumsum(ids), counts, size, place, tile, kind)
             for cell, x in zip(cells, new):
                 cell.append(x)
         key, k1, bits, ids, counts, size, place, tile, kind = map(np.concatenate, cells)
@@ -331,11 +335,12 @@ def _candidates(docs: DataFrame, levels: np.ndarray, noise: float, total: float,
         crowded[:-1] |= same
         crowded[1:] |= same
         rows = order[crowded]  # n-grams of more than one prefix
-        rows = rows[np.lexsort((ids[rows], *bits[rows].T, k1[rows], counts[rows], key[rows]))]
+        rows = rows[np.lexsort((ids[rows], place[rows], *bits[rows].T, k1[rows], counts[rows], key[rows]))]
         if len(rows):  # equal sets: the smallest document stands for all
             first = np.ones(len(rows), dtype=bool)
             a, b = rows[1:], rows[:-1]
-            first[1:] = (key[a] != key[b]) | (k1[a] != k1[b]) | (counts[a] != counts[b]) | (bits[a] != bits[b]).any(axis=1)
+            first[1:] = (key[a] != key[b]) | (k1[a] != k1[b]) | (counts[a] != counts[b]) | (place[a] != place[b])
+            first[1:] |= (bits[a] != bits[b]).any(axis=1)
             rows = rows[first]
         key, bits, ids, tile = (x[rows] for x in (key, bits, ids, tile))
         counts, size, place, parts = (x[rows].astype(np.int64) for x in (counts, size, place, kind))
